@@ -1,0 +1,21 @@
+"""Small plan helpers."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
+    """Broadcast ``df`` only if it provably has at most ``max_rows`` rows.
+
+    The check reads at most max_rows + 1 rows. Beyond the bound the plain
+    frame is returned and the optimizer plans a shuffle join instead.
+    """
+    n = df.limit(max_rows + 1).count()
+    return F.broadcast(df) if n <= max_rows else df
+
+
+def small_literal_frame(spark, rows, schema) -> DataFrame:
+    """A fixed, tiny parameter table (threshold grid, config variants)."""
+    return spark.createDataFrame(rows, schema)
