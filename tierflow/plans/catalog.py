@@ -470,3 +470,223 @@ def q_confidence_summary(spark, sf):
     return s.agg(F.count(F.lit(1)).alias("n"), r6(F.avg("c1")).alias("mean_conf"),
                  F.count_if(F.col("c1") < THRESHOLD).alias("n_below"),
                  r6(F.count_if(F.col("c1") < THRESHOLD) / F.count(F.lit(1))).alias("share_below"))
+
+
+# ---------------------------------------------------------------------------
+# telemetry (T1-T9), as-of (T7), dynamic routing
+# ---------------------------------------------------------------------------
+
+TEL_CTE = """tel AS (SELECT user_id AS device_id, ts, event_id AS reading_id, event_type,
+       CASE WHEN event_type IN ('view', 'purchase') THEN 30.0::DOUBLE + value / 2.0 END AS gpu_temp_c,
+       CASE WHEN event_type IN ('view', 'purchase') THEN k * 0.16::DOUBLE END AS vram_gb,
+       value AS cpu_pct,
+       CASE WHEN event_type IN ('error', 'signup') THEN 30.0::DOUBLE + value / 3.0 END AS sensor_temp,
+       k * 0.128::DOUBLE AS ram_gb, 12.8::DOUBLE AS ram_total_gb, k * 0.02::DOUBLE AS swap_gb,
+       CASE WHEN event_type = 'click' THEN 0.0::DOUBLE ELSE 2.0::DOUBLE END AS swap_total_gb
+FROM (SELECT *, CAST(json_extract_string(props, '$.k') AS DOUBLE) AS k FROM events))"""
+
+HV1_CTE = f"""hv1 AS (SELECT device_id, ts, reading_id,
+       CASE WHEN gpu_temp_c IS NOT NULL OR vram_gb IS NOT NULL THEN 'gpu' ELSE 'cpu' END AS mode,
+       CASE WHEN gpu_temp_c IS NOT NULL OR vram_gb IS NOT NULL THEN coalesce({S.clip('gpu_temp_c / 85.0')}, 0.5)
+            ELSE coalesce({S.clip('sensor_temp / 75.0')}, {S.clip('cpu_pct / 100.0')}, 0.4) END AS t_norm,
+       CASE WHEN gpu_temp_c IS NOT NULL OR vram_gb IS NOT NULL THEN coalesce({S.clip('vram_gb / 16.0')}, 0.5)
+            ELSE coalesce({S.clip('ram_gb / 12.8')}, 0.4) END AS mem_norm,
+       CASE WHEN gpu_temp_c IS NOT NULL OR vram_gb IS NOT NULL THEN 85.0 ELSE 75.0 END::DOUBLE AS setpoint
+FROM tel)"""
+
+HV2_CTE = f"""hv2 AS (SELECT device_id, ts, reading_id,
+       coalesce({S.clip('cpu_pct / 100.0')}, 0.0) AS cpu_load_norm,
+       coalesce({S.clip('ram_gb / nullif(ram_total_gb, 0)')}, 0.0) AS ram_usage_norm,
+       coalesce({S.clip('sensor_temp / 90.0')}, 0.0) AS cpu_temp_norm,
+       CASE WHEN swap_total_gb > 0 THEN {S.clip('swap_gb / swap_total_gb')} ELSE 0.0 END AS swap_norm,
+       coalesce({S.clip('gpu_temp_c / 85.0')}, 0.0) AS gpu_temp_norm,
+       coalesce({S.clip('vram_gb / 16.0')}, 0.0) AS vram_usage_norm
+FROM tel)"""
+
+
+def pid_sql(src: str, key: str, tie: str, dt_floor: float) -> str:
+    """PID over rows of ``src`` (key, t, tie, e, sec) with plain windows."""
+    return f"""pq AS (SELECT *, lag(t) OVER w AS pt, lag(e) OVER w AS pe FROM ({src}) WINDOW w AS (PARTITION BY {key} ORDER BY t, {tie})),
+pr AS (SELECT *, CASE WHEN pt IS NULL THEN {dt_floor!r}::DOUBLE ELSE greatest(t - pt, {dt_floor!r}::DOUBLE) END AS dt FROM pq),
+ps AS (SELECT *, sum(e * dt) OVER (PARTITION BY {key} ORDER BY t, {tie} ROWS UNBOUNDED PRECEDING) AS run FROM pr),
+pid AS (SELECT *, greatest(-50.0::DOUBLE, least(50.0::DOUBLE, run)) AS integral,
+               {S.clip(f"0.008::DOUBLE * e + 0.002::DOUBLE * greatest(-50.0::DOUBLE, least(50.0::DOUBLE, run)) + 0.004::DOUBLE * (e - coalesce(pe, 0.0)) / dt + sec")} AS phi FROM ps)"""
+
+
+@register("health_v1", f"""WITH {TEL_CTE}, {HV1_CTE}
+SELECT device_id, reading_id, mode, {S.r6('t_norm')} AS t_norm, {S.r6('mem_norm')} AS mem_norm, setpoint FROM hv1""")
+def q_health_v1(spark, sf):
+    """Two-element health vector and set-point per reading."""
+    h = pl.readings_v1(spark, sf)
+    return h.select("device_id", "reading_id", "mode", r6("t_norm").alias("t_norm"), r6("mem_norm").alias("mem_norm"), "setpoint")
+
+
+V2_COLS = ["cpu_load_norm", "ram_usage_norm", "cpu_temp_norm", "swap_norm", "gpu_temp_norm", "vram_usage_norm"]
+
+
+def _hv2(spark, sf):
+    return telemetry.health_v2(telemetry.telemetry_from_events(read_table(spark, sf, "events")), SPIT_V2)
+
+
+@register("health_v2", f"""WITH {TEL_CTE}, {HV2_CTE}
+SELECT device_id, reading_id, {', '.join(f"{S.r6(c)} AS {c}" for c in V2_COLS)} FROM hv2""")
+def q_health_v2(spark, sf):
+    """Six-element health vector per reading."""
+    h = _hv2(spark, sf)
+    return h.select("device_id", "reading_id", *[r6(c).alias(c) for c in V2_COLS])
+
+
+@register("health_labeled", f"""WITH {TEL_CTE}, {HV2_CTE}
+SELECT reading_id, metric, round(value, 6) AS value FROM (UNPIVOT (SELECT reading_id, {', '.join(V2_COLS)} FROM hv2)
+ON {', '.join(V2_COLS)} INTO NAME metric VALUE value)""")
+def q_health_labeled(spark, sf):
+    """T5: the labelled read {label: value}, one row per (reading, label)."""
+    h = telemetry.health_labeled(_hv2(spark, sf))
+    return h.select("reading_id", F.explode("health").alias("metric", "value")).withColumn("value", r6("value"))
+
+
+@register("pid_v1", f"""WITH {TEL_CTE}, {HV1_CTE},
+{pid_sql(f"SELECT device_id, reading_id, {S.epoch_s('ts')} AS t, t_norm * setpoint - setpoint AS e, 0.10::DOUBLE * mem_norm AS sec FROM hv1", 'device_id', 'reading_id', 1e-3)}
+SELECT device_id, reading_id, {S.r6('integral')} AS integral, {S.r6('phi')} AS phi FROM pid""")
+def q_pid_v1(spark, sf):
+    """PID v1 per device over its readings (chunked scan, skew-safe)."""
+    x = telemetry.pid(telemetry.pid_inputs_v1(pl.readings_v1(spark, sf), SPIT_V1), SPIT_V1)
+    return x.select("device_id", "reading_id", r6("integral").alias("integral"), r6("phi").alias("phi"))
+
+
+@register("pid_v2", f"""WITH {TEL_CTE}, {HV2_CTE},
+{pid_sql(f'''SELECT device_id, reading_id, {S.epoch_s('ts')} AS t,
+   CASE WHEN gpu_temp_norm > 0 THEN gpu_temp_norm * 85.0 - 85.0 ELSE cpu_load_norm * 90.0 - 90.0 END AS e,
+   CASE WHEN gpu_temp_norm > 0 THEN 0.08 * vram_usage_norm + 0.04 * ram_usage_norm
+        ELSE 0.08 * ram_usage_norm + 0.05 * swap_norm + 0.04 * cpu_temp_norm END AS sec FROM hv2''', 'device_id', 'reading_id', 1e-6)}
+SELECT device_id, reading_id, {S.r6('integral')} AS integral, {S.r6('phi')} AS phi FROM pid""")
+def q_pid_v2(spark, sf):
+    """CPU-aware PID v2 (GPU when gpu_temp_norm > 0)."""
+    x = telemetry.pid(telemetry.pid_inputs_v2(_hv2(spark, sf), SPIT_V2), SPIT_V2)
+    return x.select("device_id", "reading_id", r6("integral").alias("integral"), r6("phi").alias("phi"))
+
+
+@register("asof_telemetry", f"""WITH {TEL_CTE}, {HV1_CTE},
+posts AS (SELECT d.doc_id AS id, e.user_id AS device_id, e.ts FROM documents d JOIN events e ON e.event_id = d.doc_id)
+SELECT p.id AS doc_id, p.device_id, r.reading_id, {S.r6('r.t_norm')} AS t_norm, {S.r6('r.mem_norm')} AS mem_norm
+FROM posts p ASOF LEFT JOIN hv1 r ON p.device_id = r.device_id AND p.ts > r.ts""")
+def q_asof_telemetry(spark, sf):
+    """Newest reading of the post's device strictly before the post."""
+    ev = read_table(spark, sf, "events").select(F.col("event_id").alias("id"), "ts", F.col("user_id").alias("device_id"))
+    posts = read_table(spark, sf, "documents").select(F.col("doc_id").alias("id")).join(ev, "id")
+    x = telemetry.latest_reading(posts, pl.readings_v1(spark, sf), ["reading_id", "t_norm", "mem_norm"], strict=True)
+    return x.select(F.col("id").alias("doc_id"), "device_id", "reading_id", r6("t_norm").alias("t_norm"), r6("mem_norm").alias("mem_norm"))
+
+
+DYN_CTE = f"""{SCORED_CTE}, {H_CTE}, {TEL_CTE}, {HV1_CTE},
+ctx AS (SELECT sc.*, e.ts, e.user_id AS device_id FROM sc JOIN events e ON e.event_id = sc.id),
+soc AS (SELECT doc_id AS id, {S.social_cols('doc_id')} FROM documents),
+aso AS (SELECT ctx.*, r.t_norm, r.mem_norm, r.setpoint FROM ctx ASOF LEFT JOIN hv1 r ON ctx.device_id = r.device_id AND ctx.ts > r.ts),
+pin AS (SELECT id, device_id, {S.epoch_s('ts')} AS t,
+               coalesce(t_norm, 0.4) * coalesce(setpoint, 75.0) - coalesce(setpoint, 75.0) AS e,
+               0.10::DOUBLE * coalesce(mem_norm, 0.4) AS sec FROM aso),
+{pid_sql('SELECT * FROM pin', 'device_id', 'id', 1e-3)},
+dyn AS (SELECT sc.id, sc.source, pid.device_id, pid.phi, {S.psi('retweet_count', 'follower_count', 'burst_rate_ppm', 'platform')} AS psi, hh.h,
+               sc.p1, sc.c1, sc.p2, sc.c2
+        FROM sc JOIN pid USING (id) JOIN soc USING (id) JOIN hh USING (id)),
+dyn2 AS (SELECT *, {S.tau('phi', 'psi', 'h')} AS tau FROM dyn)"""
+
+
+@register("route_dynamic", f"""WITH {DYN_CTE}
+SELECT id AS doc_id, device_id, {S.r6('phi')} AS phi, {S.r6('psi')} AS psi, {S.r6('h')} AS h, {S.r6('tau')} AS tau,
+       c1 < tau AS escalate, CASE WHEN c1 < tau THEN p2 ELSE p1 END AS prediction, CASE WHEN c1 < tau THEN 2 ELSE 1 END AS tier_used FROM dyn2""")
+def q_route_dynamic(spark, sf):
+    """As-of telemetry -> PID per device -> Psi, H -> tau -> route."""
+    d = pl.dynamic_route(spark, sf)
+    return d.select(F.col("id").alias("doc_id"), "device_id", r6("phi").alias("phi"), r6("psi").alias("psi"),
+                    r6("h").alias("h"), r6("tau").alias("tau"), "escalate", "prediction", "tier_used")
+
+
+@register("dynamic_route_summary", f"""WITH {DYN_CTE}
+SELECT source, count(*) AS n, {S.r6('avg(CASE WHEN c1 < tau THEN 1.0 ELSE 0.0 END)')} AS tier2_rate, {S.r6('avg(tau)')} AS avg_tau,
+       count(l.doc_id) AS n_labelled,
+       {S.r6('avg(CASE WHEN l.doc_id IS NULL THEN NULL WHEN (CASE WHEN c1 < tau THEN p2 ELSE p1 END) = l.quality THEN 1.0 ELSE 0.0 END)')} AS accuracy
+FROM dyn2 LEFT JOIN labels l ON l.doc_id = dyn2.id GROUP BY source""")
+def q_dynamic_route_summary(spark, sf):
+    """Flagship (J6): per product - rows, tier-2 rate, mean tau, accuracy on labelled rows."""
+    d = pl.dynamic_route(spark, sf).join(pl.labelled(spark, sf), "id", "left")
+    ok = F.when(F.col("label").isNull(), F.lit(None)).otherwise((F.col("prediction") == F.col("label")).cast("double"))
+    return d.groupBy("source").agg(
+        F.count(F.lit(1)).alias("n"), r6(F.avg(F.col("escalate").cast("double"))).alias("tier2_rate"),
+        r6(F.avg("tau")).alias("avg_tau"), F.count("label").alias("n_labelled"), r6(F.avg(ok)).alias("accuracy"))
+
+
+@register("escalation_delta", f"""WITH {DYN_CTE}
+SELECT {S.r6(f'avg(CASE WHEN c1 < {THRESHOLD} THEN 1.0 ELSE 0.0 END)')} AS fixed_rate,
+       {S.r6('avg(CASE WHEN c1 < tau THEN 1.0 ELSE 0.0 END)')} AS dynamic_rate,
+       {S.r6(f'(avg(CASE WHEN c1 < tau THEN 1.0 ELSE 0.0 END) - avg(CASE WHEN c1 < {THRESHOLD} THEN 1.0 ELSE 0.0 END)) * 100')} AS delta_pp FROM dyn2""")
+def q_escalation_delta(spark, sf):
+    """Dynamic minus fixed escalation rate, percentage points."""
+    d = pl.dynamic_route(spark, sf)
+    fixed = F.avg((F.col("c1") < THRESHOLD).cast("double"))
+    dyn = F.avg(F.col("escalate").cast("double"))
+    return d.agg(r6(fixed).alias("fixed_rate"), r6(dyn).alias("dynamic_rate"), r6((dyn - fixed) * 100).alias("delta_pp"))
+
+
+@register("component_stats", f"""WITH {DYN_CTE},
+u AS (UNPIVOT (SELECT phi AS Phi_physical, psi AS Psi_socio, h AS H_token, tau AS tau_dynamic FROM dyn2)
+      ON Phi_physical, Psi_socio, H_token, tau_dynamic INTO NAME component VALUE v)
+SELECT component, {S.r6('avg(v)')} AS mean, {S.r6('stddev_pop(v)')} AS std, {S.r6('min(v)')} AS min, {S.r6('max(v)')} AS max FROM u GROUP BY component""")
+def q_component_stats(spark, sf):
+    """Mean, population std, min, max of Phi, Psi, H, tau."""
+    d = pl.dynamic_route(spark, sf)
+    u = d.select(F.explode(F.array(
+        F.struct(F.lit("Phi_physical").alias("component"), F.col("phi").alias("v")),
+        F.struct(F.lit("Psi_socio").alias("component"), F.col("psi").alias("v")),
+        F.struct(F.lit("H_token").alias("component"), F.col("h").alias("v")),
+        F.struct(F.lit("tau_dynamic").alias("component"), F.col("tau").alias("v")))).alias("x")).select("x.*")
+    return u.groupBy("component").agg(r6(F.avg("v")).alias("mean"), r6(F.stddev_pop("v")).alias("std"),
+                                      r6(F.min("v")).alias("min"), r6(F.max("v")).alias("max"))
+
+
+@register("tau_histogram", f"""WITH {DYN_CTE},
+u AS (UNPIVOT (SELECT tau AS tau_dynamic, psi AS psi_socio, h AS h_token FROM dyn2) ON tau_dynamic, psi_socio, h_token INTO NAME signal VALUE v),
+m AS (SELECT signal, min(v) AS lo, max(v) AS hi FROM u GROUP BY signal)
+SELECT signal, (CASE WHEN hi > lo THEN least(29, floor((v - lo) / (hi - lo) * 30)) ELSE 0 END)::INTEGER AS bin, count(*) AS n
+FROM u JOIN m USING (signal) GROUP BY signal, bin""")
+def q_tau_histogram(spark, sf):
+    """30-bin histograms of tau, Psi and H (last bin closed)."""
+    d = pl.dynamic_route(spark, sf)
+    u = d.select(F.explode(F.array(
+        F.struct(F.lit("tau_dynamic").alias("signal"), F.col("tau").alias("v")),
+        F.struct(F.lit("psi_socio").alias("signal"), F.col("psi").alias("v")),
+        F.struct(F.lit("h_token").alias("signal"), F.col("h").alias("v")))).alias("x")).select("x.*")
+    return metrics.histogram(u, "v", 30, ["signal"]).select("signal", "bin", "n")
+
+
+@register("model_comparison", f"""WITH {DYN_CTE},
+src AS (SELECT 'tier1' AS model, l.quality AS y, p1 AS p, 0.0 AS esc FROM dyn2 JOIN labels l ON l.doc_id = dyn2.id
+  UNION ALL SELECT 'tier2', l.quality, p2, 1.0 FROM dyn2 JOIN labels l ON l.doc_id = dyn2.id
+  UNION ALL SELECT 'cascade_fixed', l.quality, CASE WHEN c1 < {THRESHOLD} THEN p2 ELSE p1 END, CASE WHEN c1 < {THRESHOLD} THEN 1.0 ELSE 0.0 END FROM dyn2 JOIN labels l ON l.doc_id = dyn2.id
+  UNION ALL SELECT 'cascade_dynamic', l.quality, CASE WHEN c1 < tau THEN p2 ELSE p1 END, CASE WHEN c1 < tau THEN 1.0 ELSE 0.0 END FROM dyn2 JOIN labels l ON l.doc_id = dyn2.id),
+{acc_f1_sql('SELECT model, y, p FROM src', ['model'])},
+rr AS (SELECT model, avg(esc) AS rate FROM src GROUP BY model),
+t AS (SELECT model, accuracy, f1_macro, rate FROM acc JOIN f1 USING (model) JOIN rr USING (model))
+SELECT model, printf('%.4f', accuracy) AS accuracy, printf('%.4f', f1_macro) AS f1_macro, {S.r6('rate')} AS tier2_rate,
+       accuracy = max(accuracy) OVER () AS best_accuracy, f1_macro = max(f1_macro) OVER () AS best_f1, rate = min(rate) OVER () AS best_rate FROM t""")
+def q_model_comparison(spark, sf):
+    """One row per model (union of results), formatted
+    metrics and best-value flags."""
+    d = pl.dynamic_route(spark, sf).join(pl.labelled(spark, sf), "id", "inner")
+    # the tier-2 baseline scores every row (the routed p2 is only set where escalated)
+    p2_all, _ = tier2_scorer().columns(F.col("tokens"))
+    d = d.withColumn("p2_all", p2_all)
+    fixed = F.col("c1") < THRESHOLD
+    long = d.select(F.col("label").alias("y"), F.explode(F.array(
+        F.struct(F.lit("tier1").alias("model"), F.col("p1").alias("p"), F.lit(0.0).alias("esc")),
+        F.struct(F.lit("tier2").alias("model"), F.col("p2_all").alias("p"), F.lit(1.0).alias("esc")),
+        F.struct(F.lit("cascade_fixed").alias("model"), F.when(fixed, F.col("p2_all")).otherwise(F.col("p1")).alias("p"),
+                 fixed.cast("double").alias("esc")),
+        F.struct(F.lit("cascade_dynamic").alias("model"), F.col("prediction").alias("p"),
+                 F.col("escalate").cast("double").alias("esc")))).alias("m")).select("y", "m.*")
+    m = metrics.accuracy_f1(long, "y", "p", ["model"])
+    rr = long.groupBy("model").agg(F.avg("esc").alias("rate"))
+    t = metrics.best_flags(m.join(rr, "model"), ["accuracy", "f1_macro"], ["rate"])
+    return t.select("model", F.format_string("%.4f", "accuracy").alias("accuracy"),
+                    F.format_string("%.4f", "f1_macro").alias("f1_macro"), r6("rate").alias("tier2_rate"),
+                    F.col("best_accuracy"), F.col("best_f1_macro").alias("best_f1"), F.col("best_rate"))
