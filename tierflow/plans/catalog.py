@@ -690,3 +690,248 @@ def q_model_comparison(spark, sf):
     return t.select("model", F.format_string("%.4f", "accuracy").alias("accuracy"),
                     F.format_string("%.4f", "f1_macro").alias("f1_macro"), r6("rate").alias("tier2_rate"),
                     F.col("best_accuracy"), F.col("best_f1_macro").alias("best_f1"), F.col("best_rate"))
+
+
+# ---------------------------------------------------------------------------
+# labels, sampling, splits
+# ---------------------------------------------------------------------------
+
+from ..operators import split as sp  # noqa: E402
+from ..operators import features as ft  # noqa: E402
+from ..operators.scoring import autodetect_label_map  # noqa: E402
+
+SAMPLE_N = 500
+SEED = 42
+
+
+@register("polarity_binarise", "SELECT doc_id, quality * 4 AS polarity, (quality * 4 = 4)::INTEGER AS label FROM labels")
+def q_polarity_binarise(spark, sf):
+    """Polarity {0,4} -> label {0,1} (labels.quality stands in for polarity/4)."""
+    l = read_table(spark, sf, "labels").select("doc_id", (F.col("quality") * 4).alias("polarity"))
+    return sp.polarity_binarise(l)
+
+
+@register("label_binarise", "SELECT vec_id, label % 3 AS label3, CASE WHEN label % 3 = 2 THEN 1 ELSE 0 END AS label "
+          "FROM embeddings WHERE label % 3 IN (0, 2)")
+def q_label_binarise(spark, sf):
+    """Three-class labels (embeddings.label % 3): keep 0/2, 2 -> 1."""
+    e = read_table(spark, sf, "embeddings").select("vec_id", (F.col("label") % 3).alias("label3"))
+    return sp.three_class_binarise(e.withColumn("label", F.col("label3")), "label")
+
+
+# Fixed parameter table: output label names of some typical classifier heads.
+LABEL_HEADS = [
+    ("sst2", ["NEGATIVE", "POSITIVE"]),
+    ("generic", ["LABEL_0", "LABEL_1"]),
+    ("reversed", ["POS", "NEG"]),
+    ("tweet3", ["negative", "neutral", "positive"]),
+    ("five", ["a", "b", "c", "d", "e"]),
+]
+_HEADS_SQL = ", ".join(f"('{m}', {i}, '{n}')" for m, names in LABEL_HEADS for i, n in enumerate(names))
+
+
+@register("label_map_autodetect", f"""WITH heads(model, idx, name) AS (VALUES {_HEADS_SQL}),
+lm AS (SELECT model, idx, CASE WHEN lower(name) LIKE '%neg%' OR lower(name) IN ('label_0', '0', 'false') THEN 0
+                       WHEN lower(name) LIKE '%pos%' OR lower(name) IN ('label_1', '1', 'true') THEN 1
+                       WHEN idx = min(idx) OVER (PARTITION BY model) THEN 0 ELSE 1 END AS mapped FROM heads),
+k AS (SELECT model, count(*) AS k FROM heads GROUP BY model),
+raw AS (SELECT k.model, e.vec_id, list_position(list_slice(e.embedding, 1, k.k), list_max(list_slice(e.embedding, 1, k.k))) - 1 AS raw_pred
+        FROM embeddings e CROSS JOIN k)
+SELECT raw.model, raw.vec_id, raw.raw_pred::INTEGER AS raw_pred, lm.mapped AS prediction FROM raw JOIN lm ON lm.model = raw.model AND lm.idx = raw.raw_pred""")
+def q_label_map_autodetect(spark, sf):
+    """Autodetected id->{0,1} maps applied to each head's argmax over
+    its first k logits (embeddings as logits)."""
+    heads = spark.createDataFrame([(m, i, n) for m, names in LABEL_HEADS for i, n in enumerate(names)],
+                                  "model string, idx int, name string")
+    lm = autodetect_label_map(heads)
+    k = heads.groupBy("model").agg(F.count(F.lit(1)).cast("int").alias("k"))
+    e = read_table(spark, sf, "embeddings").select("vec_id", "embedding")
+    raw = e.crossJoin(F.broadcast(k)).withColumn("_l", F.slice("embedding", F.lit(1), F.col("k"))) \
+           .withColumn("raw_pred", arrays.argmax(F.col("_l")))
+    j = raw.join(F.broadcast(lm.select("model", "idx", "mapped")),
+                 (raw["model"] == lm["model"]) & (raw["raw_pred"] == lm["idx"]), "inner")
+    return j.select(raw["model"], "vec_id", "raw_pred", F.col("mapped").alias("prediction"))
+
+
+@register("sample_exact", f"""SELECT doc_id, sample_rank FROM (SELECT doc_id,
+  row_number() OVER (ORDER BY md5('{SEED}:' || CAST(doc_id AS VARCHAR)), doc_id) AS sample_rank FROM documents) WHERE sample_rank <= {SAMPLE_N}""")
+def q_sample_exact(spark, sf):
+    """Exact-n seeded sample without replacement (the cap is the operator)."""
+    d = read_table(spark, sf, "documents").select("doc_id")
+    return sp.sample_exact(d, SAMPLE_N, SEED, "doc_id")
+
+
+SPLIT_SQL = f"""sp AS (SELECT doc_id, label, CASE WHEN rk <= round(n * 0.2) THEN 'test' ELSE 'train' END AS split FROM (
+  SELECT doc_id, quality AS label, row_number() OVER (PARTITION BY quality ORDER BY md5('{SEED}:' || CAST(doc_id AS VARCHAR)), doc_id) AS rk,
+         count(*) OVER (PARTITION BY quality) AS n FROM labels l JOIN documents d USING (doc_id)))"""
+
+
+def _split(spark, sf):
+    d = read_table(spark, sf, "documents").select("doc_id")
+    l = read_table(spark, sf, "labels").select("doc_id", F.col("quality").alias("label"))
+    return sp.split_stratified(d.join(l, "doc_id"), "label", 0.2, SEED, "doc_id")
+
+
+@register("split_stratified", f"WITH {SPLIT_SQL} SELECT doc_id, label, split FROM sp")
+def q_split_stratified(spark, sf):
+    """Stratified 80/20 split, exact per-class sizes."""
+    return _split(spark, sf).select("doc_id", "label", "split")
+
+
+@register("split_summary", f"WITH {SPLIT_SQL} SELECT split, count(*) AS n, {S.r6('avg(label)')} AS pos_ratio FROM sp GROUP BY split")
+def q_split_summary(spark, sf):
+    """Split sizes and positive ratio."""
+    return sp.split_summary(_split(spark, sf)).withColumn("pos_ratio", r6("pos_ratio"))
+
+
+# ---------------------------------------------------------------------------
+# vectoriser features (M1-M4)
+# ---------------------------------------------------------------------------
+
+TERMS_CTE = f"""{DOCS_CTE},
+atk AS (SELECT id, regexp_extract_all(strip_accents(lower(clean)), '[\\p{{L}}\\p{{N}}_]+') AS u FROM docs),
+tm AS (SELECT id, unnest(list_concat(u, list_transform(range(1, len(u)), lambda i: u[i] || ' ' || u[i + 1]))) AS term FROM atk),
+tc AS (SELECT id, term, count(*) AS c FROM tm GROUP BY id, term),
+vocab AS (SELECT term, count(*) AS df, sum(c) AS tf FROM tc GROUP BY term HAVING count(*) >= 2 ORDER BY tf DESC, term LIMIT 50000)"""
+
+
+@register("ngrams", f"""WITH {DOCS_CTE},
+atk AS (SELECT id, regexp_extract_all(strip_accents(lower(clean)), '[\\p{{L}}\\p{{N}}_]+') AS u FROM docs)
+SELECT id AS doc_id, len(u)::BIGINT AS n_unigrams, greatest(len(u) - 1, 0)::BIGINT AS n_bigrams FROM atk""")
+def q_ngrams(spark, sf):
+    """M1/M2: word tokens (accents stripped, \\w+) and bi-gram counts per document."""
+    from ..functions.text import analyzer_tokens
+    from ..operators.scoring import bigrams
+    d = pl.docs(spark, sf)
+    t = analyzer_tokens("clean")
+    return d.select(F.col("id").alias("doc_id"), F.size(t).cast("long").alias("n_unigrams"),
+                    F.size(bigrams(t)).cast("long").alias("n_bigrams"))
+
+
+@register("vocabulary", f"WITH {TERMS_CTE} SELECT term, df::BIGINT AS df, tf::BIGINT AS tf FROM vocab")
+def q_vocabulary(spark, sf):
+    """M3: min_df = 2, max_features = 50000 by corpus frequency (ties by term)."""
+    tc = ft.term_counts(pl.docs(spark, sf))
+    v = ft.vocabulary(tc)
+    return v.select("term", F.col("df").cast("long").alias("df"), F.col("tf").cast("long").alias("tf"))
+
+
+@register("tfidf_weights", f"""WITH {TERMS_CTE},
+nd AS (SELECT count(*)::DOUBLE AS n FROM documents),
+w AS (SELECT tc.id, tc.term, (1 + ln(tc.c)) * (ln((1 + nd.n) / (1 + v.df)) + 1) AS w FROM tc JOIN vocab v USING (term) CROSS JOIN nd),
+nrm AS (SELECT id, sqrt(sum(w * w)) AS nr FROM w GROUP BY id)
+SELECT id AS doc_id, term, {S.r6('w / nr')} AS weight FROM w JOIN nrm USING (id)""")
+def q_tfidf_weights(spark, sf):
+    """M4: sublinear tf x smoothed idf (+1), L2 row norm, vocabulary terms only."""
+    d = pl.docs(spark, sf)
+    tc = ft.term_counts(d)
+    v = ft.vocabulary(tc)
+    n = read_table(spark, sf, "documents").agg(F.count(F.lit(1)).cast("double").alias("n"))
+    w = ft.tfidf(tc, v, n)
+    return w.select(F.col("id").alias("doc_id"), "term", r6("weight").alias("weight"))
+
+
+# ---------------------------------------------------------------------------
+# latency and router statistics (A4-A8, W1, W2), from events as batch timings
+# ---------------------------------------------------------------------------
+
+LAT_BATCH = 64
+
+BATCH_LAT_SQL = f"""bl AS (SELECT event_type AS model, (rk - 1) // {LAT_BATCH} AS batch_idx, count(*) AS n, sum(value) / 1000.0 AS elapsed_s
+  FROM (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS rk FROM events) GROUP BY model, batch_idx)"""
+
+
+def _batch_latency(spark, sf):
+    """(model, batch_idx, n, elapsed_s): events of a type in id order form
+    that model's batches of 64 calls; value = ms per call."""
+    e = read_table(spark, sf, "events").select("event_id", F.col("event_type").alias("model"), "value")
+    b = scan.exact_rank(e, ["model"], F.floor(F.col("event_id") / F.lit(1 << 16)).cast("long"), ["event_id"], out="_rk")
+    b = b.withColumn("batch_idx", F.floor((F.col("_rk") - 1) / LAT_BATCH).cast("long"))
+    return b.groupBy("model", "batch_idx").agg(F.count(F.lit(1)).alias("n"), (F.sum("value") / 1000.0).alias("elapsed_s"))
+
+
+@register("latency_warmup", f"""WITH {BATCH_LAT_SQL},
+g AS (SELECT model, sum(CASE WHEN batch_idx >= 1 THEN elapsed_s END) AS e, sum(CASE WHEN batch_idx >= 1 THEN n END) AS k,
+             sum(elapsed_s) AS total_time_s, sum(n) AS rows FROM bl GROUP BY model)
+SELECT model, {S.r6('coalesce(e / k, total_time_s / greatest(rows, 1)) * 1000')} AS avg_latency_ms, {S.r6('total_time_s')} AS total_time_s, rows::BIGINT AS rows FROM g""")
+def q_latency_warmup(spark, sf):
+    """Mean ms per row with the first batch dropped, total time."""
+    l = metrics.latency_after_warmup(_batch_latency(spark, sf), ["model"], warmup=1)
+    return l.select("model", r6("avg_latency_ms").alias("avg_latency_ms"), r6("total_time_s").alias("total_time_s"), "rows")
+
+
+@register("batch_latency_spread", f"""WITH {BATCH_LAT_SQL}
+SELECT model, batch_idx::BIGINT AS batch_idx, n::BIGINT AS n, {S.r6('elapsed_s / n')} AS per_row_s FROM bl""")
+def q_batch_latency_spread(spark, sf):
+    """A batch's elapsed time spread evenly over its rows."""
+    b = _batch_latency(spark, sf)
+    return b.select("model", "batch_idx", F.col("n").cast("long").alias("n"), r6(F.col("elapsed_s") / F.col("n")).alias("per_row_s"))
+
+
+@register("router_stats", f"""WITH {SCORED_CTE},
+d AS (SELECT c1 < {THRESHOLD} AS esc, tier1_latency AS l1, CASE WHEN c1 < {THRESHOLD} THEN tier2_cost ELSE 0.0 END AS l2 FROM sc)
+SELECT count(*) AS total_samples, count(*) FILTER (WHERE NOT esc) AS tier1_count, count(*) FILTER (WHERE esc) AS tier2_count,
+       {S.r6('sum(l1 + l2)')} AS total_latency, {S.r6('sum(l1)')} AS tier1_total_lat, {S.r6('sum(l2)')} AS tier2_total_lat,
+       {S.r6('count(*) FILTER (WHERE esc)::DOUBLE / greatest(count(*), 1)')} AS tier2_rate, {S.r6('sum(l1 + l2) / greatest(count(*), 1)')} AS avg_latency FROM d""")
+def q_router_stats(spark, sf):
+    """Router statistics of the fixed cascade."""
+    d = routing.route_fixed(pl.docs(spark, sf), tier1_scorer(), tier2_scorer(), THRESHOLD)
+    s = metrics.router_stats(d)
+    return s.select("total_samples", "tier1_count", "tier2_count", *[r6(c).alias(c) for c in
+                    ["total_latency", "tier1_total_lat", "tier2_total_lat", "tier2_rate", "avg_latency"]])
+
+
+@register("global_stats", f"""WITH {SCORED_CTE},
+d AS (SELECT source, id // {BATCH} AS batch_id, c1 < {THRESHOLD} AS esc, tier1_latency + CASE WHEN c1 < {THRESHOLD} THEN tier2_cost ELSE 0.0 END AS lat FROM sc),
+b AS (SELECT source, batch_id, count(*) AS n, count(*) FILTER (WHERE esc) AS n2, sum(lat) AS lat FROM d GROUP BY source, batch_id)
+SELECT source AS run_id, count(*) AS n_calls, sum(n)::BIGINT AS total_samples, sum(n2)::BIGINT AS tier2_count,
+       {S.r6('sum(n2)::DOUBLE / greatest(sum(n), 1)')} AS tier2_rate, {S.r6('sum(lat) / greatest(sum(n), 1)')} AS avg_latency FROM b GROUP BY source""")
+def q_global_stats(spark, sf):
+    """Per-call stats rows merged additively into run totals (a run per product)."""
+    d = routing.route_fixed(pl.docs(spark, sf), tier1_scorer(), tier2_scorer(), THRESHOLD)
+    per_call = metrics.router_stats(d.withColumn("batch_id", F.floor(F.col("id") / BATCH)), ["source", "batch_id"])
+    g = per_call.groupBy(F.col("source").alias("run_id")).agg(
+        F.count(F.lit(1)).alias("n_calls"), F.sum("total_samples").cast("long").alias("total_samples"),
+        F.sum("tier2_count").cast("long").alias("tier2_count"), F.sum("total_latency").alias("_lat"))
+    n = F.greatest(F.col("total_samples"), F.lit(1))
+    return g.select("run_id", "n_calls", "total_samples", "tier2_count", r6(F.col("tier2_count") / n).alias("tier2_rate"),
+                    r6(F.col("_lat") / n).alias("avg_latency"))
+
+
+# ---------------------------------------------------------------------------
+# burst rate (R1), sessions and context log
+# ---------------------------------------------------------------------------
+
+@register("burst_rate_batch", """SELECT event_id, event_type AS topic,
+  count(*) OVER (PARTITION BY event_type ORDER BY floor(epoch_us(ts) / 1000000)::BIGINT RANGE BETWEEN 59 PRECEDING AND CURRENT ROW) AS burst_rate_ppm FROM events""")
+def q_burst_rate_batch(spark, sf):
+    """Posts per minute of the post's topic (trailing 60 whole seconds,
+    ties included), pre-aggregated per second and bucketed per minute."""
+    e = read_table(spark, sf, "events").select("event_id", F.col("event_type").alias("topic"),
+                                               F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1_000_000).cast("long").alias("sec"))
+    r = scan.trailing_count(e, "topic", "sec", 60, out="burst_rate_ppm")
+    return r.select("event_id", "topic", "burst_rate_ppm")
+
+
+@register("session_latest", """SELECT user_id, arg_max(event_id, (ts, event_id)) AS event_id, max(ts) AS ts, arg_max(event_type, (ts, event_id)) AS status,
+  count(*) AS n_sessions FROM events GROUP BY user_id""")
+def q_session_latest(spark, sf):
+    """Latest session per user (max_by, no sort of the history)."""
+    e = read_table(spark, sf, "events")
+    k = F.struct("ts", "event_id")
+    return e.groupBy("user_id").agg(F.max_by("event_id", k).alias("event_id"), F.max("ts").alias("ts"),
+                                    F.max_by("event_type", k).alias("status"), F.count(F.lit(1)).alias("n_sessions"))
+
+
+CONTEXT_N = 10
+
+
+@register("context_last_n", f"""SELECT user_id, event_id, ts, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events)
+WHERE rn <= {CONTEXT_N}""")
+def q_context_last_n(spark, sf):
+    """Last n context records per user; two-phase top-k (per user-day,
+    then per user) so a hot user is not ranked in one task."""
+    from ..operators.topk import topk_per_group
+    e = read_table(spark, sf, "events").select("user_id", "event_id", "ts", "event_type")
+    return topk_per_group(e, ["user_id"], [F.col("ts").desc(), F.col("event_id").desc()], CONTEXT_N,
+                          chunk=F.to_date("ts"))
