@@ -935,3 +935,285 @@ def q_context_last_n(spark, sf):
     e = read_table(spark, sf, "events").select("user_id", "event_id", "ts", "event_type")
     return topk_per_group(e, ["user_id"], [F.col("ts").desc(), F.col("event_id").desc()], CONTEXT_N,
                           chunk=F.to_date("ts"))
+
+
+# ---------------------------------------------------------------------------
+# product-sentiment layer
+# ---------------------------------------------------------------------------
+
+from ..operators import social as so  # noqa: E402
+from ..operators.topk import topk_per_group  # noqa: E402
+
+LEX_SQL = (f"CASE WHEN {S.tok_u('lex:', 't')} < {so.LEX_RATE} THEN round(8.0::DOUBLE * {S.tok_u('val:', 't')} - 4.0::DOUBLE, 1) "
+           f"ELSE 0.0::DOUBLE END")
+
+
+def compound_sql(tok: str) -> str:
+    s = f"coalesce(list_sum(list_transform({tok}, lambda t: {LEX_SQL})), 0.0::DOUBLE)"
+    return f"({s} / sqrt({s} * {s} + 15.0::DOUBLE))"
+
+
+BUCKET_SQL = """CASE WHEN compound >= 0.6 THEN 'Ultra Positive' WHEN compound >= 0.15 THEN 'Positive' WHEN compound > -0.15 THEN 'Neutral'
+     WHEN compound > -0.6 THEN 'Negative' ELSE 'Ultra Negative' END"""
+
+TAG_CTE = f"""{SCORED_CTE},
+ctx AS (SELECT sc.*, e.ts, e.user_id AS device_id, e.event_type AS topic FROM sc JOIN events e ON e.event_id = sc.id),
+soc AS (SELECT doc_id AS id, {S.social_cols('doc_id')} FROM documents),
+tg AS (SELECT id, source AS product, lang AS community, device_id, topic, ts, CAST(ts AS DATE) AS date, p1, c1, p2,
+              CASE WHEN c1 < {THRESHOLD} THEN p2 ELSE p1 END AS prediction, {compound_sql('tok')} AS compound, follower_count
+       FROM ctx JOIN soc USING (id)),
+tg2 AS (SELECT *, CASE WHEN prediction = 1 THEN 'positive' ELSE 'negative' END AS sentiment, {BUCKET_SQL} AS spectrum_bucket,
+               (compound + 1.0) * 5.0 AS score10,
+               CASE WHEN follower_count >= 100000 THEN 'influencer' WHEN follower_count >= 10000 THEN 'creator' ELSE 'regular' END AS demographic,
+               CASE WHEN c1 < {so.COMPLEX_CONF} THEN 'COMPLEX' WHEN compound >= 0.15 THEN 'POSITIVE' WHEN compound <= -0.15 THEN 'NEGATIVE' ELSE 'NEUTRAL' END AS intent
+        FROM tg),
+tagged AS (SELECT *, CASE WHEN intent = 'COMPLEX' THEN CASE WHEN p2 <> p1 THEN 'SARCASM' ELSE 'LITERAL' END END AS sarcasm FROM tg2)"""
+
+
+def _tagged(spark, sf) -> DataFrame:
+    """One tagged row per post."""
+    ctx = pl.post_context(spark, sf)
+    s = routing.route_fixed(ctx, tier1_scorer(), tier2_scorer(), THRESHOLD)
+    s = pl.with_social(s)
+    s = so.lexicon_polarity(s, so.stand_in_lexicon(pl.docs(spark, sf)), ["id"])
+    p2_all, _ = tier2_scorer().columns(F.col("tokens"))
+    it = so.intent("c1", "compound")
+    return (s.withColumn("product", F.col("source")).withColumn("community", F.col("lang"))
+             .withColumn("date", F.to_date("ts"))
+             .withColumn("sentiment", F.when(F.col("prediction") == 1, "positive").otherwise("negative"))
+             .withColumn("spectrum_bucket", so.spectrum_bucket("compound"))
+             .withColumn("score10", so.score10("compound"))
+             .withColumn("demographic", so.demographic("follower_count"))
+             .withColumn("intent", it)
+             .withColumn("sarcasm", F.when(it == "COMPLEX", F.when(p2_all != F.col("p1"), "SARCASM").otherwise("LITERAL"))))
+
+
+def _conv_scored(spark, sf):
+    c = read_table(spark, sf, "conversations").select("conv_id", "turn", clean_text("text").alias("clean"))
+    c = c.withColumn("tokens", word_tokens("clean"))
+    lex = so.stand_in_lexicon(c)
+    return so.lexicon_polarity(c, lex, ["conv_id", "turn"])
+
+
+CONV_CTE = f"""cv AS (SELECT conv_id, turn, {S.tokens(S.clean('text'))} AS tok FROM conversations),
+cs AS (SELECT conv_id, turn, {compound_sql('tok')} AS compound FROM cv)"""
+
+
+@register("lexicon_polarity", f"WITH {CONV_CTE} SELECT conv_id, turn, {S.r6('compound')} AS compound FROM cs")
+def q_lexicon_polarity(spark, sf):
+    """Lexicon compound score per message (lexicon table join)."""
+    return _conv_scored(spark, sf).select("conv_id", "turn", r6("compound").alias("compound"))
+
+
+@register("spectrum_buckets", f"""WITH {CONV_CTE}
+SELECT {BUCKET_SQL} AS spectrum_bucket, count(*) AS n, {S.r6('avg((compound + 1.0) * 5.0)')} AS avg_score10 FROM cs GROUP BY 1""")
+def q_spectrum_buckets(spark, sf):
+    """Messages per spectrum bucket with the 0-10 score."""
+    c = _conv_scored(spark, sf)
+    return c.groupBy(so.spectrum_bucket("compound").alias("spectrum_bucket")).agg(
+        F.count(F.lit(1)).alias("n"), r6(F.avg(so.score10("compound"))).alias("avg_score10"))
+
+
+@register("tagged_rows", f"""WITH {TAG_CTE}
+SELECT id AS doc_id, product, sentiment, community, demographic, {S.r6('compound')} AS spectrum_score, spectrum_bucket, date FROM tagged""")
+def q_tagged_rows(spark, sf):
+    """Message -> tagged row."""
+    t = _tagged(spark, sf)
+    return t.select(F.col("id").alias("doc_id"), "product", "sentiment", "community", "demographic",
+                    r6("compound").alias("spectrum_score"), "spectrum_bucket", "date")
+
+
+@register("intent_route", f"""WITH {TAG_CTE}
+SELECT id AS doc_id, intent, sarcasm, CASE WHEN sarcasm = 'SARCASM' THEN 'heavy' WHEN sarcasm = 'LITERAL' THEN 'light' ELSE 'fast' END AS path FROM tagged""")
+def q_intent_route(spark, sf):
+    """POSITIVE/NEGATIVE/NEUTRAL -> fast path; COMPLEX -> sarcasm check
+    (tier 2 evaluated only for COMPLEX rows) -> heavy or light."""
+    t = _tagged(spark, sf)
+    path = F.when(F.col("sarcasm") == "SARCASM", "heavy").when(F.col("sarcasm") == "LITERAL", "light").otherwise("fast")
+    return t.select(F.col("id").alias("doc_id"), "intent", "sarcasm", path.alias("path"))
+
+
+_RULES_SQL = ", ".join(f"('{k}', '{c}')" for k, c in so.COMMUNITY_RULES)
+
+
+@register("community_tag", f"""WITH {DOCS_CTE}, rules(token, community) AS (VALUES {_RULES_SQL}),
+h AS (SELECT id, community, count(*) AS hits FROM (SELECT id, unnest(tok) AS token FROM dt) JOIN rules USING (token) GROUP BY id, community),
+b AS (SELECT id, arg_min(community, (-hits, community)) AS community, max(hits) AS hits FROM h GROUP BY id)
+SELECT dt.id AS doc_id, coalesce(b.community, 'general') AS community, coalesce(b.hits, 0)::BIGINT AS hits FROM dt LEFT JOIN b USING (id)""")
+def q_community_tag(spark, sf):
+    """Best-matching community from a keyword rules table."""
+    rules = spark.createDataFrame(so.COMMUNITY_RULES, "token string, community string")
+    d = so.community_tag(pl.docs(spark, sf), rules)
+    return d.select(F.col("id").alias("doc_id"), "community", "hits")
+
+
+@register("sentiment_stats", f"""WITH {TAG_CTE}
+SELECT product, count(*) AS total, count(*) FILTER (WHERE sentiment = 'positive') AS positive, count(*) FILTER (WHERE sentiment = 'negative') AS negative,
+       count(*) FILTER (WHERE sarcasm = 'SARCASM' AND p2 = 1) AS sarcastic_to_positive, count(*) FILTER (WHERE sarcasm = 'SARCASM' AND p2 = 0) AS sarcastic_to_negative
+FROM tagged GROUP BY product""")
+def q_sentiment_stats(spark, sf):
+    """Per product totals, positive/negative, sarcastic re-labels."""
+    t = _tagged(spark, sf)
+    p2_all, _ = tier2_scorer().columns(F.col("tokens"))
+    t = t.withColumn("_p2", p2_all)
+    sar = F.col("sarcasm") == "SARCASM"
+    return t.groupBy("product").agg(
+        F.count(F.lit(1)).alias("total"), F.count_if(F.col("sentiment") == "positive").alias("positive"),
+        F.count_if(F.col("sentiment") == "negative").alias("negative"),
+        F.count_if(sar & (F.col("_p2") == 1)).alias("sarcastic_to_positive"),
+        F.count_if(sar & (F.col("_p2") == 0)).alias("sarcastic_to_negative"))
+
+
+@register("demographics", f"""WITH {TAG_CTE}
+SELECT demographic, count(*) AS n, CAST(round(100.0 * count(*) / sum(count(*)) OVER ()) AS INTEGER) AS pct FROM tagged GROUP BY demographic""")
+def q_demographics(spark, sf):
+    """Counts and integer percentages per demographic label."""
+    g = _tagged(spark, sf).groupBy("demographic").agg(F.count(F.lit(1)).alias("n"))
+    return g.withColumn("pct", F.round(100.0 * F.col("n") / F.sum("n").over(Window.partitionBy(F.lit(1)))).cast("int"))
+
+
+@register("clusters", f"""WITH {TAG_CTE}
+SELECT community, count(DISTINCT device_id) AS users, count(*) AS posts FROM tagged GROUP BY community""")
+def q_clusters(spark, sf):
+    """Users and posts per community cluster."""
+    t = _tagged(spark, sf)
+    return t.groupBy("community").agg(F.countDistinct("device_id").alias("users"), F.count(F.lit(1)).alias("posts"))
+
+
+@register("daily_timeline", f"""WITH {TAG_CTE}
+SELECT date, count(*) FILTER (WHERE sentiment = 'positive') AS positive, count(*) FILTER (WHERE sentiment = 'negative') AS negative, count(*) AS total
+FROM tagged GROUP BY date""")
+def q_daily_timeline(spark, sf):
+    """Date -> positive, negative, total."""
+    t = _tagged(spark, sf)
+    return t.groupBy("date").agg(F.count_if(F.col("sentiment") == "positive").alias("positive"),
+                                 F.count_if(F.col("sentiment") == "negative").alias("negative"),
+                                 F.count(F.lit(1)).alias("total"))
+
+
+@register("brand_sentiment", f"""WITH {TAG_CTE}
+SELECT product, {S.r6('avg(score10)')} AS score, {S.r6("100.0 * avg(CASE WHEN sentiment = 'positive' THEN 1.0 ELSE 0.0 END)")} AS positive_pct FROM tagged GROUP BY product""")
+def q_brand_sentiment(spark, sf):
+    """0-10 score and positive share per product."""
+    t = _tagged(spark, sf)
+    return t.groupBy("product").agg(r6(F.avg("score10")).alias("score"),
+                                    r6(100.0 * F.avg((F.col("sentiment") == "positive").cast("double"))).alias("positive_pct"))
+
+
+@register("share_of_voice", f"""WITH {TAG_CTE}
+SELECT product, count(*) AS mentions, {S.r6('100.0 * count(*) / sum(count(*)) OVER ()')} AS share_pct FROM tagged GROUP BY product""")
+def q_share_of_voice(spark, sf):
+    """Mentions per product as a share of all mentions."""
+    g = _tagged(spark, sf).groupBy("product").agg(F.count(F.lit(1)).alias("mentions"))
+    return g.withColumn("share_pct", r6(100.0 * F.col("mentions") / F.sum("mentions").over(Window.partitionBy(F.lit(1)))))
+
+
+@register("mentions", f"""WITH {TAG_CTE}
+SELECT count(*) AS total_mentions, count(l.doc_id) AS n_labelled,
+       {S.r6('100.0 * avg(CASE WHEN l.doc_id IS NULL THEN NULL WHEN prediction = l.quality THEN 1.0 ELSE 0.0 END)')} AS accuracy_pct
+FROM tagged LEFT JOIN labels l ON l.doc_id = tagged.id""")
+def q_mentions(spark, sf):
+    """Total mentions and accuracy % of the routed sentiment on labelled posts."""
+    t = _tagged(spark, sf).join(pl.labelled(spark, sf), "id", "left")
+    ok = F.when(F.col("label").isNull(), F.lit(None)).otherwise((F.col("prediction") == F.col("label")).cast("double"))
+    return t.agg(F.count(F.lit(1)).alias("total_mentions"), F.count("label").alias("n_labelled"),
+                 r6(100.0 * F.avg(ok)).alias("accuracy_pct"))
+
+
+@register("history_summary", f"""WITH {TAG_CTE},
+ses AS (SELECT product, date, avg(score10) AS score FROM tagged GROUP BY product, date)
+SELECT count(*) AS n_analyses, {S.r6('avg(score)')} AS avg_score FROM ses""")
+def q_history_summary(spark, sf):
+    """An analysis = one (product, day); number of analyses and mean score."""
+    ses = _tagged(spark, sf).groupBy("product", "date").agg(F.avg("score10").alias("score"))
+    return ses.agg(F.count(F.lit(1)).alias("n_analyses"), r6(F.avg("score")).alias("avg_score"))
+
+
+@register("trend_growth", f"""WITH {TAG_CTE},
+d AS (SELECT topic, date, count(*) AS discussions, avg(CASE WHEN sentiment = 'positive' THEN 1.0 ELSE 0.0 END) AS pos FROM tagged GROUP BY topic, date)
+SELECT topic, date, discussions, {S.r6('100.0 * pos')} AS positive_pct,
+       {S.r6('100.0 * (discussions - lag(discussions) OVER (PARTITION BY topic ORDER BY date)) / lag(discussions) OVER (PARTITION BY topic ORDER BY date)')} AS growth_pct FROM d""")
+def q_trend_growth(spark, sf):
+    """Per topic and day - discussions, positive %, growth vs the previous day."""
+    d = _tagged(spark, sf).groupBy("topic", "date").agg(
+        F.count(F.lit(1)).alias("discussions"), F.avg((F.col("sentiment") == "positive").cast("double")).alias("pos"))
+    prev = F.lag("discussions").over(Window.partitionBy("topic").orderBy("date"))
+    return d.select("topic", "date", "discussions", r6(100.0 * F.col("pos")).alias("positive_pct"),
+                    r6(100.0 * (F.col("discussions") - prev) / prev).alias("growth_pct"))
+
+
+TARGET = "src0"
+MAX_COMPETITORS = 4
+
+RANK_SQL = f"""m AS (SELECT product, count(*) AS mentions, avg(score10) AS score FROM tagged GROUP BY product),
+rk AS (SELECT *, row_number() OVER (ORDER BY mentions DESC, product) AS r FROM m WHERE product <> '{TARGET}')"""
+
+
+def _product_rank(spark, sf):
+    m = _tagged(spark, sf).groupBy("product").agg(F.count(F.lit(1)).alias("mentions"), F.avg("score10").alias("score"))
+    # one row per product: a small table, ranking it needs no partitioning
+    r = m.filter(F.col("product") != TARGET).withColumn(
+        "r", F.row_number().over(Window.orderBy(F.col("mentions").desc(), F.col("product"))))
+    return m, r
+
+
+@register("max_competitors", f"""WITH {TAG_CTE}, {RANK_SQL}
+SELECT product, mentions, r::BIGINT AS competitor_rank FROM rk WHERE r <= {MAX_COMPETITORS}""")
+def q_max_competitors(spark, sf):
+    """K3: at most 4 competitors, by mentions (ties by name)."""
+    _, r = _product_rank(spark, sf)
+    return r.filter(F.col("r") <= MAX_COMPETITORS).select("product", "mentions", F.col("r").cast("long").alias("competitor_rank"))
+
+
+@register("competitor_compare", f"""WITH {TAG_CTE}, {RANK_SQL},
+sel AS (SELECT product, mentions, score, TRUE AS is_target FROM m WHERE product = '{TARGET}'
+        UNION ALL SELECT product, mentions, score, FALSE FROM rk WHERE r <= {MAX_COMPETITORS})
+SELECT product, is_target, mentions, {S.r6('score')} AS score,
+       {S.r6(f"score - max(CASE WHEN is_target THEN score END) OVER ()")} AS score_vs_target FROM sel""")
+def q_competitor_compare(spark, sf):
+    """Target and up to 4 competitors side by side, score relative to the target."""
+    m, r = _product_rank(spark, sf)
+    sel = m.filter(F.col("product") == TARGET).withColumn("is_target", F.lit(True)).unionByName(
+        r.filter(F.col("r") <= MAX_COMPETITORS).drop("r").withColumn("is_target", F.lit(False)))
+    tgt = F.max(F.when(F.col("is_target"), F.col("score"))).over(Window.partitionBy(F.lit(1)))
+    return sel.select("product", "is_target", "mentions", r6("score").alias("score"), r6(F.col("score") - tgt).alias("score_vs_target"))
+
+
+POSTS_PER_PRODUCT = 10
+
+
+@register("topk_per_product", f"""WITH {TAG_CTE}
+SELECT product, id AS doc_id, rn::BIGINT AS post_rank FROM (SELECT product, id, row_number() OVER (PARTITION BY product ORDER BY abs(compound) DESC, id) AS rn FROM tagged)
+WHERE rn <= {POSTS_PER_PRODUCT}""")
+def q_topk_per_product(spark, sf):
+    """K2: the 10 strongest posts per product (two-phase top-k, skew-safe)."""
+    t = _tagged(spark, sf).select("product", "id", "compound")
+    k = topk_per_group(t, ["product"], [F.abs(F.col("compound")).desc(), F.col("id")], POSTS_PER_PRODUCT,
+                       chunk=F.pmod(F.xxhash64("id"), F.lit(64)), out_rank="post_rank")
+    return k.select("product", F.col("id").alias("doc_id"), F.col("post_rank").cast("long").alias("post_rank"))
+
+
+KEYWORDS_K = 20
+
+
+@register("keywords", f"""WITH {DOCS_CTE},
+c AS (SELECT t AS term, count(*) AS n FROM (SELECT unnest(list_filter(tok, lambda t: NOT list_contains({_SW_SQL}, t))) AS t FROM dt) GROUP BY t
+      ORDER BY n DESC, term LIMIT {KEYWORDS_K})
+SELECT term, n, {S.r6('CASE WHEN max(n) OVER () > min(n) OVER () THEN (n - min(n) OVER ())::DOUBLE / (max(n) OVER () - min(n) OVER ()) ELSE 1.0 END')} AS weight FROM c""")
+def q_keywords(spark, sf):
+    """K4: top-20 terms without stop words, weight = min-max scaled count."""
+    d = pl.docs(spark, sf)
+    c = d.select(F.explode(remove_stopwords(F.col("tokens"), STOPWORDS)).alias("term")).groupBy("term") \
+         .agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), F.col("term")).limit(KEYWORDS_K)
+    w = Window.partitionBy(F.lit(1))
+    lo, hi = F.min("n").over(w), F.max("n").over(w)
+    return c.select("term", "n", r6(F.when(hi > lo, (F.col("n") - lo) / (hi - lo)).otherwise(F.lit(1.0))).alias("weight"))
+
+
+@register("notable_posts", f"""WITH {TAG_CTE}
+SELECT id AS doc_id, product, {S.r6('compound')} AS spectrum_score FROM tagged ORDER BY abs(compound) DESC, id LIMIT 3""")
+def q_notable_posts(spark, sf):
+    """K5: the three posts with the strongest sentiment."""
+    t = _tagged(spark, sf)
+    return t.orderBy(F.abs("compound").desc(), F.col("id")).limit(3).select(
+        F.col("id").alias("doc_id"), "product", r6("compound").alias("spectrum_score"))
