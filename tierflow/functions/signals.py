@@ -59,27 +59,27 @@ def entropy_sum(tokens) -> Column:
     """sum over distinct tokens of p*ln(p + 1e-12), p = count/n (0 when empty).
 
     Sorted array + one fold that closes a run whenever the token changes:
-    O(n log n) per row, no explode, no shuffle.
+    O(n log n) per row, no explode, no shuffle. The length n rides in the
+    accumulator so no lambda refers back to the input array.
     """
     t = _c(tokens)
     srt = F.array_sort(t)
-    n = F.size(t).cast("double")
 
-    def term(cnt):
+    def term(cnt, n):
         p = cnt.cast("double") / n
         return F.when(cnt > 0, p * F.log(p + F.lit(1e-12))).otherwise(F.lit(0.0))
 
     init = F.struct(F.lit(None).cast("string").alias("p"), F.lit(0).cast("long").alias("c"),
-                    F.lit(0.0).alias("s"))
+                    F.lit(0.0).alias("s"), F.size(srt).cast("double").alias("n"))
 
     def merge(acc, x):
         same = F.coalesce(acc["p"] == x.cast("string"), F.lit(False))
-        return F.when(same, F.struct(acc["p"].alias("p"), (acc["c"] + 1).alias("c"), acc["s"].alias("s"))) \
+        return F.when(same, F.struct(acc["p"].alias("p"), (acc["c"] + 1).alias("c"), acc["s"].alias("s"),
+                                     acc["n"].alias("n"))) \
             .otherwise(F.struct(x.cast("string").alias("p"), F.lit(1).cast("long").alias("c"),
-                                (acc["s"] + term(acc["c"])).alias("s")))
+                                (acc["s"] + term(acc["c"], acc["n"])).alias("s"), acc["n"].alias("n")))
 
-    folded = F.aggregate(srt, init, merge, lambda acc: acc["s"] + term(acc["c"]))
-    return F.when(F.size(t) > 0, folded).otherwise(F.lit(0.0))
+    return F.aggregate(srt, init, merge, lambda acc: acc["s"] + term(acc["c"], acc["n"]))
 
 
 def h_token(tokens, cfg: SpitConfig = SPIT_V1) -> Column:

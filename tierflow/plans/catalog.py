@@ -1217,3 +1217,222 @@ def q_notable_posts(spark, sf):
     t = _tagged(spark, sf)
     return t.orderBy(F.abs("compound").desc(), F.col("id")).limit(3).select(
         F.col("id").alias("doc_id"), "product", r6("compound").alias("spectrum_score"))
+
+
+# ---------------------------------------------------------------------------
+# dedup (U2, U3), sources and sinks (S1, S5-S9), Python scorers (M5, M8),
+# ablation (X10)
+# ---------------------------------------------------------------------------
+
+import hashlib as _hashlib  # noqa: E402
+import math as _math  # noqa: E402
+import os as _os  # noqa: E402
+import uuid as _uuid  # noqa: E402
+
+from ..operators import dedup as dd  # noqa: E402
+from ..operators.scoring import PandasBatchScorer, lr_predict, train_lr  # noqa: E402
+from ..session import ensure_checkpoint_dir  # noqa: E402
+from ..sources import readers as rd  # noqa: E402
+from ..sources import sinks as sk  # noqa: E402
+
+
+def _scratch(spark, name: str) -> str:
+    """A fresh folder under the shared checkpoint folder."""
+    base = ensure_checkpoint_dir(spark)
+    return _os.path.join(base, f"{name}-{_uuid.uuid4().hex}")
+
+
+@register("dedup_exact", f"WITH {DOCS_CTE} SELECT min(id) AS doc_id, count(*) AS n_copies FROM docs GROUP BY md5(clean)")
+def q_dedup_exact(spark, sf):
+    """Exact duplicates of the cleaned text; survivor = lowest id."""
+    d = dd.dedup_exact(pl.docs(spark, sf))
+    return d.select(F.col("id").alias("doc_id"), "n_copies")
+
+
+@register("dedup_near")
+def q_dedup_near(spark, sf):
+    """MinHash LSH near duplicates (rows-only check; brute-force
+    Jaccard test on a fixture in tests/)."""
+    d = dd.dedup_near(pl.docs(spark, sf))
+    return d.select(F.col("id").alias("doc_id"), "is_near_duplicate", "dup_of", r6("similarity").alias("similarity"))
+
+
+CONTAM_N = 5
+
+
+def _ngrams_sql(tok: str, n: int) -> str:
+    return f"list_distinct(list_transform(range(1, len({tok}) - {n - 2}), lambda i: array_to_string(list_slice({tok}, i, i + {n - 1}), ' ')))"
+
+
+@register("benchmark_contamination", f"""WITH {DOCS_CTE},
+bt AS (SELECT item_id, {S.tokens(S.clean('text'))} AS tok FROM benchmark),
+ish AS (SELECT item_id, unnest({_ngrams_sql('tok', CONTAM_N)}) AS sh FROM bt),
+isz AS (SELECT item_id, count(*) AS n_sh FROM ish GROUP BY item_id),
+dsh AS (SELECT id AS doc_id, unnest({_ngrams_sql('tok', CONTAM_N)}) AS sh FROM dt),
+hits AS (SELECT doc_id, item_id, count(*) AS n_hit FROM dsh JOIN ish USING (sh) GROUP BY doc_id, item_id)
+SELECT doc_id, item_id, {S.r6('n_hit::DOUBLE / n_sh')} AS containment FROM hits JOIN isz USING (item_id) WHERE n_hit::DOUBLE / n_sh >= 0.8""")
+def q_benchmark_contamination(spark, sf):
+    """U3 across tables: documents that contain a benchmark passage (share
+    of the item's distinct word 5-grams found in the document >= 0.8)."""
+    docs = pl.docs(spark, sf).select(F.col("id").alias("doc_id"), "tokens")
+    items = read_table(spark, sf, "benchmark").select("item_id", word_tokens(clean_text("text")).alias("tokens"))
+    c = dd.contamination(docs, items, n=CONTAM_N, min_containment=0.8)
+    return c.select("doc_id", "item_id", r6("containment").alias("containment"))
+
+
+@register("polarity_csv_roundtrip", f"""WITH {DOCS_CTE}
+SELECT d.id AS doc_id, l.quality * 4 AS polarity, (l.quality = 1)::INTEGER AS label, d.clean AS text FROM docs d JOIN labels l ON l.doc_id = d.id""")
+def q_polarity_csv_roundtrip(spark, sf):
+    """S7 + S1 + P3: write a headerless 6-column latin-1 CSV derived from the
+    labelled documents into the shared scratch folder, read it back."""
+    d = pl.docs(spark, sf).join(read_table(spark, sf, "labels").select(F.col("doc_id").alias("id"), "quality"), "id")
+    six = d.select((F.col("quality") * 4).alias("polarity"), F.col("id").cast("string").alias("c1"),
+                   F.lit("NO_DATE").alias("c2"), F.lit("NO_QUERY").alias("c3"), F.col("source").alias("c4"),
+                   F.col("clean").alias("text"))
+    path = _scratch(spark, "polarity-csv")
+    six.write.mode("overwrite").option("header", False).option("encoding", "ISO-8859-1") \
+       .option("emptyValue", "").csv(path)
+    back = rd.read_polarity_csv(spark, path)
+    return back.select(F.col("id").alias("doc_id"), "polarity", "label", F.coalesce("text", F.lit("")).alias("text"))
+
+
+@register("wide_csv_unpivot", f"""WITH {DOCS_CTE}
+SELECT source AS product, (row_number() OVER (PARTITION BY source ORDER BY id) - 1)::BIGINT AS row_idx,
+       source = (SELECT min(source) FROM docs) AS is_target, clean AS message FROM docs""")
+def q_wide_csv_unpivot(spark, sf):
+    """Products as columns (first column = target) -> long rows. The
+    wide frame is built by pivoting the documents on their product."""
+    d = pl.docs(spark, sf).select("id", "source", "clean")
+    r = scan.exact_rank(d, ["source"], F.floor(F.col("id") / F.lit(1 << 16)).cast("long"), ["id"], out="_rk")
+    r = r.withColumn("row_idx", (F.col("_rk") - 1).cast("long"))
+    products = sorted(x[0] for x in d.select("source").distinct().collect())  # product names: metadata
+    wide = r.groupBy("row_idx").pivot("source", products).agg(F.first("clean"))
+    long = rd.unpivot_wide(wide, ["row_idx"])
+    return long.select("product", "row_idx", "is_target", "message")
+
+
+@register("scrape_flatten", """SELECT conv_id, CASE WHEN role = 'user' THEN 'conv' || conv_id ELSE role END AS product,
+  role = 'user' AS is_target, (row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) - 1)::INTEGER AS post_idx, text AS post FROM conversations""")
+def q_scrape_flatten(spark, sf):
+    """Nested scrape results (one per conversation: the user turns are the
+    target's posts, other roles are competitors) -> JSON -> flattened rows."""
+    c = read_table(spark, sf, "conversations")
+    per_role = c.groupBy("conv_id", "role").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda s: s["text"]).alias("posts"))
+    nested = per_role.groupBy("conv_id").agg(
+        F.max(F.when(F.col("role") == "user", F.col("posts"))).alias("tposts"),
+        F.map_from_entries(F.collect_list(F.when(F.col("role") != "user", F.struct(
+            F.col("role"), F.struct(F.col("posts").alias("posts")))))).alias("competitors"))
+    js = nested.select("conv_id", F.to_json(F.struct(
+        F.struct(F.concat(F.lit("conv"), F.col("conv_id").cast("string")).alias("name"),
+                 F.coalesce("tposts", F.array().cast("array<string>")).alias("posts")).alias("target"),
+        F.col("competitors"))).alias("json"))
+    return rd.flatten_scrape(js, "json", ["conv_id"]).select("conv_id", "product", "is_target", "post_idx", "post")
+
+
+def _payloads(spark, sf):
+    return sk.build_payload(_tagged(spark, sf))
+
+
+@register("payload_json")
+def q_payload_json(spark, sf):
+    """One JSON payload per product (rows-only: JSON text formatting)."""
+    return _payloads(spark, sf)
+
+
+@register("payload_validate", f"""WITH {DOCS_CTE}
+SELECT DISTINCT source AS product, 'accepted' AS status, 'original' AS variant FROM docs
+UNION ALL SELECT DISTINCT source, 'rejected', 'truncated' FROM docs
+UNION ALL SELECT DISTINCT source, 'rejected', 'missing_key' FROM docs""")
+def q_payload_validate(spark, sf):
+    """Payloads and two broken variants of each (truncated JSON, missing
+    required key) -> accepted / rejected."""
+    p = _payloads(spark, sf)
+    variants = p.select("product", F.lit("original").alias("variant"), "payload").unionByName(
+        p.select("product", F.lit("truncated").alias("variant"),
+                 F.expr("substring(payload, 1, length(payload) - 2)").alias("payload"))).unionByName(
+        p.select("product", F.lit("missing_key").alias("variant"),
+                 F.regexp_replace("payload", '"stats":', '"statz":').alias("payload")))
+    return sk.validate_payload(variants).select("product", "status", "variant")
+
+
+def _py_tier1_factory():
+    def predict(texts):
+        preds, confs = [], []
+        for t in texts:
+            toks = [x for x in t.split(" ") if x]
+            s = 0.0
+            for x in toks:
+                s += 2.0 * (int(_hashlib.md5(("t1:" + x).encode()).hexdigest()[:8], 16) / 4294967296.0) - 1.0
+            p = 1.0 / (1.0 + _math.exp(-(s / _math.sqrt(len(toks))))) if toks else 0.5
+            preds.append(1 if p > 0.5 else 0)
+            confs.append(max(p, 1.0 - p))
+        return preds, confs
+    return predict
+
+
+@register("udf_batched_score", f"""WITH {SCORED_CTE}
+SELECT id AS doc_id, p1 AS prediction, {S.r6('c1')} AS confidence FROM sc""")
+def q_udf_batched_score(spark, sf):
+    """M6/M8: a Python model through Arrow batches (mapInPandas, batch 32,
+    model built once per worker). The callable re-implements the tier-1
+    stand-in in plain Python, so the oracle is the same SQL formula."""
+    scorer = PandasBatchScorer("py_tier1", _py_tier1_factory, batch_size=32)
+    s = scorer.score(pl.docs(spark, sf).select("id", "clean"), text_col="clean")
+    return s.select(F.col("id").alias("doc_id"), F.col("pred").alias("prediction"), r6("conf").alias("confidence"))
+
+
+@register("lr_train_predict")
+def q_lr_train_predict(spark, sf):
+    """M5: TF-IDF + logistic regression fitted with Spark ML on the train
+    split, scored on the test split (rows-only check)."""
+    d = pl.docs(spark, sf).join(pl.labelled(spark, sf), "id")
+    s = sp.split_stratified(d, "label", 0.2, SEED, "id")
+    model = train_lr(s.filter("split = 'train'"), "clean", "label")
+    out = lr_predict(model, s.filter("split = 'test'"))
+    return out.select(F.col("id").alias("doc_id"), F.col("pred").alias("prediction"), r6("conf").alias("confidence"))
+
+
+# Fixed parameter table of ablation variants: name, tau_min, tau_max,
+# sign of the token-entropy term, token cap (0 = whole text).
+ABLATION = [("v1", 0.50, 0.92, 1.0, 0), ("documented_sign", 0.50, 0.92, -1.0, 0),
+            ("token_cap_128", 0.50, 0.92, 1.0, 128), ("narrow_bounds", 0.60, 0.90, 1.0, 0)]
+
+
+def _h_cte(name: str, tok: str) -> str:
+    return f"""{name}c AS (SELECT id, t, count(*) AS c FROM (SELECT id, unnest({tok}) AS t FROM dt) GROUP BY id, t),
+{name}n AS (SELECT id, len({tok}) AS n FROM dt),
+{name}s AS (SELECT {name}c.id, sum((c::DOUBLE / n) * ln(c::DOUBLE / n + 1e-12)) AS s FROM {name}c JOIN {name}n USING (id) GROUP BY {name}c.id),
+{name} AS (SELECT {name}n.id, CASE WHEN {name}n.n > 0 THEN greatest(0.0::DOUBLE, least(1.0::DOUBLE, -{name}s.s / ln(30522 + 1e-12))) ELSE 0.0::DOUBLE END AS h
+       FROM {name}n LEFT JOIN {name}s USING (id))"""
+
+
+_ABL_SQL = ", ".join(f"('{n}', {a}, {b}, {s}, {c})" for n, a, b, s, c in ABLATION)
+
+
+@register("config_ablation", f"""WITH {SCORED_CTE}, {_h_cte('hf', 'tok')}, {_h_cte('hk', 'list_slice(tok, 1, 128)')},
+soc AS (SELECT doc_id AS id, {S.social_cols('doc_id')} FROM documents),
+v(variant, tau_min, tau_max, sgn, cap) AS (VALUES {_ABL_SQL}),
+x AS (SELECT v.variant, sc.c1, v.tau_min, v.tau_max,
+             0.0 * (1 - {S.psi('retweet_count', 'follower_count', 'burst_rate_ppm', 'platform')}) + v.sgn * CASE WHEN v.cap = 0 THEN hf.h ELSE hk.h END AS z
+      FROM sc JOIN soc USING (id) JOIN hf USING (id) JOIN hk USING (id) CROSS JOIN v),
+y AS (SELECT variant, c1, greatest(tau_min, least(tau_max, 1.0 / (1.0 + exp(-z)) * (tau_max - tau_min) + tau_min)) AS tau FROM x)
+SELECT variant, count(*) AS n, {S.r6('avg(tau)')} AS avg_tau, {S.r6('avg(CASE WHEN c1 < tau THEN 1.0 ELSE 0.0 END)')} AS tier2_rate FROM y GROUP BY variant""")
+def q_config_ablation(spark, sf):
+    """Parameter variants as a broadcast config table crossed with the
+    scored rows (phi = 0); one aggregation for all variants."""
+    from ..functions.signals import entropy_sum
+    v = spark.createDataFrame(ABLATION, "variant string, tau_min double, tau_max double, sgn double, cap int")
+    s = pl.with_social(pl.scored(spark, sf))
+    s = s.withColumn("psi", __import__("tierflow.functions.signals", fromlist=["psi_socio"]).psi_socio(
+        "retweet_count", "follower_count", "burst_rate_ppm", "platform"))
+    x = s.crossJoin(F.broadcast(v))
+    tok = F.when(F.col("cap") > 0, F.slice("tokens", F.lit(1), F.col("cap"))).otherwise(F.col("tokens"))
+    h = F.when(F.size(tok) > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), -entropy_sum(tok) / _math.log(30522 + 1e-12)))) \
+         .otherwise(F.lit(0.0))
+    z = F.lit(0.0) * (1 - F.col("psi")) + F.col("sgn") * h
+    tau = F.greatest(F.col("tau_min"), F.least(F.col("tau_max"),
+                     F.lit(1.0) / (1 + F.exp(-z)) * (F.col("tau_max") - F.col("tau_min")) + F.col("tau_min")))
+    y = x.withColumn("tau", tau)
+    return y.groupBy("variant").agg(F.count(F.lit(1)).alias("n"), r6(F.avg("tau")).alias("avg_tau"),
+                                    r6(F.avg((F.col("c1") < F.col("tau")).cast("double"))).alias("tier2_rate"))
