@@ -1436,3 +1436,84 @@ def q_config_ablation(spark, sf):
     y = x.withColumn("tau", tau)
     return y.groupBy("variant").agg(F.count(F.lit(1)).alias("n"), r6(F.avg("tau")).alias("avg_tau"),
                                     r6(F.avg((F.col("c1") < F.col("tau")).cast("double"))).alias("tier2_rate"))
+
+
+# ---------------------------------------------------------------------------
+# streaming (R2-R7, S13): drained with availableNow; results equal the batch SQL
+# ---------------------------------------------------------------------------
+
+from ..streaming import stream as st  # noqa: E402
+
+
+def _events_path(sf):
+    return _os.path.join(sf, "events*.parquet")
+
+
+@register("stream_burst", """SELECT epoch(time_bucket(INTERVAL '1 minute', ts))::BIGINT AS window_start, event_type AS topic, count(*) AS n
+FROM events GROUP BY 1, 2""")
+def q_stream_burst(spark, sf):
+    """R2: per-topic posts per 1-minute tumbling window (watermark 10 min)."""
+    return st.drain(st.burst_tumbling(st.events_stream(spark, _events_path(sf))), "burst", ["window_start", "topic"])
+
+
+@register("stream_burst_sliding", """WITH m AS (SELECT DISTINCT epoch(time_bucket(INTERVAL '1 minute', ts))::BIGINT - k * 60 AS window_start, event_type AS topic
+  FROM events, range(0, 5) r(k))
+SELECT m.window_start, m.topic, round(count(*) / 5.0, 6) AS rate_ppm FROM m JOIN events e ON e.event_type = m.topic
+  AND epoch(e.ts) >= m.window_start AND epoch(e.ts) < m.window_start + 300 GROUP BY 1, 2""")
+def q_stream_burst_sliding(spark, sf):
+    """R2: 5-minute windows sliding by 1 minute, rate = count / 5."""
+    s = st.burst_sliding(st.events_stream(spark, _events_path(sf)))
+    out = st.drain(s, "burst-sliding", ["window_start", "topic"])
+    return out.withColumn("rate_ppm", r6("rate_ppm"))
+
+
+@register("stream_timeline", """SELECT CAST(ts AS DATE) AS day, event_type AS topic, count(*) AS n, round(sum(value), 6) AS value_sum FROM events GROUP BY 1, 2""")
+def q_stream_timeline(spark, sf):
+    """Daily counts per topic from a 1-day event-time window."""
+    return st.drain(st.daily_timeline(st.events_stream(spark, _events_path(sf))), "timeline", ["day", "topic"])
+
+
+@register("stream_dedup", "SELECT event_id, user_id, event_type FROM events")
+def q_stream_dedup(spark, sf):
+    """The events delivered twice (two files) are deduplicated by id
+    within the watermark."""
+    src = _scratch(spark, "redelivery")
+    ev = read_table(spark, sf, "events")
+    ev.write.mode("overwrite").parquet(_os.path.join(src, "first"))
+    ev.write.mode("overwrite").parquet(_os.path.join(src, "again"))
+    s = st.events_stream(spark, _os.path.join(src, "*"))
+    out = st.drain(st.dedup_redelivery(s).select("event_id", "user_id", "event_type"), "dedup", [], mode="append")
+    return out
+
+
+def _with_late(sql: str) -> str:
+    head, tail = sql.rsplit("SELECT device_id, reading_id, ", 1)
+    return head + "SELECT device_id, reading_id, FALSE AS late, " + tail
+
+
+@register("stream_pid", _with_late(ORACLE["pid_v1"]))
+def q_stream_pid(spark, sf):
+    """Stateful PID per device (applyInPandasWithState); equals pid_v1
+    when the readings arrive in order."""
+    s = st.pid_stream(st.events_stream(spark, _events_path(sf)))
+    out = st.drain(s, "pid", [], mode="append")
+    return out.select("device_id", "reading_id", "late", r6("integral").alias("integral"), r6("phi").alias("phi"))
+
+
+@register("stream_route", ORACLE["route_fixed"])
+def q_stream_route(spark, sf):
+    """Streaming fixed cascade; tier 2 runs inside foreachBatch on
+    the escalated subset only."""
+    s = st.posts_stream(spark, _os.path.join(sf, "documents*.parquet"))
+    out = st.drain(s, "route", [], mode="append", batch_fn=st.route_batch(THRESHOLD))
+    return out.select(F.col("id").alias("doc_id"), "escalate", "prediction", r6("confidence").alias("confidence"),
+                      "tier_used", "tier")
+
+
+@register("stream_stats", f"""WITH {SCORED_CTE}
+SELECT source AS run_id, count(*) AS total_samples, count(*) FILTER (WHERE c1 < {THRESHOLD}) AS tier2_count FROM sc GROUP BY source""")
+def q_stream_stats(spark, sf):
+    """Running router counters per run in update mode."""
+    s = st.posts_stream(spark, _os.path.join(sf, "documents*.parquet"))
+    dec = routing.route_fixed(s, tier1_scorer(), tier2_scorer(), THRESHOLD)
+    return st.drain(st.running_stats(dec), "stats", ["run_id"], mode="update")
