@@ -18,7 +18,7 @@ def confusion(df: DataFrame, label: str, pred: str, group: list[str]) -> DataFra
 def per_class(cm: DataFrame, group: list[str]) -> DataFrame:
     """tp/fp/fn/support per class for classes in label U prediction."""
     classes = cm.select(*group, F.col("y").alias("cls")).union(cm.select(*group, F.col("p").alias("cls"))).distinct()
-    j = classes.join(cm, group, "inner")
+    j = classes.join(cm, group, "inner") if group else classes.crossJoin(cm)
     return j.groupBy(*group, "cls").agg(
         F.sum(F.when((F.col("y") == F.col("cls")) & (F.col("p") == F.col("cls")), F.col("n")).otherwise(0)).alias("tp"),
         F.sum(F.when((F.col("y") != F.col("cls")) & (F.col("p") == F.col("cls")), F.col("n")).otherwise(0)).alias("fp"),

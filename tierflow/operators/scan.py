@@ -70,7 +70,8 @@ def pid_scan(df: DataFrame, key: str, t_col: str, tie_col: str, err_col: str,
              secondary_col: str, kp: float, ki: float, kd: float,
              integral_limit: float, dt_floor: float, chunk_seconds: int = 3600,
              prefix: str = "") -> DataFrame:
-    """Discrete PID over each key's rows in (t, tie) order.
+    """Discrete PID over each key's rows in (t, tie) order; ``t_col`` holds
+    integer microseconds so time differences are exact.
 
     dt = max(t - t_prev, floor) (floor for a key's first row), e_prev = 0 for
     the first row, I = clip(sum(e*dt), +-limit), D = (e - e_prev)/dt,
@@ -83,13 +84,14 @@ def pid_scan(df: DataFrame, key: str, t_col: str, tie_col: str, err_col: str,
     """
     t = F.col(t_col)
     e = F.col(err_col)
-    c = time_chunk(t, chunk_seconds)
+    c = F.floor(t / F.lit(chunk_seconds * 1_000_000)).cast("long")
     x = df.withColumn("_c", c)
     wl = Window.partitionBy(key, "_c").orderBy(t, F.col(tie_col))
     x = (x.withColumn("_lt", F.lag(t).over(wl))
           .withColumn("_le", F.lag(e).over(wl))
           .withColumn("_rn", F.row_number().over(wl)))
-    local_inc = F.when(F.col("_rn") > 1, e * F.greatest(t - F.col("_lt"), F.lit(dt_floor))).otherwise(F.lit(0.0))
+    sec = lambda a, b: (a - b).cast("double") / F.lit(1e6)
+    local_inc = F.when(F.col("_rn") > 1, e * F.greatest(sec(t, F.col("_lt")), F.lit(dt_floor))).otherwise(F.lit(0.0))
     x = x.withColumn("_inc", local_inc) \
          .withColumn("_cum", F.sum("_inc").over(wl.rowsBetween(Window.unboundedPreceding, 0)))
     order_key = F.struct(t, F.col(tie_col))
@@ -102,7 +104,7 @@ def pid_scan(df: DataFrame, key: str, t_col: str, tie_col: str, err_col: str,
               .withColumn("_pt", F.lag("_lst").over(wc))
               .withColumn("_pe", F.lag("_lse").over(wc))
               .withColumn("_finc", F.col("_fe") * F.when(F.col("_pt").isNull(), F.lit(dt_floor))
-                          .otherwise(F.greatest(F.col("_ft") - F.col("_pt"), F.lit(dt_floor))))
+                          .otherwise(F.greatest(sec(F.col("_ft"), F.col("_pt")), F.lit(dt_floor))))
               .withColumn("_tot", F.col("_finc") + F.col("_rest"))
               .withColumn("_off", F.coalesce(F.sum("_tot").over(wc.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))
               .withColumn("_pos", F.max(F.col("_emax")).over(wc.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
@@ -111,7 +113,7 @@ def pid_scan(df: DataFrame, key: str, t_col: str, tie_col: str, err_col: str,
     first = F.col("_rn") == 1
     prev_t = F.when(first, F.col("_pt")).otherwise(F.col("_lt"))
     prev_e = F.coalesce(F.when(first, F.col("_pe")).otherwise(F.col("_le")), F.lit(0.0))
-    dt = F.when(prev_t.isNull(), F.lit(dt_floor)).otherwise(F.greatest(t - prev_t, F.lit(dt_floor)))
+    dt = F.when(prev_t.isNull(), F.lit(dt_floor)).otherwise(F.greatest(sec(t, prev_t), F.lit(dt_floor)))
     running = F.col("_off") + F.col("_finc") + F.col("_cum")
     integral = F.greatest(F.lit(-integral_limit), F.least(F.lit(integral_limit), running))
     p = f"{prefix}"

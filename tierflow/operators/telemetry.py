@@ -122,7 +122,7 @@ def pid_inputs_v2(h2: DataFrame, cfg: SpitConfig = SPIT_V2) -> DataFrame:
 def pid(df: DataFrame, cfg: SpitConfig, key: str = "device_id", ts: str = "ts",
         tie: str = "reading_id", chunk_seconds: int = 3600) -> DataFrame:
     """T8/T9 over rows carrying ``error`` and ``secondary`` columns."""
-    x = df.withColumn("_t", epoch_seconds(ts))
+    x = df.withColumn("_t", F.unix_micros(F.col(ts).cast("timestamp")))
     out = pid_scan(x, key, "_t", tie, "error", "secondary", cfg.kp, cfg.ki, cfg.kd,
                    cfg.integral_limit, cfg.dt_floor, chunk_seconds)
     return out.drop("_t")

@@ -507,7 +507,7 @@ FROM tel)"""
 def pid_sql(src: str, key: str, tie: str, dt_floor: float) -> str:
     """PID over rows of ``src`` (key, t, tie, e, sec) with plain windows."""
     return f"""pq AS (SELECT *, lag(t) OVER w AS pt, lag(e) OVER w AS pe FROM ({src}) WINDOW w AS (PARTITION BY {key} ORDER BY t, {tie})),
-pr AS (SELECT *, CASE WHEN pt IS NULL THEN {dt_floor!r}::DOUBLE ELSE greatest(t - pt, {dt_floor!r}::DOUBLE) END AS dt FROM pq),
+pr AS (SELECT *, CASE WHEN pt IS NULL THEN {dt_floor!r}::DOUBLE ELSE greatest((t - pt)::DOUBLE / 1000000.0, {dt_floor!r}::DOUBLE) END AS dt FROM pq),
 ps AS (SELECT *, sum(e * dt) OVER (PARTITION BY {key} ORDER BY t, {tie} ROWS UNBOUNDED PRECEDING) AS run FROM pr),
 pid AS (SELECT *, greatest(-50.0::DOUBLE, least(50.0::DOUBLE, run)) AS integral,
                {S.clip(f"0.008::DOUBLE * e + 0.002::DOUBLE * greatest(-50.0::DOUBLE, least(50.0::DOUBLE, run)) + 0.004::DOUBLE * (e - coalesce(pe, 0.0)) / dt + sec")} AS phi FROM ps)"""
@@ -546,7 +546,7 @@ def q_health_labeled(spark, sf):
 
 
 @register("pid_v1", f"""WITH {TEL_CTE}, {HV1_CTE},
-{pid_sql(f"SELECT device_id, reading_id, {S.epoch_s('ts')} AS t, t_norm * setpoint - setpoint AS e, 0.10::DOUBLE * mem_norm AS sec FROM hv1", 'device_id', 'reading_id', 1e-3)}
+{pid_sql(f"SELECT device_id, reading_id, epoch_us(ts) AS t, t_norm * setpoint - setpoint AS e, 0.10::DOUBLE * mem_norm AS sec FROM hv1", 'device_id', 'reading_id', 1e-3)}
 SELECT device_id, reading_id, {S.r6('integral')} AS integral, {S.r6('phi')} AS phi FROM pid""")
 def q_pid_v1(spark, sf):
     """PID v1 per device over its readings (chunked scan, skew-safe)."""
@@ -555,7 +555,7 @@ def q_pid_v1(spark, sf):
 
 
 @register("pid_v2", f"""WITH {TEL_CTE}, {HV2_CTE},
-{pid_sql(f'''SELECT device_id, reading_id, {S.epoch_s('ts')} AS t,
+{pid_sql(f'''SELECT device_id, reading_id, epoch_us(ts) AS t,
    CASE WHEN gpu_temp_norm > 0 THEN gpu_temp_norm * 85.0 - 85.0 ELSE cpu_load_norm * 90.0 - 90.0 END AS e,
    CASE WHEN gpu_temp_norm > 0 THEN 0.08 * vram_usage_norm + 0.04 * ram_usage_norm
         ELSE 0.08 * ram_usage_norm + 0.05 * swap_norm + 0.04 * cpu_temp_norm END AS sec FROM hv2''', 'device_id', 'reading_id', 1e-6)}
@@ -582,7 +582,7 @@ DYN_CTE = f"""{SCORED_CTE}, {H_CTE}, {TEL_CTE}, {HV1_CTE},
 ctx AS (SELECT sc.*, e.ts, e.user_id AS device_id FROM sc JOIN events e ON e.event_id = sc.id),
 soc AS (SELECT doc_id AS id, {S.social_cols('doc_id')} FROM documents),
 aso AS (SELECT ctx.*, r.t_norm, r.mem_norm, r.setpoint FROM ctx ASOF LEFT JOIN hv1 r ON ctx.device_id = r.device_id AND ctx.ts > r.ts),
-pin AS (SELECT id, device_id, {S.epoch_s('ts')} AS t,
+pin AS (SELECT id, device_id, epoch_us(ts) AS t,
                coalesce(t_norm, 0.4) * coalesce(setpoint, 75.0) - coalesce(setpoint, 75.0) AS e,
                0.10::DOUBLE * coalesce(mem_norm, 0.4) AS sec FROM aso),
 {pid_sql('SELECT * FROM pin', 'device_id', 'id', 1e-3)},
