@@ -12,7 +12,10 @@ from pyspark.sql import functions as F
 
 
 def confusion(df: DataFrame, label: str, pred: str, group: list[str]) -> DataFrame:
-    return df.groupBy(*group, F.col(label).alias("y"), F.col(pred).alias("p")).agg(F.count(F.lit(1)).alias("n"))
+    """(group.., y, p, n). Tiny (groups x classes^2) and read by several
+    consumers, so it is cached: the scored input is evaluated once."""
+    return df.groupBy(*group, F.col(label).alias("y"), F.col(pred).alias("p")) \
+             .agg(F.count(F.lit(1)).alias("n")).persist()
 
 
 def per_class(cm: DataFrame, group: list[str]) -> DataFrame:

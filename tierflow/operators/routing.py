@@ -117,4 +117,6 @@ def sweep(scored: DataFrame, grid: DataFrame, label: str = "label") -> DataFrame
     cm = x.groupBy("threshold", F.col(label).alias("y"), F.col("prediction").alias("p")).agg(
         F.count(F.lit(1)).alias("n"), F.count_if("_esc").alias("n_esc"),
         F.sum(F.col("tier1_latency") + F.when(F.col("_esc"), F.col("tier2_cost")).otherwise(0.0)).alias("lat"))
-    return cm
+    # tiny (thresholds x classes^2) and read by several reports: cache it so
+    # both tiers are scored once
+    return cm.persist()

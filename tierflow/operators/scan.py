@@ -136,35 +136,35 @@ def asof_latest(left: DataFrame, right: DataFrame, key: str, t_col: str, value_c
                 out_t: str = "reading_t", strict: bool = False) -> DataFrame:
     """For each left row, the values of the newest right row of the same key
     with t <= left t (right rows sort before left rows at equal t), or with
-    t < left t when ``strict``.
+    t < left t when ``strict``. ``left_tie`` must identify a left row.
 
-    Union of both sides into one stream, then a chunked "last non-null so
-    far" scan. Left rows keep their own columns; NULL when no reading yet.
+    Only narrow (key, t, tie) columns of the left side enter the scan: a
+    union with the right side, then a chunked "last non-null so far" scan;
+    the found values are joined back to the left rows by ``left_tie``, so
+    expensive left columns are computed once. NULL when no reading yet.
     """
-    lcols = left.columns
     rk, lk = (1, 0) if strict else (0, 1)
     vals = F.struct(*[F.col(v) for v in value_cols], F.col(t_col).alias(out_t))
+    vtype = right.select(vals).schema[0].dataType
     r = right.select(F.col(key), F.col(t_col), F.lit(rk).alias("_kind"),
-                     F.col(right_tie).cast("long").alias("_tie"), vals.alias("_v"),
-                     F.lit(None).cast(left.select(F.struct(*[F.col(c) for c in lcols])).schema[0].dataType).alias("_l"))
+                     F.col(right_tie).cast("long").alias("_tie"), vals.alias("_v"))
     l = left.select(F.col(key), F.col(t_col), F.lit(lk).alias("_kind"),
-                    F.col(left_tie).cast("long").alias("_tie"),
-                    F.lit(None).cast(right.select(vals).schema[0].dataType).alias("_v"),
-                    F.struct(*[F.col(c) for c in lcols]).alias("_l"))
+                    F.col(left_tie).cast("long").alias("_tie"), F.lit(None).cast(vtype).alias("_v"))
     u = r.unionByName(l).withColumn("_c", time_chunk(F.col(t_col), chunk_seconds))
     wl = Window.partitionBy(key, "_c").orderBy(F.col(t_col), F.col("_kind"), F.col("_tie")) \
         .rowsBetween(Window.unboundedPreceding, 0)
     u = u.withColumn("_loc", F.last("_v", ignorenulls=True).over(wl))
     order_key = F.struct(F.col(t_col), F.col("_kind"), F.col("_tie"))
-    chunks = (u.filter(F.col("_kind") == rk).groupBy(key, "_c")
-              .agg(F.max_by("_v", order_key).alias("_cl")))
+    chunks = (u.groupBy(key, "_c")
+              .agg(F.max_by(F.when(F.col("_kind") == rk, F.col("_v")),
+                            F.when(F.col("_kind") == rk, order_key)).alias("_cl")))
     # carry-in: the last reading of any earlier chunk of the key
-    all_chunks = u.select(key, "_c").distinct().join(chunks, [key, "_c"], "left")
     wc = Window.partitionBy(key).orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)
-    carry = all_chunks.select(key, "_c", F.last("_cl", ignorenulls=True).over(wc).alias("_carry"))
-    out = (u.filter(F.col("_kind") == lk).join(carry, [key, "_c"], "inner")
-           .withColumn("_val", F.coalesce(F.col("_loc"), F.col("_carry"))))
-    return out.select(*[F.col(f"_l.{c}").alias(c) for c in lcols],
+    carry = chunks.select(key, "_c", F.last("_cl", ignorenulls=True).over(wc).alias("_carry"))
+    found = (u.filter(F.col("_kind") == lk).join(carry, [key, "_c"], "inner")
+             .select(F.col("_tie").alias("_lt"), F.coalesce(F.col("_loc"), F.col("_carry")).alias("_val")))
+    out = left.join(found, left[left_tie].cast("long") == found["_lt"], "left").drop("_lt")
+    return out.select(*[F.col(c) for c in left.columns],
                       *[F.col(f"_val.{v}").alias(v) for v in value_cols],
                       F.col(f"_val.{out_t}").alias(out_t))
 

@@ -84,19 +84,24 @@ def dynamic_route(spark: SparkSession, sf: str, cfg: SpitConfig = SPIT_V1, chunk
 
     The latest reading strictly before the post is used (the sidecar's last
     completed poll); a device without one takes the CPU defaults (0.4, 0.4).
+    The controller runs on a narrow (id, device, ts) frame; its phi is
+    joined once to the scored posts, so text work happens once per post.
     """
-    posts = with_social(routing.score_tier1(post_context(spark, sf), tier1_scorer()))
+    ev = read_table(spark, sf, "events").select(
+        F.col("event_id").alias("id"), "ts", F.col("user_id").alias("device_id"))
+    narrow = read_table(spark, sf, "documents").select(F.col("doc_id").alias("id")).join(ev, "id", "inner")
     rd = readings_v1(spark, sf, cfg)
-    x = telemetry.latest_reading(posts, rd, ["t_norm", "mem_norm", "setpoint"], strict=True,
+    x = telemetry.latest_reading(narrow, rd, ["t_norm", "mem_norm", "setpoint"], strict=True,
                                  chunk_seconds=chunk_seconds)
     x = (x.withColumn("t_norm", F.coalesce("t_norm", F.lit(0.4)))
           .withColumn("mem_norm", F.coalesce("mem_norm", F.lit(0.4)))
-          .withColumn("setpoint", F.coalesce("setpoint", F.lit(cfg.cpu_setpoint)))
-          .withColumn("reading_id", F.col("id")))
-    x = telemetry.pid(telemetry.pid_inputs_v1(x, cfg), cfg, tie="id", chunk_seconds=chunk_seconds)
-    x = with_signals(x, cfg, phi="phi")
-    x = x.withColumn("escalate", F.col("c1") < F.col("tau"))
-    return routing.route_expr(x, tier2_scorer(), "escalate")
+          .withColumn("setpoint", F.coalesce("setpoint", F.lit(cfg.cpu_setpoint))))
+    phi = telemetry.pid(telemetry.pid_inputs_v1(x, cfg), cfg, tie="id", chunk_seconds=chunk_seconds) \
+        .select("id", "device_id", "phi")
+    posts = with_social(routing.score_tier1(docs(spark, sf), tier1_scorer()))
+    y = with_signals(posts.join(phi, "id", "inner"), cfg, phi="phi")
+    y = y.withColumn("escalate", F.col("c1") < F.col("tau"))
+    return routing.route_expr(y, tier2_scorer(), "escalate")
 
 
 def components(df: DataFrame, cfg: SpitConfig = SPIT_V1) -> DataFrame:
