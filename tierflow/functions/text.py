@@ -24,20 +24,32 @@ NON_ALNUM_RE = rf"[^a-z0-9{WS}']"
 SPACES_RE = rf"[{WS}]+"
 
 
-def clean_text(c: Column | str, null_as_text: bool = False) -> Column:
-    """lower -> drop URLs -> drop @handles -> drop '#' -> non [a-z0-9 space '] to
-    space -> collapse whitespace -> trim.  NULL stays NULL unless
-    ``null_as_text`` (then it becomes 'none', as ``str(None).lower()``)."""
+HANDLE_HASH_RE = rf"{HANDLE_RE}|#"
+TOKEN_SPLIT_RE = r"[^a-z0-9']+"
+
+
+def clean_tokens(c: Column | str, null_as_text: bool = False) -> Column:
+    """Tokens of the cleaned text in one regex split.
+
+    lower -> drop URLs -> drop @handles and '#' (one pass; removing '#'
+    cannot create or break a handle) -> split on runs of anything but
+    [a-z0-9']. Replacing each other character by a space and then
+    collapsing whitespace runs yields exactly these runs as separators.
+    """
     c = F.col(c) if isinstance(c, str) else c
     if null_as_text:
         c = F.coalesce(c, F.lit("None"))
     x = F.lower(c)
     x = F.regexp_replace(x, URL_RE, "")
-    x = F.regexp_replace(x, HANDLE_RE, "")
-    x = F.regexp_replace(x, "#", "")
-    x = F.regexp_replace(x, NON_ALNUM_RE, " ")
-    x = F.regexp_replace(x, SPACES_RE, " ")
-    return F.trim(x)
+    x = F.regexp_replace(x, HANDLE_HASH_RE, "")
+    return F.filter(F.split(x, TOKEN_SPLIT_RE), lambda t: t != F.lit(""))
+
+
+def clean_text(c: Column | str, null_as_text: bool = False) -> Column:
+    """lower -> drop URLs -> drop @handles -> drop '#' -> non [a-z0-9 space '] to
+    space -> collapse whitespace -> trim.  NULL stays NULL unless
+    ``null_as_text`` (then it becomes 'none', as ``str(None).lower()``)."""
+    return F.array_join(clean_tokens(c, null_as_text), " ")
 
 
 def word_tokens(clean: Column | str) -> Column:
@@ -76,7 +88,6 @@ def analyzer_tokens(c: Column | str) -> Column:
 
 # --- markup / preprocessing (P12-P17) ---------------------------------------
 
-SCRIPT_STYLE_RE = r"(?is)<(script|style)\b[^>]*>.*?</\1\s*>"
 TAG_RE = r"<[^>]*>"
 ENTITY_RE = r"&[a-zA-Z]+;|&#[0-9]+;"
 MD_RE = r"[*_`~>#\[\]()|]+"

@@ -14,18 +14,20 @@ from pyspark.sql import functions as F
 from ..config import SPIT_V1, SpitConfig
 from ..functions.hashing import std_normal, unit_hash
 from ..functions.signals import clip, h_token, psi_socio, spit_components, tau_dynamic
-from ..functions.text import clean_text, word_tokens
+from ..functions.text import clean_text, clean_tokens, word_tokens
 from ..operators import routing, telemetry
 from ..operators.scoring import tier1_scorer, tier2_scorer
 from ..session import read_table
 
 
 def docs(spark: SparkSession, sf: str, with_text: bool = False) -> DataFrame:
+    """Posts: (id, lang, source, tokens, clean); tokens from one regex split
+    of the whole text, clean = tokens joined by single spaces."""
     d = read_table(spark, sf, "documents")
-    cols = [F.col("doc_id").alias("id"), "lang", "source", clean_text("text").alias("clean")]
+    cols = [F.col("doc_id").alias("id"), "lang", "source", clean_tokens("text").alias("tokens")]
     if with_text:
         cols.insert(1, "text")
-    return d.select(*cols).withColumn("tokens", word_tokens("clean"))
+    return d.select(*cols).withColumn("clean", F.array_join("tokens", " "))
 
 
 def labelled(spark: SparkSession, sf: str) -> DataFrame:
