@@ -368,7 +368,7 @@ def q_route_latency_modes(spark, sf):
 
 def _eval_frame(spark, sf) -> DataFrame:
     """Long table (model, id, y, p) for tier 1, tier 2, fixed cascade."""
-    s = pl.scored_both(spark, sf).join(pl.labelled(spark, sf), "id", "inner")
+    s = pl.scored_both(spark, sf, pl.labelled_docs(spark, sf))
     esc = F.col("c1") < THRESHOLD
     return s.select("id", F.col("label").alias("y"), F.explode(F.array(
         F.struct(F.lit("tier1").alias("model"), F.col("p1").alias("p")),
@@ -437,7 +437,7 @@ def q_threshold_sweep_weighted(spark, sf):
 
 
 def _sweep_df(spark, sf, grid, mode: str) -> DataFrame:
-    s = pl.scored_both(spark, sf).join(pl.labelled(spark, sf), "id", "inner")
+    s = pl.scored_both(spark, sf, pl.labelled_docs(spark, sf))
     g = routing.threshold_grid(spark, grid)
     cm = routing.sweep(s, g)  # (threshold, y, p, n, n_esc, lat) - tiny
     pc = metrics.per_class(cm, ["threshold"])
@@ -978,14 +978,15 @@ def _tagged(spark, sf) -> DataFrame:
     s = so.lexicon_polarity(s, so.stand_in_lexicon(pl.docs(spark, sf)), ["id"])
     p2_all, _ = tier2_scorer().columns(F.col("tokens"))
     it = so.intent("c1", "compound")
+    s = s.withColumn("intent", it).withColumn("p2c", F.when(F.col("intent") == "COMPLEX", p2_all))
     return (s.withColumn("product", F.col("source")).withColumn("community", F.col("lang"))
              .withColumn("date", F.to_date("ts"))
              .withColumn("sentiment", F.when(F.col("prediction") == 1, "positive").otherwise("negative"))
              .withColumn("spectrum_bucket", so.spectrum_bucket("compound"))
              .withColumn("score10", so.score10("compound"))
              .withColumn("demographic", so.demographic("follower_count"))
-             .withColumn("intent", it)
-             .withColumn("sarcasm", F.when(it == "COMPLEX", F.when(p2_all != F.col("p1"), "SARCASM").otherwise("LITERAL"))))
+             .withColumn("sarcasm", F.when(F.col("intent") == "COMPLEX",
+                                           F.when(F.col("p2c") != F.col("p1"), "SARCASM").otherwise("LITERAL"))))
 
 
 def _conv_scored(spark, sf):
@@ -1053,9 +1054,7 @@ SELECT product, count(*) AS total, count(*) FILTER (WHERE sentiment = 'positive'
 FROM tagged GROUP BY product""")
 def q_sentiment_stats(spark, sf):
     """Per product totals, positive/negative, sarcastic re-labels."""
-    t = _tagged(spark, sf)
-    p2_all, _ = tier2_scorer().columns(F.col("tokens"))
-    t = t.withColumn("_p2", p2_all)
+    t = _tagged(spark, sf).withColumn("_p2", F.col("p2c"))  # tier 2 only ran on COMPLEX rows
     sar = F.col("sarcasm") == "SARCASM"
     return t.groupBy("product").agg(
         F.count(F.lit(1)).alias("total"), F.count_if(F.col("sentiment") == "positive").alias("positive"),
@@ -1517,3 +1516,97 @@ def q_stream_stats(spark, sf):
     s = st.posts_stream(spark, _os.path.join(sf, "documents*.parquet"))
     dec = routing.route_fixed(s, tier1_scorer(), tier2_scorer(), THRESHOLD)
     return st.drain(st.running_stats(dec), "stats", ["run_id"], mode="update")
+
+
+# ---------------------------------------------------------------------------
+# P12 preprocessing, T10 phi per inference batch
+# ---------------------------------------------------------------------------
+
+from ..functions.text import EMOJI_RE, MD_RE, URL_RE  # noqa: E402
+
+
+def _strip_for_tokens_sql(x: str) -> str:
+    y = _strip_html_sql(x)
+    y = f"regexp_replace({y}, '{S.q(URL_RE)}', ' ', 'g')"
+    y = f"regexp_replace({y}, '{S.q(MD_RE)}', ' ', 'g')"
+    y = f"regexp_replace({y}, '{S.q(EMOJI_RE)}', ' ', 'g')"
+    y = f"regexp_replace({y}, '{S.q(S.SPACES_RE)}', ' ', 'g')"
+    return f"trim({y})"
+
+
+@register("preprocess_tokens", f"SELECT page_id, {_strip_for_tokens_sql('html')} AS text FROM pages")
+def q_preprocess_tokens(spark, sf):
+    """Strip HTML, URLs, markdown punctuation and emoji before scoring."""
+    return read_table(spark, sf, "pages").select("page_id", strip_for_tokens("html").alias("text"))
+
+
+INFER_BATCH = 8
+
+PHI_BATCH_SQL = f"""WITH {TEL_CTE}, {HV2_CTE},
+posts AS (SELECT d.doc_id AS id, e.user_id AS device_id, e.ts FROM documents d JOIN events e ON e.event_id = d.doc_id),
+pb AS (SELECT *, (row_number() OVER (PARTITION BY device_id ORDER BY ts, id) - 1) // {INFER_BATCH} AS batch_id FROM posts),
+b AS (SELECT device_id, batch_id, min(ts) AS ts, arg_min(id, (ts, id)) AS bid FROM pb GROUP BY device_id, batch_id),
+a AS (SELECT b.*, r.cpu_load_norm, r.ram_usage_norm, r.cpu_temp_norm, r.swap_norm, r.gpu_temp_norm, r.vram_usage_norm
+      FROM b ASOF LEFT JOIN hv2 r ON b.device_id = r.device_id AND b.ts > r.ts),
+pin AS (SELECT device_id, batch_id, bid, epoch_us(ts) AS t,
+   CASE WHEN coalesce(gpu_temp_norm, 0) > 0 THEN gpu_temp_norm * 85.0 - 85.0 ELSE coalesce(cpu_load_norm, 0) * 90.0 - 90.0 END AS e,
+   CASE WHEN coalesce(gpu_temp_norm, 0) > 0 THEN 0.08 * coalesce(vram_usage_norm, 0) + 0.04 * coalesce(ram_usage_norm, 0)
+        ELSE 0.08 * coalesce(ram_usage_norm, 0) + 0.05 * coalesce(swap_norm, 0) + 0.04 * coalesce(cpu_temp_norm, 0) END AS sec FROM a),
+{pid_sql('SELECT * FROM pin', 'device_id', 'bid', 1e-6)}
+SELECT pb.id AS doc_id, pb.device_id, pb.batch_id::BIGINT AS batch_id, {S.r6('pid.phi')} AS phi FROM pb JOIN pid USING (device_id, batch_id)"""
+
+
+@register("phi_per_batch", PHI_BATCH_SQL)
+def q_phi_per_batch(spark, sf):
+    """Each device's posts in (ts, id) order form inference batches
+    of 8; one v2 reading (the newest before the batch's first post) and one
+    PID step per batch; every post of the batch shares its phi."""
+    ev = read_table(spark, sf, "events").select(F.col("event_id").alias("id"), "ts", F.col("user_id").alias("device_id"))
+    posts = read_table(spark, sf, "documents").select(F.col("doc_id").alias("id")).join(ev, "id")
+    t = scan.epoch_seconds("ts")
+    ranked = scan.exact_rank(posts, ["device_id"], scan.time_chunk(t, 3600), ["ts", "id"], out="_rk")
+    pb = ranked.withColumn("batch_id", F.floor((F.col("_rk") - 1) / INFER_BATCH).cast("long")).drop("_rk")
+    b = pb.groupBy("device_id", "batch_id").agg(F.min("ts").alias("ts"), F.min_by("id", F.struct("ts", "id")).alias("bid"))
+    x = telemetry.latest_reading(b, _hv2(spark, sf), V2_COLS, post_tie="bid", strict=True)
+    for c in V2_COLS:
+        x = x.withColumn(c, F.coalesce(F.col(c), F.lit(0.0)))
+    phi = telemetry.pid(telemetry.pid_inputs_v2(x, SPIT_V2), SPIT_V2, tie="bid").select("device_id", "batch_id", "phi")
+    return pb.join(phi, ["device_id", "batch_id"]).select(F.col("id").alias("doc_id"), "device_id", "batch_id",
+                                                          r6("phi").alias("phi"))
+
+
+# ---------------------------------------------------------------------------
+# P11 target filter, M7 scoring by join with a bounded weight table
+# ---------------------------------------------------------------------------
+
+from ..functions.hashing import token_unit  # noqa: E402
+from ..operators.scoring import linear_score_by_join  # noqa: E402
+
+
+@register("target_timeline", f"""WITH {TAG_CTE}
+SELECT date, count(*) FILTER (WHERE sentiment = 'positive') AS positive, count(*) FILTER (WHERE sentiment = 'negative') AS negative, count(*) AS total
+FROM tagged WHERE product = '{TARGET}' GROUP BY date""")
+def q_target_timeline(spark, sf):
+    """Visualised aggregates use the target product only (filter first)."""
+    t = _tagged(spark, sf).filter(F.col("product") == TARGET)
+    return t.groupBy("date").agg(F.count_if(F.col("sentiment") == "positive").alias("positive"),
+                                 F.count_if(F.col("sentiment") == "negative").alias("negative"),
+                                 F.count(F.lit(1)).alias("total"))
+
+
+@register("linear_score_join", f"""WITH {TERMS_CTE},
+w AS (SELECT term, (2.0 * {S.tok_u('t1:', 'term')} - 1.0) / 4.0 AS weight FROM vocab),
+x AS (SELECT id, unnest(tok) AS term FROM dt),
+s AS (SELECT x.id, sum(w.weight) AS s FROM x JOIN w USING (term) GROUP BY x.id),
+p AS (SELECT dt.id, 1.0 / (1.0 + exp(-coalesce(s.s, 0.0))) AS p FROM dt LEFT JOIN s USING (id))
+SELECT id AS doc_id, CASE WHEN p > 0.5 THEN 1 ELSE 0 END AS prediction, {S.r6('greatest(p, 1.0 - p)')} AS confidence FROM p""")
+def q_linear_score_join(spark, sf):
+    """M7 join form: a linear model given as a (term, weight) table - here the
+    capped vocabulary with hashed weights - scored by exploding tokens,
+    joining the table (broadcast only under its checked size bound) and
+    summing per document."""
+    d = pl.docs(spark, sf)
+    vocab = ft.vocabulary(ft.term_counts(d))
+    weights = vocab.select("term", ((2.0 * token_unit(F.col("term"), "t1:") - 1.0) / 4.0).alias("weight"))
+    s = linear_score_by_join(d, weights.withColumnRenamed("term", "term"), "id", "tokens")
+    return s.select(F.col("id").alias("doc_id"), F.col("pred").alias("prediction"), r6("conf").alias("confidence"))

@@ -30,6 +30,18 @@ def docs(spark: SparkSession, sf: str, with_text: bool = False) -> DataFrame:
     return d.select(*cols).withColumn("clean", F.array_join("tokens", " "))
 
 
+def with_tokens(df: DataFrame, text_col: str = "text") -> DataFrame:
+    """Adds tokens (one regex split of the whole text) and clean."""
+    return df.withColumn("tokens", clean_tokens(text_col)).withColumn("clean", F.array_join("tokens", " ")).drop(text_col)
+
+
+def labelled_docs(spark: SparkSession, sf: str) -> DataFrame:
+    """Labelled posts: the label join runs first so text work is spent on
+    labelled rows only (labels are a fraction of the documents)."""
+    d = read_table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "lang", "source", "text")
+    return with_tokens(d.join(labelled(spark, sf), "id", "inner"))
+
+
 def labelled(spark: SparkSession, sf: str) -> DataFrame:
     return read_table(spark, sf, "labels").select(F.col("doc_id").alias("id"), F.col("quality").alias("label"))
 
@@ -61,9 +73,9 @@ def scored(spark: SparkSession, sf: str) -> DataFrame:
     return routing.score_tier1(docs(spark, sf), tier1_scorer())
 
 
-def scored_both(spark: SparkSession, sf: str) -> DataFrame:
+def scored_both(spark: SparkSession, sf: str, frame: DataFrame | None = None) -> DataFrame:
     """Both tiers scored once (for sweeps): p1, c1, p2, c2, latencies."""
-    s = scored(spark, sf)
+    s = routing.score_tier1(frame, tier1_scorer()) if frame is not None else scored(spark, sf)
     p2, c2 = tier2_scorer().columns(F.col("tokens"))
     nfeat = F.greatest((2 * F.size("tokens") - 1).cast("double"), F.lit(0.0))
     return s.withColumn("p2", p2).withColumn("c2", c2).withColumn("tier2_cost", nfeat * routing.TIER2_SEC_PER_FEATURE)
