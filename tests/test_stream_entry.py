@@ -15,10 +15,10 @@ def test_stream_pid_late_rows(spark, tmp_path):
     d = tmp_path / "in"
     spark.createDataFrame([(1, base + dt.timedelta(seconds=10), 1, "view", 50.0, '{"k": 10}'),
                            (2, base + dt.timedelta(seconds=20), 1, "view", 60.0, '{"k": 10}')], schema) \
-        .write.parquet(str(d / "a"))
+        .coalesce(1).write.parquet(str(d / "a"))
     spark.createDataFrame([(3, base + dt.timedelta(seconds=15), 1, "view", 70.0, '{"k": 10}'),
                            (4, base + dt.timedelta(seconds=30), 1, "view", 70.0, '{"k": 10}')], schema) \
-        .write.parquet(str(d / "b"))
+        .coalesce(1).write.parquet(str(d / "b"))
     s = st.pid_stream(st.events_stream(spark, str(d / "*"), max_files=1))
     out = {r.reading_id: r.late for r in st.drain(s, "pid-late", [], mode="append").collect()}
     assert out == {1: False, 2: False, 3: True, 4: False}

@@ -70,7 +70,7 @@ def entropy_sum(tokens) -> Column:
         return F.when(cnt > 0, p * F.log(p + F.lit(1e-12))).otherwise(F.lit(0.0))
 
     init = F.struct(F.lit(None).cast("string").alias("p"), F.lit(0).cast("long").alias("c"),
-                    F.lit(0.0).alias("s"), F.size(srt).cast("double").alias("n"))
+                    F.lit(0.0).alias("s"), F.size(t).cast("double").alias("n"))
 
     def merge(acc, x):
         same = F.coalesce(acc["p"] == x.cast("string"), F.lit(False))
@@ -88,7 +88,9 @@ def h_token(tokens, cfg: SpitConfig = SPIT_V1) -> Column:
     if cfg.token_cap:
         t = F.slice(t, 1, cfg.token_cap)
     raw = -entropy_sum(t) / math.log(cfg.vocab_size + 1e-12)
-    return F.when(F.size(t) > 0, clip(raw, 0.0, 1.0)).otherwise(F.lit(0.0))
+    # raw is never NULL here, so clip without a NULL test: the fold is
+    # referenced once and evaluated once per row
+    return F.when(F.size(t) > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), raw))).otherwise(F.lit(0.0))
 
 
 def sigmoid(z) -> Column:

@@ -31,21 +31,17 @@ def tier_label(escalate) -> F.Column:
 
 
 def score_tier1(df: DataFrame, t1: ExprScorer, tokens: str = "tokens") -> DataFrame:
-    p, c = t1.columns(F.col(tokens))
     n = F.size(tokens).cast("double")
-    return df.withColumn("p1", p).withColumn("c1", c) \
+    return t1.with_scores(df, tokens, "p1", "c1") \
              .withColumn("tier1_latency", n * F.lit(TIER1_SEC_PER_TOKEN))
 
 
 def route_expr(scored1: DataFrame, t2: ExprScorer, escalate_col: str = "escalate",
                tokens: str = "tokens") -> DataFrame:
     """Decisions given an ``escalate`` column; tier 2 evaluated lazily per row."""
-    p2, c2 = t2.columns(F.col(tokens))
     esc = F.col(escalate_col)
     nfeat = (2 * F.size(tokens) - 1).cast("double")
-    return (scored1
-            .withColumn("p2", F.when(esc, p2))
-            .withColumn("c2", F.when(esc, c2))
+    return (t2.with_scores(scored1, tokens, "p2", "c2", only_if=esc)
             .withColumn("tier2_latency", F.when(esc, F.greatest(nfeat, F.lit(0.0)) * TIER2_SEC_PER_FEATURE)
                         .otherwise(F.lit(0.0)))
             .withColumn("prediction", F.when(esc, F.col("p2")).otherwise(F.col("p1")))

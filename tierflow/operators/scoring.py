@@ -53,9 +53,28 @@ class ExprScorer:
     def columns(self, tokens: Column) -> tuple[Column, Column]:  # pragma: no cover - interface
         raise NotImplementedError
 
+    def prob(self, tokens: Column) -> Column:  # pragma: no cover - interface
+        raise NotImplementedError
+
+    def with_scores(self, df: DataFrame, tokens_col: str = "tokens", pred_col: str = "pred",
+                    conf_col: str = "conf", only_if: Column | None = None) -> DataFrame:
+        """Adds (pred, conf). The probability is materialised in its own
+        column first: pred and conf both read it, and an expensive
+        expression read twice is not re-inlined by the optimizer, so the
+        model runs once per row (and only where ``only_if`` holds)."""
+        p = self.prob(F.col(tokens_col))
+        if only_if is not None:
+            p = F.when(only_if, p)
+        tmp = f"_prob_{pred_col}"
+        out = df.withColumn(tmp, p)
+        pv = F.col(tmp)
+        out = out.withColumn(pred_col, F.when(pv.isNull(), F.lit(None)).otherwise(
+            F.when(pv > 0.5, F.lit(1)).otherwise(F.lit(0))).cast("int")) \
+                 .withColumn(conf_col, F.greatest(pv, F.lit(1.0) - pv))
+        return out.drop(tmp)
+
     def score(self, df: DataFrame, tokens_col: str = "tokens", prefix: str = "") -> DataFrame:
-        pred, conf = self.columns(F.col(tokens_col))
-        return df.withColumn(f"{prefix}pred", pred).withColumn(f"{prefix}conf", conf)
+        return self.with_scores(df, tokens_col, f"{prefix}pred", f"{prefix}conf")
 
 
 @dataclass
@@ -69,9 +88,10 @@ class HashedLinearScorer(ExprScorer):
     def prob(self, tokens: Column) -> Column:
         t = F.slice(tokens, 1, self.max_length) if self.max_length else tokens
         feats = F.concat(t, bigrams(t)) if self.use_bigrams else t
-        w = F.transform(feats, lambda x: F.lit(2.0) * token_unit(x, self.key) - F.lit(1.0))
-        s = F.aggregate(w, F.lit(0.0), lambda a, x: a + x)
-        n = F.size(feats)
+        s = F.aggregate(feats, F.lit(0.0), lambda a, x: a + (F.lit(2.0) * token_unit(x, self.key) - F.lit(1.0)))
+        k = F.size(t)
+        # feature count from the token count (no second pass over the features)
+        n = (k + F.greatest(k - 1, F.lit(0))) if self.use_bigrams else k
         return F.when(n > 0, sigmoid(s / F.sqrt(n.cast("double")))).otherwise(F.lit(0.5))
 
     def columns(self, tokens: Column) -> tuple[Column, Column]:

@@ -27,6 +27,18 @@ def stand_in_valence(tok: Column) -> Column:
     return F.when(token_unit(tok, "lex:") < LEX_RATE, F.round(F.lit(8.0) * token_unit(tok, "val:") - F.lit(4.0), 1))
 
 
+def with_stand_in_compound(df: DataFrame, tokens_col: str = "tokens", out: str = "compound") -> DataFrame:
+    """M12 for the stand-in lexicon, whose valence is a function of the token:
+    summed in the same row pass as the other text work (no corpus-wide
+    lexicon table, no second pass). Same values as ``lexicon_polarity``
+    with ``stand_in_lexicon``."""
+    s = F.aggregate(F.col(tokens_col), F.lit(0.0),
+                    lambda a, t: a + F.coalesce(stand_in_valence(t), F.lit(0.0)))
+    x = df.withColumn("_lex_s", s)  # read twice below: materialised once
+    return x.withColumn(out, F.col("_lex_s") / F.sqrt(F.col("_lex_s") * F.col("_lex_s") + F.lit(VADER_ALPHA))) \
+            .drop("_lex_s")
+
+
 def stand_in_lexicon(df: DataFrame, tokens_col: str = "tokens") -> DataFrame:
     """(token, valence) for the distinct tokens of ``df`` that carry one."""
     t = df.select(F.explode(tokens_col).alias("token")).distinct()

@@ -322,8 +322,7 @@ def q_route_overlay(spark, sf):
     """Tier-2 rows (scored only on the escalated subset) overlaid by id."""
     s1 = pl.scored(spark, sf)
     esc = s1.filter(F.col("c1") < THRESHOLD)
-    p2, c2 = tier2_scorer().columns(F.col("tokens"))
-    t2 = esc.select("id", p2.alias("p2"), c2.alias("c2"))
+    t2 = tier2_scorer().with_scores(esc, "tokens", "p2", "c2").select("id", "p2", "c2")
     o = routing.overlay(s1.select("id", "p1", "c1"), t2)
     return o.select(F.col("id").alias("doc_id"), "prediction", (F.col("tier_used") == 2).alias("from_tier2"))
 
@@ -800,10 +799,9 @@ atk AS (SELECT id, regexp_extract_all(strip_accents(lower(clean)), '[\\p{{L}}\\p
 SELECT id AS doc_id, len(u)::BIGINT AS n_unigrams, greatest(len(u) - 1, 0)::BIGINT AS n_bigrams FROM atk""")
 def q_ngrams(spark, sf):
     """M1/M2: word tokens (accents stripped, \\w+) and bi-gram counts per document."""
-    from ..functions.text import analyzer_tokens
     from ..operators.scoring import bigrams
     d = pl.docs(spark, sf)
-    t = analyzer_tokens("clean")
+    t = F.filter(F.split(F.col("clean"), "[^a-z0-9]+"), lambda x: x != F.lit(""))  # word runs of cleaned text
     return d.select(F.col("id").alias("doc_id"), F.size(t).cast("long").alias("n_unigrams"),
                     F.size(bigrams(t)).cast("long").alias("n_bigrams"))
 
@@ -975,7 +973,7 @@ def _tagged(spark, sf) -> DataFrame:
     ctx = pl.post_context(spark, sf)
     s = routing.route_fixed(ctx, tier1_scorer(), tier2_scorer(), THRESHOLD)
     s = pl.with_social(s)
-    s = so.lexicon_polarity(s, so.stand_in_lexicon(pl.docs(spark, sf)), ["id"])
+    s = so.with_stand_in_compound(s)
     p2_all, _ = tier2_scorer().columns(F.col("tokens"))
     it = so.intent("c1", "compound")
     s = s.withColumn("intent", it).withColumn("p2c", F.when(F.col("intent") == "COMPLEX", p2_all))

@@ -76,9 +76,9 @@ def scored(spark: SparkSession, sf: str) -> DataFrame:
 def scored_both(spark: SparkSession, sf: str, frame: DataFrame | None = None) -> DataFrame:
     """Both tiers scored once (for sweeps): p1, c1, p2, c2, latencies."""
     s = routing.score_tier1(frame, tier1_scorer()) if frame is not None else scored(spark, sf)
-    p2, c2 = tier2_scorer().columns(F.col("tokens"))
     nfeat = F.greatest((2 * F.size("tokens") - 1).cast("double"), F.lit(0.0))
-    return s.withColumn("p2", p2).withColumn("c2", c2).withColumn("tier2_cost", nfeat * routing.TIER2_SEC_PER_FEATURE)
+    return tier2_scorer().with_scores(s, "tokens", "p2", "c2") \
+        .withColumn("tier2_cost", nfeat * routing.TIER2_SEC_PER_FEATURE)
 
 
 def post_context(spark: SparkSession, sf: str) -> DataFrame:
