@@ -67,10 +67,10 @@ def route_fixed_frames(df: DataFrame, score1, score2, threshold: float = 0.85,
     s1 = score1(df).withColumnRenamed("pred", "p1").withColumnRenamed("conf", "c1") \
         .withColumn("escalate", F.col("c1") < F.lit(threshold)).persist()
     esc = s1.filter("escalate").select(*[c for c in df.columns])
-    s2 = score2(esc).select(id_col, F.col("pred").alias("p2"), F.col("conf").alias("c2"),
-                            *([F.col("latency_s").alias("tier2_latency")] if "latency_s" in score2(esc).columns else []))
-    out = overlay(s1, s2, id_col)
-    return out
+    s2 = score2(esc)
+    lat = [F.col("latency_s").alias("tier2_latency")] if "latency_s" in s2.columns else []
+    s2 = s2.select(id_col, F.col("pred").alias("p2"), F.col("conf").alias("c2"), *lat)
+    return overlay(s1, s2, id_col)
 
 
 def overlay(s1: DataFrame, s2: DataFrame, id_col: str = "id") -> DataFrame:

@@ -1418,11 +1418,10 @@ SELECT variant, count(*) AS n, {S.r6('avg(tau)')} AS avg_tau, {S.r6('avg(CASE WH
 def q_config_ablation(spark, sf):
     """Parameter variants as a broadcast config table crossed with the
     scored rows (phi = 0); one aggregation for all variants."""
-    from ..functions.signals import entropy_sum
+    from ..functions.signals import entropy_sum, psi_socio
     v = spark.createDataFrame(ABLATION, "variant string, tau_min double, tau_max double, sgn double, cap int")
     s = pl.with_social(pl.scored(spark, sf))
-    s = s.withColumn("psi", __import__("tierflow.functions.signals", fromlist=["psi_socio"]).psi_socio(
-        "retweet_count", "follower_count", "burst_rate_ppm", "platform"))
+    s = s.withColumn("psi", psi_socio("retweet_count", "follower_count", "burst_rate_ppm", "platform"))
     x = s.crossJoin(F.broadcast(v))
     tok = F.when(F.col("cap") > 0, F.slice("tokens", F.lit(1), F.col("cap"))).otherwise(F.col("tokens"))
     h = F.when(F.size(tok) > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), -entropy_sum(tok) / _math.log(30522 + 1e-12)))) \
