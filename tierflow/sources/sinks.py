@@ -4,8 +4,7 @@ cluster: the shared folder, e.g. next to ``spark.checkpoint.dir``)."""
 
 from __future__ import annotations
 
-import os
-
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -87,16 +86,12 @@ class SessionStore:
         return d.groupBy(key).agg(*[F.max_by(c, k).alias(c) for c in cols])
 
     def clear(self) -> None:
-        if os.path.isdir(self.path) or self._exists():
-            empty = self.spark.createDataFrame([], self.all().schema)
-            empty.write.mode("overwrite").parquet(self.path)
-
-    def _exists(self) -> bool:
+        """Overwrite with an empty table of the same schema (no-op if absent)."""
         try:
-            self.spark.read.parquet(self.path).schema
-            return True
-        except Exception:
-            return False
+            schema = self.all().schema
+        except AnalysisException:
+            return
+        self.spark.createDataFrame([], schema).write.mode("overwrite").parquet(self.path)
 
 
 class ContextLog(SessionStore):
