@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from . import topk, url_filter
+from . import byte_bpe, token_counts, topk, url_filter
 
 QUERIES = {
+    "op3_byte_bpe": byte_bpe.query,
+    "op6_token_counts": token_counts.query,
     "op8_url_filters": url_filter.query,
     "op10_exact_topk": topk.query,
 }

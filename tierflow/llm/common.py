@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..session import cut_lineage, read_table
 
-__all__ = ["binary_list", "checkpoint", "ids_and_texts", "literal_rows", "read_table", "row_slices", "shuffle_partitions"]
+__all__ = ["binary_list", "checkpoint", "ids_and_texts", "literal_rows", "no_cycles", "read_table", "row_slices", "shuffle_partitions"]
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
@@ -56,3 +58,13 @@ def row_slices(batches: Iterator[pa.RecordBatch], text: str, most_bytes: int) ->
                 start, held = i, 0
             held += n
         yield batch.slice(start)
+
+
+@contextmanager
+def no_cycles():
+    """Without the collector of reference cycles, which walks millions of live objects again and again."""
+    gc.disable()
+    try:
+        yield
+    finally:
+        gc.enable()
