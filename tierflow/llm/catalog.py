@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, piecewise_hash, token_counts, topk, url_filter
+from . import byte_bpe, piecewise_hash, simhash, token_counts, topk, url_filter
 
 QUERIES = {
     "op3_byte_bpe": byte_bpe.query,
+    "op5_simhash_near_dedup": simhash.query,
     "op6_token_counts": token_counts.query,
     "op7_piecewise_hash": piecewise_hash.query,
     "op8_url_filters": url_filter.query,
     "op10_exact_topk": topk.query,
 }
 ORACLE = {
-    "op7_piecewise_hash": piecewise_hash.query,
     "op8_url_filters": url_filter.SQL,
     "op10_exact_topk": topk.SQL,
 }

@@ -164,7 +164,7 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", r
     slim = ids_and_texts(docs, id_col, text_col)
     key = F.coalesce("doc_id", F.lit(-(1 << 63)))
     ids = slim.select(key.alias("k"))
-    cuts = sorted({int(c) for c in ids.approxQuantile("k", [i / ranges for i in range(1, ranges)], 0.2 / ranges)})
+    cuts = sorted({int(c) for c in ids.approxQuantile("k", [i / ranges for i in range(1, ranges)], 0.2 / ranges)} if ranges > 1 else ())
     # range r holds the ids above cut r-1 and up to cut r; cuts are as few as ranges, whatever the data
     at = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c < key)) if cuts else F.lit(0)
     placed = slim.withColumn("at", at.cast("int"))
