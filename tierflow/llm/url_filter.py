@@ -89,7 +89,7 @@ def judge_urls(urls: DataFrame, rules: DataFrame, url_col: str = "url", default:
                   .select("host", "path", F.expr("filter(stack, r -> startswith(key, r.key))").alias("fits")).where("size(fits) > 0")
                   .select("host", "path", F.col("fits")[0].alias("r")))
     best = (open_rules.groupBy("host", "path")
-            .agg(F.max(F.struct(F.length("r.rule"), F.length("r.key"), F.col("r.rule").alias("rule"), F.col("r.v").alias("v"))).alias("r"))
+            .agg(F.max(F.struct(F.length("r.rule"), F.locate(SEP, F.col("r.key")), F.col("r.rule").alias("rule"), F.col("r.v").alias("v"))).alias("r"))
             .select("host", "path", F.col("r.rule").alias("rule"), F.col("r.v").alias("v")))
     return (parted.join(best, ["host", "path"], "left")
             .select(*[F.col(f"`{c}`") for c in keep], "host", "path", "rule", F.coalesce("v", F.lit(default)).alias("verdict")))
