@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, piecewise_hash, simhash, token_counts, topk, url_filter
+from . import byte_bpe, piecewise_hash, simhash, token_counts, topk, toxicity, url_filter
 
 QUERIES = {
+    "op1_toxicity": toxicity.query,
     "op3_byte_bpe": byte_bpe.query,
     "op5_simhash_near_dedup": simhash.query,
     "op6_token_counts": token_counts.query,
