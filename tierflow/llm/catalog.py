@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, piecewise_hash, simhash, token_counts, topk, toxicity, url_filter
+from . import byte_bpe, html_extract, piecewise_hash, simhash, token_counts, topk, toxicity, url_filter
 
 QUERIES = {
     "op1_toxicity": toxicity.query,
     "op3_byte_bpe": byte_bpe.query,
+    "op4_html_extraction": html_extract.query,
     "op5_simhash_near_dedup": simhash.query,
     "op6_token_counts": token_counts.query,
     "op7_piecewise_hash": piecewise_hash.query,
