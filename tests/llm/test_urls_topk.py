@@ -72,3 +72,5 @@ def test_top_k_of_few(spark):
     assert topk.top_k(df.where("vec_id = 0"), F.col("vec_id") == 0).count() == 0
     assert topk.top_k(df.limit(0), F.col("vec_id") == 0).count() == 0
     assert topk.top_k(df, F.col("vec_id") > 5).count() == 0
+    zeros = spark.createDataFrame([(i, [0.0, 0.0]) for i in range(4)], "vec_id long, embedding array<float>")
+    assert [tuple(r) for r in topk.top_k(zeros, F.col("vec_id") == 0, k=2).orderBy("rank").collect()] == [(0, 1, 1, 0), (0, 2, 2, 0)]

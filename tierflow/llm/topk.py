@@ -55,7 +55,7 @@ def _postings(table: pa.Table) -> tuple[np.ndarray, dict[int, tuple[np.ndarray,
     by = np.lexsort((rows, term))
     rows, term, weights = rows[by], term[by], weights[by]
     cuts = np.flatnonzero(np.diff(term, prepend=-1))
-    lists = {int(term[a]): (rows[a:b], weights[a:b]) for a, b in zip(cuts, [*cuts[1:], len(term)], strict=True)}
+    lists = {int(term[a]): (rows[a:b], weights[a:b]) for a, b in zip(cuts, [*cuts[1:], len(term)], strict=False)}
     return ids[order], lists
 
 
