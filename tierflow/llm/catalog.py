@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, html_extract, piecewise_hash, simhash, token_counts, topk, toxicity, url_filter
+from . import byte_bpe, html_extract, piecewise_hash, simhash, suffix_dedup, token_counts, topk, toxicity, url_filter
 
 QUERIES = {
     "op1_toxicity": toxicity.query,
@@ -12,6 +12,7 @@ QUERIES = {
     "op6_token_counts": token_counts.query,
     "op7_piecewise_hash": piecewise_hash.query,
     "op8_url_filters": url_filter.query,
+    "op9_suffix_dedup": suffix_dedup.query,
     "op10_exact_topk": topk.query,
 }
 ORACLE = {
