@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, html_extract, piecewise_hash, simhash, suffix_dedup, token_counts, topk, toxicity, url_filter
+from . import byte_bpe, html_extract, mixing, piecewise_hash, simhash, suffix_dedup, token_counts, topk, toxicity, url_filter
 
 QUERIES = {
     "op1_toxicity": toxicity.query,
+    "op2_mixing": mixing.query,
     "op3_byte_bpe": byte_bpe.query,
     "op4_html_extraction": html_extract.query,
     "op5_simhash_near_dedup": simhash.query,
@@ -16,6 +17,7 @@ QUERIES = {
     "op10_exact_topk": topk.query,
 }
 ORACLE = {
+    "op2_mixing": mixing.SQL,
     "op8_url_filters": url_filter.SQL,
     "op10_exact_topk": topk.SQL,
 }
