@@ -112,7 +112,7 @@ def test_job(frame):
     rnd = random.Random(9)
     texts = corpus(rnd, 200)
     rows = [(i * 37 % 1009, t) for i, t in enumerate(texts)] + [(None, texts[20]), (None, None), (3, texts[30]), (3, texts[30])]
-    got = sd.deduplicate(frame(rows).repartition(5), keep=["doc_id", "score"], with_kept=True).collect()
+    got = sd.deduplicate(frame(rows).repartition(5), keep=["doc_id", "score"], kept_as="binary").collect()
     assert sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256, bytes(r.kept)) for r in got) == plain(rows)
     assert {r.score for r in got} == {"x"}
 

@@ -128,8 +128,9 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source:
 
 
 def sample(docs: DataFrame, **options) -> DataFrame:
-    """The rows of `docs` that are drawn, all columns as they are."""
-    return mix(docs, **options).where("mix_kept").select(*docs.columns)
+    """The rows of `docs` that are drawn, all columns as they are, by default columns and options of mix."""
+    slim = docs.select("doc_id", "text", "source", "lang", F.struct(*[f"`{c}`" for c in docs.columns]).alias("row"))
+    return mix(slim, **options).where("mix_kept").select("row.*")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

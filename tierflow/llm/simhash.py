@@ -25,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from xxhash import xxh64_digest
 
@@ -118,9 +118,10 @@ def links(fps: DataFrame, hot: int = HOT) -> DataFrame:
 
 
 def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, fingerprint, component_id), one row per row of `docs`.
+    """(doc_id, fingerprint, component_id, component), one row per row of `docs`.
 
-    fingerprint: 16 hex digits. component_id: the smallest doc_id reachable
+    fingerprint: 16 hex digits; component: one fingerprint that names the
+    component. component_id: the smallest doc_id reachable
     over links of at most MAX_BITS bits, the row's own included. Null and
     empty texts, and texts of white space, have fingerprint zero and link
     like any other. Rows with a null id link too; component_id is null where
@@ -132,8 +133,31 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     roots = connected(links(classes.select("fp")))
     rooted = classes.join(roots, classes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     whole = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    of_fp = rooted.join(whole, "root").select("fp", "component_id")
-    return marked.join(of_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    of_fp = rooted.join(whole, "root").select("fp", "component_id", "root")
+    digits = lambda c: F.lower(F.lpad(F.hex(c), 16, "0"))
+    return marked.join(of_fp, "fp").select("doc_id", digits("fp").alias("fingerprint"), "component_id", digits("root").alias("component"))
+
+
+def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
+    """One row of each component, all columns as they are: the row with the smallest id.
+
+    Of rows that share that id, one stays. In a component without an id, one
+    row with the smallest text stays.
+    """
+    found = components(docs, id_col, text_col, shingle)
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t"), F.struct(*[f"`{c}`" for c in docs.columns]).alias("row"))
+    heads = found.where("doc_id = component_id").select(F.col("doc_id").alias("id")).distinct()
+    # the rows of one id: as a rule, one
+    among = Window.partitionBy("id").orderBy(F.xxhash64("t", *[F.col(f"row.`{c}`") for c in docs.columns]))
+    named = rows.join(heads, "id", "left_semi").withColumn("n", F.row_number().over(among)).where("n = 1").select("row")
+    # components without an id: their rows are told apart by text
+    bare = rows.where("id is null").select(F.xxhash64("t").alias("doc_id"), "t", "row")
+    marks = fingerprints(bare.select("doc_id", F.col("t").alias("text")).distinct())
+    alone = found.where("component_id is null").select("fingerprint", "component").distinct()
+    grouped = marks.join(alone, F.lower(F.lpad(F.hex("fp"), 16, "0")) == F.col("fingerprint")).select("doc_id", "component").distinct()
+    least = Window.partitionBy("component").orderBy("t", F.xxhash64("row"))
+    nameless = bare.join(grouped, "doc_id").withColumn("n", F.row_number().over(least)).where("n = 1").select("row")
+    return named.unionByName(nameless).select("row.*")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

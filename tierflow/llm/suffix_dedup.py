@@ -406,7 +406,7 @@ def _rows(part: pa.RecordBatch) -> Iterator[dict]:
         yield {c: v[0] for c, v in slim.slice(i, 1).to_pydict().items()}
 
 
-def _results(shards: int, with_kept: bool):
+def _results(shards: int, kept_as: str | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batches:
             for i, row in enumerate(_rows(part)):
@@ -426,8 +426,8 @@ def _results(shards: int, with_kept: bool):
                 rest = part.column("rest").slice(i, 1).flatten()
                 columns = [*rest.flatten(), pa.array(batch.lengths), pa.array(removed), pa.array(spans), pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string())]
                 names = [*[f.name for f in rest.type], "n_bytes", "n_removed", "n_spans", "kept_sha256"]
-                if with_kept:
-                    columns.append(pa.array(kept, pa.binary()))
+                if kept_as:
+                    columns.append(pa.array(kept, pa.binary()) if kept_as == "binary" else pa.array([k.decode("utf-8", "ignore") for k in kept], pa.string()))
                     names.append("kept")
                 yield pa.record_batch(columns, names=names)
     return run
@@ -445,10 +445,11 @@ def _with(prepared: DataFrame, answers: DataFrame, name: str) -> DataFrame:
     return prepared.join(gathered, "batch", "left")
 
 
-def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, with_kept: bool = False) -> DataFrame:
-    """One row per row of `docs`: the columns `keep` (the id, if none are given), n_bytes, n_removed, n_spans, kept_sha256, and kept (binary) if asked for.
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, kept_as: str | None = None) -> DataFrame:
+    """One row per row of `docs`: the columns `keep` (the id, if none are given), n_bytes, n_removed, n_spans, kept_sha256, and kept if asked for.
 
-    n_spans counts maximal removed runs. Null text counts as empty: nothing
+    n_spans counts maximal removed runs. kept_as "binary" gives the bytes
+    left, "string" the text, without characters that lost a byte. Null text counts as empty: nothing
     to remove. A null id counts as larger than every id, and as equal to
     other null ids. Rows with one id don't affect each other, repeated rows
     neither. Other columns don't matter; `keep` shouldn't name a result.
@@ -468,8 +469,8 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     first = _ask(texts.mapInArrow(_arrays(shards, False), arrays), shards, True)
     second = _ask(_with(texts, first, "first").mapInArrow(_arrays(shards, True), arrays), shards, False)
     results = StructType([*slim.schema["rest"].dataType.fields, *[StructField(n, LongType()) for n in ("n_bytes", "n_removed", "n_spans")],
-                          *slim.select(F.lit("").alias("kept_sha256"), F.lit(b"").alias("kept")).schema.fields[:2 if with_kept else 1]])
-    return _with(_with(prepared, first, "first"), second, "second").mapInArrow(_results(shards, with_kept), results)
+                          *slim.select(F.lit("").alias("kept_sha256"), F.lit(b"").cast(kept_as or "binary").alias("kept")).schema.fields[:2 if kept_as else 1]])
+    return _with(_with(prepared, first, "first"), second, "second").mapInArrow(_results(shards, kept_as), results)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
