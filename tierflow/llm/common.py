@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..session import cut_lineage, read_table
 
-__all__ = ["binary_list", "checkpoint", "ids_and_texts", "literal_rows", "no_cycles", "read_table", "row_slices", "shuffle_partitions"]
+__all__ = ["binary_list", "checkpoint", "checkpoint_placed", "ids_and_texts", "literal_rows", "no_cycles", "read_table", "row_slices", "shuffle_partitions"]
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
@@ -25,6 +25,20 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return cut_lineage(df)
 
 
+def checkpoint_placed(df: DataFrame) -> DataFrame:
+    """A reliable checkpoint that keeps its partitioning and order, so that later joins on them don't move its rows.
+
+    Adaptive execution forgets both, so this one plan runs without it.
+    """
+    conf = df.sparkSession.conf
+    adaptive = conf.get("spark.sql.adaptive.enabled")
+    conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        return cut_lineage(df)
+    finally:
+        conf.set("spark.sql.adaptive.enabled", adaptive)
+
+
 def ids_and_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Just (doc_id, text), null text as empty: extra columns can't clash."""
     return docs.select(F.col(id_col).cast("long").alias("doc_id"),

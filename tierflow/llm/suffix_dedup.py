@@ -45,7 +45,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
-from .common import checkpoint, row_slices, shuffle_partitions
+from .common import checkpoint, checkpoint_placed, row_slices, shuffle_partitions
 
 LENGTH, K = 50, 20
 WINDOWS = LENGTH - K + 1
@@ -155,7 +155,7 @@ def _least_holders(keys: tuple[np.ndarray, ...], ids: np.ndarray) -> np.ndarray:
     return order[new]
 
 
-_PRESS, _LOOSEN = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
+_PRESS, _LOOSEN = zstandard.ZstdCompressor(level=3), zstandard.ZstdDecompressor()
 
 
 def _packed(*columns: np.ndarray) -> bytes:
@@ -460,7 +460,7 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     slim = docs.select(text.alias("raw"), F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("id"), F.struct(*keep).alias("rest"))
     packed_type = StructType([StructField("batch", LongType()), *slim.select(F.lit(b"").alias("payload")).schema, StructField("lengths", ArrayType(LongType())),
                               StructField("ids", ArrayType(LongType())), StructField("rest", ArrayType(slim.schema["rest"].dataType))])
-    prepared = checkpoint(slim.mapInArrow(_pack, packed_type).repartition(shuffle_partitions(spark), "batch"))
+    prepared = checkpoint_placed(slim.mapInArrow(_pack, packed_type).repartition(shuffle_partitions(spark), "batch").sortWithinPartitions("batch"))
     total = prepared.agg(F.sum(F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x))).first()[0] or 0
     shards = max(shuffle_partitions(spark), -(-total // SHARD_BYTES))
 
