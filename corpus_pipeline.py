@@ -33,9 +33,9 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the bytes that repeat a document with a smaller id; characters that lose a byte go. n_chars is counted anew."""
-    rows = docs.select("doc_id", "text", F.struct(*[f"`{c}`" for c in docs.columns]).alias("row"))
-    cut = suffix_dedup.deduplicate(rows, keep=["row"], kept_as="string")
-    text = F.when(F.col("row.text").isNull(), F.lit(None)).otherwise(F.col("kept"))
+    others = F.struct(*[f"`{c}`" for c in docs.columns if c != "text"]).alias("row")
+    cut = suffix_dedup.deduplicate(docs.select("doc_id", "text", others, F.col("text").isNull().alias("bare")), keep=["row", "bare"], kept_as="string")
+    text = F.when(~F.col("bare"), F.col("kept"))
     new = {"text": text, "n_chars": F.coalesce(F.length(text), F.lit(0)).cast("long")}
     return cut.select(*[new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
 
