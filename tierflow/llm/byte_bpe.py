@@ -36,8 +36,8 @@ _SPACE = "\t-\r \x85\xa0  -     　"
 #: Before white space that follows another character no pre-token reaches across: a place to cut whole texts.
 _PIECE = re.compile(f"[{_SPACE}]*[^{_SPACE}]+|[{_SPACE}]+")
 BLOCK_BYTES = 8 << 20
-#: About 120 MB a worker.
-MEMO_PIECES = 600_000
+#: About 100 MB a task.
+MEMO_PIECES = 300_000
 
 
 class Ranks:
@@ -131,12 +131,6 @@ class Encoder:
         self.decimal = {r: b"%d" % r for r in ranks.bytes}
         self.known: dict[str, tuple[bytes, int, bytes]] = {}
 
-    @classmethod
-    @lru_cache(maxsize=2)
-    def of_worker(cls, path: str, pattern: str) -> Encoder:
-        """One per Python worker: tasks that follow each other share what it remembers."""
-        return cls(Ranks.load(path), pattern)
-
     def learn(self, pieces: set[str]) -> None:
         """Replays the merges over the pre-tokens of pieces not seen yet; over `most` pieces, others are forgotten."""
         new = list(pieces.difference(self.known))
@@ -171,7 +165,7 @@ def _encode_blocks(path: str, pattern: str, with_ids: bool):
     schema = pa.schema(fields + [("ids", pa.list_(pa.int32()))] * with_ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder.of_worker(path, pattern)
+        encoder = Encoder(Ranks.load(path), pattern)  # its memory ends with the task
         with no_cycles():
             for block in row_slices(batches, "text", BLOCK_BYTES):
                 n, ids_sha, text_sha, ids = [], [], [], []

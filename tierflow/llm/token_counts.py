@@ -33,8 +33,8 @@ from .common import binary_list, ids_and_texts, no_cycles, row_slices
 SPACE = b" \t\n\r\x0b\x0c"
 CHUNK, OVERLAP = 65_536, 1_024
 BLOCK_BYTES = 8 << 20
-#: Distinct units a worker remembers (about 150 MB); beyond, those not in the block at hand are forgotten.
-MEMO_UNITS = 1_000_000
+#: Distinct units a task remembers (about 60 MB); beyond, those not in the block at hand are forgotten.
+MEMO_UNITS = 500_000
 
 
 @lru_cache(maxsize=4)
@@ -52,12 +52,6 @@ class UnitCounter:
     def __init__(self, tokenizer, most: int = MEMO_UNITS):
         self.tokenizer, self.most, self.counts = tokenizer, most, {}
 
-    @classmethod
-    @lru_cache(maxsize=2)
-    def of_worker(cls, path: str) -> UnitCounter:
-        """One per Python worker: tasks that follow each other share what it remembers."""
-        return cls(load(path))
-
     def learn(self, units: set[bytes]) -> None:
         new = list(units.difference(self.counts))
         if not new:
@@ -138,7 +132,7 @@ def _count_block(path: str, chunk: int, overlap: int):
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_tokens", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = UnitCounter.of_worker(path)
+        counter = UnitCounter(load(path))  # its memory ends with the task
         with no_cycles():
             for block in row_slices(batches, "text", BLOCK_BYTES):
                 texts = binary_list(block.column("text"))
