@@ -1,5 +1,5 @@
+import csv
 import json
-import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -58,6 +58,26 @@ def test_polarity_csv_and_dispatcher(spark, tmp_path):
     assert split.count() == 2
 
 
+def test_polarity_csv_quoting(spark, tmp_path):
+    p = tmp_path / "q.csv"
+    texts = ['he said "hi", then left', "ends in a backslash \\", "a, b", "é", 'two\nlines', '"']
+    with open(p, "w", encoding="latin-1", newline="") as f:
+        csv.writer(f, quoting=csv.QUOTE_ALL).writerows([["4", str(i), "d", "q", "u", t] for i, t in enumerate(texts)])
+    assert [r.text for r in readers.read_polarity_csv(spark, str(p)).orderBy("id").collect()] == texts
+
+
+def test_split_doesnt_depend_on_files(spark, tmp_path):
+    rows = [(f"text {i % 900}", i % 3) for i in range(1200)]
+    df = spark.createDataFrame(rows, "text string, label int")
+    found = []
+    for n in (1, 7):
+        df.repartition(n, F.rand(n)).write.parquet(str(tmp_path / str(n)))
+        got = readers.get_data(spark, "tweet_eval", str(tmp_path / str(n)), max_samples=500).collect()
+        found.append(sorted((r.text, r.label, r.split) for r in got))
+    assert found[0] == found[1] and len(found[0]) == 500
+
+
+
 def test_wide_unpivot_and_scrape(spark):
     wide = spark.createDataFrame([(0, "t1", "c1"), (1, "t2", None)], "row_idx long, target string, rival string")
     long = readers.unpivot_wide(wide, ["row_idx"])

@@ -61,16 +61,6 @@ def test_topk_two_phase_exact(spark):
         assert [x.id for x in sorted([x for x in got if x.g == g], key=lambda x: x.r)] == [w[1] for w in want]
 
 
-def test_broadcast_only_under_bound(spark):
-    from tierflow.operators.util import broadcast_if_small
-    small = spark.range(10)
-    big = spark.range(1000)
-    j1 = spark.range(100).join(broadcast_if_small(small, 50), "id")
-    j2 = spark.range(100).join(broadcast_if_small(big, 50), "id")
-    assert "broadcast" in j1._jdf.queryExecution().logical().toString().lower()
-    assert "broadcast" not in j2._jdf.queryExecution().logical().toString().lower()
-
-
 def test_pid_exact_flag(spark):
     from tierflow.config import SPIT_V1
     rows = [(0, T0 + dt.timedelta(seconds=s), i, e, 0.0) for i, (s, e) in enumerate([(0, -5.0), (10, 2.0), (20, -1.0)])]

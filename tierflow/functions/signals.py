@@ -85,8 +85,6 @@ def entropy_sum(tokens) -> Column:
 def h_token(tokens, cfg: SpitConfig = SPIT_V1) -> Column:
     """Normalised token entropy in [0, 1]; empty -> 0; one distinct token -> 0."""
     t = _c(tokens)
-    if cfg.token_cap:
-        t = F.slice(t, 1, cfg.token_cap)
     raw = -entropy_sum(t) / math.log(cfg.vocab_size + 1e-12)
     # raw is never NULL here, so clip without a NULL test: the fold is
     # referenced once and evaluated once per row

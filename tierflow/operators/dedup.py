@@ -87,17 +87,15 @@ def word_ngrams(tokens: Column, n: int) -> Column:
 
 
 def contamination(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id",
-                  tokens_col: str = "tokens", n: int = 5, min_containment: float = 0.8,
-                  max_item_shingles: int = 5_000_000) -> DataFrame:
+                  tokens_col: str = "tokens", n: int = 5, min_containment: float = 0.8) -> DataFrame:
     """(doc, item, containment): share of an item's distinct word n-grams
-    that occur in the document, kept when >= min_containment. Item shingles
-    are broadcast only below a checked row bound; document shingles are
-    matched in place and only matches are aggregated."""
-    from .util import broadcast_if_small
+    that occur in the document, kept when >= min_containment. Adaptive execution
+    broadcasts the item shingles if their measured size allows; only matches
+    are aggregated."""
     ish = items.select(item_id, F.explode(F.array_distinct(word_ngrams(F.col(tokens_col), n))).alias("sh"))
     isz = ish.groupBy(item_id).agg(F.count(F.lit(1)).alias("n_sh"))
     dsh = docs.select(doc_id, F.explode(F.array_distinct(word_ngrams(F.col(tokens_col), n))).alias("sh"))
-    hits = dsh.join(broadcast_if_small(ish, max_item_shingles), "sh", "inner") \
+    hits = dsh.join(ish, "sh", "inner") \
               .groupBy(doc_id, item_id).agg(F.count(F.lit(1)).alias("n_hit"))
     return hits.join(isz, item_id, "inner") \
                .withColumn("containment", F.col("n_hit") / F.col("n_sh")) \

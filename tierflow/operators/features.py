@@ -2,13 +2,12 @@
 
 tf = 1 + ln(count) (sublinear), idf = ln((1 + n) / (1 + df)) + 1, rows
 L2-normalised; vocabulary = terms with df >= min_df, the max_features most
-frequent (ties by term). The vocabulary is capped, so joining it is a
-broadcast with a proven size bound.
+frequent (ties by term) if a cap is asked for.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import analyzer_tokens
@@ -35,16 +34,26 @@ def term_counts(df: DataFrame, text_col: str = "clean", id_col: str = "id", ngra
     return terms(df, text_col, id_col, ngram_max, cleaned).groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("c"))
 
 
-def vocabulary(tc: DataFrame, min_df: int = 2, max_features: int = 50000, id_col: str = "id") -> DataFrame:
+def vocabulary(tc: DataFrame, min_df: int = 2, max_features: int | None = None, id_col: str = "id") -> DataFrame:
+    """Terms in at least ``min_df`` rows; ``max_features`` keeps the most frequent (M3's own cap, off by default)."""
     v = tc.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("c").alias("tf")).filter(F.col("df") >= min_df)
-    return v.orderBy(F.col("tf").desc(), F.col("term")).limit(max_features)
+    if max_features is None:
+        return v
+    # the tf of the last term kept, from a histogram of tf (far fewer rows than terms); ties at it go by term
+    by_tf = Window.orderBy(F.col("tf").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    cut = v.groupBy("tf").agg(F.count(F.lit(1)).alias("_n")).withColumn("_sum", F.sum("_n").over(by_tf))
+    cut = cut.where(F.col("_sum") - F.col("_n") < max_features).select("tf", (F.lit(max_features) - F.col("_sum") + F.col("_n")).alias("_room"), "_n")
+    whole = v.join(cut, "tf")
+    last = Window.partitionBy("tf").orderBy("term")
+    edge = whole.where("_room < _n").withColumn("_r", F.row_number().over(last)).where("_r <= _room")
+    return whole.where("_room >= _n").select(*v.columns).unionByName(edge.select(*v.columns))
 
 
 def tfidf(tc: DataFrame, vocab: DataFrame, n_docs: DataFrame, id_col: str = "id") -> DataFrame:
     """(id, term, weight) for vocabulary terms; n_docs is a one-row frame (n)."""
-    j = tc.join(F.broadcast(vocab.select("term", "df")), "term", "inner").crossJoin(F.broadcast(n_docs))
+    j = tc.join(vocab.select("term", "df"), "term", "inner")
     w = (F.lit(1.0) + F.log(F.col("c").cast("double"))) * \
-        (F.log((F.lit(1.0) + F.col("n")) / (F.lit(1.0) + F.col("df"))) + F.lit(1.0))
+        (F.log((F.lit(1.0) + n_docs.scalar()) / (F.lit(1.0) + F.col("df"))) + F.lit(1.0))
     j = j.withColumn("w", w)
     norms = j.groupBy(id_col).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("_norm"))
     return j.join(norms, id_col, "inner").select(id_col, "term", (F.col("w") / F.col("_norm")).alias("weight"))

@@ -113,16 +113,25 @@ def tier2_scorer(max_length: int | None = None) -> HashedLinearScorer:
 # Python models through Arrow batches (M6/M8)
 # --------------------------------------------------------------------------
 
-_MODEL_CACHE: dict = {}
+_MODELS: dict = {}
+
+
+def _loaded(factory: Callable[[], Callable]) -> Callable:
+    """The worker's model of a factory: made on first use, kept for the tasks that follow."""
+    key = (factory.__module__, getattr(factory, "__qualname__", repr(factory)))
+    if key not in _MODELS:
+        _MODELS[key] = factory()
+    return _MODELS[key]
 
 
 @dataclass
 class PandasBatchScorer:
     """Run ``factory()`` -> ``predict(texts) -> (preds, confs)`` per Arrow batch.
 
-    The factory is called once per Python worker process (cached), batches
-    are sliced to ``batch_size`` rows, and each row gets the per-row share
-    of its batch's wall time as ``latency_s``.
+    The factory, a function of an importable module, is called once per Python
+    worker process; batches are sliced to ``batch_size`` rows, and each row
+    gets the per-row share of its batch's wall time as ``latency_s``. Rows keep
+    their columns on the way through, so nothing is joined back.
     """
     name: str
     factory: Callable[[], Callable]
@@ -131,17 +140,14 @@ class PandasBatchScorer:
 
     def score(self, df: DataFrame, text_col: str = "text", prefix: str = "",
               id_col: str = "id") -> DataFrame:
-        name, factory, bs, lmap = self.name, self.factory, self.batch_size, self.label_map
-        schema = T.StructType([T.StructField(id_col, df.schema[id_col].dataType),
-                               T.StructField(f"{prefix}pred", T.IntegerType()),
+        factory, bs, lmap = self.factory, self.batch_size, self.label_map
+        schema = T.StructType([*df.schema.fields, T.StructField(f"{prefix}pred", T.IntegerType()),
                                T.StructField(f"{prefix}conf", T.DoubleType()),
                                T.StructField(f"{prefix}latency_s", T.DoubleType())])
 
         def run(batches):
-            import pandas as pd
-            model = _MODEL_CACHE.get(name)
-            if model is None:
-                model = _MODEL_CACHE[name] = factory()
+            from tierflow.operators import scoring  # the worker's module, not a copy sent with the task
+            model = scoring._loaded(factory)
             for pdf in batches:
                 for s in range(0, len(pdf), bs):
                     part = pdf.iloc[s:s + bs]
@@ -150,16 +156,10 @@ class PandasBatchScorer:
                     preds, confs = model(texts)
                     el = (time.perf_counter() - t0) / max(len(texts), 1)
                     preds = [int(lmap.get(int(p), int(p))) if lmap else int(p) for p in preds]
-                    yield pd.DataFrame({id_col: part[id_col].values, f"{prefix}pred": preds,
-                                        f"{prefix}conf": [float(c) for c in confs],
-                                        f"{prefix}latency_s": [el] * len(texts)})
-
-        scored = df.select(id_col, text_col).mapInPandas(run, schema)
-        return df.join(scored, id_col, "inner")
-
+                    yield part.assign(**{f"{prefix}pred": preds, f"{prefix}conf": [float(c) for c in confs],
+                                         f"{prefix}latency_s": [el] * len(texts)})
 
-def not_fitted_error():
-    raise RuntimeError("Call fit() before predict().")
+        return df.mapInPandas(run, schema)
 
 
 # --------------------------------------------------------------------------
@@ -177,16 +177,16 @@ def autodetect_label_map(names: DataFrame) -> DataFrame:
     return names.withColumn("mapped", mapped.cast("int"))
 
 
-def remap_predictions(raw: DataFrame, label_map: DataFrame, model_col: str = "model",
-                      raw_col: str = "raw_pred", override: DataFrame | None = None) -> DataFrame:
-    """Explicit override (model, idx, mapped) wins over the autodetected map.
-    Label maps have one row per model output id: a small dimension."""
-    lm = label_map.select(model_col, F.col("idx"), F.col("mapped").alias("_auto"))
+def remap_predictions(raw: DataFrame, label_map: DataFrame, override: DataFrame | None = None, raw_col: str = "raw_pred") -> DataFrame:
+    """Raw output ids as classes, per model of ``label_map`` (model, idx,
+    mapped); entries of ``override`` (model, idx, mapped) win. Ids without an
+    entry are left out."""
+    maps = label_map.select("model", "idx", "mapped")
     if override is not None:
-        lm = lm.join(override.select(model_col, "idx", F.col("mapped").alias("_ovr")), [model_col, "idx"], "left") \
-               .select(model_col, "idx", F.coalesce("_ovr", "_auto").alias("_auto"))
-    return raw.join(F.broadcast(lm), (raw[model_col] == lm[model_col]) & (raw[raw_col] == lm["idx"]), "left") \
-              .drop(lm[model_col]).drop("idx").withColumnRenamed("_auto", "prediction")
+        wins = override.select("model", "idx", F.col("mapped").alias("_wins"))
+        maps = maps.join(wins, ["model", "idx"], "left").select("model", "idx", F.coalesce("_wins", "mapped").cast("int").alias("mapped"))
+    maps = maps.select("model", F.col("idx").alias(raw_col), F.col("mapped").alias("prediction"))
+    return raw.join(maps, raw_col)
 
 
 # --------------------------------------------------------------------------
@@ -194,19 +194,16 @@ def remap_predictions(raw: DataFrame, label_map: DataFrame, model_col: str = "mo
 # --------------------------------------------------------------------------
 
 def linear_score_by_join(docs: DataFrame, weights: DataFrame, id_col: str = "id",
-                         tokens_col: str = "tokens", intercept: float = 0.0,
-                         max_weights_broadcast: int = 2_000_000) -> DataFrame:
+                         tokens_col: str = "tokens", intercept: float = 0.0) -> DataFrame:
     """sum of term weights per row -> sigmoid -> (pred, conf).
 
-    Tokens are exploded next to their row and joined to the weight table;
-    the weight table is bounded by the vocabulary cap, and it is broadcast
-    only after checking that bound. The aggregation is partial per task,
-    so only one row per (task, doc) crosses the shuffle.
+    Tokens are exploded next to their row and joined to the weight table,
+    which adaptive execution broadcasts if its measured size allows. The
+    aggregation is partial per task, so only one row per (task, doc) crosses
+    the shuffle.
     """
-    from .util import broadcast_if_small
     ex = docs.select(id_col, F.explode(tokens_col).alias("term"))
-    w = broadcast_if_small(weights.select("term", "weight"), max_weights_broadcast)
-    s = ex.join(w, "term", "inner").groupBy(id_col).agg(F.sum("weight").alias("_s"))
+    s = ex.join(weights.select("term", "weight"), "term", "inner").groupBy(id_col).agg(F.sum("weight").alias("_s"))
     p = sigmoid(F.coalesce(F.col("_s"), F.lit(0.0)) + F.lit(intercept))
     return (docs.select(id_col).join(s, id_col, "left")
             .select(id_col, F.when(p > 0.5, 1).otherwise(0).cast("int").alias("pred"),

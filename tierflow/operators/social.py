@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 
 from ..config import SPECTRUM, SPECTRUM_FLOOR
 from ..functions.hashing import token_unit
-from .util import broadcast_if_small
 
 VADER_ALPHA = 15.0
 # Stand-in lexicon: a token carries a valence with probability LEX_RATE,
@@ -46,11 +45,11 @@ def stand_in_lexicon(df: DataFrame, tokens_col: str = "tokens") -> DataFrame:
 
 
 def lexicon_polarity(df: DataFrame, lexicon: DataFrame, id_cols: list[str], tokens_col: str = "tokens",
-                     out: str = "compound", max_lexicon_broadcast: int = 2_000_000) -> DataFrame:
-    """Compound in [-1, 1] per row from a (token, valence) table."""
-    ex = df.select(*id_cols, F.explode(tokens_col).alias("token"))
-    lx = broadcast_if_small(lexicon.select("token", "valence"), max_lexicon_broadcast)
-    s = ex.join(lx, "token", "inner").groupBy(*id_cols).agg(F.sum("valence").alias("_s"))
+                     out: str = "compound") -> DataFrame:
+    """Compound in [-1, 1] per row from a (token, valence) table; tokens
+    are counted per row first, so a common token is one row a post."""
+    ex = df.select(*id_cols, F.explode(tokens_col).alias("token")).groupBy(*id_cols, "token").agg(F.count(F.lit(1)).alias("_k"))
+    s = ex.join(lexicon.select("token", "valence"), "token", "inner").groupBy(*id_cols).agg(F.sum(F.col("valence") * F.col("_k")).alias("_s"))
     j = df.join(s, id_cols, "left").withColumn("_s", F.coalesce("_s", F.lit(0.0)))
     return j.withColumn(out, F.col("_s") / F.sqrt(F.col("_s") * F.col("_s") + F.lit(VADER_ALPHA))).drop("_s")
 
@@ -99,7 +98,7 @@ def community_tag(df: DataFrame, rules: DataFrame, id_col: str = "id", tokens_co
                   default: str = "general") -> DataFrame:
     """Community with the most keyword hits (ties by name); default when none."""
     ex = df.select(id_col, F.explode(tokens_col).alias("token"))
-    hits = ex.join(broadcast_if_small(rules, 100_000), "token", "inner").groupBy(id_col, "community") \
+    hits = ex.join(rules, "token", "inner").groupBy(id_col, "community") \
              .agg(F.count(F.lit(1)).alias("hits"))
     best = hits.groupBy(id_col).agg(F.min_by(F.struct("community", "hits"),
                                              F.struct(-F.col("hits"), F.col("community"))).alias("_b"))

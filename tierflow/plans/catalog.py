@@ -697,7 +697,7 @@ def q_model_comparison(spark, sf):
 
 from ..operators import split as sp  # noqa: E402
 from ..operators import features as ft  # noqa: E402
-from ..operators.scoring import autodetect_label_map  # noqa: E402
+from ..operators.scoring import autodetect_label_map, remap_predictions  # noqa: E402
 
 SAMPLE_N = 500
 SEED = 42
@@ -719,13 +719,15 @@ def q_label_binarise(spark, sf):
 
 
 # Fixed parameter table: output label names of some typical classifier heads.
+# Output names by model, one per logit of an embedding (64).
+N_LOGITS = 64
 LABEL_HEADS = [
-    ("sst2", ["NEGATIVE", "POSITIVE"]),
-    ("generic", ["LABEL_0", "LABEL_1"]),
-    ("reversed", ["POS", "NEG"]),
-    ("tweet3", ["negative", "neutral", "positive"]),
-    ("five", ["a", "b", "c", "d", "e"]),
+    ("numbered", [f"LABEL_{i}" for i in range(N_LOGITS)]),
+    ("signed", [f"{'positive' if i % 2 else 'NEG'} {i}" for i in range(N_LOGITS)]),
+    ("plain", [f"class {i}" for i in range(N_LOGITS)]),
 ]
+#: Explicit entries (model, id, class) that win over the detected ones.
+LABEL_OVERRIDES = [("plain", 3, 1), ("plain", 5, 1), ("signed", 1, 0)]
 _HEADS_SQL = ", ".join(f"('{m}', {i}, '{n}')" for m, names in LABEL_HEADS for i, n in enumerate(names))
 
 
@@ -733,23 +735,19 @@ _HEADS_SQL = ", ".join(f"('{m}', {i}, '{n}')" for m, names in LABEL_HEADS for i,
 lm AS (SELECT model, idx, CASE WHEN lower(name) LIKE '%neg%' OR lower(name) IN ('label_0', '0', 'false') THEN 0
                        WHEN lower(name) LIKE '%pos%' OR lower(name) IN ('label_1', '1', 'true') THEN 1
                        WHEN idx = min(idx) OVER (PARTITION BY model) THEN 0 ELSE 1 END AS mapped FROM heads),
-k AS (SELECT model, count(*) AS k FROM heads GROUP BY model),
-raw AS (SELECT k.model, e.vec_id, list_position(list_slice(e.embedding, 1, k.k), list_max(list_slice(e.embedding, 1, k.k))) - 1 AS raw_pred
-        FROM embeddings e CROSS JOIN k)
-SELECT raw.model, raw.vec_id, raw.raw_pred::INTEGER AS raw_pred, lm.mapped AS prediction FROM raw JOIN lm ON lm.model = raw.model AND lm.idx = raw.raw_pred""")
+ov AS (SELECT * FROM (VALUES ('plain', 3, 1), ('plain', 5, 1), ('signed', 1, 0)) o(model, idx, mapped)),
+raw AS (SELECT vec_id, list_position(embedding, list_max(embedding)) - 1 AS raw_pred FROM embeddings)
+SELECT lm.model, raw.vec_id, raw.raw_pred::INTEGER AS raw_pred, coalesce(ov.mapped, lm.mapped)::INTEGER AS prediction
+FROM raw JOIN lm ON lm.idx = raw.raw_pred LEFT JOIN ov ON ov.model = lm.model AND ov.idx = lm.idx""")
 def q_label_map_autodetect(spark, sf):
-    """Autodetected id->{0,1} maps applied to each head's argmax over
-    its first k logits (embeddings as logits)."""
+    """Autodetected id->{0,1} maps, with overrides, applied to the argmax
+    over all logits (embeddings as logits; every model reads the same)."""
     heads = spark.createDataFrame([(m, i, n) for m, names in LABEL_HEADS for i, n in enumerate(names)],
                                   "model string, idx int, name string")
-    lm = autodetect_label_map(heads)
-    k = heads.groupBy("model").agg(F.count(F.lit(1)).cast("int").alias("k"))
-    e = read_table(spark, sf, "embeddings").select("vec_id", "embedding")
-    raw = e.crossJoin(F.broadcast(k)).withColumn("_l", F.slice("embedding", F.lit(1), F.col("k"))) \
-           .withColumn("raw_pred", arrays.argmax(F.col("_l")))
-    j = raw.join(F.broadcast(lm.select("model", "idx", "mapped")),
-                 (raw["model"] == lm["model"]) & (raw["raw_pred"] == lm["idx"]), "inner")
-    return j.select(raw["model"], "vec_id", "raw_pred", F.col("mapped").alias("prediction"))
+    override = spark.createDataFrame(LABEL_OVERRIDES, "model string, idx int, mapped int")
+    raw = read_table(spark, sf, "embeddings").select("vec_id", arrays.argmax(F.col("embedding")).cast("int").alias("raw_pred"))
+    out = remap_predictions(raw, autodetect_label_map(heads), override)
+    return out.select("model", "vec_id", "raw_pred", "prediction")
 
 
 @register("sample_exact", f"""SELECT doc_id, sample_rank FROM (SELECT doc_id,
@@ -808,13 +806,16 @@ def q_ngrams(spark, sf):
 
 @register("vocabulary", f"WITH {TERMS_CTE} SELECT term, df::BIGINT AS df, tf::BIGINT AS tf FROM vocab")
 def q_vocabulary(spark, sf):
-    """M3: min_df = 2, max_features = 50000 by corpus frequency (ties by term)."""
+    """M3: min_df = 2, and its own cap: the 50,000 most frequent terms (ties by term)."""
     tc = ft.term_counts(pl.docs(spark, sf))
-    v = ft.vocabulary(tc)
+    v = ft.vocabulary(tc, max_features=50_000)
     return v.select("term", F.col("df").cast("long").alias("df"), F.col("tf").cast("long").alias("tf"))
 
 
-@register("tfidf_weights", f"""WITH {TERMS_CTE},
+TERMS_ALL_CTE = TERMS_CTE.replace(" ORDER BY tf DESC, term LIMIT 50000", "")
+
+
+@register("tfidf_weights", f"""WITH {TERMS_ALL_CTE},
 nd AS (SELECT count(*)::DOUBLE AS n FROM documents),
 w AS (SELECT tc.id, tc.term, (1 + ln(tc.c)) * (ln((1 + nd.n) / (1 + v.df)) + 1) AS w FROM tc JOIN vocab v USING (term) CROSS JOIN nd),
 nrm AS (SELECT id, sqrt(sum(w * w)) AS nr FROM w GROUP BY id)
@@ -1391,9 +1392,8 @@ def q_lr_train_predict(spark, sf):
 
 
 # Fixed parameter table of ablation variants: name, tau_min, tau_max,
-# sign of the token-entropy term, token cap (0 = whole text).
-ABLATION = [("v1", 0.50, 0.92, 1.0, 0), ("documented_sign", 0.50, 0.92, -1.0, 0),
-            ("token_cap_128", 0.50, 0.92, 1.0, 128), ("narrow_bounds", 0.60, 0.90, 1.0, 0)]
+# sign of the token-entropy term.
+ABLATION = [("v1", 0.50, 0.92, 1.0), ("documented_sign", 0.50, 0.92, -1.0), ("narrow_bounds", 0.60, 0.90, 1.0)]
 
 
 def _h_cte(name: str, tok: str) -> str:
@@ -1404,34 +1404,32 @@ def _h_cte(name: str, tok: str) -> str:
        FROM {name}n LEFT JOIN {name}s USING (id))"""
 
 
-_ABL_SQL = ", ".join(f"('{n}', {a}, {b}, {s}, {c})" for n, a, b, s, c in ABLATION)
+_ABL_SQL = ", ".join(f"('{n}', {a}, {b}, {s})" for n, a, b, s in ABLATION)
 
 
-@register("config_ablation", f"""WITH {SCORED_CTE}, {_h_cte('hf', 'tok')}, {_h_cte('hk', 'list_slice(tok, 1, 128)')},
+@register("config_ablation", f"""WITH {SCORED_CTE}, {_h_cte('hf', 'tok')},
 soc AS (SELECT doc_id AS id, {S.social_cols('doc_id')} FROM documents),
-v(variant, tau_min, tau_max, sgn, cap) AS (VALUES {_ABL_SQL}),
+v(variant, tau_min, tau_max, sgn) AS (VALUES {_ABL_SQL}),
 x AS (SELECT v.variant, sc.c1, v.tau_min, v.tau_max,
-             0.0 * (1 - {S.psi('retweet_count', 'follower_count', 'burst_rate_ppm', 'platform')}) + v.sgn * CASE WHEN v.cap = 0 THEN hf.h ELSE hk.h END AS z
-      FROM sc JOIN soc USING (id) JOIN hf USING (id) JOIN hk USING (id) CROSS JOIN v),
+             0.0 * (1 - {S.psi('retweet_count', 'follower_count', 'burst_rate_ppm', 'platform')}) + v.sgn * hf.h AS z
+      FROM sc JOIN soc USING (id) JOIN hf USING (id) CROSS JOIN v),
 y AS (SELECT variant, c1, greatest(tau_min, least(tau_max, 1.0 / (1.0 + exp(-z)) * (tau_max - tau_min) + tau_min)) AS tau FROM x)
 SELECT variant, count(*) AS n, {S.r6('avg(tau)')} AS avg_tau, {S.r6('avg(CASE WHEN c1 < tau THEN 1.0 ELSE 0.0 END)')} AS tier2_rate FROM y GROUP BY variant""")
 def q_config_ablation(spark, sf):
-    """Parameter variants as a broadcast config table crossed with the
-    scored rows (phi = 0); one aggregation for all variants."""
-    from ..functions.signals import entropy_sum, psi_socio
-    v = spark.createDataFrame(ABLATION, "variant string, tau_min double, tau_max double, sgn double, cap int")
+    """Parameter variants (phi = 0). Entropy and scores are computed once
+    per row; each variant is a pair of sums of the same aggregation, unpivoted
+    from the one row that is left."""
+    from ..functions.signals import h_token, psi_socio
     s = pl.with_social(pl.scored(spark, sf))
-    s = s.withColumn("psi", psi_socio("retweet_count", "follower_count", "burst_rate_ppm", "platform"))
-    x = s.crossJoin(F.broadcast(v))
-    tok = F.when(F.col("cap") > 0, F.slice("tokens", F.lit(1), F.col("cap"))).otherwise(F.col("tokens"))
-    h = F.when(F.size(tok) > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), -entropy_sum(tok) / _math.log(30522 + 1e-12)))) \
-         .otherwise(F.lit(0.0))
-    z = F.lit(0.0) * (1 - F.col("psi")) + F.col("sgn") * h
-    tau = F.greatest(F.col("tau_min"), F.least(F.col("tau_max"),
-                     F.lit(1.0) / (1 + F.exp(-z)) * (F.col("tau_max") - F.col("tau_min")) + F.col("tau_min")))
-    y = x.withColumn("tau", tau)
-    return y.groupBy("variant").agg(F.count(F.lit(1)).alias("n"), r6(F.avg("tau")).alias("avg_tau"),
-                                    r6(F.avg((F.col("c1") < F.col("tau")).cast("double"))).alias("tier2_rate"))
+    s = s.select("c1", psi_socio("retweet_count", "follower_count", "burst_rate_ppm", "platform").alias("psi"), h_token("tokens").alias("h"))
+    aggs = []
+    for name, lo, hi, sgn in ABLATION:
+        z = F.lit(0.0) * (1 - F.col("psi")) + F.lit(sgn) * F.col("h")
+        tau = F.greatest(F.lit(lo), F.least(F.lit(hi), F.lit(1.0) / (1 + F.exp(-z)) * (hi - lo) + F.lit(lo)))
+        aggs += [F.avg(tau).alias(f"{name}_tau"), F.avg((F.col("c1") < tau).cast("double")).alias(f"{name}_rate")]
+    one = s.agg(F.count(F.lit(1)).alias("n"), *aggs)
+    rows = F.array(*[F.struct(F.lit(v[0]).alias("variant"), F.col(f"{v[0]}_tau").alias("t"), F.col(f"{v[0]}_rate").alias("r")) for v in ABLATION])
+    return one.select("n", F.explode(rows).alias("v")).select("v.variant", "n", r6("v.t").alias("avg_tau"), r6("v.r").alias("tier2_rate"))
 
 
 # ---------------------------------------------------------------------------
@@ -1591,7 +1589,7 @@ def q_target_timeline(spark, sf):
                                  F.count(F.lit(1)).alias("total"))
 
 
-@register("linear_score_join", f"""WITH {TERMS_CTE},
+@register("linear_score_join", f"""WITH {TERMS_ALL_CTE},
 w AS (SELECT term, (2.0 * {S.tok_u('t1:', 'term')} - 1.0) / 4.0 AS weight FROM vocab),
 x AS (SELECT id, unnest(tok) AS term FROM dt),
 s AS (SELECT x.id, sum(w.weight) AS s FROM x JOIN w USING (term) GROUP BY x.id),

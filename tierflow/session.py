@@ -53,12 +53,14 @@ def get_spark(app: str = "tierflow", master: str | None = None,
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Use the cluster's ``spark.checkpoint.dir``; set a scratch one only if unset.
 
-    On a cluster the deployment names a shared folder; a machine-local
-    folder is only acceptable for local tests, which is the only case
-    where this falls back to one.
+    On a cluster the deployment names a shared folder, and without one this
+    raises; a machine-local folder is set only where master is local.
     """
     conf = spark.conf.get("spark.checkpoint.dir", None)
     if not conf:
+        master = spark.conf.get("spark.master", "")
+        if master.split("[")[0] != "local":
+            raise RuntimeError(f"spark.checkpoint.dir must name a folder that driver and executors share (master {master!r})")
         conf = tempfile.mkdtemp(prefix="tierflow-ckpt-")
         spark.conf.set("spark.checkpoint.dir", conf)
     if spark.sparkContext.getCheckpointDir() is None:
@@ -75,9 +77,3 @@ def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
-
-def register_tables(spark: SparkSession, sf_dir: str) -> None:
-    for t in TABLES:
-        p = os.path.join(sf_dir, f"{t}.parquet")
-        if os.path.exists(p):
-            spark.read.parquet(p).createOrReplaceTempView(t)

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.scan import exact_hash_rank
 from ..operators.split import polarity_binarise, sample_exact, split_stratified, three_class_binarise
 
 POLARITY_CSV_SCHEMA = T.StructType([
@@ -21,23 +22,33 @@ POLARITY_CSV_SCHEMA = T.StructType([
 def read_polarity_csv(spark: SparkSession, path: str, id_col: str = "c1") -> DataFrame:
     """Headerless latin-1 CSV, columns 0 (polarity 0/4) and 5 (text).
     Spark names the charset ISO-8859-1 (it rejects the alias 'latin-1')."""
-    df = (spark.read.schema(POLARITY_CSV_SCHEMA).option("header", False)
-          .option("encoding", "ISO-8859-1").option("mode", "PERMISSIVE").csv(path))
+    df = (spark.read.schema(POLARITY_CSV_SCHEMA).option("header", False).option("quote", '"').option("escape", '"')
+          .option("multiLine", True).option("encoding", "ISO-8859-1").option("mode", "PERMISSIVE").csv(path))
     df = df.select(F.col(id_col).cast("long").alias("id"), "polarity", "text")
     return polarity_binarise(df)
 
 
 def read_labelled_text(spark: SparkSession, path: str, fmt: str = "parquet", text_col: str = "sentence",
                        label_col: str = "label", id_col: str | None = "idx", schema: T.StructType | None = None) -> DataFrame:
-    """Binary labelled text from local parquet/json/csv files."""
+    """Binary labelled text from local parquet/json/csv files.
+
+    Without an id column ids come from the content: rows in the order of
+    md5(text, label), so they don't depend on files or partitions (equal rows
+    are interchangeable)."""
     r = spark.read.format(fmt)
     if schema is not None:
         r = r.schema(schema)
     if fmt == "csv":
-        r = r.option("header", True)
+        r = r.option("header", True).option("quote", '"').option("escape", '"').option("multiLine", True)
     df = r.load(path)
-    ident = F.col(id_col).cast("long") if id_col and id_col in df.columns else F.monotonically_increasing_id()
-    return df.select(ident.alias("id"), F.col(text_col).alias("text"), F.col(label_col).cast("int").alias("label"))
+    rows = df.select(F.col(text_col).alias("text"), F.col(label_col).cast("int").alias("label"), *([F.col(id_col).cast("long").alias("id")] if id_col and id_col in df.columns else []))
+    return (rows if "id" in rows.columns else content_ids(rows)).select("id", "text", "label")
+
+
+def content_ids(rows: DataFrame) -> DataFrame:
+    """Adds an id by the order of the rows' content."""
+    h = F.md5(F.concat_ws("\u0001", F.coalesce("text", F.lit("\u0002")), F.coalesce(F.col("label").cast("string"), F.lit("\u0002"))))
+    return exact_hash_rank(rows.withColumn("_h", h), [], "_h", "text", "id").withColumn("id", F.col("id") - 1).drop("_h")
 
 
 def read_three_class(spark: SparkSession, path: str, fmt: str = "parquet", text_col: str = "text",
@@ -46,10 +57,11 @@ def read_three_class(spark: SparkSession, path: str, fmt: str = "parquet", text_
     return three_class_binarise(read_labelled_text(spark, path, fmt, text_col, label_col, id_col))
 
 
-def get_data(spark: SparkSession, source: str = "sst2", path: str | None = None, max_samples: int | None = 4000,
+def get_data(spark: SparkSession, source: str = "sst2", path: str | None = None, max_samples: int | None = None,
              test_size: float = 0.20, seed: int = 42, fmt: str = "parquet") -> DataFrame:
     """Dispatcher -> (id, text, label, split). Unknown source or a CSV
-    source without a path raise ValueError. ``max_samples`` falsy = no cap."""
+    source without a path raise ValueError. ``max_samples`` bounds the labelled
+    rows that a model is fitted on; by default there is no bound."""
     readers = {"sst2": lambda: read_labelled_text(spark, path, fmt),
                "tweet_eval": lambda: read_three_class(spark, path, fmt),
                "sentiment140": lambda: read_polarity_csv(spark, path)}
@@ -58,7 +70,8 @@ def get_data(spark: SparkSession, source: str = "sst2", path: str | None = None,
     if path is None:
         raise ValueError(f"source '{source}' needs a local path (no downloads).")
     df = readers[source]()
-    df = sample_exact(df, max_samples, seed, "id").drop("sample_rank")
+    if max_samples:
+        df = sample_exact(df, max_samples, seed, "id").drop("sample_rank")
     return split_stratified(df, "label", test_size, seed, "id")
 
 
@@ -88,10 +101,3 @@ def flatten_scrape(df: DataFrame, json_col: str, key_cols: list[str]) -> DataFra
             .select(*key_cols, "product", F.lit(False).alias("is_target"), F.posexplode("_c.posts").alias("post_idx", "post"))
     return tgt.unionByName(comp)
 
-
-def post_stream(spark: SparkSession, path: str, schema: T.StructType, max_files_per_trigger: int | None = None) -> DataFrame:
-    """A file-based post stream with a fixed schema."""
-    r = spark.readStream.schema(schema)
-    if max_files_per_trigger:
-        r = r.option("maxFilesPerTrigger", max_files_per_trigger)
-    return r.parquet(path)
