@@ -4,11 +4,8 @@ Exact: one aggregation keyed by the hash of the cleaned text; the survivor
 is the lowest id. Partial aggregation makes a hot key (a text copied a
 million times) cost one row per task before the shuffle.
 
-Near: MinHash over word 3-gram shingles, LSH banding, and each document is
-compared with the lowest id of every bucket it falls in (a star, not all
-pairs within a bucket), verified by signature agreement. Candidate pairs
-are at most rows x bands. A document is a near duplicate if it matches a
-lower id.
+Near: exact Jaccard similarity over word 3-gram shingles, candidates by
+prefix filtering (see ``dedup_near``).
 """
 
 from __future__ import annotations
@@ -16,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 
 def dedup_exact(df: DataFrame, id_col: str = "id", text_col: str = "clean") -> DataFrame:
     """(survivor id, copies) per distinct text."""
@@ -36,47 +35,36 @@ def shingles(tokens: Column, k: int = 3) -> Column:
             .when(n < k, F.array(F.array_join(tokens, " "))).otherwise(grams))
 
 
-PRIME = 4294967311  # smallest prime above 2^32
-
-
-def minhash_signatures(df: DataFrame, id_col: str, sh: Column, num_perm: int = 64) -> DataFrame:
-    """(id, sig) with sig[i] = min over shingles of (a + i*b) mod P, where a, b
-    are two independent 32-bit hashes of the shingle (a 2-hash universal
-    family; no overflow: a + 63*b < 2^39). Shingles are exploded and reduced
-    by a code-generated hash aggregate; partial aggregation leaves one row
-    per document per task before the shuffle."""
-    ex = df.select(id_col, F.explode(sh).alias("_s")).select(
-        id_col,
-        F.pmod(F.xxhash64("_s"), F.lit(1 << 32)).alias("_a"),
-        F.pmod(F.xxhash64(F.lit("b"), "_s"), F.lit(1 << 32)).alias("_b"))
-    aggs = [F.min(F.pmod(F.col("_a") + F.lit(i) * F.col("_b"), F.lit(PRIME))).alias(f"_m{i}") for i in range(num_perm)]
-    g = ex.groupBy(id_col).agg(*aggs)
-    return g.select(id_col, F.array(*[F.col(f"_m{i}") for i in range(num_perm)]).alias("sig"))
-
-
-def dedup_near(df: DataFrame, id_col: str = "id", tokens_col: str = "tokens", k: int = 3,
-               bands: int = 16, rows: int = 4, min_similarity: float = 0.7) -> DataFrame:
-    """(id, is_near_duplicate, dup_of, similarity) for every row."""
-    perm = bands * rows
-    from ..session import cut_lineage
-    # signatures feed three branches: materialise them once (reliable
-    # checkpoint in the shared checkpoint folder)
-    sig = cut_lineage(minhash_signatures(df, id_col, shingles(F.col(tokens_col), k), perm))
-    keyed = sig.select(id_col, "sig", F.posexplode(F.sequence(F.lit(0), F.lit(bands - 1))).alias("_p", "band")) \
-               .withColumn("bkey", F.xxhash64(F.col("band"), F.slice("sig", F.col("band") * rows + 1, rows))) \
-               .select(id_col, "band", "bkey")
-    rep = keyed.groupBy("band", "bkey").agg(F.min(id_col).alias("rep"))
-    cand = keyed.join(rep, ["band", "bkey"], "inner").filter(F.col("rep") < F.col(id_col)) \
-                .select(id_col, "rep").distinct()
-    rs = sig.select(F.col(id_col).alias("rep"), F.col("sig").alias("rsig"))
-    ver = cand.join(sig, id_col, "inner").join(rs, "rep", "inner") \
-              .withColumn("similarity", F.aggregate(F.zip_with("sig", "rsig", lambda a, b: (a == b).cast("int")),
-                                                    F.lit(0), lambda acc, x: acc + x) / F.lit(float(perm))) \
-              .filter(F.col("similarity") >= min_similarity)
-    best = ver.groupBy(id_col).agg(F.min_by(F.struct("rep", "similarity"), F.col("rep")).alias("_b"))
-    out = df.select(id_col).join(best, id_col, "left")
-    return out.select(id_col, F.col("_b").isNotNull().alias("is_near_duplicate"),
-                      F.col("_b.rep").alias("dup_of"), F.col("_b.similarity").alias("similarity"))
+def dedup_near(df: DataFrame, id_col: str = "id", tokens_col: str = "tokens", k: int = 3, min_similarity: float = 0.7) -> DataFrame:
+    """(id, is_near_duplicate, dup_of, similarity) for every row: exact.
+
+    A row is a near duplicate if the Jaccard similarity of its distinct
+    shingles to those of a lower id is at least ``min_similarity``; dup_of is
+    the lowest such id. Equal shingle sets are one class. Two sets that
+    similar share a shingle among the rarest of each (all but the share they
+    must have in common), so classes meet on those alone, and candidates are
+    verified on their whole sets.
+    """
+    sets = df.select(F.col(id_col).alias("_id"), F.array_sort(F.array_distinct(F.transform(shingles(F.col(tokens_col), k), lambda g: F.xxhash64(g)))).alias("_s")).where("size(_s) > 0")
+    marked = cut_lineage(sets.withColumn("_c", F.xxhash64("_s", F.size("_s"))))
+    classes = marked.groupBy("_c").agg(F.min("_id").alias("_least"), F.any_value("_s").alias("_s"))
+    held = classes.select("_c", F.explode("_s").alias("_g"))
+    rarity = held.groupBy("_g").agg(F.count(F.lit(1)).alias("_df"))
+    rare = (held.join(rarity, "_g").groupBy("_c").agg(F.array_sort(F.collect_list(F.struct("_df", "_g"))).alias("_o"))
+            .select("_c", F.size("_o").alias("_n"), "_o")
+            .select("_c", "_n", F.explode(F.slice("_o", 1, F.col("_n") - F.ceil(F.col("_n") * F.lit(min_similarity) - 1e-9).cast("int") + 1)).alias("_p"))
+            .where("_p._df > 1").select("_c", "_n", F.col("_p._g").alias("_g")))
+    other = rare.select(F.col("_c").alias("_d"), F.col("_n").alias("_m"), "_g")
+    cand = rare.join(other, "_g").where((F.col("_c") < F.col("_d")) & (F.least("_n", "_m") >= F.greatest("_n", "_m") * F.lit(min_similarity) - 1e-9)).select("_c", "_d").distinct()
+    right = classes.select(F.col("_c").alias("_d"), F.col("_least").alias("_l2"), F.col("_s").alias("_s2"))
+    both = F.size(F.array_intersect("_s", "_s2"))
+    near = (cand.join(classes, "_c").join(right, "_d").withColumn("_sim", both / (F.size("_s") + F.size("_s2") - both).cast("double")).where(F.col("_sim") >= min_similarity))
+    links = near.select("_c", F.col("_l2").alias("_to"), "_sim").unionByName(near.select(F.col("_d").alias("_c"), F.col("_least").alias("_to"), "_sim"))
+    links = links.unionByName(classes.select("_c", F.col("_least").alias("_to"), F.lit(1.0).alias("_sim")))
+    best = links.groupBy("_c").agg(F.min(F.struct("_to", "_sim")).alias("_b"))
+    found = marked.select("_id", "_c").join(best, "_c").where(F.col("_b._to") < F.col("_id")).select(F.col("_id").alias(id_col), "_b")
+    return df.select(id_col).join(found, id_col, "left").select(
+        id_col, F.col("_b").isNotNull().alias("is_near_duplicate"), F.col("_b._to").alias("dup_of"), F.col("_b._sim").alias("similarity"))
 
 
 def word_ngrams(tokens: Column, n: int) -> Column:

@@ -1247,10 +1247,16 @@ def q_dedup_exact(spark, sf):
     return d.select(F.col("id").alias("doc_id"), "n_copies")
 
 
-@register("dedup_near")
+@register("dedup_near", f"""WITH {DOCS_CTE},
+sh AS (SELECT DISTINCT id, unnest(CASE WHEN len(tok) = 0 THEN []::VARCHAR[] WHEN len(tok) < 3 THEN [array_to_string(tok, ' ')]
+         ELSE list_transform(range(1, len(tok) - 1), lambda i: tok[i] || ' ' || tok[i + 1] || ' ' || tok[i + 2]) END) AS g FROM dt),
+n AS (SELECT id, count(*) AS n FROM sh GROUP BY id),
+k AS (SELECT a.id, b.id AS lower_id, count(*) AS k FROM sh a JOIN sh b ON a.g = b.g AND b.id < a.id GROUP BY a.id, b.id),
+j AS (SELECT k.id, k.lower_id, k::DOUBLE / (x.n + y.n - k) AS sim FROM k JOIN n x ON x.id = k.id JOIN n y ON y.id = k.lower_id WHERE k::DOUBLE / (x.n + y.n - k) >= 0.7),
+b AS (SELECT id, min(lower_id) AS dup_of, arg_min(sim, lower_id) AS sim FROM j GROUP BY id)
+SELECT dt.id AS doc_id, b.id IS NOT NULL AS is_near_duplicate, b.dup_of, {S.r6('b.sim')} AS similarity FROM dt LEFT JOIN b USING (id)""")
 def q_dedup_near(spark, sf):
-    """MinHash LSH near duplicates (rows-only check; brute-force
-    Jaccard test on a fixture in tests/)."""
+    """Exact Jaccard near duplicates of a lower id."""
     d = dd.dedup_near(pl.docs(spark, sf))
     return d.select(F.col("id").alias("doc_id"), "is_near_duplicate", "dup_of", r6("similarity").alias("similarity"))
 
