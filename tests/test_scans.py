@@ -61,9 +61,19 @@ def test_topk_two_phase_exact(spark):
         assert [x.id for x in sorted([x for x in got if x.g == g], key=lambda x: x.r)] == [w[1] for w in want]
 
 
-def test_pid_exact_flag(spark):
+def test_pid_scan_refuses_positive_errors(spark):
     from tierflow.config import SPIT_V1
     rows = [(0, T0 + dt.timedelta(seconds=s), i, e, 0.0) for i, (s, e) in enumerate([(0, -5.0), (10, 2.0), (20, -1.0)])]
     df = spark.createDataFrame(rows, "device_id long, ts timestamp_ntz, reading_id long, error double, secondary double")
-    out = telemetry.pid(df, SPIT_V1).collect()
-    assert all(r.pid_exact is False for r in out)  # a positive increment exists on this key
+    with pytest.raises(Exception, match="positive error"):
+        telemetry.pid(df, SPIT_V1).collect()
+
+
+def test_half_failed_reads_take_the_group_defaults(spark):
+    rows = [(1, 60.0, None, 50.0, 6.4, 12.8, 0.5, 2.0), (2, None, 8.0, 50.0, None, 12.8, 0.5, 2.0), (3, 42.5, 8.0, 50.0, 6.4, 12.8, 0.5, 0.0)]
+    tel = spark.createDataFrame(rows, "reading_id long, gpu_temp_c double, vram_gb double, cpu_pct double, ram_gb double, ram_total_gb double, swap_gb double, swap_total_gb double") \
+        .selectExpr("1L AS device_id", "timestamp'2024-01-01' AS ts", "*", "map('acpitz', array(45.0D)) AS sensors")
+    v1 = {r.reading_id: (r.t_norm, r.mem_norm) for r in telemetry.health_v1(tel).collect()}
+    assert v1 == {1: (0.5, 0.5), 2: (0.5, 0.5), 3: (0.5, 0.5)}
+    v2 = {r.reading_id: tuple(r)[3:] for r in telemetry.health_v2(tel).collect()}
+    assert v2[1] == (0.5, 0.5, 0.5, 0.25, 0.0, 0.0) and v2[2] == (0.0,) * 6 and v2[3] == (0.5, 0.5, 0.5, 0.0, 0.5, 0.5)

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..config import TIER1_NAME, TIER2_NAME, validate_threshold
+from ..session import cut_lineage
 from .scoring import ExprScorer
 
 # Stand-in cost model for the expression scorers (seconds per feature):
@@ -103,16 +104,19 @@ def threshold_grid(spark, thresholds) -> DataFrame:
 
 
 def sweep(scored: DataFrame, grid: DataFrame, label: str = "label") -> DataFrame:
-    """Both tiers scored once; every threshold evaluated by a
-    broadcast nested-loop join with the grid (a few rows, fixed by the
-    caller) and one aggregation. Work does not grow with the grid except
-    for arithmetic. Needs p1, c1, p2, c2, tier1_latency, tier2_cost."""
-    x = scored.crossJoin(F.broadcast(grid))
-    esc = F.col("c1") < F.col("threshold")
-    x = x.withColumn("_esc", esc).withColumn("prediction", F.when(esc, F.col("p2")).otherwise(F.col("p1")))
-    cm = x.groupBy("threshold", F.col(label).alias("y"), F.col("prediction").alias("p")).agg(
-        F.count(F.lit(1)).alias("n"), F.count_if("_esc").alias("n_esc"),
-        F.sum(F.col("tier1_latency") + F.when(F.col("_esc"), F.col("tier2_cost")).otherwise(0.0)).alias("lat"))
-    # tiny (thresholds x classes^2) and read by several reports: cache it so
-    # both tiers are scored once
-    return cm.persist()
+    """Both tiers scored once; every row falls into the gap between
+    two thresholds of the sorted grid (a parameter, a few values), one
+    aggregation counts rows by gap, and the thresholds expand what is left of
+    it. Needs p1, c1, p2, c2, tier1_latency, tier2_cost."""
+    steps = sorted(r["threshold"] for r in grid.collect())
+    gap = sum((F.col("c1") >= F.lit(t)).cast("int") for t in steps)  # escalated by the thresholds from this one on
+    cells = scored.groupBy(gap.alias("_gap"), F.col(label).alias("y"), "p1", "p2").agg(
+        F.count(F.lit(1)).alias("_n"), F.sum("tier1_latency").alias("_l1"), F.sum("tier2_cost").alias("_l2"))
+    each = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(t).alias("threshold")) for i, t in enumerate(steps)]))
+    x = cells.select("*", each.alias("_t"))
+    esc = F.col("_t.i") >= F.col("_gap")
+    cm = x.groupBy(F.col("_t.threshold").alias("threshold"), "y", F.when(esc, F.col("p2")).otherwise(F.col("p1")).alias("p")).agg(
+        F.sum("_n").alias("n"), F.sum(F.when(esc, F.col("_n")).otherwise(F.lit(0))).alias("n_esc"),
+        F.sum(F.col("_l1") + F.when(esc, F.col("_l2")).otherwise(F.lit(0.0))).alias("lat"))
+    # tiny (thresholds x classes^2), and several reports read it
+    return cut_lineage(cm)

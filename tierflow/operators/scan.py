@@ -80,7 +80,7 @@ def pid_scan(df: DataFrame, key: str, t_col: str, tie_col: str, err_col: str,
     The clamped integral equals greatest(-limit, running sum) exactly when
     every increment is <= 0, which holds because the normalised readings are
     clipped to <= 1 (error = (T_norm - 1) * setpoint <= 0). Increments are
-    checked: a positive one makes ``pid_exact`` false on that key's rows.
+    checked: a positive one raises, rather than give a wrong integral.
     """
     t = F.col(t_col)
     e = F.col(err_col)
@@ -114,7 +114,8 @@ def pid_scan(df: DataFrame, key: str, t_col: str, tie_col: str, err_col: str,
     prev_t = F.when(first, F.col("_pt")).otherwise(F.col("_lt"))
     prev_e = F.coalesce(F.when(first, F.col("_pe")).otherwise(F.col("_le")), F.lit(0.0))
     dt = F.when(prev_t.isNull(), F.lit(dt_floor)).otherwise(F.greatest(sec(t, prev_t), F.lit(dt_floor)))
-    running = F.col("_off") + F.col("_finc") + F.col("_cum")
+    running = (F.when(F.coalesce(F.col("_pos"), F.lit(0.0)) <= 0, F.col("_off") + F.col("_finc") + F.col("_cum"))
+               .otherwise(F.raise_error(F.lit("pid_scan: a positive error; the chunked scan holds for errors <= 0")).cast("double")))
     integral = F.greatest(F.lit(-integral_limit), F.least(F.lit(integral_limit), running))
     p = f"{prefix}"
     y = (y.withColumn(f"{p}dt", dt)
@@ -122,8 +123,7 @@ def pid_scan(df: DataFrame, key: str, t_col: str, tie_col: str, err_col: str,
           .withColumn(f"{p}derivative", (e - prev_e) / dt)
           .withColumn(f"{p}phi_raw", F.lit(kp) * e + F.lit(ki) * F.col(f"{p}integral")
                       + F.lit(kd) * F.col(f"{p}derivative") + F.col(secondary_col))
-          .withColumn(f"{p}phi", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col(f"{p}phi_raw"))))
-          .withColumn(f"{p}pid_exact", F.col("_pos") <= 0))
+          .withColumn(f"{p}phi", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col(f"{p}phi_raw")))))
     return y.drop("_c", "_lt", "_le", "_rn", "_inc", "_cum", "_pt", "_pe", "_finc", "_off", "_pos")
 
 

@@ -57,8 +57,10 @@ def _first_sensor_v1(sensors: Column, keys) -> Column:
 def health_v1(tel: DataFrame, cfg: SpitConfig = SPIT_V1) -> DataFrame:
     """[T_norm, MEM_norm] and the mode's set-point per reading."""
     gpu = F.col("gpu_temp_c").isNotNull() | F.col("vram_gb").isNotNull()
-    gpu_t = F.coalesce(clip(F.col("gpu_temp_c") / cfg.gpu_setpoint, 0, 1), F.lit(0.5))
-    gpu_m = F.coalesce(clip(F.col("vram_gb") / cfg.vram_capacity_gb, 0, 1), F.lit(0.5))
+    # a read is whole or it failed: with half of it missing, both take the default
+    whole = F.col("gpu_temp_c").isNotNull() & F.col("vram_gb").isNotNull()
+    gpu_t = F.when(whole, clip(F.col("gpu_temp_c") / cfg.gpu_setpoint, 0, 1)).otherwise(F.lit(0.5))
+    gpu_m = F.when(whole, clip(F.col("vram_gb") / cfg.vram_capacity_gb, 0, 1)).otherwise(F.lit(0.5))
     sensor = _first_sensor_v1(F.col("sensors"), CPU_SENSOR_KEYS_V1)
     cpu_t = F.coalesce(clip(sensor / cfg.cpu_setpoint, 0, 1), clip(F.col("cpu_pct") / 100.0, 0, 1), F.lit(0.4))
     cpu_m = F.coalesce(clip(F.col("ram_gb") / cfg.ram_capacity_gb, 0, 1), F.lit(0.4))
@@ -81,19 +83,21 @@ def _cpu_temp_v2(sensors: Column, keys) -> Column:
 
 
 def health_v2(tel: DataFrame, cfg: SpitConfig = SPIT_V2) -> DataFrame:
-    """The six-element vector; missing parts are 0."""
-    swap = F.when(F.col("swap_total_gb") > 0,
-                  clip(F.col("swap_gb") / F.col("swap_total_gb"), 0, 1)).otherwise(F.lit(0.0))
+    """The six-element vector. A block (CPU, GPU) whose read failed in
+    part is all zeros; a machine without sensors or swap reads 0 there."""
+    cpu = F.col("cpu_pct").isNotNull() & F.col("ram_gb").isNotNull() & (F.col("ram_total_gb") > 0) & F.col("swap_total_gb").isNotNull()
+    gpu = F.col("gpu_temp_c").isNotNull() & F.col("vram_gb").isNotNull()
+    zero = F.lit(0.0)
+    swap = F.when(F.col("swap_total_gb") > 0, clip(F.col("swap_gb") / F.col("swap_total_gb"), 0, 1))
     return tel.select(
         "device_id", "ts", "reading_id",
-        F.coalesce(clip(F.col("cpu_pct") / 100.0, 0, 1), F.lit(0.0)).alias("cpu_load_norm"),
-        F.coalesce(clip(F.col("ram_gb") / F.nullif(F.col("ram_total_gb"), F.lit(0.0)), 0, 1),
-                   F.lit(0.0)).alias("ram_usage_norm"),
-        F.coalesce(clip(_cpu_temp_v2(F.col("sensors"), CPU_SENSOR_KEYS_V2) / cfg.cpu_setpoint, 0, 1),
-                   F.lit(0.0)).alias("cpu_temp_norm"),
-        F.coalesce(swap, F.lit(0.0)).alias("swap_norm"),
-        F.coalesce(clip(F.col("gpu_temp_c") / cfg.gpu_setpoint, 0, 1), F.lit(0.0)).alias("gpu_temp_norm"),
-        F.coalesce(clip(F.col("vram_gb") / cfg.vram_capacity_gb, 0, 1), F.lit(0.0)).alias("vram_usage_norm"),
+        F.when(cpu, clip(F.col("cpu_pct") / 100.0, 0, 1)).otherwise(zero).alias("cpu_load_norm"),
+        F.when(cpu, clip(F.col("ram_gb") / F.col("ram_total_gb"), 0, 1)).otherwise(zero).alias("ram_usage_norm"),
+        F.when(cpu, F.coalesce(clip(_cpu_temp_v2(F.col("sensors"), CPU_SENSOR_KEYS_V2) / cfg.cpu_setpoint, 0, 1), zero))
+        .otherwise(zero).alias("cpu_temp_norm"),
+        F.when(cpu, F.coalesce(swap, zero)).otherwise(zero).alias("swap_norm"),
+        F.when(gpu, clip(F.col("gpu_temp_c") / cfg.gpu_setpoint, 0, 1)).otherwise(zero).alias("gpu_temp_norm"),
+        F.when(gpu, clip(F.col("vram_gb") / cfg.vram_capacity_gb, 0, 1)).otherwise(zero).alias("vram_usage_norm"),
     )
 
 

@@ -486,20 +486,23 @@ FROM (SELECT *, CAST(json_extract_string(props, '$.k') AS DOUBLE) AS k FROM even
 
 HV1_CTE = f"""hv1 AS (SELECT device_id, ts, reading_id,
        CASE WHEN gpu_temp_c IS NOT NULL OR vram_gb IS NOT NULL THEN 'gpu' ELSE 'cpu' END AS mode,
-       CASE WHEN gpu_temp_c IS NOT NULL OR vram_gb IS NOT NULL THEN coalesce({S.clip('gpu_temp_c / 85.0')}, 0.5)
+       CASE WHEN gpu_temp_c IS NOT NULL OR vram_gb IS NOT NULL THEN CASE WHEN gpu_temp_c IS NULL OR vram_gb IS NULL THEN 0.5::DOUBLE ELSE {S.clip('gpu_temp_c / 85.0')} END
             ELSE coalesce({S.clip('sensor_temp / 75.0')}, {S.clip('cpu_pct / 100.0')}, 0.4) END AS t_norm,
-       CASE WHEN gpu_temp_c IS NOT NULL OR vram_gb IS NOT NULL THEN coalesce({S.clip('vram_gb / 16.0')}, 0.5)
+       CASE WHEN gpu_temp_c IS NOT NULL OR vram_gb IS NOT NULL THEN CASE WHEN gpu_temp_c IS NULL OR vram_gb IS NULL THEN 0.5::DOUBLE ELSE {S.clip('vram_gb / 16.0')} END
             ELSE coalesce({S.clip('ram_gb / 12.8')}, 0.4) END AS mem_norm,
        CASE WHEN gpu_temp_c IS NOT NULL OR vram_gb IS NOT NULL THEN 85.0 ELSE 75.0 END::DOUBLE AS setpoint
 FROM tel)"""
 
+_CPU_READ = "(cpu_pct IS NOT NULL AND ram_gb IS NOT NULL AND ram_total_gb > 0 AND swap_total_gb IS NOT NULL)"
+_GPU_READ = "(gpu_temp_c IS NOT NULL AND vram_gb IS NOT NULL)"
+
 HV2_CTE = f"""hv2 AS (SELECT device_id, ts, reading_id,
-       coalesce({S.clip('cpu_pct / 100.0')}, 0.0) AS cpu_load_norm,
-       coalesce({S.clip('ram_gb / nullif(ram_total_gb, 0)')}, 0.0) AS ram_usage_norm,
-       coalesce({S.clip('sensor_temp / 90.0')}, 0.0) AS cpu_temp_norm,
-       CASE WHEN swap_total_gb > 0 THEN {S.clip('swap_gb / swap_total_gb')} ELSE 0.0 END AS swap_norm,
-       coalesce({S.clip('gpu_temp_c / 85.0')}, 0.0) AS gpu_temp_norm,
-       coalesce({S.clip('vram_gb / 16.0')}, 0.0) AS vram_usage_norm
+       CASE WHEN {_CPU_READ} THEN {S.clip('cpu_pct / 100.0')} ELSE 0.0 END AS cpu_load_norm,
+       CASE WHEN {_CPU_READ} THEN {S.clip('ram_gb / ram_total_gb')} ELSE 0.0 END AS ram_usage_norm,
+       CASE WHEN {_CPU_READ} THEN coalesce({S.clip('sensor_temp / 90.0')}, 0.0) ELSE 0.0 END AS cpu_temp_norm,
+       CASE WHEN {_CPU_READ} AND swap_total_gb > 0 THEN coalesce({S.clip('swap_gb / swap_total_gb')}, 0.0) ELSE 0.0 END AS swap_norm,
+       CASE WHEN {_GPU_READ} THEN {S.clip('gpu_temp_c / 85.0')} ELSE 0.0 END AS gpu_temp_norm,
+       CASE WHEN {_GPU_READ} THEN {S.clip('vram_gb / 16.0')} ELSE 0.0 END AS vram_usage_norm
 FROM tel)"""
 
 
@@ -578,16 +581,16 @@ def q_asof_telemetry(spark, sf):
 
 
 DYN_CTE = f"""{SCORED_CTE}, {H_CTE}, {TEL_CTE}, {HV1_CTE},
-ctx AS (SELECT sc.*, e.ts, e.user_id AS device_id FROM sc JOIN events e ON e.event_id = sc.id),
+ctx AS (SELECT sc.*, e.ts, e.user_id AS device_id FROM sc JOIN events e ON e.event_id = sc.id),  -- the controller's steps: posts with an arrival
 soc AS (SELECT doc_id AS id, {S.social_cols('doc_id')} FROM documents),
 aso AS (SELECT ctx.*, r.t_norm, r.mem_norm, r.setpoint FROM ctx ASOF LEFT JOIN hv1 r ON ctx.device_id = r.device_id AND ctx.ts > r.ts),
 pin AS (SELECT id, device_id, epoch_us(ts) AS t,
                coalesce(t_norm, 0.4) * coalesce(setpoint, 75.0) - coalesce(setpoint, 75.0) AS e,
                0.10::DOUBLE * coalesce(mem_norm, 0.4) AS sec FROM aso),
 {pid_sql('SELECT * FROM pin', 'device_id', 'id', 1e-3)},
-dyn AS (SELECT sc.id, sc.source, pid.device_id, pid.phi, {S.psi('retweet_count', 'follower_count', 'burst_rate_ppm', 'platform')} AS psi, hh.h,
+dyn AS (SELECT sc.id, sc.source, pid.device_id, coalesce(pid.phi, 0.0::DOUBLE) AS phi, {S.psi('retweet_count', 'follower_count', 'burst_rate_ppm', 'platform')} AS psi, hh.h,
                sc.p1, sc.c1, sc.p2, sc.c2
-        FROM sc JOIN pid USING (id) JOIN soc USING (id) JOIN hh USING (id)),
+        FROM sc LEFT JOIN pid USING (id) JOIN soc USING (id) JOIN hh USING (id)),
 dyn2 AS (SELECT *, {S.tau('phi', 'psi', 'h')} AS tau FROM dyn)"""
 
 
@@ -956,7 +959,7 @@ BUCKET_SQL = """CASE WHEN compound >= 0.6 THEN 'Ultra Positive' WHEN compound >=
      WHEN compound > -0.6 THEN 'Negative' ELSE 'Ultra Negative' END"""
 
 TAG_CTE = f"""{SCORED_CTE},
-ctx AS (SELECT sc.*, e.ts, e.user_id AS device_id, e.event_type AS topic FROM sc JOIN events e ON e.event_id = sc.id),
+ctx AS (SELECT sc.*, e.ts, e.user_id AS device_id, e.event_type AS topic FROM sc LEFT JOIN events e ON e.event_id = sc.id),
 soc AS (SELECT doc_id AS id, {S.social_cols('doc_id')} FROM documents),
 tg AS (SELECT id, source AS product, lang AS community, device_id, topic, ts, CAST(ts AS DATE) AS date, p1, c1, p2,
               CASE WHEN c1 < {THRESHOLD} THEN p2 ELSE p1 END AS prediction, {compound_sql('tok')} AS compound, follower_count
@@ -975,9 +978,7 @@ def _tagged(spark, sf) -> DataFrame:
     s = routing.route_fixed(ctx, tier1_scorer(), tier2_scorer(), THRESHOLD)
     s = pl.with_social(s)
     s = so.with_stand_in_compound(s)
-    p2_all, _ = tier2_scorer().columns(F.col("tokens"))
-    it = so.intent("c1", "compound")
-    s = s.withColumn("intent", it).withColumn("p2c", F.when(F.col("intent") == "COMPLEX", p2_all))
+    s = s.withColumn("intent", so.intent("c1", "compound"))  # COMPLEX rows are escalated: tier 2 is there
     return (s.withColumn("product", F.col("source")).withColumn("community", F.col("lang"))
              .withColumn("date", F.to_date("ts"))
              .withColumn("sentiment", F.when(F.col("prediction") == 1, "positive").otherwise("negative"))
@@ -985,7 +986,7 @@ def _tagged(spark, sf) -> DataFrame:
              .withColumn("score10", so.score10("compound"))
              .withColumn("demographic", so.demographic("follower_count"))
              .withColumn("sarcasm", F.when(F.col("intent") == "COMPLEX",
-                                           F.when(F.col("p2c") != F.col("p1"), "SARCASM").otherwise("LITERAL"))))
+                                           F.when(F.col("p2") != F.col("p1"), "SARCASM").otherwise("LITERAL"))))
 
 
 def _conv_scored(spark, sf):
@@ -1053,7 +1054,7 @@ SELECT product, count(*) AS total, count(*) FILTER (WHERE sentiment = 'positive'
 FROM tagged GROUP BY product""")
 def q_sentiment_stats(spark, sf):
     """Per product totals, positive/negative, sarcastic re-labels."""
-    t = _tagged(spark, sf).withColumn("_p2", F.col("p2c"))  # tier 2 only ran on COMPLEX rows
+    t = _tagged(spark, sf).withColumn("_p2", F.col("p2"))  # tier 2 only ran on COMPLEX rows
     sar = F.col("sarcasm") == "SARCASM"
     return t.groupBy("product").agg(
         F.count(F.lit(1)).alias("total"), F.count_if(F.col("sentiment") == "positive").alias("positive"),

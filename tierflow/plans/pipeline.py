@@ -82,10 +82,10 @@ def scored_both(spark: SparkSession, sf: str, frame: DataFrame | None = None) ->
 
 
 def post_context(spark: SparkSession, sf: str) -> DataFrame:
-    """Posts joined to their arrival event: device, ts and topic."""
+    """Posts with their arrival event: device, ts and topic (null without one)."""
     ev = read_table(spark, sf, "events").select(
         F.col("event_id").alias("id"), "ts", F.col("user_id").alias("device_id"), F.col("event_type").alias("topic"))
-    return docs(spark, sf).join(ev, "id", "inner")
+    return docs(spark, sf).join(ev, "id", "left")
 
 
 def readings_v1(spark: SparkSession, sf: str, cfg: SpitConfig = SPIT_V1) -> DataFrame:
@@ -93,13 +93,22 @@ def readings_v1(spark: SparkSession, sf: str, cfg: SpitConfig = SPIT_V1) -> Data
     return telemetry.health_v1(tel, cfg)
 
 
+def _default_phi(cfg: SpitConfig) -> float:
+    """The controller's first step over the default vector (0.4, 0.4)."""
+    e, dt = 0.4 * cfg.cpu_setpoint - cfg.cpu_setpoint, cfg.dt_floor
+    total = max(-cfg.integral_limit, min(cfg.integral_limit, e * dt))
+    return max(0.0, min(1.0, cfg.kp * e + cfg.ki * total + cfg.kd * e / dt + cfg.mem_weight * 0.4))
+
+
 def dynamic_route(spark: SparkSession, sf: str, cfg: SpitConfig = SPIT_V1, chunk_seconds: int = 3600) -> DataFrame:
     """As-of reading -> PID per device over its posts -> tau -> route.
 
     The latest reading strictly before the post is used (the sidecar's last
     completed poll); a device without one takes the CPU defaults (0.4, 0.4).
     The controller runs on a narrow (id, device, ts) frame; its phi is
-    joined once to the scored posts, so text work happens once per post.
+    joined once to the scored posts, so text work happens once per post. A
+    post without an arrival event has no place in a device's order: it gets
+    the phi that a first step over the default vector gives.
     """
     ev = read_table(spark, sf, "events").select(
         F.col("event_id").alias("id"), "ts", F.col("user_id").alias("device_id"))
@@ -113,7 +122,8 @@ def dynamic_route(spark: SparkSession, sf: str, cfg: SpitConfig = SPIT_V1, chunk
     phi = telemetry.pid(telemetry.pid_inputs_v1(x, cfg), cfg, tie="id", chunk_seconds=chunk_seconds) \
         .select("id", "device_id", "phi")
     posts = with_social(routing.score_tier1(docs(spark, sf), tier1_scorer()))
-    y = with_signals(posts.join(phi, "id", "inner"), cfg, phi="phi")
+    posts = posts.join(phi, "id", "left").withColumn("phi", F.coalesce("phi", F.lit(_default_phi(cfg))))
+    y = with_signals(posts, cfg, phi="phi")
     y = y.withColumn("escalate", F.col("c1") < F.col("tau"))
     return routing.route_expr(y, tier2_scorer(), "escalate")
 
