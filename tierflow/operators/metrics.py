@@ -128,3 +128,50 @@ def histogram(df: DataFrame, value: str, bins: int = 30, group: list[str] | None
                                    .cast("int"))).otherwise(F.lit(0))
     return (j.withColumn("bin", b.cast("int")).groupBy(*group, "bin")
              .agg(F.count(F.lit(1)).alias("n"), F.min("_lo").alias("lo"), F.min("_hi").alias("hi")))
+
+
+def exact_quantiles(df: DataFrame, col: str, probs: list[float]) -> dict[float, float]:
+    """Exact quantiles with linear interpolation, no task sees all rows.
+
+    Narrows a value range by counting: each pass counts rows in 256 equal
+    parts of the range that holds a wanted rank, until that range holds one
+    value; a pass is one partial aggregate.
+    """
+    x = df.where(F.col(col).isNotNull() & ~F.isnan(F.col(col).cast("double"))).select(F.col(col).cast("double").alias("v"))
+    low, high, n = x.agg(F.min("v"), F.max("v"), F.count(F.lit(1))).first()
+    if not n:
+        return {p: None for p in probs}
+
+    def at(rank: int) -> float:
+        """The value of a 0-based rank."""
+        a, b, before, part = low, high, 0, x
+        while a < b:
+            width = (b - a) / 256
+            slot = F.least(F.lit(255), F.floor((F.col("v") - F.lit(a)) / F.lit(width)).cast("int")) if width > 0 else F.lit(0)
+            found = part.groupBy(slot.alias("s")).agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("a"), F.max("v").alias("b")).orderBy("s").collect()
+            for r in found:
+                if before + r["n"] > rank:
+                    a, b = r["a"], r["b"]
+                    break
+                before += r["n"]
+            part = x.where((F.col("v") >= F.lit(a)) & (F.col("v") <= F.lit(b)))
+        return a
+
+    out = {}
+    for p in probs:
+        place = p * (n - 1)
+        one = at(int(place))
+        rest = place - int(place)
+        out[p] = one if not rest else one + (at(int(place) + 1) - one) * rest
+    return out
+
+
+def describe(df: DataFrame, cols: list[str]) -> DataFrame:
+    """(stat, col...) with count, mean, std, min, quartiles and max, 2 dp."""
+    simple = [("count", F.count), ("mean", F.avg), ("std", F.stddev_samp), ("min", F.min), ("max", F.max)]
+    row = df.agg(*[fn(c).cast("double").alias(f"{name}|{c}") for name, fn in simple for c in cols]).first()
+    marks = {c: exact_quantiles(df, c, [0.25, 0.5, 0.75]) for c in cols}
+    value = lambda s, c: marks[c][float(s[:-1]) / 100] if s.endswith("%") else row[f"{s}|{c}"]
+    stats = ["count", "mean", "std", "min", "25%", "50%", "75%", "max"]
+    table = df.sparkSession.createDataFrame([(s, *[value(s, c) for c in cols]) for s in stats], "stat string, " + ", ".join(f"{c} double" for c in cols))
+    return table.select("stat", *[F.round(c, 2).alias(c) for c in cols])

@@ -66,7 +66,8 @@ def route_fixed_frames(df: DataFrame, score1, score2, threshold: float = 0.85,
     rows to tier 2, overlay tier 2 by id (J3)."""
     validate_threshold(threshold)
     s1 = score1(df).withColumnRenamed("pred", "p1").withColumnRenamed("conf", "c1") \
-        .withColumn("escalate", F.col("c1") < F.lit(threshold)).persist()
+        .withColumn("escalate", F.col("c1") < F.lit(threshold))
+    s1 = cut_lineage(s1)  # it feeds two branches; survives lost executors, needs no release
     esc = s1.filter("escalate").select(*[c for c in df.columns])
     s2 = score2(esc)
     lat = [F.col("latency_s").alias("tier2_latency")] if "latency_s" in s2.columns else []

@@ -7,7 +7,7 @@ come from the bucketed exact rank (no window spans a whole class).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .scan import exact_hash_rank
@@ -20,6 +20,13 @@ def _h(seed, id_col: str):
 def sample_exact(df: DataFrame, n: int | None, seed: int = 42, id_col: str = "id") -> DataFrame:
     """Exactly min(n, rows) rows without replacement; n falsy = no cap."""
     x = df.withColumn("_h", _h(seed, id_col))
+    if n:
+        # rows beyond the hash bucket in which the n-th falls never move: bucket counts (65,536 at most) tell it
+        bucket = F.conv(F.substring("_h", 1, 4), 16, 10).cast("int")
+        so_far = F.sum("_n").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        last = (df.select(_h(seed, id_col).alias("_h")).groupBy(bucket.alias("_b")).agg(F.count(F.lit(1)).alias("_n"))
+                .withColumn("_s", so_far).where(F.col("_s") >= n).agg(F.min("_b")))
+        x = x.where(bucket <= F.coalesce(last.scalar(), F.lit(65535)))
     r = exact_hash_rank(x, [], "_h", id_col, out="sample_rank")
     if n:
         r = r.filter(F.col("sample_rank") <= n)

@@ -216,27 +216,21 @@ def _describe_sql(cols: list[str]) -> str:
     return " UNION ALL ".join(parts)
 
 
-@register("social_describe", f"""WITH soc AS (SELECT {S.social_cols('doc_id')} FROM documents)
-{_describe_sql(['follower_count', 'retweet_count', 'burst_rate_ppm'])}""")
+@register("social_describe", f"""WITH soc AS (SELECT value, length(props) AS props_chars, hour(ts) AS hour FROM events)
+{_describe_sql(['value', 'props_chars', 'hour'])}""")
 def q_social_describe(spark, sf):
-    """count/mean/std/min/quartiles/max, 2 dp (exact percentiles)."""
-    d = pl.with_social(read_table(spark, sf, "documents").select("doc_id"), "doc_id")
-    cols = ["follower_count", "retweet_count", "burst_rate_ppm"]
-    stats = [("count", lambda c: F.count(c).cast("double")), ("mean", lambda c: F.avg(c)),
-             ("std", lambda c: F.stddev_samp(c)), ("min", lambda c: F.min(c).cast("double")),
-             ("25%", lambda c: F.percentile(c, 0.25)), ("50%", lambda c: F.percentile(c, 0.5)),
-             ("75%", lambda c: F.percentile(c, 0.75)), ("max", lambda c: F.max(c).cast("double"))]
-    aggs = [F.round(fn(c).cast("double"), 2).alias(f"{name}|{c}") for name, fn in stats for c in cols]
-    wide = d.agg(*aggs)
-    stack = ", ".join(f"'{name}', " + ", ".join(f"`{name}|{c}`" for c in cols) for name, _ in stats)
-    return wide.selectExpr(f"stack({len(stats)}, {stack}) AS (stat, {', '.join(cols)})")
-
-
-@register("platform_counts", f"SELECT platform, count(*) AS n FROM (SELECT {S.social_cols('doc_id')} FROM documents) GROUP BY platform")
+    """count/mean/std/min/quartiles/max, 2 dp, of the events' columns.
+    Quartiles are exact: the rows at the wanted ranks, found by counting
+   , see metrics.exact_quantiles."""
+    d = read_table(spark, sf, "events").select(
+        F.col("value").cast("double").alias("value"), F.length("props").cast("double").alias("props_chars"), F.hour("ts").cast("double").alias("hour"))
+    return metrics.describe(d, ["value", "props_chars", "hour"])
+
+
+@register("platform_counts", "SELECT event_type AS platform, count(*) AS n FROM events GROUP BY event_type")
 def q_platform_counts(spark, sf):
-    """Value counts per platform."""
-    d = pl.with_social(read_table(spark, sf, "documents").select("doc_id"), "doc_id")
-    return d.groupBy("platform").agg(F.count(F.lit(1)).alias("n"))
+    """Value counts (the channel of the events)."""
+    return read_table(spark, sf, "events").groupBy(F.col("event_type").alias("platform")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @register("psi_socio", f"""WITH soc AS (SELECT doc_id, {S.social_cols('doc_id')} FROM documents)
@@ -1229,7 +1223,7 @@ import os as _os  # noqa: E402
 import uuid as _uuid  # noqa: E402
 
 from ..operators import dedup as dd  # noqa: E402
-from ..operators.scoring import PandasBatchScorer, lr_predict, train_lr  # noqa: E402
+from ..operators.scoring import TIER1_PRESET, TIER2_PRESET, PandasBatchScorer, lr_predict, train_lr  # noqa: E402
 from ..session import ensure_checkpoint_dir  # noqa: E402
 from ..sources import readers as rd  # noqa: E402
 from ..sources import sinks as sk  # noqa: E402
@@ -1285,22 +1279,56 @@ def q_benchmark_contamination(spark, sf):
     return c.select("doc_id", "item_id", r6("containment").alias("containment"))
 
 
-@register("polarity_csv_roundtrip", f"""WITH {DOCS_CTE}
-SELECT d.id AS doc_id, l.quality * 4 AS polarity, (l.quality = 1)::INTEGER AS label, d.clean AS text FROM docs d JOIN labels l ON l.doc_id = d.id""")
+@register("polarity_csv_roundtrip", """SELECT d.doc_id, l.quality * 4 AS polarity, (l.quality = 1)::INTEGER AS label, coalesce(d.text, '') AS text
+FROM documents d JOIN labels l USING (doc_id)""")
 def q_polarity_csv_roundtrip(spark, sf):
-    """S7 + S1 + P3: write a headerless 6-column latin-1 CSV derived from the
-    labelled documents into the shared scratch folder, read it back."""
-    d = pl.docs(spark, sf).join(read_table(spark, sf, "labels").select(F.col("doc_id").alias("id"), "quality"), "id")
-    six = d.select((F.col("quality") * 4).alias("polarity"), F.col("id").cast("string").alias("c1"),
+    """S7 + S1 + P3: write the labelled documents' raw texts as a headerless
+    6-column latin-1 CSV (quotes doubled) into the shared scratch folder, read
+    it back."""
+    d = read_table(spark, sf, "documents").join(read_table(spark, sf, "labels").select("doc_id", "quality"), "doc_id")
+    six = d.select((F.col("quality") * 4).alias("polarity"), F.col("doc_id").cast("string").alias("c1"),
                    F.lit("NO_DATE").alias("c2"), F.lit("NO_QUERY").alias("c3"), F.col("source").alias("c4"),
-                   F.col("clean").alias("text"))
+                   F.coalesce("text", F.lit("")).alias("text"))
     path = _scratch(spark, "polarity-csv")
-    six.write.mode("overwrite").option("header", False).option("encoding", "ISO-8859-1") \
-       .option("emptyValue", "").csv(path)
+    sk.write_csv(six, path, header=False, encoding="ISO-8859-1")
     back = rd.read_polarity_csv(spark, path)
     return back.select(F.col("id").alias("doc_id"), "polarity", "label", F.coalesce("text", F.lit("")).alias("text"))
 
 
+def _content_split_sql(rows: str, keep: str) -> str:
+    """The split of rows (text, label) whose ids come from the order of their content."""
+    return f"""WITH r AS ({rows}),
+i AS (SELECT text, label, row_number() OVER (ORDER BY md5(text || chr(1) || label::VARCHAR), text) - 1 AS id FROM r),
+k AS ({keep}),
+s AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY md5('{SEED}:' || id::VARCHAR), id) AS rk, count(*) OVER (PARTITION BY label) AS n FROM k)
+SELECT md5(text) AS text_md5, label::INTEGER AS label, CASE WHEN rk <= round(n * 0.2) THEN 'test' ELSE 'train' END AS split, count(*) AS n_rows FROM s GROUP BY ALL"""
+
+
+def _content_split(spark, rows, source: str, name: str):
+    path = _scratch(spark, name)
+    rows.repartition(7).write.parquet(path)
+    return (rd.get_data(spark, source, path, seed=SEED).groupBy(F.md5("text").alias("text_md5"), "label", "split")
+            .agg(F.count(F.lit(1)).alias("n_rows")))
+
+
+@register("labelled_text_split", _content_split_sql(
+    "SELECT coalesce(d.text, '') AS text, l.quality AS label FROM documents d JOIN labels l USING (doc_id)", "SELECT * FROM i"))
+def q_labelled_text_split(spark, sf):
+    """S2 + S4: labelled texts without ids, from several files, through the dispatcher."""
+    d = read_table(spark, sf, "documents").join(read_table(spark, sf, "labels"), "doc_id")
+    return _content_split(spark, d.select(F.coalesce("text", F.lit("")).alias("sentence"), F.col("quality").alias("label")), "sst2", "labelled-text")
+
+
+@register("three_class_split", _content_split_sql(
+    "SELECT coalesce(d.text, '') AS text, CASE WHEN l.toxic = 1 THEN 0 WHEN l.quality = 1 THEN 2 ELSE 1 END AS label FROM documents d JOIN labels l USING (doc_id)",
+    "SELECT text, CASE WHEN label = 2 THEN 1 ELSE 0 END AS label, id FROM i WHERE label IN (0, 2)"))
+def q_three_class_split(spark, sf):
+    """S3 + S4: three classes to two, neutral dropped, through the dispatcher."""
+    d = read_table(spark, sf, "documents").join(read_table(spark, sf, "labels"), "doc_id")
+    three = F.when(F.col("toxic") == 1, 0).when(F.col("quality") == 1, 2).otherwise(1)
+    return _content_split(spark, d.select(F.coalesce("text", F.lit("")).alias("text"), three.alias("label")), "tweet_eval", "three-class")
+
+
 @register("wide_csv_unpivot", f"""WITH {DOCS_CTE}
 SELECT source AS product, (row_number() OVER (PARTITION BY source ORDER BY id) - 1)::BIGINT AS row_idx,
        source = (SELECT min(source) FROM docs) AS is_target, clean AS message FROM docs""")
@@ -1362,13 +1390,23 @@ def q_payload_validate(spark, sf):
 
 
 def _py_tier1_factory():
+    return _py_model("t1:", 1)
+
+
+def _py_tier2_factory():
+    return _py_model("t2:", 2)
+
+
+def _py_model(key: str, ngrams: int):
     def predict(texts):
         preds, confs = [], []
         for t in texts:
             toks = [x for x in t.split(" ") if x]
+            if ngrams == 2:
+                toks = toks + [f"{a} {b}" for a, b in zip(toks, toks[1:])]
             s = 0.0
             for x in toks:
-                s += 2.0 * (int(_hashlib.md5(("t1:" + x).encode()).hexdigest()[:8], 16) / 4294967296.0) - 1.0
+                s += 2.0 * (int(_hashlib.md5((key + x).encode()).hexdigest()[:8], 16) / 4294967296.0) - 1.0
             p = 1.0 / (1.0 + _math.exp(-(s / _math.sqrt(len(toks))))) if toks else 0.5
             preds.append(1 if p > 0.5 else 0)
             confs.append(max(p, 1.0 - p))
@@ -1382,11 +1420,22 @@ def q_udf_batched_score(spark, sf):
     """M6/M8: a Python model through Arrow batches (mapInPandas, batch 32,
     model built once per worker). The callable re-implements the tier-1
     stand-in in plain Python, so the oracle is the same SQL formula."""
-    scorer = PandasBatchScorer("py_tier1", _py_tier1_factory, batch_size=32)
+    scorer = PandasBatchScorer("py_tier1", _py_tier1_factory, batch_size=TIER1_PRESET.batch_size)
     s = scorer.score(pl.docs(spark, sf).select("id", "clean"), text_col="clean")
     return s.select(F.col("id").alias("doc_id"), F.col("pred").alias("prediction"), r6("conf").alias("confidence"))
 
 
+@register("route_fixed_python", ORACLE["route_fixed"])
+def q_route_fixed_python(spark, sf):
+    """The fixed cascade over Python models with the tiers' batch
+    sizes; only escalated rows reach the second."""
+    one = PandasBatchScorer("py_tier1", _py_tier1_factory, batch_size=TIER1_PRESET.batch_size)
+    two = PandasBatchScorer("py_tier2", _py_tier2_factory, batch_size=TIER2_PRESET.batch_size)
+    d = routing.route_fixed_frames(pl.docs(spark, sf).select("id", "clean"), lambda x: one.score(x, "clean"), lambda x: two.score(x, "clean"), THRESHOLD)
+    return d.select(F.col("id").alias("doc_id"), "escalate", "prediction", r6("confidence").alias("confidence"), "tier_used",
+                    routing.tier_label("escalate").alias("tier"))
+
+
 @register("lr_train_predict")
 def q_lr_train_predict(spark, sf):
     """M5: TF-IDF + logistic regression fitted with Spark ML on the train
