@@ -35,9 +35,9 @@ from .common import ids_and_texts, no_cycles, row_slices
 _SPACE = "\t-\r \x85\xa0  -     　"
 #: Before white space that follows another character no pre-token reaches across: a place to cut whole texts.
 _PIECE = re.compile(f"[{_SPACE}]*[^{_SPACE}]+|[{_SPACE}]+")
-BLOCK_BYTES = 8 << 20
-#: About 100 MB a task.
-MEMO_PIECES = 300_000
+BLOCK_BYTES = 2 << 20
+#: About 70 MB a task.
+MEMO_PIECES = 200_000
 
 
 class Ranks:

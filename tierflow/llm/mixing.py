@@ -14,8 +14,8 @@ topic in the tokens, to that power, made to sum to 1 (below 1 it flattens).
 Scale: one narrow pass counts tokens, one partial aggregate gives the cells;
 fitting works on cells alone, as windows and joins of a table as small as the
 number of cells, cut off by a reliable checkpoint; probabilities join the
-documents by cell, as an equi-join whose other side AQE may broadcast by its
-measured size, or split where a cell is hot.
+documents by cell: broadcast up to a counted number of cells, else as an
+equi-join that adaptive execution splits where a cell is hot.
 """
 
 from __future__ import annotations
@@ -30,6 +30,8 @@ SWEEPS = 8
 STEPS = 6
 TEMPER = {"source": 0.7, "lang": 0.7, "topic": 0.8}
 SHARE = 0.8
+#: Cells (about 100 bytes each) up to which they are broadcast; beyond, adaptive execution joins by cell.
+BROADCAST_CELLS = 50_000
 DIMENSIONS = ("source", "lang", "topic")
 
 #: Topics of the registered query, by what a text looks like; the first that fits.
@@ -121,6 +123,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source:
     targets = {by: given(table, shares[by], by) if shares and by in shares else tempered(table, by, temper[by]) for by in DIMENSIONS}
     found = checkpoint(calibrate(rake(table, targets), share)).select(
         F.col("source").alias("_s"), F.col("lang").alias("_l"), F.col("topic").alias("_t"), F.col("weight").alias("mix_weight"), F.col("probability").alias("mix_probability"))
+    if found.count() <= BROADCAST_CELLS:
+        found = F.broadcast(found)
     names = ("mix_topic", "mix_tokens", "mix_weight", "mix_probability", "mix_kept")
     own = docs.select(*[c for c in docs.columns if c.lower() not in names], F.coalesce(topic, F.lit("")).alias("mix_topic"), tokens.alias("mix_tokens"))
     joined = own.join(found, (F.coalesce(F.col(source).cast("string"), F.lit("")) == F.col("_s")) & (F.coalesce(F.col(lang).cast("string"), F.lit("")) == F.col("_l")) & (F.col("mix_topic") == F.col("_t")))
