@@ -1560,6 +1560,18 @@ def q_stream_route(spark, sf):
                       "tier_used", "tier")
 
 
+@register("stream_route_dynamic", ORACLE["route_dynamic"])
+def q_stream_route_dynamic(spark, sf):
+    """The dynamic cascade on a stream of events: per device the newest
+    reading and the controller are state; the posts of a micro-batch are
+    looked up, scored and routed by their tau."""
+    posts = pl.docs(spark, sf)
+    phi = st.phi_stream(st.events_stream(spark, _events_path(sf)), posts.select("id"))
+    out = st.drain(phi, "route-dynamic", [], mode="append", batch_fn=lambda df, epoch: pl.route_by_phi(posts.join(df.drop("late"), "id")))
+    return out.select(F.col("id").alias("doc_id"), "device_id", r6("phi").alias("phi"), r6("psi").alias("psi"), r6("h").alias("h"), r6("tau").alias("tau"),
+                      "escalate", "prediction", "tier_used")
+
+
 @register("stream_stats", f"""WITH {SCORED_CTE}
 SELECT source AS run_id, count(*) AS total_samples, count(*) FILTER (WHERE c1 < {THRESHOLD}) AS tier2_count FROM sc GROUP BY source""")
 def q_stream_stats(spark, sf):

@@ -121,11 +121,14 @@ def dynamic_route(spark: SparkSession, sf: str, cfg: SpitConfig = SPIT_V1, chunk
           .withColumn("setpoint", F.coalesce("setpoint", F.lit(cfg.cpu_setpoint))))
     phi = telemetry.pid(telemetry.pid_inputs_v1(x, cfg), cfg, tie="id", chunk_seconds=chunk_seconds) \
         .select("id", "device_id", "phi")
-    posts = with_social(routing.score_tier1(docs(spark, sf), tier1_scorer()))
-    posts = posts.join(phi, "id", "left").withColumn("phi", F.coalesce("phi", F.lit(_default_phi(cfg))))
-    y = with_signals(posts, cfg, phi="phi")
-    y = y.withColumn("escalate", F.col("c1") < F.col("tau"))
-    return routing.route_expr(y, tier2_scorer(), "escalate")
+    return route_by_phi(docs(spark, sf).join(phi, "id", "left"), cfg)
+
+
+def route_by_phi(posts: DataFrame, cfg: SpitConfig = SPIT_V1) -> DataFrame:
+    """Posts with a phi (null: the default) -> tau -> decisions."""
+    x = with_social(routing.score_tier1(posts, tier1_scorer())).withColumn("phi", F.coalesce("phi", F.lit(_default_phi(cfg))))
+    y = with_signals(x, cfg, phi="phi")
+    return routing.route_expr(y.withColumn("escalate", F.col("c1") < F.col("tau")), tier2_scorer(), "escalate")
 
 
 def components(df: DataFrame, cfg: SpitConfig = SPIT_V1) -> DataFrame:
