@@ -103,3 +103,39 @@ def test_router_stats_empty(spark):
     e = spark.createDataFrame([], "tier_used int, tier1_latency double, tier2_latency double")
     r = metrics.router_stats(e).first()
     assert r.total_samples == 0 and r.tier2_rate == 0.0
+
+
+def test_baseline_joined_equals_the_fitted_model(spark):
+    """M4 -> M5 -> M7: scores from the (term, weight) table are the model's own, and the classes are told apart."""
+    import random
+
+    from pyspark.ml.functions import vector_to_array
+
+    from tierflow.operators.scoring import sparse_rows, train_lr
+    rnd = random.Random(3)
+    common, good, bad = [f"c{i}" for i in range(60)], ["fine", "great", "nice"], ["awful", "poor", "bad"]
+    rows = [(i, " ".join(rnd.choices(common, k=12) + rnd.choices(good if i % 2 else bad, k=2)), i % 2) for i in range(300)]
+    df = spark.createDataFrame(rows, "id long, clean string, label int")
+    model = train_lr(df.where("id < 200"))
+    test = df.where("id >= 200")
+    got = {r.id: (r.pred, r.conf) for r in model.predict(test).collect()}
+    x = sparse_rows(model.features(test), model.indexed, model.model.numFeatures)
+    want = {r.id: (int(r.prediction), max(r.p)) for r in model.model.transform(x).select("id", "prediction", vector_to_array("probability").alias("p")).collect()}
+    assert len(got) == 100 and all(got[i][0] == p and abs(got[i][1] - c) < 1e-9 for i, (p, c) in want.items())
+    assert sum(got[i][0] == i % 2 for i in got) >= 95
+
+
+def test_a_model_is_loaded_once_per_worker(spark, tmp_path):
+    from tierflow.operators.scoring import PandasBatchScorer
+    folder = str(tmp_path)
+
+    def factory():
+        import os
+        import uuid
+        open(os.path.join(folder, f"{os.getpid()}-{uuid.uuid4().hex}"), "w").close()
+        return lambda texts: ([len(t) % 2 for t in texts], [0.5 + (len(t) % 5) / 10 for t in texts])
+    df = spark.range(400).selectExpr("id", "repeat('x', cast(id % 7 as int)) AS text", "'kept' AS other").repartition(16)
+    got = PandasBatchScorer("m", factory, batch_size=16).score(df).collect()
+    assert len(got) == 400 and {r.other for r in got} == {"kept"} and all(r.pred == len(r.text) % 2 for r in got)
+    loads = [f.split("-")[0] for f in __import__("os").listdir(folder)]
+    assert len(loads) == len(set(loads))  # no worker loaded twice, though there were more tasks

@@ -202,44 +202,75 @@ def linear_score_by_join(docs: DataFrame, weights: DataFrame, id_col: str = "id"
     aggregation is partial per task, so only one row per (task, doc) crosses
     the shuffle.
     """
-    ex = docs.select(id_col, F.explode(tokens_col).alias("term"))
-    s = ex.join(weights.select("term", "weight"), "term", "inner").groupBy(id_col).agg(F.sum("weight").alias("_s"))
+    ex = docs.select(id_col, F.explode(tokens_col).alias("term"), F.lit(1.0).alias("value"))
+    return score_features(docs.select(id_col), ex, weights, intercept, id_col)
+
+
+def score_features(ids: DataFrame, features: DataFrame, weights: DataFrame, intercept: float = 0.0, id_col: str = "id") -> DataFrame:
+    """M7: (id, pred, conf) of a linear model over (id, term, value) rows; terms without a weight count nothing."""
+    s = features.join(weights.select("term", "weight"), "term").groupBy(id_col).agg(F.sum(F.col("value") * F.col("weight")).alias("_s"))
     p = sigmoid(F.coalesce(F.col("_s"), F.lit(0.0)) + F.lit(intercept))
-    return (docs.select(id_col).join(s, id_col, "left")
+    return (ids.join(s, id_col, "left")
             .select(id_col, F.when(p > 0.5, 1).otherwise(0).cast("int").alias("pred"),
                     F.greatest(p, 1 - p).alias("conf")))
 
 
+@dataclass
+class LinearBaseline:
+    """The fitted baseline: what M4 needs of the train rows, and the (term, weight) table."""
+    vocabulary: DataFrame
+    n_docs: DataFrame
+    weights: DataFrame
+    intercept: float
+    model: object
+    indexed: DataFrame
+
+    def features(self, df: DataFrame, text_col: str = "clean") -> DataFrame:
+        from . import features as ft
+        return ft.tfidf(ft.term_counts(df, text_col), self.vocabulary, self.n_docs)
+
+    def predict(self, df: DataFrame, text_col: str = "clean") -> DataFrame:
+        """(id, pred, conf) by joining M4's weights of the rows to the model's."""
+        x = self.features(df, text_col).withColumnRenamed("weight", "value")
+        return score_features(df.select("id"), x, self.weights, self.intercept)
+
+
+def sparse_rows(features: DataFrame, indexed: DataFrame, size: int) -> DataFrame:
+    """(id, features) as Spark ML vectors, from (id, term, weight) and (term, i)."""
+    from pyspark.ml.linalg import Vectors, VectorUDT
+    pack = F.udf(lambda cells: Vectors.sparse(size, [c["i"] for c in cells], [c["weight"] for c in cells]), VectorUDT())
+    cells = features.join(indexed, "term").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("i", "weight"))).alias("_c"))
+    return cells.select("id", pack("_c").alias("features"))
+
+
 def train_lr(train: DataFrame, text_col: str = "clean", label_col: str = "label", C: float = 1.0,
-             max_iter: int = 1000, vocab_size: int = 50000, min_df: int = 2):
-    """M5: TF-IDF + logistic regression with Spark ML (distributed fit).
+             max_iter: int = 1000, max_features: int = 50000, min_df: int = 2) -> LinearBaseline:
+    """M5: logistic regression on M4's weights, fitted with Spark ML.
 
-    regParam = 1/(C*n) matches the scale of an L2 penalty C on a summed
-    loss; standardization off. Spark's IDF omits the +1 smoothing term and
-    the sublinear tf of the reference's vectoriser, so scores are close,
-    not identical (rows-only check).
+    ``max_features`` is the reference's own vocabulary cap; it bounds the
+    coefficients, which live on the driver. regParam = 1/(C*n) matches the
+    scale of an L2 penalty C on a summed loss; standardization off.
     """
-    from pyspark.ml import Pipeline
     from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import IDF, CountVectorizer, NGram, Normalizer, RegexTokenizer, SQLTransformer
-
-    n = train.count()
-    stages = [
-        RegexTokenizer(inputCol=text_col, outputCol="_uni", pattern=r"[a-z0-9_]+", gaps=False),
-        NGram(n=2, inputCol="_uni", outputCol="_bi"),
-        SQLTransformer(statement="SELECT *, concat(_uni, _bi) AS _terms FROM __THIS__"),
-        CountVectorizer(inputCol="_terms", outputCol="_tf", minDF=float(min_df), vocabSize=vocab_size),
-        IDF(inputCol="_tf", outputCol="_tfidf"),
-        Normalizer(inputCol="_tfidf", outputCol="features", p=2.0),
-        LogisticRegression(featuresCol="features", labelCol=label_col, maxIter=max_iter,
-                           regParam=1.0 / (C * max(n, 1)), elasticNetParam=0.0, standardization=False),
-    ]
-    return Pipeline(stages=stages).fit(train.withColumn(label_col, F.col(label_col).cast("double")))
-
-
-def lr_predict(model, df: DataFrame, id_col: str = "id") -> DataFrame:
-    from pyspark.ml.functions import vector_to_array
-    out = model.transform(df)
-    probs = vector_to_array("probability")
-    return out.select(id_col, F.col("prediction").cast("int").alias("pred"),
-                      F.array_max(probs).alias("conf"))
+
+    from ..session import cut_lineage
+    from . import features as ft
+    from .scan import exact_hash_rank
+    rows = cut_lineage(train.select("id", F.col(label_col).cast("double").alias("label"), F.col(text_col).alias("clean")))
+    counts = ft.term_counts(rows)
+    vocab = cut_lineage(ft.vocabulary(counts, min_df, max_features))
+    n = rows.agg(F.count(F.lit(1)).cast("double").alias("n"))
+    ranked = exact_hash_rank(vocab.withColumn("_h", F.md5("term")), [], "_h", "term", "i")
+    indexed = cut_lineage(ranked.select("term", (F.col("i") - 1).cast("int").alias("i")))
+    size = max(1, indexed.count())
+    x = cut_lineage(sparse_rows(ft.tfidf(counts, vocab, n), indexed, size).join(rows.select("id", "label"), "id"))
+    lr = LogisticRegression(featuresCol="features", labelCol="label", maxIter=max_iter,
+                            regParam=1.0 / (C * max(rows.count(), 1)), elasticNetParam=0.0, standardization=False)
+    model = lr.fit(x)
+    table = train.sparkSession.createDataFrame([(i, float(w)) for i, w in enumerate(model.coefficients.toArray())], "i int, weight double")
+    weights = cut_lineage(indexed.join(table, "i").select("term", "weight"))
+    return LinearBaseline(vocab, n, weights, float(model.intercept), model, indexed)
+
+
+def lr_predict(model: LinearBaseline, df: DataFrame, text_col: str = "clean") -> DataFrame:
+    return model.predict(df, text_col)

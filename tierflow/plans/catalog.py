@@ -1438,8 +1438,9 @@ def q_route_fixed_python(spark, sf):
 
 @register("lr_train_predict")
 def q_lr_train_predict(spark, sf):
-    """M5: TF-IDF + logistic regression fitted with Spark ML on the train
-    split, scored on the test split (rows-only check)."""
+    """M1-M5, M7: M4's weights of the train split, logistic regression on
+    them, its (term, weight) table joined to the test split (rows-only check;
+    a test holds the join against the fitted model itself)."""
     d = pl.docs(spark, sf).join(pl.labelled(spark, sf), "id")
     s = sp.split_stratified(d, "label", 0.2, SEED, "id")
     model = train_lr(s.filter("split = 'train'"), "clean", "label")
