@@ -1364,12 +1364,26 @@ def q_scrape_flatten(spark, sf):
 
 
 def _payloads(spark, sf):
-    return sk.build_payload(_tagged(spark, sf))
-
-
-@register("payload_json")
+    target = read_table(spark, sf, "documents").agg(F.min("source")).first()[0]  # the first product, as in the wide table
+    return sk.build_payload(_tagged(spark, sf), target)
+
+
+@register("payload_json", f"""WITH {TAG_CTE},
+c AS (SELECT product, demographic, spectrum_bucket, coalesce(strftime(date, '%Y-%m-%d'), 'unknown') AS day, sentiment, sarcasm FROM tagged),
+m AS (SELECT product,
+   (SELECT map_from_entries(list((k, n) ORDER BY k)) FROM (SELECT demographic AS k, count(*) AS n FROM c x WHERE x.product = p.product GROUP BY k)) AS demographics,
+   (SELECT map_from_entries(list((k, n) ORDER BY k)) FROM (SELECT spectrum_bucket AS k, count(*) AS n FROM c x WHERE x.product = p.product GROUP BY k)) AS spectrum,
+   (SELECT map_from_entries(list((k, v) ORDER BY k)) FROM (SELECT day AS k, {{'positive': count(*) FILTER (WHERE sentiment = 'positive'),
+      'negative': count(*) FILTER (WHERE sentiment = 'negative'), 'total': count(*)}} AS v FROM c x WHERE x.product = p.product GROUP BY k)) AS daily
+   FROM (SELECT DISTINCT product FROM c) p),
+t AS (SELECT product, count(*) AS total, count(*) FILTER (WHERE sentiment = 'positive') AS positive, count(*) FILTER (WHERE sentiment = 'negative') AS negative,
+   count(*) FILTER (WHERE sarcasm = 'SARCASM') AS sarcastic, count(*) FILTER (WHERE sarcasm = 'SARCASM' AND sentiment = 'positive') AS sp,
+   count(*) FILTER (WHERE sarcasm = 'SARCASM' AND sentiment = 'negative') AS sn FROM c GROUP BY product)
+SELECT product, to_json({{'_target_product': (SELECT min(source) FROM documents),
+   'stats': {{'total': total, 'positive': positive, 'negative': negative, 'sarcastic': sarcastic, 'sarcastic_to_positive': sp, 'sarcastic_to_negative': sn,
+             'demographics': demographics, 'sentiment_spectrum': spectrum}}, 'daily_timeline': daily}})::VARCHAR AS payload FROM t JOIN m USING (product)""")
 def q_payload_json(spark, sf):
-    """One JSON payload per product (rows-only: JSON text formatting)."""
+    """One JSON payload per product, keys in order."""
     return _payloads(spark, sf)
 
 
@@ -1380,12 +1394,10 @@ UNION ALL SELECT DISTINCT source, 'rejected', 'missing_key' FROM docs""")
 def q_payload_validate(spark, sf):
     """Payloads and two broken variants of each (truncated JSON, missing
     required key) -> accepted / rejected."""
-    p = _payloads(spark, sf)
-    variants = p.select("product", F.lit("original").alias("variant"), "payload").unionByName(
-        p.select("product", F.lit("truncated").alias("variant"),
-                 F.expr("substring(payload, 1, length(payload) - 2)").alias("payload"))).unionByName(
-        p.select("product", F.lit("missing_key").alias("variant"),
-                 F.regexp_replace("payload", '"stats":', '"statz":').alias("payload")))
+    broken = {"original": F.col("payload"), "truncated": F.expr("substring(payload, 1, length(payload) - 2)"),
+              "missing_key": F.regexp_replace("payload", '"stats":', '"statz":')}
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("variant"), v.alias("payload")) for k, v in broken.items()]))
+    variants = _payloads(spark, sf).select("product", each.alias("v")).select("product", "v.variant", "v.payload")
     return sk.validate_payload(variants).select("product", "status", "variant")
 
 

@@ -16,35 +16,42 @@ def write_csv(df: DataFrame, path: str, mode: str = "overwrite", header: bool =
      .option("quoteAll", True).option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).option("emptyValue", "").csv(path))
 
 
-def build_payload(tagged: DataFrame, product_col: str = "product") -> DataFrame:
-    """One JSON document per product: stats, demographics map,
-    spectrum map and daily timeline map. Every map is keyed by a bounded
-    domain (labels, buckets, days), so no group is collected whole."""
-    stats = tagged.groupBy(product_col).agg(
-        F.count(F.lit(1)).alias("total"),
-        F.count_if(F.col("sentiment") == "positive").alias("positive"),
-        F.count_if(F.col("sentiment") == "negative").alias("negative"),
-        F.count_if(F.col("sarcasm") == "SARCASM").alias("sarcastic"))
-    demo = tagged.groupBy(product_col, "demographic").agg(F.count(F.lit(1)).alias("n")) \
-                 .groupBy(product_col).agg(F.map_from_entries(F.collect_list(F.struct("demographic", "n"))).alias("demographics"))
-    spec = tagged.groupBy(product_col, "spectrum_bucket").agg(F.count(F.lit(1)).alias("n")) \
-                 .groupBy(product_col).agg(F.map_from_entries(F.collect_list(F.struct("spectrum_bucket", "n"))).alias("sentiment_spectrum"))
-    daily = tagged.groupBy(product_col, F.date_format("date", "yyyy-MM-dd").alias("d")).agg(
-        F.struct(F.count_if(F.col("sentiment") == "positive").alias("positive"),
-                 F.count_if(F.col("sentiment") == "negative").alias("negative"),
-                 F.count(F.lit(1)).alias("total")).alias("v")) \
-        .groupBy(product_col).agg(F.map_from_entries(F.collect_list(F.struct("d", "v"))).alias("daily_timeline"))
-    j = stats.join(demo, product_col).join(spec, product_col).join(daily, product_col)
+def build_payload(tagged: DataFrame, target: str | None = None, product_col: str = "product") -> DataFrame:
+    """One JSON document per product: target product, stats, demographics
+    map, spectrum map and daily timeline map, keys in order.
+
+    Posts are read once, into counts by all label columns (bounded domains:
+    labels, buckets, days); every number comes from that table. Posts
+    themselves stay out of the document: they are rows.
+    """
+    day = F.coalesce(F.date_format("date", "yyyy-MM-dd"), F.lit("unknown"))
+    table = tagged.groupBy(product_col, "demographic", "spectrum_bucket", day.alias("day"), "sentiment", "sarcasm").agg(F.count(F.lit(1)).alias("n"))
+    when = lambda c: F.when(c, F.col("n")).otherwise(F.lit(0))
+    pos, neg, sar = F.col("sentiment") == "positive", F.col("sentiment") == "negative", F.col("sarcasm") == "SARCASM"
+    kinds = F.array(*[F.struct(F.lit(k).alias("kind"), F.col(c).alias("key")) for k, c in (("demo", "demographic"), ("spec", "spectrum_bucket"), ("day", "day"))])
+    parts = (table.select(product_col, "n", when(pos).alias("p"), when(neg).alias("g"), when(sar).alias("s"), when(sar & pos).alias("sp"),
+                          when(sar & neg).alias("sn"), F.explode(kinds).alias("k"))
+             .groupBy(product_col, "k.kind", "k.key").agg(*[F.sum(c).alias(c) for c in ("n", "p", "g", "s", "sp", "sn")]))
+    of = lambda kind, value: F.map_from_entries(F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.struct("key", value.alias("v"))))))
+    total = lambda c: F.sum(F.when(F.col("kind") == "day", F.col(c)))
+    whole = parts.groupBy(product_col).agg(
+        total("n").alias("total"), total("p").alias("positive"), total("g").alias("negative"), total("s").alias("sarcastic"),
+        total("sp").alias("sarcastic_to_positive"), total("sn").alias("sarcastic_to_negative"),
+        of("demo", F.col("n")).alias("demographics"), of("spec", F.col("n")).alias("sentiment_spectrum"),
+        of("day", F.struct(F.col("p").alias("positive"), F.col("g").alias("negative"), F.col("n").alias("total"))).alias("daily_timeline"))
     payload = F.to_json(F.struct(
-        F.struct("total", "positive", "negative", "sarcastic", "demographics", "sentiment_spectrum").alias("stats"),
+        F.lit(target).alias("_target_product"),
+        F.struct("total", "positive", "negative", "sarcastic", "sarcastic_to_positive", "sarcastic_to_negative", "demographics", "sentiment_spectrum").alias("stats"),
         F.col("daily_timeline")))
-    return j.select(product_col, payload.alias("payload"))
+    return whole.select(product_col, payload.alias("payload"))
 
 
 PAYLOAD_SCHEMA = T.StructType([
+    T.StructField("_target_product", T.StringType()),
     T.StructField("stats", T.StructType([
         T.StructField("total", T.LongType()), T.StructField("positive", T.LongType()),
         T.StructField("negative", T.LongType()), T.StructField("sarcastic", T.LongType()),
+        T.StructField("sarcastic_to_positive", T.LongType()), T.StructField("sarcastic_to_negative", T.LongType()),
         T.StructField("demographics", T.MapType(T.StringType(), T.LongType())),
         T.StructField("sentiment_spectrum", T.MapType(T.StringType(), T.LongType()))])),
     T.StructField("daily_timeline", T.MapType(T.StringType(), T.StructType([
