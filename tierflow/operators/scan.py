@@ -55,6 +55,14 @@ def exact_rank(df: DataFrame, group_cols: list[str], bucket: Column, order_cols:
             .drop("_bkt", "_rn", "_off"))
 
 
+def range_bucket(df: DataFrame, col: str, parts: int = 256) -> Column:
+    """Non-decreasing bucket of ``col``: at most ``parts`` of like size, however its values lie (cuts are approximate quantiles)."""
+    cuts = sorted(set(df.approxQuantile(col, [i / parts for i in range(1, parts)], 0.25 / parts)))
+    if not cuts:
+        return F.lit(0)
+    return F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c < F.col(col)))
+
+
 def exact_hash_rank(df: DataFrame, group_cols: list[str], hash_col: str, tie_col: str,
                     out: str = "_rank", bucket_hex_digits: int = 4) -> DataFrame:
     """Rank by (hex hash, tie); buckets are the hash's leading hex digits."""

@@ -147,13 +147,13 @@ def latest_reading(posts: DataFrame, readings: DataFrame, value_cols: list[str],
 
 
 def batch_ids(df: DataFrame, order_col: str, batch_size: int, out: str = "batch_id",
-              bucket_width: int = 1 << 16) -> DataFrame:
+              buckets: int = 256) -> DataFrame:
     """Batch index of each row in ``order_col`` order: floor((rank-1)/B).
 
     Exact rank from (range bucket, row_number) instead of one global
-    row_number window, so no single task sees every row.
+    row_number window, so no single task sees every row, and the window over
+    bucket counts sees ``buckets`` rows.
     """
-    from .scan import exact_rank
-    b = F.floor(F.col(order_col) / F.lit(bucket_width)).cast("long")
-    r = exact_rank(df, [], b, [order_col], out="_pos")
+    from .scan import exact_rank, range_bucket
+    r = exact_rank(df, [], range_bucket(df, order_col, buckets), [order_col], out="_pos")
     return r.withColumn(out, F.floor((F.col("_pos") - 1) / F.lit(batch_size)).cast("long")).drop("_pos")

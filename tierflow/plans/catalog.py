@@ -1333,15 +1333,17 @@ def q_three_class_split(spark, sf):
 SELECT source AS product, (row_number() OVER (PARTITION BY source ORDER BY id) - 1)::BIGINT AS row_idx,
        source = (SELECT min(source) FROM docs) AS is_target, clean AS message FROM docs""")
 def q_wide_csv_unpivot(spark, sf):
-    """Products as columns (first column = target) -> long rows. The
-    wide frame is built by pivoting the documents on their product."""
+    """A CSV with products as columns (first column = target), written
+    from the documents, read back -> long rows."""
     d = pl.docs(spark, sf).select("id", "source", "clean")
     r = scan.exact_rank(d, ["source"], F.floor(F.col("id") / F.lit(1 << 16)).cast("long"), ["id"], out="_rk")
     r = r.withColumn("row_idx", (F.col("_rk") - 1).cast("long"))
     products = sorted(x[0] for x in d.select("source").distinct().collect())  # product names: metadata
     wide = r.groupBy("row_idx").pivot("source", products).agg(F.first("clean"))
-    long = rd.unpivot_wide(wide, ["row_idx"])
-    return long.select("product", "row_idx", "is_target", "message")
+    path = _scratch(spark, "wide-csv")
+    sk.write_csv(wide, path, null_value="\\N")
+    long = rd.read_wide_csv(spark, path, ["row_idx"], null_value="\\N")
+    return long.select("product", F.col("row_idx").cast("long").alias("row_idx"), "is_target", "message")
 
 
 @register("scrape_flatten", """SELECT conv_id, CASE WHEN role = 'user' THEN 'conv' || conv_id ELSE role END AS product,

@@ -75,6 +75,13 @@ def get_data(spark: SparkSession, source: str = "sst2", path: str | None = None,
     return split_stratified(df, "label", test_size, seed, "id")
 
 
+def read_wide_csv(spark: SparkSession, path: str, key_cols: list[str], null_value: str = "") -> DataFrame:
+    """CSV with a column per product, the target's first, as long rows; cells with ``null_value`` are none."""
+    wide = (spark.read.option("header", True).option("quote", '"').option("escape", '"').option("multiLine", True)
+            .option("nullValue", null_value).csv(path))  # all strings: no inference
+    return unpivot_wide(wide, key_cols)
+
+
 def unpivot_wide(wide: DataFrame, key_cols: list[str]) -> DataFrame:
     """One column per product (the first is the target) -> long rows
     (key.., product, message, is_target); empty cells dropped."""

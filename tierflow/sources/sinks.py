@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def write_csv(df: DataFrame, path: str, mode: str = "overwrite", header: bool = True, encoding: str = "UTF-8") -> None:
+def write_csv(df: DataFrame, path: str, mode: str = "overwrite", header: bool = True, encoding: str = "UTF-8", null_value: str = "") -> None:
     """No index column; quotes doubled, blanks kept."""
     (df.write.mode(mode).option("header", header).option("encoding", encoding).option("quote", '"').option("escape", '"')
-     .option("quoteAll", True).option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).option("emptyValue", "").csv(path))
+     .option("quoteAll", True).option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).option("emptyValue", "").option("nullValue", null_value).csv(path))
 
 
 def build_payload(tagged: DataFrame, target: str | None = None, product_col: str = "product") -> DataFrame:
