@@ -48,3 +48,20 @@ def test_h_property_random(spark):
         n = len(d)
         s = sum((c / n) * math.log(c / n + 1e-12) for c in Counter(d).values())
         assert g == pytest.approx(min(1.0, max(0.0, -s / math.log(30522 + 1e-12))), abs=1e-12)
+
+
+def test_sql_functions_equal_the_columns(spark):
+    from tierflow.functions import signals as sg
+    from tierflow.functions import sql
+    from tierflow.functions.text import clean_text, clean_tokens
+    assert len(sql.register(spark)) == 11
+    rows = [("I'm HERE @you http://x.y/z #tag, Ünïcode  twice twice", 5000.0, 120.0, 30.0, "reddit", 0.3), (None, None, None, None, None, 0.0),
+            ("", 2e6, 2e7, 900.0, "TikTok", 1.0), ("a a b \\ c\nd", 0.0, 0.0, 0.0, "else", 0.5)]
+    df = spark.createDataFrame(rows, "t string, r double, f double, b double, p string, phi double")
+    df.createOrReplaceTempView("posts_for_sql")
+    by_sql = spark.sql("SELECT *, tau_dynamic(phi, psi, h) AS tau FROM (SELECT phi, clean_text(t) AS c, psi_socio(r, f, b, p) AS psi,"
+                       " coalesce(h_token(clean_tokens(t)), 0D) AS h FROM posts_for_sql)").collect()
+    cols = df.select("phi", clean_text("t").alias("c"), sg.psi_socio("r", "f", "b", "p").alias("psi"), F.coalesce(sg.h_token(clean_tokens("t")), F.lit(0.0)).alias("h"))
+    by_col = cols.withColumn("tau", sg.tau_dynamic("phi", "psi", "h")).collect()
+    for a, b in zip(by_sql, by_col):
+        assert a.c == b.c and all(abs(a[k] - b[k]) < 1e-12 for k in ("psi", "h", "tau")), (a, b)
