@@ -42,6 +42,24 @@ def test_page():
                                   "point one of the list is here\npoint two\n5 < 6 and 7 > 3 © A")
 
 
+def test_article_with_everything_around_it():
+    page = """<html><body class="has-sidebar home"><div id="cookiebar">We use cookies, please accept them all to go on reading here.</div>
+    <div class="topnav-wrapper"><p>Welcome to the site where you read lots of things every single day of the week.</p></div>
+    <article class="post no-comments"><header><h1>The title</h1><p>By somebody</p></header><p>First paragraph of the text, long enough.</p>
+    <div class="user-comments"><p>Nice article, I have read it twice and will surely read it again tomorrow.</p></div>
+    <div class="ad-slot ad">Cheap things for sale, buy them today and never look back at all.</div><p><a href="/x">A linked line of the text</a></p>
+    <figure><img src=x><figcaption>What one sees here</figcaption></figure><p>Last one.</p></article>
+    <div id="commentlist"><ol><li>First! And a long remark about the text that nobody needs to read at all.</li></ol></div>
+    <div role="complementary"><p>More stories that you may like to read after this one, chosen for you.</p></div></body></html>"""
+    assert he.main_text(page) == "The title\nBy somebody\nFirst paragraph of the text, long enough.\nA linked line of the text\nWhat one sees here\nLast one."
+
+
+def test_page_without_an_article():
+    page = '<body><div class="sidebar"><p>Links and more links to read</p></div><div><p>Some plain text of a simple page.</p><p>And some more of it.</p></div><div class="footer">bye</div>'
+    assert he.main_text(page) == "Some plain text of a simple page.\nAnd some more of it."
+    assert he.main_text("just a line of text") == "just a line of text"
+
+
 def test_article_of_generated_pages(spark):
     import html
     import re

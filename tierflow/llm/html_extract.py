@@ -20,6 +20,7 @@ import re
 from collections import deque
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 from html import unescape
 
 import pyarrow as pa
@@ -44,12 +45,17 @@ _ENDS_P = frozenset("address article aside blockquote details div dl fieldset fi
 BY_TAG = {"article": 2.5, "main": 2.0, "p": 0.8, "h1": 0.8, "h2": 0.4, "h3": 0.4, "blockquote": 0.4, "pre": 0.4, "figcaption": 0.2,
           "nav": -7.0, "footer": -7.0, "aside": -6.0, "header": -4.0, "menu": -6.0, "li": -0.2, "address": -1.0}
 BY_WORD = {w: v for v, words in (
-    (1.5, "article content post story entry body main text"),
-    (-6.0, "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice popup modal"),
-    (-6.0, "nav navbar navigation menu breadcrumb breadcrumbs sidebar aside footer masthead toolbar topbar skip pagination pager"),
-    (-6.0, "comment comments reply replies discussion disqus respond related recommended newsletter subscribe signup login share sharing social widget copyright legal search"),
+    (1.5, "article content post story entry main"),
+    (-6.0, "ad ads adbox adslot promo banner gdpr popup modal nav menu skip pager reply replies disqus respond signup login widget search legal copyright complementary contentinfo"),
     (-3.0, "header meta tags tagcloud alert")) for w in words.split()}
-BIAS, LINKED, PER_WORD, MOST_WORDS, OUTSIDE = 0.3, -3.0, 0.03, 40, -0.3
+#: Parts of a class, id or role word that tell as much wherever they stand in it.
+BY_PART = {w: -6.0 for w in ("advert sponsor cookie consent notice navbar navigation breadcrumb sidebar aside footer masthead toolbar pagination comment discussion "
+                             "related recommend newsletter subscri share sharing social disclaimer").split()}
+BIAS, LINKED, PER_WORD, MOST_WORDS = 0.3, -3.0, 0.03, 40
+#: Outside of everything that holds content: on a page that has an article, and on one that hasn't.
+OUTSIDE, LOOSE = -4.0, -0.3
+#: A header inside an article is the article's.
+OWN_HEADER = 3.0
 NEAR, DEEP = 0.6, 0.5
 
 
@@ -161,19 +167,43 @@ def blocks(html: str) -> list[Block]:
     return out
 
 
-def log_odds(block: Block) -> float:
+@lru_cache(maxsize=10_000)
+def _of_name(name: str) -> float | None:
+    value = BY_WORD.get(name)
+    return next((v for part, v in BY_PART.items() if part in name), None) if value is None else value
+
+
+def _of_names(node: Node) -> Iterator[tuple[str, float]]:
+    """What the class, id and role words of an element say. A page's or an article's own words say nothing against it."""
+    for name in node.names:
+        value = _of_name(name)
+        if value is not None and (value > 0 or node.tag not in ("html", "body", "article", "main")):
+            yield name, value
+
+
+def _anchored(block: Block) -> bool:
+    node = block.node
+    while node is not None and node.tag not in ("article", "main"):
+        node = node.parent
+    return node is not None
+
+
+def log_odds(block: Block, outside: float = LOOSE) -> float:
     """How much likelier content than boilerplate a block is by itself."""
     words = block.text.count(" ") + 1
     odds = BIAS + PER_WORD * min(words, MOST_WORDS) + LINKED * min(1.0, block.linked / len(block.text))
     node, seen, inside = block.node, set(), False
     while node is not None:
-        for key, table in [(node.tag, BY_TAG), *[(n, BY_WORD) for n in node.names]]:
-            if (value := table.get(key)) is not None and key not in seen:
+        if node.tag in ("article", "main") and "header" in seen:
+            odds += OWN_HEADER
+            seen.discard("header")
+        for key, value in [(node.tag, BY_TAG.get(node.tag)), *_of_names(node)]:
+            if value is not None and key not in seen:
                 seen.add(key)
                 odds += value
                 inside = inside or value > 1
         node = node.parent
-    return odds if inside else odds + OUTSIDE
+    return odds if inside else odds + outside
 
 
 def _distance(a: Node, b: Node) -> int:
@@ -255,7 +285,8 @@ def main_text(html: str) -> str:
     found = blocks(html)
     if not found:
         return ""
-    odds = [log_odds(b) for b in found]
+    outside = OUTSIDE if any(map(_anchored, found)) else LOOSE
+    odds = [log_odds(b, outside) for b in found]
     return "\n".join(b.text for b, kept in zip(found, minimum_cut(odds, smoothness(found)), strict=True) if kept)
 
 
