@@ -19,5 +19,6 @@ QUERIES = {
 ORACLE = {
     "op2_mixing": mixing.SQL,
     "op8_url_filters": url_filter.SQL,
+    "op9_suffix_dedup": suffix_dedup.SQL,
     "op10_exact_topk": topk.SQL,
 }

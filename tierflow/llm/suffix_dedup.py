@@ -476,3 +476,21 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def query(spark, sf_dir: str) -> DataFrame:
     from .common import read_table
     return deduplicate(read_table(spark, sf_dir, "documents"))
+
+
+#: Every window as hexadecimal text. Parts of 128 windows keep substr from walking long texts.
+SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+b AS (SELECT doc_id, h, length(h) // 2 AS n FROM d),
+k AS (SELECT doc_id, n, h, unnest(range((n + 127) // 128)) AS k FROM b),
+q AS MATERIALIZED (SELECT doc_id, n, k, substr(h, 256 * k + 1, 354) AS part FROM k),
+p AS (SELECT doc_id, n, k, part, unnest(range(least(128, n - 128 * k))) AS j FROM q),
+w AS MATERIALIZED (SELECT doc_id, 128 * k + j AS i, substr(part, 2 * j + 1, 2) AS byte, CASE WHEN 128 * k + j + 50 <= n THEN substr(part, 2 * j + 1, 100) END AS s FROM p),
+m AS (SELECT s, min(doc_id) AS least FROM w WHERE s IS NOT NULL GROUP BY s),
+f AS (SELECT w.doc_id, w.i, w.byte, coalesce(m.least < w.doc_id, false) AS hit FROM w LEFT JOIN m ON w.s = m.s),
+c AS (SELECT doc_id, i, byte, max(hit::INT) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) AS gone FROM f),
+t AS (SELECT *, gone = 1 AND coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY i), 0) = 0 AS turn FROM c),
+a AS (SELECT doc_id, sum(gone)::BIGINT AS n_removed, count(*) FILTER (WHERE turn) AS n_spans, string_agg(CASE WHEN gone = 0 THEN byte END, '' ORDER BY i) AS kept FROM t GROUP BY doc_id)
+SELECT b.doc_id, b.n::BIGINT AS n_bytes, coalesce(a.n_removed, 0) AS n_removed, coalesce(a.n_spans, 0) AS n_spans, sha256(unhex(coalesce(a.kept, ''))) AS kept_sha256
+FROM b LEFT JOIN a USING (doc_id)
+"""
