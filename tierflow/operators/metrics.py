@@ -12,21 +12,18 @@ from pyspark.sql import functions as F
 
 
 def confusion(df: DataFrame, label: str, pred: str, group: list[str]) -> DataFrame:
-    """(group.., y, p, n). Tiny (groups x classes^2) and read by several
-    consumers, so it is cached: the scored input is evaluated once."""
-    return df.groupBy(*group, F.col(label).alias("y"), F.col(pred).alias("p")) \
-             .agg(F.count(F.lit(1)).alias("n")).persist()
+    """(group.., y, p, n): groups x classes^2 rows."""
+    return df.groupBy(*group, F.col(label).alias("y"), F.col(pred).alias("p")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def per_class(cm: DataFrame, group: list[str]) -> DataFrame:
-    """tp/fp/fn/support per class for classes in label U prediction."""
-    classes = cm.select(*group, F.col("y").alias("cls")).union(cm.select(*group, F.col("p").alias("cls"))).distinct()
-    j = classes.join(cm, group, "inner") if group else classes.crossJoin(cm)
-    return j.groupBy(*group, "cls").agg(
-        F.sum(F.when((F.col("y") == F.col("cls")) & (F.col("p") == F.col("cls")), F.col("n")).otherwise(0)).alias("tp"),
-        F.sum(F.when((F.col("y") != F.col("cls")) & (F.col("p") == F.col("cls")), F.col("n")).otherwise(0)).alias("fp"),
-        F.sum(F.when((F.col("y") == F.col("cls")) & (F.col("p") != F.col("cls")), F.col("n")).otherwise(0)).alias("fn"),
-        F.sum(F.when(F.col("y") == F.col("cls"), F.col("n")).otherwise(0)).alias("support"))
+    """tp/fp/fn/support per class for classes in label U prediction: a cell
+    counts for its label and, if another, for its prediction."""
+    zero, n, hit = F.lit(0).cast("long"), F.col("n").cast("long"), F.col("y") == F.col("p")
+    of_label = F.struct(F.col("y").alias("cls"), F.when(hit, n).otherwise(zero).alias("tp"), zero.alias("fp"), F.when(hit, zero).otherwise(n).alias("fn"), n.alias("support"))
+    of_pred = F.struct(F.col("p").alias("cls"), zero.alias("tp"), n.alias("fp"), zero.alias("fn"), zero.alias("support"))
+    cells = cm.select(*group, F.explode(F.when(hit, F.array(of_label)).otherwise(F.array(of_label, of_pred))).alias("c"))
+    return cells.groupBy(*group, F.col("c.cls").alias("cls")).agg(*[F.sum(f"c.{k}").alias(k) for k in ("tp", "fp", "fn", "support")])
 
 
 def _prf(pc: DataFrame) -> DataFrame:
@@ -38,42 +35,35 @@ def _prf(pc: DataFrame) -> DataFrame:
 
 def accuracy_f1(df: DataFrame, label: str = "label", pred: str = "prediction",
                 group: list[str] | None = None) -> DataFrame:
-    """A1/A2: accuracy and macro F1 (zero-division -> 0) per group."""
+    """A1/A2: accuracy and macro F1 (zero-division -> 0) per group, both from
+    the per-class counts."""
     group = group or []
-    cm = confusion(df, label, pred, group)
-    acc = cm.groupBy(*group).agg(
-        F.sum("n").alias("n"),
-        (F.sum(F.when(F.col("y") == F.col("p"), F.col("n")).otherwise(0)) / F.sum("n")).alias("accuracy"))
-    f1 = _prf(per_class(cm, group)).groupBy(*group).agg(F.avg("f1").alias("f1_macro"))
-    return acc.join(f1, group, "inner") if group else acc.crossJoin(f1)
+    pc = _prf(per_class(confusion(df, label, pred, group), group))
+    return pc.groupBy(*group).agg(F.sum("support").alias("n"), (F.sum("tp") / F.sum("support")).alias("accuracy"), F.avg("f1").alias("f1_macro"))
 
 
 def classification_report(df: DataFrame, label: str = "label", pred: str = "prediction",
                           group: list[str] | None = None, class_names: dict | None = None) -> DataFrame:
     """A3: per-class precision/recall/f1/support plus accuracy, macro avg and
-    weighted avg rows (one ``row`` label column)."""
+    weighted avg rows (one ``row`` label column), from one pass: a group's
+    classes are a handful, gathered and unpacked again with its totals."""
     group = group or []
-    cm = confusion(df, label, pred, group)
-    pc = _prf(per_class(cm, group))
+    pc = _prf(per_class(confusion(df, label, pred, group), group))
     names = class_names or {0: "Negative", 1: "Positive"}
     m = F.create_map(*[x for k, v in names.items() for x in (F.lit(k), F.lit(v))])
-    cls_rows = pc.select(*group, F.coalesce(F.element_at(m, F.col("cls")), F.col("cls").cast("string")).alias("row"),
-                         "precision", "recall", "f1", F.col("support").cast("long").alias("support"))
-    tot = pc.groupBy(*group).agg(
-        F.avg("precision").alias("mp"), F.avg("recall").alias("mr"), F.avg("f1").alias("mf"),
-        F.sum("support").alias("s"),
-        (F.sum(F.col("precision") * F.col("support")) / F.sum("support")).alias("wp"),
-        (F.sum(F.col("recall") * F.col("support")) / F.sum("support")).alias("wr"),
-        (F.sum(F.col("f1") * F.col("support")) / F.sum("support")).alias("wf"),
-        F.sum("tp").alias("tp"))
-    macro = tot.select(*group, F.lit("macro avg").alias("row"), F.col("mp").alias("precision"),
-                       F.col("mr").alias("recall"), F.col("mf").alias("f1"), F.col("s").cast("long").alias("support"))
-    weighted = tot.select(*group, F.lit("weighted avg").alias("row"), F.col("wp").alias("precision"),
-                          F.col("wr").alias("recall"), F.col("wf").alias("f1"), F.col("s").cast("long").alias("support"))
-    acc = tot.select(*group, F.lit("accuracy").alias("row"), F.lit(None).cast("double").alias("precision"),
-                     F.lit(None).cast("double").alias("recall"), (F.col("tp") / F.col("s")).alias("f1"),
-                     F.col("s").cast("long").alias("support"))
-    return cls_rows.unionByName(acc).unionByName(macro).unionByName(weighted)
+    title = F.coalesce(F.element_at(m, F.col("cls")), F.col("cls").cast("string"))
+    row = lambda t, p, r, f, s: F.struct(t.alias("row"), p.alias("precision"), r.alias("recall"), f.alias("f1"), s.cast("long").alias("support"))
+    by = lambda c: F.sum(F.col(c) * F.col("support")) / F.sum("support")
+    one = pc.groupBy(*group).agg(
+        F.collect_list(row(title, F.col("precision"), F.col("recall"), F.col("f1"), F.col("support"))).alias("_rows"),
+        F.struct(F.avg("precision").alias("p"), F.avg("recall").alias("r"), F.avg("f1").alias("f")).alias("_m"),
+        F.struct(by("precision").alias("p"), by("recall").alias("r"), by("f1").alias("f")).alias("_w"),
+        F.sum("support").alias("_s"), (F.sum("tp") / F.sum("support")).alias("_a"))
+    no = F.lit(None).cast("double")
+    extra = F.array(row(F.lit("accuracy"), no, no, F.col("_a"), F.col("_s")),
+                    row(F.lit("macro avg"), F.col("_m.p"), F.col("_m.r"), F.col("_m.f"), F.col("_s")),
+                    row(F.lit("weighted avg"), F.col("_w.p"), F.col("_w.r"), F.col("_w.f"), F.col("_s")))
+    return one.select(*group, F.explode(F.concat("_rows", extra)).alias("_r")).select(*group, "_r.*")
 
 
 def router_stats(dec: DataFrame, group: list[str] | None = None, tier_col: str = "tier_used",
@@ -122,7 +112,11 @@ def histogram(df: DataFrame, value: str, bins: int = 30, group: list[str] | None
     """Equal-width bins over [min, max]; the last bin is closed."""
     group = group or []
     stats = df.groupBy(*group).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
-    j = df.join(stats, group, "inner") if group else df.crossJoin(stats)
+    if group:
+        j = df.join(stats, group, "inner")
+    else:
+        lo, hi = stats.select("_lo").scalar(), stats.select("_hi").scalar()
+        j = df.withColumn("_lo", lo).withColumn("_hi", hi)
     width = F.col("_hi") - F.col("_lo")
     b = F.when(width > 0, F.least(F.lit(bins - 1), F.floor((F.col(value) - F.col("_lo")) / width * bins)
                                    .cast("int"))).otherwise(F.lit(0))

@@ -118,6 +118,7 @@ def sweep(scored: DataFrame, grid: DataFrame, label: str = "label") -> DataFrame
     esc = F.col("_t.i") >= F.col("_gap")
     cm = x.groupBy(F.col("_t.threshold").alias("threshold"), "y", F.when(esc, F.col("p2")).otherwise(F.col("p1")).alias("p")).agg(
         F.sum("_n").alias("n"), F.sum(F.when(esc, F.col("_n")).otherwise(F.lit(0))).alias("n_esc"),
-        F.sum(F.col("_l1") + F.when(esc, F.col("_l2")).otherwise(F.lit(0.0))).alias("lat"))
+        F.sum(F.col("_l1") + F.when(esc, F.col("_l2")).otherwise(F.lit(0.0))).alias("lat"),
+        F.sum("_l1").alias("lat1"), F.sum("_l2").alias("lat2"))
     # tiny (thresholds x classes^2), and several reports read it
     return cut_lineage(cm)

@@ -162,11 +162,10 @@ aft AS (SELECT sum(len(list_filter(tok, lambda t: NOT list_contains({_SW_SQL}, t
 SELECT before AS tokens_before, after AS tokens_after, {S.r6('1.0 - after::DOUBLE / greatest(before, 1)')} AS reduction FROM raw, aft""")
 def q_token_reduction(spark, sf):
     """Tokens before (raw whitespace split) vs after cleaning + stop words."""
-    d = read_table(spark, sf, "documents")
     raw_tok = F.filter(F.split(F.regexp_replace("text", S.SPACES_RE, " "), " "), lambda t: t != "")
-    before = d.agg(F.sum(F.size(raw_tok)).cast("long").alias("tokens_before"))
-    after = pl.docs(spark, sf).agg(F.sum(F.size(remove_stopwords(F.col("tokens"), STOPWORDS))).cast("long").alias("tokens_after"))
-    j = before.crossJoin(after)
+    j = pl.docs(spark, sf, with_text=True).agg(
+        F.sum(F.size(raw_tok)).cast("long").alias("tokens_before"),
+        F.sum(F.size(remove_stopwords(F.col("tokens"), STOPWORDS))).cast("long").alias("tokens_after"))
     return j.withColumn("reduction", r6(F.lit(1.0) - F.col("tokens_after") / F.greatest(F.col("tokens_before"), F.lit(1))))
 
 
@@ -439,6 +438,7 @@ def _sweep_df(spark, sf, grid, mode: str) -> DataFrame:
     f1 = pc.groupBy("threshold").agg(F.avg("f1").alias("f1_macro"))
     tot = cm.groupBy("threshold").agg(
         F.sum("n").alias("_n"), F.sum("n_esc").alias("_e"), F.sum("lat").alias("_lat"),
+        (F.sum("lat1") / F.sum("n")).alias("_t1"), (F.sum("lat2") / F.sum("n")).alias("_t2"),
         F.sum(F.when(F.col("y") == F.col("p"), F.col("n")).otherwise(0)).alias("_ok"))
     out = tot.join(f1, "threshold")
     acc = F.col("_ok") / F.col("_n")
@@ -447,8 +447,6 @@ def _sweep_df(spark, sf, grid, mode: str) -> DataFrame:
         return out.select("threshold", F.round(acc, 4).alias("accuracy"), F.round("f1_macro", 4).alias("f1_macro"),
                           F.round(F.col("_lat") / F.col("_n") * 1000, 3).alias("avg_latency_ms"),
                           F.round(rate * 100, 1).alias("tier2_rate_pct"))
-    means = s.agg(F.avg("tier1_latency").alias("_t1"), F.avg("tier2_cost").alias("_t2"))
-    out = out.crossJoin(means)
     lat = (F.col("_t1") * (1 - rate) + F.col("_t2") * rate) * 1000
     return out.select("threshold", r6(acc).alias("accuracy"), r6("f1_macro").alias("f1_macro"),
                       r6(lat).alias("avg_latency_ms"), r6(rate * 100).alias("tier2_rate_pct"))
