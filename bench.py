@@ -27,8 +27,7 @@ HEADLINE = [
     "clean_text", "h_token", "psi_socio", "route_fixed", "dynamic_route_summary",
     "eval_accuracy_f1", "threshold_sweep", "split_stratified", "pid_v1", "asof_telemetry",
     "burst_rate_batch", "tfidf_weights", "dedup_exact", "dedup_near", "benchmark_contamination",
-    "sentiment_stats", "payload_validate", "model_comparison", "linear_score_join", "lexicon_polarity",
-    "udf_batched_score", "lr_train_predict", "config_ablation",
+    "sentiment_stats", "linear_score_join", "udf_batched_score",
 ]
 
 
