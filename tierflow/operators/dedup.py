@@ -48,12 +48,12 @@ def dedup_near(df: DataFrame, id_col: str = "id", tokens_col: str = "tokens", k:
     sets = df.select(F.col(id_col).alias("_id"), F.array_sort(F.array_distinct(F.transform(shingles(F.col(tokens_col), k), lambda g: F.xxhash64(g)))).alias("_s")).where("size(_s) > 0")
     marked = cut_lineage(sets.withColumn("_c", F.xxhash64("_s", F.size("_s"))))
     classes = marked.groupBy("_c").agg(F.min("_id").alias("_least"), F.any_value("_s").alias("_s"))
-    held = classes.select("_c", F.explode("_s").alias("_g"))
-    rarity = held.groupBy("_g").agg(F.count(F.lit(1)).alias("_df"))
-    rare = (held.join(rarity, "_g").groupBy("_c").agg(F.array_sort(F.collect_list(F.struct("_df", "_g"))).alias("_o"))
-            .select("_c", F.size("_o").alias("_n"), "_o")
-            .select("_c", "_n", F.explode(F.slice("_o", 1, F.col("_n") - F.ceil(F.col("_n") * F.lit(min_similarity) - 1e-9).cast("int") + 1)).alias("_p"))
-            .where("_p._df > 1").select("_c", "_n", F.col("_p._g").alias("_g")))
+    held = classes.select("_c", F.size("_s").alias("_n"), F.explode("_s").alias("_g"))
+    shared = held.groupBy("_g").agg(F.count(F.lit(1)).alias("_df")).where("_df > 1")
+    # a set's shingles that no other set has come first in the order of rarity and match nothing: they are just counted
+    room = F.size("_o") - F.ceil(F.col("_n") * F.lit(min_similarity) - 1e-9).cast("int") + 1
+    rare = (held.join(shared, "_g").groupBy("_c", "_n").agg(F.array_sort(F.collect_list(F.struct("_df", "_g"))).alias("_o")).where(room > 0)
+            .select("_c", "_n", F.explode(F.slice("_o", 1, room)).alias("_p")).select("_c", "_n", F.col("_p._g").alias("_g")))
     other = rare.select(F.col("_c").alias("_d"), F.col("_n").alias("_m"), "_g")
     cand = rare.join(other, "_g").where((F.col("_c") < F.col("_d")) & (F.least("_n", "_m") >= F.greatest("_n", "_m") * F.lit(min_similarity) - 1e-9)).select("_c", "_d").distinct()
     right = classes.select(F.col("_c").alias("_d"), F.col("_least").alias("_l2"), F.col("_s").alias("_s2"))
