@@ -119,3 +119,26 @@ def test_likeness_separates_edits_from_other_texts():
         near.append(ph.likeness(ph.fingerprint(a.encode()), ph.fingerprint((a[:len(a) - cut] + b[:cut]).encode())))
         far.append(ph.likeness(ph.fingerprint(a.encode()), ph.fingerprint(b.encode())))
     assert min(near) > 0.4 and max(far) < 0.3
+
+
+def test_repetitive_texts_have_signatures(frame):
+    rnd = random.Random(7)
+    prose = lambda k: "".join(rnd.choices("abcdefghijklmnop   ", k=k))
+    for size, times in ((400, 10), (400, 100), (50, 800), (7, 3000)):
+        passage = prose(size)
+        assert len(ph.fingerprint((passage * times).encode()).split(":")[1]) >= ph.MOST // 2
+        got = {r.doc_id: r for r in ph.with_next(frame([(2, passage * times), (1, prose(size * times))])).collect()}
+        assert got[2].near_edited > 0.25 and got[2].near_next == 0
+    assert ph.likeness(ph.fingerprint(prose(400).encode() * 100), ph.fingerprint(prose(400).encode() * 100)) < 0.3
+
+
+def test_common_subsequence_matches_plain_table():
+    rnd = random.Random(8)
+    for _ in range(300):
+        a, b = ("".join(rnd.choices("abc", k=rnd.randint(0, 12))) for _ in range(2))
+        row = [0] * (len(b) + 1)
+        for c in a:
+            last = row[:]
+            for j, d in enumerate(b):
+                row[j + 1] = last[j] + 1 if c == d else max(last[j + 1], row[j])
+        assert ph._common(a, b) == row[-1]

@@ -2,13 +2,16 @@
 
 A rolling hash over the last few bytes marks a chunk boundary where its top
 bits are all ones, so boundaries follow the content and an edit moves just
-the boundaries near it. Of equal hash values the first marks, so that repeated
-passages don't fill a signature. Each chunk gives one character of it. The
-block size is the power of two that gives MOST / 2 to MOST chunks in a varied
-text, and a fingerprint holds the signatures at that size and at twice it:
-``size:signature:signature``. Two fingerprints are compared where they have a
-block size in common, by an edit distance (insertions and deletions) between
-the signatures, from a bit-parallel longest common subsequence.
+the boundaries near it. Each chunk gives one character of a signature, however
+often its like stands in the text. The block size starts at the power of two
+that gives MOST / 2 to MOST chunks in a varied text and is halved while the
+signature is shorter than MOST / 2; signatures are never cut, so a repetitive
+text may have a longer one. A fingerprint holds the signatures at that size
+and at twice it: ``size:signature:signature``. Two fingerprints are compared
+where they have a block size in common, by an edit distance (insertions and
+deletions) between the signatures, from a bit-parallel longest common
+subsequence. A text and its edited form, whose sizes may differ where the text
+is repetitive, are also compared at the smaller of their sizes.
 
 Scale: fingerprints need no shuffle. Comparing a text with its neighbour in
 id order shuffles each text once, by id ranges; a range also gets the first
@@ -20,6 +23,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from os.path import commonprefix
 
 import numpy as np
 import pyarrow as pa
@@ -59,17 +63,22 @@ def _marks(raw: bytes, level: int) -> tuple[np.ndarray, np.ndarray]:
         at = np.flatnonzero(v >= _least(level))
         places.append(at + (a + 1))
         values.append(v[at])
-    values, first = np.unique(np.concatenate(values), return_index=True)
-    order = np.argsort(first)
-    return np.concatenate(places)[first[order]], values[order]
+    return np.concatenate(places), np.concatenate(values)
 
 
 def _signature(raw: bytes, ends: np.ndarray) -> str:
-    cuts = [0, *ends.tolist()]
-    if cuts[-1] != len(raw):
-        cuts.append(len(raw))
-    view = memoryview(raw)
-    return "".join([_ALPHABET[xxh32_intdigest(view[a:b]) & 63] for a, b in zip(cuts, cuts[1:], strict=False)])
+    view, out, start = memoryview(raw), [], 0
+    for a in range(0, len(ends), SEGMENT):
+        cuts = [start, *ends[a:a + SEGMENT].tolist()]
+        out.append("".join([_ALPHABET[xxh32_intdigest(view[x:y]) & 63] for x, y in zip(cuts, cuts[1:], strict=False)]))
+        start = cuts[-1]
+    if start != len(raw):
+        out.append(_ALPHABET[xxh32_intdigest(view[start:]) & 63])
+    return "".join(out)
+
+
+def _signatures(raw: bytes, level: int, places: np.ndarray, values: np.ndarray) -> str:
+    return f"{1 << level}:{_signature(raw, places)}:{_signature(raw, places[values >= _least(level + 1)])}"
 
 
 def fingerprint(raw: bytes) -> str:
@@ -78,11 +87,28 @@ def fingerprint(raw: bytes) -> str:
         return "1::"
     level = max(0, (len(raw) // (MOST // 2)).bit_length() - 1)
     places, values = _marks(raw, level)
-    return f"{1 << level}:{_signature(raw, places)}:{_signature(raw, places[values >= _least(level + 1)])}"
+    while level and len(places) + (not len(places) or int(places[-1]) != len(raw)) < MOST // 2:
+        level -= 1
+        places, values = _marks(raw, level)
+    return _signatures(raw, level, places, values)
+
+
+def _at_size(raw: bytes, mark: str, size: int) -> str:
+    """The fingerprint of some bytes, at this block size: `mark` if it has it."""
+    if not raw or mark.startswith(f"{size}:"):
+        return mark
+    level = size.bit_length() - 1
+    return _signatures(raw, level, *_marks(raw, level))
 
 
 def _common(a: str, b: str) -> int:
-    """Length of the longest common subsequence, one machine-word step a character."""
+    """Length of the longest common subsequence, one machine-word step a character; ends that are alike count as they are."""
+    if len(a) < len(b):
+        a, b = b, a
+    front = len(commonprefix((a, b)))
+    a, b = a[front:], b[front:]
+    back = len(commonprefix((a[::-1], b[::-1])))
+    a, b = a[:len(a) - back], b[:len(b) - back]
     masks: dict[str, int] = {}
     for i, c in enumerate(a):
         masks[c] = masks.get(c, 0) | 1 << i
@@ -91,7 +117,7 @@ def _common(a: str, b: str) -> int:
     for c in b:
         hit = row & masks.get(c, 0)
         row = ((row + hit) | (row - hit)) & full
-    return len(a) - row.bit_count()
+    return front + back + len(a) - row.bit_count()
 
 
 def _share_run(a: str, b: str) -> bool:
@@ -110,6 +136,13 @@ def likeness(one: str, other: str) -> float:
     return max((2 * _common(x, y) / (len(x) + len(y)) for x, y in pairs if _share_run(x, y)), default=0.0)
 
 
+def _likeness_of_edit(raw: bytes, mark: str, edited: bytes, edited_mark: str) -> float:
+    """Likeness of a text and its edited form, also at the smaller of their block sizes."""
+    a, b = (int(m.partition(":")[0]) for m in (mark, edited_mark))
+    found = likeness(mark, edited_mark)
+    return found if a == b else max(found, likeness(_at_size(raw, mark, min(a, b)), _at_size(edited, edited_mark, min(a, b))))
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fingerprint), one row per row of `docs`, without a shuffle; null text as empty."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -135,7 +168,7 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cut = len(text) // 3
         edited = (text[:len(text) - cut] + other[:cut]).encode("utf-8")
         mark = row[4] if edited == row[3] else fingerprint(edited)
-        return (row[2], len(text), hashlib.sha256(edited).hexdigest(), row[4], mark, likeness(row[4], mark), likeness(row[4], then[4]))
+        return (row[2], len(text), hashlib.sha256(edited).hexdigest(), row[4], mark, _likeness_of_edit(row[3], row[4], edited, mark), likeness(row[4], then[4]))
 
     for batch in batches:
         columns = zip(batch.column("at").to_pylist(), batch.column("own").to_pylist(), batch.column("doc_id").to_pylist(),
