@@ -108,6 +108,22 @@ def run_plain(rows, batch_bytes, shards):
     return sorted(out)
 
 
+@pytest.mark.parametrize("own", [5, None])
+@pytest.mark.parametrize("gather", [1 << 15, 1])
+def test_rows_of_one_id_in_different_batches(monkeypatch, own, gather):
+    rnd = random.Random(12)
+    text = lambda k: "".join(rnd.choices("abcdefghijklmnopqrstuvwxyz ", k=k))
+    passage, twin = text(60), text(300)
+    twin = twin[:150] + passage + twin[150:]
+    rows = [(1, text(300) + passage + text(300)), (own, twin), (own, twin), (own, twin)]
+    monkeypatch.setattr(sd, "_GATHER", gather)
+    sd._powers.cache_clear()
+    want = plain(rows)
+    assert [w[2] for w in want if w[0] == str(own)] == [60] * 3
+    for order in (rows, rows[::-1]):
+        assert run_plain(order, 100, shards=2) == want
+
+
 def test_job(frame):
     rnd = random.Random(9)
     texts = corpus(rnd, 200)

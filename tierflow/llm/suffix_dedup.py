@@ -20,7 +20,7 @@ anchor form a block (up to LENGTH - K + 1 windows). Three passes:
 1. One suffix per block: (anchor string, block). The scan tells a block that a
    smaller id holds whole; all its windows go. It also tells anchor strings
    that stand in several different blocks: of each such block the first
-   holder enters pass 2. Other blocks can't share a window with anything.
+   holder, and rows of other batches with its id, enter pass 2. Other blocks can't share a window with anything.
 2. One suffix per window of those blocks. The scan tells the windows that a
    smaller id holds.
 3. The answers meet the texts again, and the covered bytes are taken out.
@@ -234,7 +234,8 @@ def _answer(rows: list[tuple[int, int, bytes]], wide: bool) -> Iterator[tuple[in
     """The answers to a shard's arrays (batch, n, blob): (batch, bits).
 
     A bit per entry: a smaller id has it. If `wide`, another: its anchor
-    string stands in different blocks, and it is the first holder of its own.
+    string stands in different blocks, and it is the first holder of its own
+    or shares its id with that.
     """
     family, starts = Levels(), np.cumsum([0, *(n for _, n, _ in rows)])
     held = np.zeros(starts[-1], bool)
@@ -272,6 +273,8 @@ def _answer(rows: list[tuple[int, int, bytes]], wide: bool) -> Iterator[tuple[in
         alike = np.zeros(len(anchor) + 1, bool)
         alike[1:-1] = anchor[1:] == anchor[:-1]
         enters[place[alike[1:] | alike[:-1]]] = True
+        for place, holder in (*pairs, *near):  # a twin's holder may be a leader whose own holder came before: pairs first
+            enters[place] |= enters[holder]
     for i, (batch, _, _) in enumerate(rows):
         part = slice(starts[i], starts[i + 1])
         yield batch, np.packbits(np.concatenate([held[part], enters[part]]) if wide else held[part]).tobytes()
