@@ -29,6 +29,23 @@ def test_marginals_meet_their_targets(spark):
     assert abs(kept[0] / kept[1] - 0.6) < 1e-6
 
 
+def test_expected_marginals_meet_targets_within_the_bound(spark):
+    cells = {("a", "en"): 60, ("a", "fr"): 12, ("b", "en"): 12, ("b", "fr"): 20}
+    rows = [(100 * i + j, "w " * 10, lang, source, 0) for i, ((source, lang), n) in enumerate(cells.items()) for j in range(n)]
+    docs, one = spark.createDataFrame(rows, SCHEMA).coalesce(1), F.lit("t")
+    even = {"source": spark.createDataFrame([("a", 0.5), ("b", 0.5)], "source string, share double"), "lang": spark.createDataFrame([("en", 0.5), ("fr", 0.5)], "lang string, share double")}
+    options = {"shares": even, "share": 60 / 104}
+    got = mixing.marginals(mixing.mix(docs, topic=one, **options), **options).where("dimension <> 'topic'").collect()
+    assert len(got) == 4 and all(r.feasible and abs(r.expected - r.target) < 2e-3 for r in got)
+    cut = mixing.marginals(mixing.mix(docs, topic=one, bounded=False, **options), **options).where("dimension <> 'topic'").collect()
+    assert max(abs(r.expected - r.target) for r in cut) > 5e-3
+
+    options["shares"] = {"source": spark.createDataFrame([("a", 0.1), ("b", 0.9)], "source string, share double")}
+    marked = mixing.mix(docs, topic=one, **options).cache()
+    assert {(r.value, r.feasible, round(r.expected, 3)) for r in mixing.marginals(marked, **options).where("dimension = 'source'").collect()} == {("a", True, round(28 / 60, 3)), ("b", False, round(32 / 60, 3))}
+    assert marked.where("source = 'b' and mix_probability < 0.999999").count() == 0
+
+
 def test_sample_and_odd_rows(spark):
     rows = [(i, "a b c", "en", "s0", 5) for i in range(2000)] + [(None, None, None, None, None), (1, "", None, "s1", 0), (1, "", None, "s1", 0), (5000, "w " * 200_000, "en", "s0", 1)]
     docs = spark.createDataFrame(rows, SCHEMA).withColumn("mix_kept", F.lit("x")).withColumn("weight", F.lit(1)).withColumn("tokens", F.lit(2))

@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 from .common import checkpoint
 
 SWEEPS = 8
+#: The bounded fit ends when no cell moves by more than this part of its tokens, or after so many sweeps.
+STILL, BOUNDED_SWEEPS = 1e-3, 40
 #: Steps of the search for the scale: each fixes which cells are kept whole and solves for the rest.
 STEPS = 6
 TEMPER = {"source": 0.7, "lang": 0.7, "topic": 0.8}
@@ -88,6 +90,56 @@ def rake(table: DataFrame, targets: dict[str, DataFrame], sweeps: int = SWEEPS)
     return fitted.select(*table.columns, (F.col("fitted") / F.col("tokens")).alias("weight"))
 
 
+def reachable(target: DataFrame, table: DataFrame, by: str, share: float) -> DataFrame:
+    """(by, target, full) with no target above the tokens there are over `share`; what is above goes to the others in proportion."""
+    room = F.least(F.col("target"), F.col("margin") / F.lit(share))
+    both = checkpoint(target.join(_margin(table, by, "tokens"), by))
+    total, scale = both.agg(F.sum("target")).first()[0] or 0.0, 1.0
+    while True:  # each step fills one value more, or ends
+        grown = both.withColumn("target", F.col("target") * F.lit(scale)).withColumn("full", F.col("target") * F.lit(share) >= F.col("margin"))
+        whole, rest = grown.agg(F.sum(F.when(F.col("full"), F.col("margin") / F.lit(share)).otherwise(F.lit(0.0))), F.sum(F.when(~F.col("full"), F.col("target")))).first()
+        step = (total - whole) / rest if rest else 1.0
+        if step <= 1 + 1e-12:
+            return grown.select(by, room.alias("target"), "full")
+        scale *= step
+
+
+def rake_bounded(table: DataFrame, targets: dict[str, DataFrame], share: float, sweeps: int = BOUNDED_SWEEPS) -> DataFrame:
+    """`rake`, but no cell is fitted above its tokens over `share`, so that nothing is cut when `share` of all is drawn.
+
+    Cells of a value that must be kept whole are fixed so. Within a margin the
+    factor of the others is exact: cells in the order in which they fill up,
+    and the factor of the first that doesn't once those before it are full.
+    """
+    if share <= 0:
+        return rake(table, targets)
+    fitted = table.withColumn("fitted", F.col("tokens").cast("double")).withColumn("room", F.col("tokens") / F.lit(min(1.0, share)))
+    fixed = F.lit(False)
+    for by in DIMENSIONS:
+        fitted = fitted.join(reachable(targets[by], table, by, min(1.0, share)).select(by, F.col("target").alias(f"to_{by}"), F.col("full").alias(f"full_{by}")), by)
+        fixed = fixed | F.col(f"full_{by}")
+    fitted = fitted.withColumn("fixed", fixed).drop(*[f"full_{by}" for by in DIMENSIONS])
+    fitted = checkpoint(fitted.withColumn("fitted", F.when(F.col("fixed"), F.col("room")).otherwise(F.col("fitted"))))
+    columns = fitted.columns
+    for _ in range(sweeps):
+        step = fitted.withColumn("was", F.col("fitted"))
+        for by in DIMENSIONS:
+            margin = Window.partitionBy(by)  # over cells, not documents
+            turn = margin.orderBy(F.desc("fixed"), F.desc(F.col("fitted") / F.col("room")), *[d for d in DIMENSIONS if d != by])
+            before = F.coalesce(F.sum("room").over(turn.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+            step = step.withColumn("before", before).withColumn("rest", F.sum("fitted").over(turn.rowsBetween(0, Window.unboundedFollowing)))
+            step = step.withColumn("factor", F.when(F.col("rest") > 0, F.greatest(F.lit(0.0), F.col(f"to_{by}") - F.col("before")) / F.col("rest")))
+            step = step.withColumn("factor", F.max(F.when(~F.col("fixed") & (F.col("factor") * F.col("fitted") <= F.col("room") * F.lit(1 + 1e-12)), F.col("factor"))).over(margin))
+            fill = F.least(F.col("room"), F.coalesce(F.col("factor") * F.col("fitted"), F.col("room")))
+            step = step.withColumn("fitted", F.when(F.col("fixed"), F.col("room")).when(F.col("fitted") > 0, fill).otherwise(F.lit(0.0)))
+        step = checkpoint(step.select(*columns, "was"))
+        moved = step.agg(F.max(F.abs(F.col("fitted") - F.col("was")) / F.col("tokens"))).first()[0]
+        fitted = step.select(*columns)
+        if moved is None or moved <= STILL:
+            break
+    return fitted.select(*table.columns, (F.col("fitted") / F.col("tokens")).alias("weight"))
+
+
 def calibrate(weighted: DataFrame, share: float = SHARE, steps: int = STEPS) -> DataFrame:
     """`weighted` with `probability`: min(1, scale * weight), the scale such that `share` of the tokens are expected to be kept."""
     tokens, fitted = weighted.agg(F.sum("tokens"), F.sum(F.col("tokens") * F.col("weight"))).first()
@@ -105,13 +157,20 @@ def draw(doc_id: Column) -> Column:
     return F.coalesce(F.conv(F.substring(F.md5(doc_id.cast("string")), 1, 12), 16, 10).cast("double") / F.lit(float(1 << 48)), F.lit(0.0))
 
 
+def _targets(table: DataFrame, shares: dict[str, DataFrame] | None, temper: dict[str, float] | None) -> dict[str, DataFrame]:
+    temper = TEMPER | (temper or {})
+    return {by: given(table, shares[by], by) if shares and by in shares else tempered(table, by, temper[by]) for by in DIMENSIONS}
+
+
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source: str = "source", lang: str = "lang", topic: Column | None = None,
-        tokens: Column | None = None, shares: dict[str, DataFrame] | None = None, temper: dict[str, float] | None = None, share: float = SHARE) -> DataFrame:
+        tokens: Column | None = None, shares: dict[str, DataFrame] | None = None, temper: dict[str, float] | None = None, share: float = SHARE,
+        bounded: bool = True) -> DataFrame:
     """The columns of `docs`, plus mix_topic, mix_tokens, mix_weight, mix_probability, mix_kept, one row per row.
 
     `shares` may hold a table (name, share) for any of source, lang and
     topic; the others are tempered. Null sources, languages and topics form
-    a value of their own. Null text counts as empty, as one token. Rows with
+    a value of their own. If not `bounded`, cells are fitted as if they could
+    be drawn more than once and cut at probability 1, which misses targets. Null text counts as empty, as one token. Rows with
     one id share their draw; a null id is kept wherever its probability isn't
     0. A column of `docs` with the name of a result is replaced. No rows
     give no rows.
@@ -119,9 +178,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source:
     topic = topic_of(F.coalesce(F.col(text_col), F.lit(""))) if topic is None else topic
     tokens = token_count(F.col(text_col)) if tokens is None else tokens
     table = checkpoint(cells(docs, source, lang, topic, tokens))
-    temper = TEMPER | (temper or {})
-    targets = {by: given(table, shares[by], by) if shares and by in shares else tempered(table, by, temper[by]) for by in DIMENSIONS}
-    found = checkpoint(calibrate(rake(table, targets), share)).select(
+    targets = _targets(table, shares, temper)
+    found = checkpoint(calibrate(rake_bounded(table, targets, share) if bounded else rake(table, targets), share)).select(
         F.col("source").alias("_s"), F.col("lang").alias("_l"), F.col("topic").alias("_t"), F.col("weight").alias("mix_weight"), F.col("probability").alias("mix_probability"))
     if found.count() <= BROADCAST_CELLS:
         found = F.broadcast(found)
@@ -131,6 +189,28 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source:
     return joined.drop("_s", "_l", "_t").withColumn("mix_kept", draw(F.col(id_col)) < F.col("mix_probability"))
 
 
+def marginals(marked: DataFrame, source: str = "source", lang: str = "lang", shares: dict[str, DataFrame] | None = None, temper: dict[str, float] | None = None,
+              share: float = SHARE) -> DataFrame:
+    """(dimension, value, own, target, expected, drawn, feasible) of a result of `mix` with these options.
+
+    Shares of the tokens: of all, as wanted, by the probabilities, and of the
+    rows kept. Feasible: the value has the tokens that its target asks for.
+    """
+    part = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    n = F.col("mix_tokens")
+    table = checkpoint(marked.groupBy(part(source).alias("source"), part(lang).alias("lang"), F.col("mix_topic").alias("topic")).agg(
+        F.sum(n).alias("tokens"), F.sum(n * F.col("mix_probability")).alias("expected"), F.sum(F.when(F.col("mix_kept"), n).otherwise(F.lit(0))).alias("drawn")))
+    total, expected, drawn = table.agg(F.sum("tokens"), F.sum("expected"), F.sum("drawn")).first()
+    of = lambda c, whole: (F.col(c) / F.lit(float(whole or 1))).alias(c)
+    out = None
+    for by, target in _targets(table, shares, temper).items():
+        sums = table.groupBy(by).agg(*[F.sum(c).alias(c) for c in ("tokens", "expected", "drawn")]).join(target, by)
+        rows = sums.select(F.lit(by).alias("dimension"), F.col(by).alias("value"), of("tokens", total).alias("own"), of("target", total), of("expected", expected), of("drawn", drawn),
+                           (F.col("target") * F.lit(share) <= F.col("tokens")).alias("feasible"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 def sample(docs: DataFrame, **options) -> DataFrame:
     """The rows of `docs` that are drawn, all columns as they are, by default columns and options of mix."""
     slim = docs.select("doc_id", "text", "source", "lang", F.struct(*[f"`{c}`" for c in docs.columns]).alias("row"))
@@ -141,7 +221,7 @@ def query(spark, sf_dir: str) -> DataFrame:
     """Per document its tokens, topic, weight, probability and whether it is drawn (rounded: SQL sums in another order)."""
     from .common import read_table
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
-    return mix(docs).select("doc_id", F.col("mix_topic").alias("topic"), F.col("mix_tokens").alias("n_tokens"), F.round("mix_weight", 6).alias("weight"),
+    return mix(docs, bounded=False).select("doc_id", F.col("mix_topic").alias("topic"), F.col("mix_tokens").alias("n_tokens"), F.round("mix_weight", 6).alias("weight"),
                             F.round("mix_probability", 6).alias("probability"), F.col("mix_kept").alias("kept"))
 
 
