@@ -114,6 +114,8 @@ def test_stages(spark, corpus):
     done = {(r.doc_id, r.n_tokens, r.ids_sha256) for r in stages["byte_bpe"](spark, mixed, corpus).collect()}
     plain = {(r.doc_id, len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()) for r in mixed.collect() for ids in [library.encode_ordinary(r.text or "")]}
     assert done == plain
+    last = stages["byte_bpe"](spark, mixed, corpus)
+    assert sorted((str(r.doc_id), library.decode(r.ids)) for r in last.collect()) == sorted((str(r.doc_id), r.text or "") for r in mixed.collect())
 
 
 def test_run_is_the_stages(spark, corpus):

@@ -28,6 +28,7 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .common import ids_and_texts, no_cycles, row_slices
 
@@ -176,9 +177,11 @@ def _encode_blocks(path: str, pattern: str, with_ids: bool):
                     ids_sha.append(hashlib.sha256(as_text).hexdigest())
                     text_sha.append(hashlib.sha256(b"".join(decoded)).hexdigest())
                     if with_ids:
-                        ids.append([int(i) for i in as_text.split()])
+                        ids.append(np.fromstring(as_text.decode("ascii"), np.int32, sep=" ") if parts else np.empty(0, np.int32))
                 columns = [block.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())]
-                yield pa.record_batch(columns + [pa.array(ids, pa.list_(pa.int32()))] * with_ids, schema=schema)
+                if with_ids:
+                    columns.append(pa.ListArray.from_arrays(pa.array(np.cumsum([0, *n]), pa.int32()), pa.array(np.concatenate(ids), pa.int32())))
+                yield pa.record_batch(columns, schema=schema)
     return run
 
 
@@ -195,22 +198,45 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
     return ids_and_texts(docs, id_col, text_col).mapInArrow(_encode_blocks(ranks_path, pattern, with_ids), schema)
 
 
-def _decode_blocks(path: str, ids_col: str):
+def _decode_blocks(path: str, ids_col: str, keep: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks = Ranks.load(path)
+
+        def done(batch: pa.RecordBatch, start: int, out: list) -> pa.RecordBatch:
+            part = batch.slice(start, len(out))
+            return pa.record_batch([part.column("doc_id"), pa.array(out, pa.binary()), *map(part.column, keep)], names=["doc_id", "decoded", *keep])
         for batch in batches:
-            out = [None if ids is None else ranks.decode(ids) for ids in batch.column(ids_col).to_pylist()]
-            yield pa.record_batch([batch.column("doc_id"), pa.array(out, pa.binary())], names=["doc_id", "decoded"])
+            start, held, out = 0, 0, []
+            for ids in batch.column(ids_col):  # row by row: a batch's ids as Python numbers would be many times its size
+                out.append(ranks.decode(ids.values.to_numpy(zero_copy_only=False).tolist()) if ids.is_valid else None)
+                held += len(out[-1] or b"")
+                if held > BLOCK_BYTES:
+                    yield done(batch, start, out)
+                    start, held, out = start + len(out), 0, []
+            if out:
+                yield done(batch, start, out)
     return run
 
 
-def decode(encoded: DataFrame, ranks_path: str, ids_col: str = "ids") -> DataFrame:
-    """(doc_id, decoded): the bytes that each row's ids stand for; null for null, empty for none. An unknown id raises."""
-    return encoded.select("doc_id", ids_col).mapInArrow(_decode_blocks(ranks_path, ids_col), "doc_id long, decoded binary")
+def decode(encoded: DataFrame, ranks_path: str, ids_col: str = "ids", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, decoded): the bytes that each row's ids stand for; null for null, empty for none. An unknown id raises.
+
+    Columns named in `keep` follow as they are.
+    """
+    slim = encoded.select(*dict.fromkeys(["doc_id", ids_col, *keep]))
+    schema = ", ".join(["doc_id long, decoded binary", *[f"`{c}` {slim.schema[c].dataType.simpleString()}" for c in keep]])
+    return slim.mapInArrow(_decode_blocks(ranks_path, ids_col, list(keep)), schema)
+
+
+def with_digests(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256, ids): the ids of `encode`, and digests of them and of what `decode` makes of them."""
+    out = decode(encode(docs, ranks_path, pattern), ranks_path, keep=("ids",))
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256"),
+                      F.sha2("decoded", 256).alias("decoded_sha256"), "ids")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     from .common import read_table
-    return encode(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, with_ids=False)
+    return with_digests(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN).drop("ids")
