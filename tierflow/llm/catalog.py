@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, html_extract, mixing, piecewise_hash, simhash, suffix_dedup, token_counts, topk, toxicity, url_filter
+from . import byte_bpe, html_extract, line_dedup, mixing, piecewise_hash, simhash, suffix_dedup, token_counts, topk, toxicity, url_filter
 
 QUERIES = {
     "op1_toxicity": toxicity.query,
@@ -15,10 +15,12 @@ QUERIES = {
     "op8_url_filters": url_filter.query,
     "op9_suffix_dedup": suffix_dedup.query,
     "op10_exact_topk": topk.query,
+    "op11_line_dedup": line_dedup.query,
 }
 ORACLE = {
     "op2_mixing": mixing.SQL,
     "op8_url_filters": url_filter.SQL,
     "op9_suffix_dedup": suffix_dedup.SQL,
     "op10_exact_topk": topk.SQL,
+    "op11_line_dedup": line_dedup.SQL,
 }
