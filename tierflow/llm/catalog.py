@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, html_extract, line_dedup, mixing, piecewise_hash, simhash, suffix_dedup, token_counts, topk, toxicity, url_filter
+from . import byte_bpe, divergence, html_extract, importance, line_dedup, mixing, piecewise_hash, simhash, suffix_dedup, token_counts, topk, toxicity, url_filter
 
 QUERIES = {
     "op1_toxicity": toxicity.query,
@@ -16,6 +16,8 @@ QUERIES = {
     "op9_suffix_dedup": suffix_dedup.query,
     "op10_exact_topk": topk.query,
     "op11_line_dedup": line_dedup.query,
+    "op12_source_divergence": divergence.query,
+    "op13_importance_resampling": importance.query,
 }
 ORACLE = {
     "op2_mixing": mixing.SQL,
@@ -23,4 +25,6 @@ ORACLE = {
     "op9_suffix_dedup": suffix_dedup.SQL,
     "op10_exact_topk": topk.SQL,
     "op11_line_dedup": line_dedup.SQL,
+    "op12_source_divergence": divergence.SQL,
+    "op13_importance_resampling": importance.SQL,
 }
