@@ -125,8 +125,13 @@ def dynamic_route(spark: SparkSession, sf: str, cfg: SpitConfig = SPIT_V1, chunk
 
 
 def route_by_phi(posts: DataFrame, cfg: SpitConfig = SPIT_V1) -> DataFrame:
-    """Posts with a phi (null: the default) -> tau -> decisions."""
-    x = with_social(routing.score_tier1(posts, tier1_scorer())).withColumn("phi", F.coalesce("phi", F.lit(_default_phi(cfg))))
+    """Posts with a phi (null: the default) -> tier 1 -> tau -> decisions."""
+    return decide(routing.score_tier1(posts, tier1_scorer()), cfg)
+
+
+def decide(scored: DataFrame, cfg: SpitConfig = SPIT_V1) -> DataFrame:
+    """Posts with tier-1 scores and a phi (null: the default) -> tau -> decisions."""
+    x = with_social(scored).withColumn("phi", F.coalesce("phi", F.lit(_default_phi(cfg))))
     y = with_signals(x, cfg, phi="phi")
     return routing.route_expr(y.withColumn("escalate", F.col("c1") < F.col("tau")), tier2_scorer(), "escalate")
 
