@@ -38,6 +38,35 @@ def test_near_dup_vs_brute_force(spark):
     assert sum(r.is_near_duplicate for r in got.values()) > 20
 
 
+def _edited_copies(spark, k):
+    """k copies of a text, each with a word of its own; exactly one shingle in forty differs."""
+    base = [f"w{i}" for i in range(120)]
+    rows = [(i, [*base[:10 + i % 97], f"own{i}", *base[11 + i % 97:]]) for i in range(k)]
+    return spark.createDataFrame(rows, "id long, tokens array<string>")
+
+
+def test_near_dup_work_grows_with_a_group_not_with_its_pairs(spark, monkeypatch):
+    from tierflow.operators import dedup
+    verified, plain = [], dedup._verified
+    monkeypatch.setattr(dedup, "_verified", lambda pairs, *a: verified.append(pairs.count()) or plain(pairs, *a))
+    counts = {}
+    for k in (500, 2000):
+        verified.clear()
+        got = dedup.dedup_near(_edited_copies(spark, k)).collect()
+        assert [r.dup_of for r in sorted(got, key=lambda r: r.id)] == [None] + [0] * (k - 1)
+        counts[k] = sum(verified)
+    assert counts[2000] < 2000 * 8 and counts[2000] < counts[500] * 6
+
+
+def test_near_dup_of_chains_takes_the_lowest_match(spark):
+    """Texts that drift: each is like its neighbours only, so lists go on over several rounds."""
+    rows = [(i, [f"w{j}" for j in range(i * 3, i * 3 + 60)]) for i in range(60)]
+    got = {r.id: r for r in dedup_near(spark.createDataFrame(rows, "id long, tokens array<string>")).collect()}
+    for i, t in rows:
+        near = [(j, _jacc(t, u)) for j, u in rows if j < i and _jacc(t, u) >= 0.7]
+        assert (got[i].dup_of, got[i].similarity) == min(near, default=(None, None)), i
+
+
 def test_exact_dedup_and_contamination(spark):
     df = spark.createDataFrame([(1, "a b"), (2, "a b"), (3, "c")], "id long, clean string")
     assert sorted((r.id, r.n_copies) for r in dedup_exact(df).collect()) == [(1, 2), (3, 1)]
@@ -116,3 +145,42 @@ def test_session_store_and_context_log(spark, tmp_path):
     c = sinks.ContextLog(spark, str(tmp_path / "ctx"))
     c.append(spark.createDataFrame([(dt.datetime(2024, 1, i), "p") for i in range(1, 13)], "timestamp timestamp_ntz, product string"))
     assert [r.timestamp.day for r in c.last_n(10).collect()] == list(range(12, 2, -1))
+
+
+def test_session_store_shows_whole_appends_only(spark, tmp_path):
+    """An append that breaks off before its manifest doesn't show; of two writers of one version the second tries again."""
+    store = sinks.SessionStore(spark, str(tmp_path / "s"))
+    rows = lambda *x: spark.createDataFrame([(i,) for i in x], "id long")
+    store.append(rows(1, 2))
+    rows(98, 99).write.parquet(str(tmp_path / "s/parts/broken-off"))
+    assert sorted(r.id for r in store.all().collect()) == [1, 2]
+
+    class Slow(sinks.SessionStore):
+        def _newest(self):
+            found = super()._newest()
+            if not getattr(self, "met", False):
+                self.met = True
+                store.append(rows(3))  # between this writer's look and its manifest
+            return found
+    Slow(spark, store.path).append(rows(4))
+    assert sorted(r.id for r in store.all().collect()) == [1, 2, 3, 4]
+    before = store.all()
+    store.clear()
+    assert sorted(r.id for r in before.collect()) == [1, 2, 3, 4]  # a read that began before
+    assert store.all().count() == 0 and store.all().columns == ["id"]
+    store.append(rows(5))
+    assert [r.id for r in store.all().collect()] == [5]
+
+
+def test_wide_csv_of_many_products(spark, tmp_path):
+    """2,000 columns, read by their header."""
+    n = 2000
+    path = tmp_path / "wide.csv"
+    with open(path, "w", newline="") as f:
+        out = csv.writer(f)
+        out.writerow(["row_idx", *[f"p{i}" for i in range(n)]])
+        for r in range(3):
+            out.writerow([r, *[f"r{r}, c{i}" if (i + r) % 2 else "" for i in range(n)]])
+    got = readers.read_wide_csv(spark, str(path), ["row_idx"]).collect()
+    assert {(r.row_idx, r["product"], r.message) for r in got} == {(str(r), f"p{i}", f"r{r}, c{i}") for r in range(3) for i in range(n) if (i + r) % 2}
+    assert {r["product"] for r in got if r.is_target} == {"p0"}

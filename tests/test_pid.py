@@ -63,3 +63,46 @@ def test_chunked_scan_equals_sequential(spark):
         got = {r.reading_id: r.phi for r in telemetry.pid(inp.repartition(parts), SPIT_V1, chunk_seconds=chunk).collect()}
         for k, v in ref.items():
             assert got[k] == pytest.approx(v, abs=1e-9)
+
+
+def test_chunked_scan_of_errors_of_any_sign(spark):
+    """Errors on both sides of the set-point, long enough to meet both limits: as the sequential loop, on any chunking."""
+    import random
+    rnd = random.Random(8)
+    rows, t = [], 0.0
+    for i in range(900):
+        t += rnd.choice([0.0005, 0.3, 5, 40, 900])
+        device = rnd.choice([0, 0, 1, 2])
+        e = rnd.uniform(-30, 30) if device < 2 else -rnd.uniform(0, 30)  # device 2 stays below: the closed form
+        rows.append((device, T0 + dt.timedelta(seconds=t), i, e, rnd.random() * 0.1))
+    df = spark.createDataFrame(rows, "device_id long, ts timestamp_ntz, reading_id long, error double, secondary double")
+    want, low, high = {}, False, False
+    for d in range(3):
+        mine = [(round((r[1] - T0).total_seconds() * 1e6) / 1e6, r[2], r[3], r[4]) for r in rows if r[0] == d]
+        want |= _brute_pid(mine)
+    for chunk, parts in ((60, 1), (3600, 7), (1, 3)):
+        out = telemetry.pid(df.repartition(parts), SPIT_V1, chunk_seconds=chunk)
+        got = out.select("reading_id", "phi", "integral").collect()
+        assert len(got) == len(rows)
+        for r in got:
+            assert r.phi == pytest.approx(want[r.reading_id], abs=1e-9)
+            low, high = low or r.integral == -50, high or r.integral == 50
+    assert low and high
+
+
+def test_clamp_functions_compose():
+    from itertools import accumulate
+
+    from hypothesis import given
+    from hypothesis import strategies as hs
+
+    from tierflow.operators.scan import clamp_of
+    step = hs.lists(hs.integers(-9, 9).map(float), max_size=30)
+
+    @given(step, step, hs.integers(-5, 5).map(float))
+    def check(a, b, v):
+        run = lambda x, steps: list(accumulate(steps, lambda y, s: min(5.0, max(-5.0, y + s)), initial=x))[-1]
+        f = lambda x, steps: min(clamp_of(steps, 5.0)[1], max(clamp_of(steps, 5.0)[0], x + clamp_of(steps, 5.0)[2]))
+        assert f(v, a) == run(v, a)
+        assert f(f(v, a), b) == f(v, a + b) == run(v, a + b)
+    check()

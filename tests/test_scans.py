@@ -61,12 +61,12 @@ def test_topk_two_phase_exact(spark):
         assert [x.id for x in sorted([x for x in got if x.g == g], key=lambda x: x.r)] == [w[1] for w in want]
 
 
-def test_pid_scan_refuses_positive_errors(spark):
+def test_pid_scan_of_a_positive_error(spark):
     from tierflow.config import SPIT_V1
-    rows = [(0, T0 + dt.timedelta(seconds=s), i, e, 0.0) for i, (s, e) in enumerate([(0, -5.0), (10, 2.0), (20, -1.0)])]
+    rows = [(0, T0 + dt.timedelta(seconds=s), i, e, 0.0) for i, (s, e) in enumerate([(0, -5.0), (10, 2.0), (20, -1.0), (30, 9.0)])]
     df = spark.createDataFrame(rows, "device_id long, ts timestamp_ntz, reading_id long, error double, secondary double")
-    with pytest.raises(Exception, match="positive error"):
-        telemetry.pid(df, SPIT_V1).collect()
+    got = {r.reading_id: r.integral for r in telemetry.pid(df, SPIT_V1).collect()}
+    assert got == pytest.approx({0: -0.005, 1: 19.995, 2: 9.995, 3: 50.0})
 
 
 def test_half_failed_reads_take_the_group_defaults(spark):
@@ -77,3 +77,44 @@ def test_half_failed_reads_take_the_group_defaults(spark):
     assert v1 == {1: (0.5, 0.5), 2: (0.5, 0.5), 3: (0.5, 0.5)}
     v2 = {r.reading_id: tuple(r)[3:] for r in telemetry.health_v2(tel).collect()}
     assert v2[1] == (0.5, 0.5, 0.5, 0.25, 0.0, 0.0) and v2[2] == (0.0,) * 6 and v2[3] == (0.5, 0.5, 0.5, 0.0, 0.5, 0.5)
+
+
+def test_buckets_keep_to_their_bound_however_values_are_bunched(spark):
+    """Half of the ids lie in a ten-millionth of the range, and half of those in a ten-millionth of that."""
+    from tierflow.operators.scan import bounded_buckets
+    ids = [*range(0, 10**15, 10**12), *range(10**9, 10**9 + 500), *(2 * 10**9 + i * 10**5 for i in range(500)), 10**9 + 7, 10**9 + 7]
+    df = spark.createDataFrame([(i,) for i in ids], "id long").repartition(5)
+    got = bounded_buckets(df, "id", most_rows=40, parts=16).collect()
+    by = {}
+    for r in got:
+        by.setdefault(r._bucket, []).append(r.id)
+    assert len(got) == len(ids) and max(map(len, by.values())) <= 40
+    order = [by[b] for b in sorted(by)]
+    assert all(max(a) < min(b) for a, b in zip(order, order[1:]))
+    batches = {r.id: r.batch_id for r in telemetry.batch_ids(df.distinct(), "id", 64, most_rows=40).collect()}
+    assert batches == {i: n // 64 for n, i in enumerate(sorted(set(ids)))}
+    assert {r._bucket for r in bounded_buckets(df.where("id = 7000000000000"), "id").collect()} <= {""}
+
+
+def test_quantiles_of_many_columns_in_a_few_passes(spark, monkeypatch):
+    import math
+    import random
+
+    import numpy as np
+
+    from tierflow.operators import metrics
+    rnd = random.Random(5)
+    values = {"a": [rnd.choice([0.0, -1.5, 1e300, -1e-300, 2.0]) for _ in range(999)], "b": [rnd.gauss(0, 1) for _ in range(999)],
+              "c": [1e9 + rnd.randrange(3) * 1e-6 for _ in range(999)], "d": [None if i % 3 else float(i) for i in range(999)], "e": [None] * 999, "f": [math.nan] * 998 + [4.0]}
+    df = spark.createDataFrame(list(zip(*values.values())), ", ".join(f"{c} double" for c in values)).repartition(4)
+    passes, plain = [], metrics._summaries
+    monkeypatch.setattr(metrics, "_summaries", lambda *a: passes.append(1) or plain(*a))
+    probs = [0.0, 0.1, 0.25, 0.5, 0.75, 0.999, 1.0]
+    got = metrics.exact_summaries(df, list(values), probs)
+    assert len(passes) <= 5
+    for c, v in values.items():
+        v = [x for x in v if x is not None and not math.isnan(x)]
+        assert got[c]["count"] == len(v)
+        for p in probs:
+            assert got[c][p] == (pytest.approx(float(np.quantile(v, p)), rel=1e-12, abs=1e-300) if v else None), (c, p)
+    assert got["b"]["std"] == pytest.approx(np.std(values["b"], ddof=1)) and got["f"]["std"] is None

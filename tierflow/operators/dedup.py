@@ -5,7 +5,8 @@ is the lowest id. Partial aggregation makes a hot key (a text copied a
 million times) cost one row per task before the shuffle.
 
 Near: exact Jaccard similarity over word 3-gram shingles, candidates by
-prefix filtering (see ``dedup_near``).
+prefix filtering, in ascending order of ids up to the first match (see
+``dedup_near``).
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
+from .scan import bounded_buckets, exact_rank
 
 
 def dedup_exact(df: DataFrame, id_col: str = "id", text_col: str = "clean") -> DataFrame:
@@ -40,31 +42,80 @@ def dedup_near(df: DataFrame, id_col: str = "id", tokens_col: str = "tokens", k:
 
     A row is a near duplicate if the Jaccard similarity of its distinct
     shingles to those of a lower id is at least ``min_similarity``; dup_of is
-    the lowest such id. Equal shingle sets are one class. Two sets that
-    similar share a shingle among the rarest of each (all but the share they
-    must have in common), so classes meet on those alone, and candidates are
-    verified on their whole sets.
+    the lowest such id. Equal shingle sets are one class, known by its lowest
+    id. Two sets that similar share a shingle among the rarest of each (all
+    but the share they must have in common), so a class meets others on
+    those alone, in ascending order of their ids, and stops at its first
+    match (``_first_matches``).
     """
     sets = df.select(F.col(id_col).alias("_id"), F.array_sort(F.array_distinct(F.transform(shingles(F.col(tokens_col), k), lambda g: F.xxhash64(g)))).alias("_s")).where("size(_s) > 0")
     marked = cut_lineage(sets.withColumn("_c", F.xxhash64("_s", F.size("_s"))))
-    classes = marked.groupBy("_c").agg(F.min("_id").alias("_least"), F.any_value("_s").alias("_s"))
-    held = classes.select("_c", F.size("_s").alias("_n"), F.explode("_s").alias("_g"))
+    classes = cut_lineage(marked.groupBy("_c").agg(F.min("_id").alias("_least"), F.any_value("_s").alias("_s")))
+    best = _first_matches(classes, min_similarity)
+    found = (marked.select("_id", "_c").join(classes.select("_c", "_least"), "_c").join(best, "_c", "left")
+             .withColumn("_b", F.coalesce("_b", F.struct(F.col("_least").alias("_to"), F.lit(1.0).alias("_sim"))))
+             .where(F.col("_b._to") < F.col("_id")).select(F.col("_id").alias(id_col), "_b"))
+    return df.select(id_col).join(found, id_col, "left").select(
+        id_col, F.col("_b").isNotNull().alias("is_near_duplicate"), F.col("_b._to").alias("dup_of"), F.col("_b._sim").alias("similarity"))
+
+
+def _rare_shingles(classes: DataFrame, min_similarity: float) -> DataFrame:
+    """(_c, _least, _n, _held, _i, _g): per class the shingles that a class so similar must share one of.
+
+    A class's shingles that others hold, too, in order of rarity: ``_held``
+    of them, ``_i`` counts from 0. Its own ones come first in that order and
+    match nothing: they are just counted.
+    """
+    held = classes.select("_c", "_least", F.size("_s").alias("_n"), F.explode("_s").alias("_g"))
     shared = held.groupBy("_g").agg(F.count(F.lit(1)).alias("_df")).where("_df > 1")
-    # a set's shingles that no other set has come first in the order of rarity and match nothing: they are just counted
     room = F.size("_o") - F.ceil(F.col("_n") * F.lit(min_similarity) - 1e-9).cast("int") + 1
-    rare = (held.join(shared, "_g").groupBy("_c", "_n").agg(F.array_sort(F.collect_list(F.struct("_df", "_g"))).alias("_o")).where(room > 0)
-            .select("_c", "_n", F.explode(F.slice("_o", 1, room)).alias("_p")).select("_c", "_n", F.col("_p._g").alias("_g")))
-    other = rare.select(F.col("_c").alias("_d"), F.col("_n").alias("_m"), "_g")
-    cand = rare.join(other, "_g").where((F.col("_c") < F.col("_d")) & (F.least("_n", "_m") >= F.greatest("_n", "_m") * F.lit(min_similarity) - 1e-9)).select("_c", "_d").distinct()
-    right = classes.select(F.col("_c").alias("_d"), F.col("_least").alias("_l2"), F.col("_s").alias("_s2"))
+    return (held.join(shared, "_g").groupBy("_c", "_least", "_n").agg(F.array_sort(F.collect_list(F.struct("_df", "_g"))).alias("_o")).where(room > 0)
+            .select("_c", "_least", "_n", F.size("_o").alias("_held"), F.posexplode(F.slice("_o", 1, room)).alias("_i", "_p")).select("_c", "_least", "_n", "_held", "_i", F.col("_p._g").alias("_g")))
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, min_similarity: float) -> DataFrame:
+    """The pairs (_c, _d) whose whole sets are that similar, with ``_sim``."""
     both = F.size(F.array_intersect("_s", "_s2"))
-    near = (cand.join(classes, "_c").join(right, "_d").withColumn("_sim", both / (F.size("_s") + F.size("_s2") - both).cast("double")).where(F.col("_sim") >= min_similarity))
-    links = near.select("_c", F.col("_l2").alias("_to"), "_sim").unionByName(near.select(F.col("_d").alias("_c"), F.col("_least").alias("_to"), "_sim"))
-    links = links.unionByName(classes.select("_c", F.col("_least").alias("_to"), F.lit(1.0).alias("_sim")))
-    best = links.groupBy("_c").agg(F.min(F.struct("_to", "_sim")).alias("_b"))
-    found = marked.select("_id", "_c").join(best, "_c").where(F.col("_b._to") < F.col("_id")).select(F.col("_id").alias(id_col), "_b")
-    return df.select(id_col).join(found, id_col, "left").select(
-        id_col, F.col("_b").isNotNull().alias("is_near_duplicate"), F.col("_b._to").alias("dup_of"), F.col("_b._sim").alias("similarity"))
+    return (pairs.join(sets, "_c").join(sets.select(F.col("_c").alias("_d"), F.col("_s").alias("_s2")), "_d")
+            .withColumn("_sim", both / (F.size("_s") + F.size("_s2") - both).cast("double")).where(F.col("_sim") >= min_similarity))
+
+
+def _first_matches(classes: DataFrame, min_similarity: float, growth: int = 4) -> DataFrame:
+    """(_c, _b (_to, _sim)): per class its match with the lowest id, if that is below its own.
+
+    The classes that hold a rare shingle stand in ascending order of their
+    ids. A round takes, for each class and shingle, the next few of those in
+    front of it (``growth`` times as many in each round), sorts out pairs
+    whose sizes, or whose places in the order of rarity, leave too few
+    shingles to share, and verifies the others on their whole sets. A list is
+    left as soon as it has come to the class's best match: of k edited copies
+    of a text, each looks at a bounded number in front of it, not at k.
+    Rounds grow with the logarithm of the longest list.
+    """
+    rare = bounded_buckets(cut_lineage(_rare_shingles(classes, min_similarity)), "_least")
+    ranked = cut_lineage(exact_rank(rare, ["_g"], F.col("_bucket"), ["_least"], out="_pos"))
+    front = ranked.where("_pos > 1").select("_c", "_least", "_n", "_held", "_i", "_g", "_pos", F.lit(1).cast("long").alias("_next"))
+    other = ranked.select("_g", F.col("_pos").alias("_at"), F.col("_c").alias("_d"), F.col("_least").alias("_to"), F.col("_n").alias("_m"), F.col("_held").alias("_held2"), F.col("_i").alias("_j"))
+    sets = classes.select("_c", "_s")
+    best = classes.select("_c", F.lit(None).cast(f"struct<_to: {classes.schema['_least'].dataType.simpleString()}, _sim: double>").alias("_b")).where("false")
+    step = 1
+    while True:
+        upto = F.least(F.col("_next") + step - 1, F.col("_pos") - 1)
+        fetched = cut_lineage(front.withColumn("_at", F.explode(F.sequence("_next", upto))).join(other, ["_g", "_at"]).join(best, "_c", "left")
+                              .where(F.col("_b").isNull() | (F.col("_to") < F.col("_b._to"))))
+        need = F.ceil((F.col("_n") + F.col("_m")) * F.lit(min_similarity / (1 + min_similarity)) - 1e-9)
+        most = 1 + F.least(F.col("_held") - F.col("_i"), F.col("_held2") - F.col("_j")) - 1
+        pairs = fetched.where((F.least("_n", "_m") >= F.greatest("_n", "_m") * F.lit(min_similarity) - 1e-9) & (most >= need)).select("_c", "_d", "_to").distinct()
+        near = _verified(pairs, sets, min_similarity)
+        best = cut_lineage(best.unionByName(near.select("_c", F.struct("_to", "_sim").alias("_b"))).groupBy("_c").agg(F.min("_b").alias("_b")))
+        # a list goes on behind what it has reached, while that is below the class's best match and in front of the class
+        reached = fetched.groupBy("_c", "_g").agg(F.max("_to").alias("_reached"))
+        front = cut_lineage(front.where(F.col("_next") + step < F.col("_pos")).join(reached, ["_c", "_g"]).join(best, "_c", "left")
+                            .where(F.col("_b").isNull() | (F.col("_reached") < F.col("_b._to")))
+                            .withColumn("_next", F.col("_next") + step).drop("_reached", "_b"))
+        if front.isEmpty():
+            return best
+        step *= growth
 
 
 def word_ngrams(tokens: Column, n: int) -> Column:

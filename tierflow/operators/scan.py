@@ -15,8 +15,15 @@ per non-empty chunk, so its window over the key is small even for a hot key.
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+from itertools import accumulate
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..session import cut_lineage
 
 
 def epoch_seconds(ts) -> Column:
@@ -55,12 +62,28 @@ def exact_rank(df: DataFrame, group_cols: list[str], bucket: Column, order_cols:
             .drop("_bkt", "_rn", "_off"))
 
 
-def range_bucket(df: DataFrame, col: str, parts: int = 256) -> Column:
-    """Non-decreasing bucket of ``col``: at most ``parts`` of like size, however its values lie (cuts are approximate quantiles)."""
-    cuts = sorted(set(df.approxQuantile(col, [i / parts for i in range(1, parts)], 0.25 / parts)))
-    if not cuts:
-        return F.lit(0)
-    return F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c < F.col(col)))
+def bounded_buckets(df: DataFrame, col: str, most_rows: int = 1_000_000, parts: int = 1024, out: str = "_bucket") -> DataFrame:
+    """Adds ``out``, a string that doesn't fall as the number ``col`` grows, with at most ``most_rows`` rows of one value of it.
+
+    The range of values is cut into ``parts`` equal parts, and each part that
+    holds too many rows again, between its own least and greatest value,
+    until none does; so buckets follow the data, and their number grows with
+    it. The parts that are cut again are a table, joined to the rows at each
+    level; it takes as many levels as values are bunched within bunches, two
+    or three as a rule. Rows of a single value can't be told apart: they
+    stay in one bucket. Null values go to the first bucket.
+    """
+    x = df.withColumn(out, F.lit("")).withColumn("_v", F.col(col).cast("double"))
+    whole = df.agg(F.lit("").alias(out), F.min(F.col(col).cast("double")).alias("_a"), F.max(F.col(col).cast("double")).alias("_b"), F.count(F.lit(1)).alias("_n"))
+    crowded = cut_lineage(whole.where((F.col("_n") > most_rows) & (F.col("_a") < F.col("_b"))).drop("_n"))
+    while not crowded.isEmpty():
+        part = F.least(F.lit(parts - 1), F.greatest(F.lit(0), F.floor((F.col("_v") - F.col("_a")) / (F.col("_b") - F.col("_a")) * parts)))
+        step = F.format_string(f".%0{len(str(parts - 1))}d", F.coalesce(part, F.lit(0)).cast("int"))
+        x = x.join(crowded, out, "left").withColumn(out, F.when(F.col("_a").isNull(), F.col(out)).otherwise(F.concat(out, step))).withColumn("_again", F.col("_a").isNotNull()).drop("_a", "_b")
+        counts = x.where("_again").groupBy(out).agg(F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_a"), F.max("_v").alias("_b"))
+        x = x.drop("_again")
+        crowded = cut_lineage(counts.where((F.col("_n") > most_rows) & (F.col("_a") < F.col("_b"))).drop("_n"))
+    return x.drop("_v")
 
 
 def exact_hash_rank(df: DataFrame, group_cols: list[str], hash_col: str, tie_col: str,
@@ -82,13 +105,14 @@ def pid_scan(df: DataFrame, key: str, t_col: str, tie_col: str, err_col: str,
     integer microseconds so time differences are exact.
 
     dt = max(t - t_prev, floor) (floor for a key's first row), e_prev = 0 for
-    the first row, I = clip(sum(e*dt), +-limit), D = (e - e_prev)/dt,
+    the first row, I = clip(I_prev + e*dt, +-limit), D = (e - e_prev)/dt,
     phi = clip(kp*e + ki*I + kd*D + secondary, 0, 1).
 
-    The clamped integral equals greatest(-limit, running sum) exactly when
-    every increment is <= 0, which holds because the normalised readings are
-    clipped to <= 1 (error = (T_norm - 1) * setpoint <= 0). Increments are
-    checked: a positive one raises, rather than give a wrong integral.
+    Where no error of a key is positive (normalised readings are clipped to
+    <= 1, so error = (T_norm - 1) * setpoint <= 0) the clamped integral is
+    greatest(-limit, running sum), by windows alone. Keys with a positive
+    error take the general scan (``_clamped_scan``); adaptive execution drops
+    that branch when no key does.
     """
     t = F.col(t_col)
     e = F.col(err_col)
@@ -116,23 +140,71 @@ def pid_scan(df: DataFrame, key: str, t_col: str, tie_col: str, err_col: str,
               .withColumn("_tot", F.col("_finc") + F.col("_rest"))
               .withColumn("_off", F.coalesce(F.sum("_tot").over(wc.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))
               .withColumn("_pos", F.max(F.col("_emax")).over(wc.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-              .select(key, "_c", "_pt", "_pe", "_finc", "_off", "_pos"))
-    y = x.join(chunks, [key, "_c"], "inner")
+              .select(key, "_c", "_pt", "_pe", "_finc", "_off", F.coalesce(F.col("_pos") > 0, F.lit(False)).alias("_pos")))
+    scratch = ("_c", "_lt", "_le", "_rn", "_inc", "_cum", "_pt", "_pe", "_finc", "_off", "_pos")
+    closed = x.join(chunks.where(~F.col("_pos")), [key, "_c"], "inner")
+    bound = lambda v: F.greatest(F.lit(-integral_limit), F.least(F.lit(integral_limit), v))
+    closed = closed.withColumn("_integral", bound(F.col("_off") + F.col("_finc") + F.col("_cum")))
+    general = x.join(chunks.where("_pos"), [key, "_c"], "inner")
+    general = _clamped_scan(general.withColumn("_step", F.coalesce(F.when(F.col("_rn") == 1, F.col("_finc")).otherwise(F.col("_inc")), F.lit(0.0))), key, "_c", "_rn", "_step", integral_limit, "_integral").drop("_step")
+    y = closed.unionByName(general)
     first = F.col("_rn") == 1
     prev_t = F.when(first, F.col("_pt")).otherwise(F.col("_lt"))
     prev_e = F.coalesce(F.when(first, F.col("_pe")).otherwise(F.col("_le")), F.lit(0.0))
     dt = F.when(prev_t.isNull(), F.lit(dt_floor)).otherwise(F.greatest(sec(t, prev_t), F.lit(dt_floor)))
-    running = (F.when(F.coalesce(F.col("_pos"), F.lit(0.0)) <= 0, F.col("_off") + F.col("_finc") + F.col("_cum"))
-               .otherwise(F.raise_error(F.lit("pid_scan: a positive error; the chunked scan holds for errors <= 0")).cast("double")))
-    integral = F.greatest(F.lit(-integral_limit), F.least(F.lit(integral_limit), running))
     p = f"{prefix}"
     y = (y.withColumn(f"{p}dt", dt)
-          .withColumn(f"{p}integral", integral)
+          .withColumnRenamed("_integral", f"{p}integral")
           .withColumn(f"{p}derivative", (e - prev_e) / dt)
           .withColumn(f"{p}phi_raw", F.lit(kp) * e + F.lit(ki) * F.col(f"{p}integral")
                       + F.lit(kd) * F.col(f"{p}derivative") + F.col(secondary_col))
           .withColumn(f"{p}phi", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col(f"{p}phi_raw")))))
-    return y.drop("_c", "_lt", "_le", "_rn", "_inc", "_cum", "_pt", "_pe", "_finc", "_off", "_pos")
+    return y.drop(*scratch)
+
+
+def clamp_of(steps: Iterable[float], limit: float) -> tuple[float, float, float]:
+    """v -> clip(v + step, +-limit), one step after the other, as one function v -> clip(v + offset, low, high): (low, high, offset).
+
+    Such functions are closed under composition: behind (low, high, offset)
+    the next step gives (clip(low + step), clip(high + step), offset + step).
+    """
+    low, high, offset = -float("inf"), float("inf"), 0.0
+    for s in steps:
+        low, high, offset = min(limit, max(-limit, low + s)), min(limit, max(-limit, high + s)), offset + s
+    return low, high, offset
+
+
+def _clamped_scan(df: DataFrame, key: str, chunk: str, order: str, step: str, limit: float, out: str) -> DataFrame:
+    """Adds ``out``, the running sum of ``step`` clipped to +-``limit`` after every row, for steps of any sign.
+
+    Rows are in (``chunk``, ``order``) order per key. Each chunk's rows
+    compose to one clamp function, a small table; the functions of a key,
+    applied one after the other to 0, give the value that each chunk starts
+    from; and each chunk is run from there. A task holds a chunk, not a key.
+    """
+    kind, number = df.schema[key].dataType.simpleString(), df.schema[chunk].dataType.simpleString()
+
+    def compose(rows: pa.Table) -> pa.Table:
+        low, high, offset = clamp_of(rows.sort_by(order).column(step).to_pylist(), limit)
+        return rows.slice(0, 1).select([key, chunk]).append_column("_low", [[low]]).append_column("_high", [[high]]).append_column("_by", [[offset]])
+
+    def carry(functions: pa.Table) -> pa.Table:
+        functions, value, starts = functions.sort_by(chunk), 0.0, []
+        for low, high, offset in zip(*(functions.column(c).to_pylist() for c in ("_low", "_high", "_by")), strict=True):
+            starts.append(value)
+            value = min(high, max(low, value + offset))
+        return functions.select([key, chunk]).append_column("_from", [starts])
+
+    def run(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by(order)
+        start = rows.column("_from")[0].as_py()
+        values = list(accumulate(rows.column(step).to_pylist(), lambda v, s: min(limit, max(-limit, v + s)), initial=start))[1:]
+        return rows.drop_columns(["_from"]).append_column(out, [pa.array(values, pa.float64())])
+
+    functions = (df.select(key, chunk, order, step).groupBy(key, chunk)
+                 .applyInArrow(compose, f"`{key}` {kind}, `{chunk}` {number}, _low double, _high double, _by double"))
+    starts = functions.groupBy(key).applyInArrow(carry, f"`{key}` {kind}, `{chunk}` {number}, _from double")
+    return df.join(starts, [key, chunk]).select(*df.columns, "_from").groupBy(key, chunk).applyInArrow(run, T.StructType([*df.schema.fields, T.StructField(out, T.DoubleType())]))
 
 
 # --------------------------------------------------------------------------

@@ -147,13 +147,13 @@ def latest_reading(posts: DataFrame, readings: DataFrame, value_cols: list[str],
 
 
 def batch_ids(df: DataFrame, order_col: str, batch_size: int, out: str = "batch_id",
-              buckets: int = 256) -> DataFrame:
+              most_rows: int = 1_000_000) -> DataFrame:
     """Batch index of each row in ``order_col`` order: floor((rank-1)/B).
 
-    Exact rank from (range bucket, row_number) instead of one global
-    row_number window, so no single task sees every row, and the window over
-    bucket counts sees ``buckets`` rows.
+    Exact rank from (bucket, row_number) instead of one global row_number
+    window: buckets are cut from the values until none holds more than
+    ``most_rows`` rows, however the values are bunched, so no task sees more.
     """
-    from .scan import exact_rank, range_bucket
-    r = exact_rank(df, [], range_bucket(df, order_col, buckets), [order_col], out="_pos")
-    return r.withColumn(out, F.floor((F.col("_pos") - 1) / F.lit(batch_size)).cast("long")).drop("_pos")
+    from .scan import bounded_buckets, exact_rank
+    r = exact_rank(bounded_buckets(df, order_col, most_rows), [], F.col("_bucket"), [order_col], out="_pos")
+    return r.withColumn(out, F.floor((F.col("_pos") - 1) / F.lit(batch_size)).cast("long")).drop("_pos", "_bucket")
