@@ -235,21 +235,32 @@ class LinearBaseline:
         return score_features(df.select("id"), x, self.weights, self.intercept)
 
 
-def sparse_rows(features: DataFrame, indexed: DataFrame, size: int) -> DataFrame:
-    """(id, features) as Spark ML vectors, from (id, term, weight) and (term, i)."""
-    from pyspark.ml.linalg import Vectors, VectorUDT
-    pack = F.udf(lambda cells: Vectors.sparse(size, [c["i"] for c in cells], [c["weight"] for c in cells]), VectorUDT())
+def sparse_rows(features: DataFrame, indexed: DataFrame, size: int, ids: DataFrame | None = None) -> DataFrame:
+    """(id, features) as Spark ML vectors, from (id, term, weight) and (term, i).
+
+    Ids of ``ids`` without a known term get an empty vector. The cells are
+    packed in SQL into what a sparse vector consists of; the Arrow pass only
+    gives that struct its type.
+    """
+    from pyspark.ml.linalg import VectorUDT
     cells = features.join(indexed, "term").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("i", "weight"))).alias("_c"))
-    return cells.select("id", pack("_c").alias("features"))
+    if ids is not None:
+        cells = ids.join(cells, "id", "left").withColumn("_c", F.coalesce("_c", F.array().cast(cells.schema["_c"].dataType)))
+    parts = F.struct(F.lit(0).cast("tinyint").alias("type"), F.lit(size).alias("size"), F.col("_c.i").alias("indices"), F.col("_c.weight").alias("values"))
+    packed = cells.select("id", parts.alias("features"))
+    typed = T.StructType([packed.schema["id"], T.StructField("features", VectorUDT())])
+    return packed.mapInArrow(lambda batches: batches, typed)
 
 
 def train_lr(train: DataFrame, text_col: str = "clean", label_col: str = "label", C: float = 1.0,
-             max_iter: int = 1000, max_features: int = 50000, min_df: int = 2) -> LinearBaseline:
+             max_iter: int = 1000, max_features: int | None = None, min_df: int = 2, tol: float = 1e-6) -> LinearBaseline:
     """M5: logistic regression on M4's weights, fitted with Spark ML.
 
-    ``max_features`` is the reference's own vocabulary cap; it bounds the
-    coefficients, which live on the driver. regParam = 1/(C*n) matches the
-    scale of an L2 penalty C on a summed loss; standardization off.
+    Minimises the summed log loss plus |w|^2 / (2 C), the intercept without
+    a penalty: regParam = 1/(C*n) of a mean loss, standardization off. The
+    coefficients, one a term of the vocabulary, live on the driver while
+    they are fitted; ``max_features`` is the reference's own vocabulary cap,
+    off by default.
     """
     from pyspark.ml.classification import LogisticRegression
 
@@ -263,8 +274,8 @@ def train_lr(train: DataFrame, text_col: str = "clean", label_col: str = "label"
     ranked = exact_hash_rank(vocab.withColumn("_h", F.md5("term")), [], "_h", "term", "i")
     indexed = cut_lineage(ranked.select("term", (F.col("i") - 1).cast("int").alias("i")))
     size = max(1, indexed.count())
-    x = cut_lineage(sparse_rows(ft.tfidf(counts, vocab, n), indexed, size).join(rows.select("id", "label"), "id"))
-    lr = LogisticRegression(featuresCol="features", labelCol="label", maxIter=max_iter,
+    x = cut_lineage(sparse_rows(ft.tfidf(counts, vocab, n), indexed, size, rows.select("id")).join(rows.select("id", "label"), "id"))
+    lr = LogisticRegression(featuresCol="features", labelCol="label", maxIter=max_iter, tol=tol,
                             regParam=1.0 / (C * max(rows.count(), 1)), elasticNetParam=0.0, standardization=False)
     model = lr.fit(x)
     table = train.sparkSession.createDataFrame([(i, float(w)) for i, w in enumerate(model.coefficients.toArray())], "i int, weight double")
@@ -274,3 +285,24 @@ def train_lr(train: DataFrame, text_col: str = "clean", label_col: str = "label"
 
 def lr_predict(model: LinearBaseline, df: DataFrame, text_col: str = "clean") -> DataFrame:
     return model.predict(df, text_col)
+
+
+def lr_gradient_norms(model: LinearBaseline, train: DataFrame, label_col: str = "label", text_col: str = "clean", C: float = 1.0) -> DataFrame:
+    """(n_train, at_fit, at_zero): Euclidean norms of the gradient of M5's
+    penalised loss over ``train``, at the model's weights and at zero ones.
+
+    Component j is the sum over rows of x_ij (p_i - y_i), plus w_j / C but
+    for the intercept: margins by one join and aggregation over the terms of
+    a row, components by another over the rows of a term.
+    """
+    from ..session import cut_lineage
+    x = cut_lineage(model.features(train, text_col).withColumnRenamed("weight", "value"))
+    margin = x.join(model.weights, "term").groupBy("id").agg(F.sum(F.col("value") * F.col("weight")).alias("_m"))
+    p = sigmoid(F.coalesce("_m", F.lit(0.0)) + F.lit(model.intercept))
+    y = F.col(label_col).cast("double")
+    rows = train.select("id", label_col).join(margin, "id", "left").select("id", (p - y).alias("_r"), (F.lit(0.5) - y).alias("_z"))
+    terms = x.join(rows, "id").groupBy("term").agg(F.sum(F.col("value") * F.col("_r")).alias("_g"), F.sum(F.col("value") * F.col("_z")).alias("_z"))
+    per_term = terms.join(model.weights, "term").agg(F.sum((F.col("_g") + F.col("weight") / C) ** 2).alias("_g"), F.sum(F.col("_z") ** 2).alias("_z"))
+    intercept = rows.agg(F.count(F.lit(1)).alias("n"), (F.sum("_r") ** 2).alias("_g"), (F.sum("_z") ** 2).alias("_z"))
+    both = per_term.withColumn("n", F.lit(0)).unionByName(intercept)
+    return both.agg(F.sum("n").alias("n_train"), F.sqrt(F.sum("_g")).alias("at_fit"), F.sqrt(F.sum("_z")).alias("at_zero"))

@@ -4,11 +4,17 @@ cluster: the shared folder, e.g. next to ``spark.checkpoint.dir``)."""
 
 from __future__ import annotations
 
+import json
+import os
+import uuid
+
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.topk import topk_per_group
+
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite", header: bool = True, encoding: str = "UTF-8", null_value: str = "") -> None:
     """No index column; quotes doubled, blanks kept."""
@@ -76,30 +82,68 @@ def validate_payload(df: DataFrame, json_col: str = "payload", schema: T.StructT
 
 
 class SessionStore:
-    """Append-only session history (never overwritten on append)."""
+    """Append-only session history.
+
+    An append writes its rows to a folder of their own and then a manifest,
+    one row that lists the folders the history consists of from now on;
+    ``clear`` is a manifest without folders. A read goes by the newest
+    manifest, so neither an append that broke off nor one under way shows.
+    Manifests are numbered, and a number can be written once: of two
+    appends at one time the later one reads the new manifest and tries again.
+    """
+
+    _MANIFEST = "version long, parts array<string>, columns string"
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
 
+    def _newest(self):
+        try:
+            return self.spark.read.schema(self._MANIFEST).parquet(os.path.join(self.path, "manifests", "*")).orderBy(F.col("version").desc()).first()
+        except AnalysisException:  # nothing was ever appended
+            return None
+
+    def _commit(self, parts, columns: str, tries: int = 20) -> None:
+        """Writes the next manifest; ``parts`` gives its folders from those of the one before."""
+        for left in reversed(range(tries)):
+            newest = self._newest()
+            version = newest["version"] + 1 if newest else 1
+            listed = parts(newest["parts"] if newest else [])
+            row = self.spark.range(1).select(F.lit(version).cast("long").alias("version"), F.array(*map(F.lit, listed)).cast("array<string>").alias("parts"), F.lit(columns).alias("columns"))
+            try:
+                row.write.mode("error").parquet(os.path.join(self.path, "manifests", f"{version:09d}"))
+                return
+            except AnalysisException:  # another writer took the number
+                if not left:
+                    raise
+
     def append(self, sessions: DataFrame) -> None:
-        sessions.write.mode("append").parquet(self.path)
+        part = uuid.uuid4().hex
+        sessions.write.parquet(os.path.join(self.path, "parts", part))
+        self._commit(lambda before: [*before, part], sessions.schema.json())
 
     def all(self) -> DataFrame:
-        return self.spark.read.parquet(self.path)
+        """The whole history; AnalysisException if nothing was ever appended."""
+        newest = self._newest()
+        if newest is None:
+            return self.spark.read.parquet(os.path.join(self.path, "parts"))
+        schema = T.StructType.fromJson(json.loads(newest["columns"]))
+        if not newest["parts"]:
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(*[os.path.join(self.path, "parts", p) for p in newest["parts"]])
 
     def latest(self, key: str = "product", order: str = "ts") -> DataFrame:
+        """The newest row of each key (ties: the greatest row)."""
         d = self.all()
         cols = [c for c in d.columns if c != key]
-        k = F.struct(order, *[c for c in cols if c != order])
-        return d.groupBy(key).agg(*[F.max_by(c, k).alias(c) for c in cols])
+        newest = d.groupBy(key).agg(F.max(F.struct(order, *[c for c in cols if c != order])).alias("_s"))
+        return newest.select(key, *[F.col(f"_s.`{c}`").alias(c) for c in cols])
 
     def clear(self) -> None:
-        """Overwrite with an empty table of the same schema (no-op if absent)."""
-        try:
-            schema = self.all().schema
-        except AnalysisException:
-            return
-        self.spark.createDataFrame([], schema).write.mode("overwrite").parquet(self.path)
+        """An empty history of the same columns (no-op if absent)."""
+        newest = self._newest()
+        if newest is not None:
+            self._commit(lambda before: [], newest["columns"])
 
 
 class ContextLog(SessionStore):
@@ -107,3 +151,7 @@ class ContextLog(SessionStore):
 
     def last_n(self, n: int = 10, order: str = "timestamp") -> DataFrame:
         return self.all().orderBy(F.col(order).desc()).limit(n)
+
+    def last_n_by(self, key: str, n: int, order: list[Column], chunk: Column) -> DataFrame:
+        """The last n records of each key; ranked within (key, chunk) first, so a hot key is not one task."""
+        return topk_per_group(self.all(), [key], order, n, chunk=chunk)
