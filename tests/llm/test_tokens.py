@@ -47,8 +47,34 @@ def test_ids_and_round_trip(frame, texts, plain):
 def test_memory_of_pieces_may_be_small(plain):
     encoder = bb.Encoder(bb.Ranks.load(RANKS), P.PATTERN, most=5)
     for t in ("one two three four", "five six seven one", "one one one"):
-        parts = next(iter(encoder.block([t])))
-        assert [int(x) for p in parts for x in p[0].split()] == plain.encode_ordinary(t)
+        ids = next(iter(encoder.block([t])))
+        assert np.frombuffer(ids, "<i4").tolist() == plain.encode_ordinary(t)
+
+
+def test_decoding_in_small_lots(monkeypatch, plain):
+    """Rows cut over many lots, empty and null rows between them: the digests' strings and the decoded bytes stay whole."""
+    import pyarrow as pa
+    ranks = bb.Ranks.load(RANKS)
+    rows = [plain.encode_ordinary(t) for t in ("", "one two", "", "x" * 50 + " yz", "é" * 9, "")]
+    for size in (1, 2, 3, 1000):
+        monkeypatch.setattr(bb, "LOT_IDS", size)
+        ids = pa.array([[9], *rows], pa.list_(pa.int32())).slice(1)
+        for strings, want in ((ranks.decoded, [plain.decode_bytes(r) for r in rows]), (ranks.decimal, ["".join(f"{i} " for i in r).encode() for r in rows])):
+            got = [b""] * len(rows)
+            over = []
+            for lot in bb._joined(strings, ids):
+                for row, text, ends in lot:
+                    got[row] += bytes(text)
+                    over += [row] * ends
+            assert got == want and over == list(range(len(rows)))
+    assert list(bb._joined(ranks.decoded, pa.array([], pa.list_(pa.int32())))) == [[]]
+    with pytest.raises(KeyError):
+        ranks.decoded.join(np.array([-1]))
+
+
+def test_null_ids_stay_null(spark):
+    df = spark.createDataFrame([(1, [0]), (2, None), (3, [])], "doc_id long, ids array<int>")
+    assert [(r.doc_id, None if r.decoded is None else bytes(r.decoded)) for r in bb.decode(df, RANKS).orderBy("doc_id").collect()] == [(1, b"!"), (2, None), (3, b"")]
 
 
 def test_counts(frame, texts):

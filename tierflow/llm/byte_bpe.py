@@ -22,13 +22,13 @@ import hashlib
 import heapq
 import re
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from .common import ids_and_texts, no_cycles, row_slices
 
@@ -37,8 +37,10 @@ _SPACE = "\t-\r \x85\xa0  -     　"
 #: Before white space that follows another character no pre-token reaches across: a place to cut whole texts.
 _PIECE = re.compile(f"[{_SPACE}]*[^{_SPACE}]+|[{_SPACE}]+")
 BLOCK_BYTES = 2 << 20
-#: About 70 MB a task.
+#: About 40 MB a task.
 MEMO_PIECES = 200_000
+#: Ids decoded at once.
+LOT_IDS = 1 << 19
 
 
 class Ranks:
@@ -119,8 +121,35 @@ class Ranks:
         kept = token >= 0
         return token[kept], np.cumsum(kept)[ends - 1]
 
-    def decode(self, ids) -> bytes:
-        return b"".join(map(self.bytes.__getitem__, ids))
+    @cached_property
+    def decoded(self) -> Strings:
+        return Strings(self.bytes)
+
+    @cached_property
+    def decimal(self) -> Strings:
+        """Ids as decimals with a space behind."""
+        return Strings({r: b"%d " % r for r in self.bytes})
+
+
+class Strings:
+    """A byte string per id, end to end in one array: ids are replaced by theirs in one gather."""
+
+    def __init__(self, of: dict[int, bytes]):
+        top = max(of, default=-1) + 1
+        self.size = np.fromiter((len(of[i]) if i in of else -1 for i in range(top)), np.int32, top)
+        ends = np.cumsum(np.maximum(self.size, 0))
+        self.start = (ends - np.maximum(self.size, 0)).astype(np.int32)
+        self.flat = np.frombuffer(b"".join(of[i] for i in range(top) if i in of), np.uint8)
+
+    def join(self, ids: np.ndarray) -> tuple[memoryview, np.ndarray]:
+        """The ids' strings end to end, and where each ends. An unknown id raises."""
+        if len(ids) and (ids.min() < 0 or ids.max() >= len(self.size) or (self.size[ids] < 0).any()):
+            raise KeyError("an id that the rank file doesn't have")
+        size = self.size[ids]
+        ends = np.cumsum(size, dtype=np.int64)
+        at = np.arange(int(ends[-1]) if len(ends) else 0, dtype=np.int32)
+        at += np.repeat(self.start[ids] - (ends - size).astype(np.int32), size)
+        return memoryview(self.flat[at]), ends
 
 
 class Encoder:
@@ -129,8 +158,7 @@ class Encoder:
     def __init__(self, ranks: Ranks, pattern: str, most: int = MEMO_PIECES):
         import regex
         self.ranks, self.pattern, self.most = ranks, regex.compile(pattern), most
-        self.decimal = {r: b"%d" % r for r in ranks.bytes}
-        self.known: dict[str, tuple[bytes, int, bytes]] = {}
+        self.known: dict[str, bytes] = {}
 
     def learn(self, pieces: set[str]) -> None:
         """Replays the merges over the pre-tokens of pieces not seen yet; over `most` pieces, others are forgotten."""
@@ -142,60 +170,89 @@ class Encoder:
         split = list(map(self.pattern.findall, new))
         words = list(set(chain.from_iterable(split)))
         ids, ends = self.ranks.replay([w.encode("utf-8") for w in words])
-        ids, ends = ids.tolist(), ends.tolist()
-        decimals = list(map(self.decimal.__getitem__, ids))
-        of_word = {w: (b" ".join(decimals[a:b]), b - a, self.ranks.decode(ids[a:b])) for w, a, b in zip(words, [0, *ends], ends, strict=False)}
-        for piece, parts in zip(new, split, strict=True):
-            if len(parts) == 1:
-                self.known[piece] = of_word[parts[0]]
-            else:
-                text, n, raw = zip(*map(of_word.__getitem__, parts), strict=True)
-                self.known[piece] = (b" ".join(text), sum(n), b"".join(raw))
-
-    def block(self, texts: list[str]) -> Iterator[list[tuple[bytes, int, bytes]]]:
-        """Per text its pieces: ids as decimals, their number, and what they decode to."""
+        packed, ends = ids.astype("<i4").tobytes(), (4 * ends).tolist()
+        of_word = {w: packed[a:b] for w, a, b in zip(words, [0, *ends], ends, strict=False)}
+        self.known.update((piece, of_word[parts[0]] if len(parts) == 1 else b"".join(map(of_word.__getitem__, parts))) for piece, parts in zip(new, split, strict=True))
+
+    def block(self, texts: list[str]) -> Iterator[bytes]:
+        """Per text its ids, four bytes each."""
         cut = list(map(_PIECE.findall, texts))
         self.learn(set().union(*cut))
         get = self.known.__getitem__
         for pieces in cut:
-            yield list(map(get, pieces))
-
+            yield b"".join(map(get, pieces))
 
-def _encode_blocks(path: str, pattern: str, with_ids: bool):
-    fields = [("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())]
-    schema = pa.schema(fields + [("ids", pa.list_(pa.int32()))] * with_ids)
 
+def _encode_blocks(path: str, pattern: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(Ranks.load(path), pattern)  # its memory ends with the task
         with no_cycles():
             for block in row_slices(batches, "text", BLOCK_BYTES):
-                n, ids_sha, text_sha, ids = [], [], [], []
-                for parts in encoder.block(block.column("text").to_pylist()):
-                    decimals, counts, decoded = zip(*parts, strict=True) if parts else ((), (), ())
-                    as_text = b" ".join(decimals)
-                    n.append(sum(counts))
-                    ids_sha.append(hashlib.sha256(as_text).hexdigest())
-                    text_sha.append(hashlib.sha256(b"".join(decoded)).hexdigest())
-                    if with_ids:
-                        ids.append(np.fromstring(as_text.decode("ascii"), np.int32, sep=" ") if parts else np.empty(0, np.int32))
-                columns = [block.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())]
-                if with_ids:
-                    columns.append(pa.ListArray.from_arrays(pa.array(np.cumsum([0, *n]), pa.int32()), pa.array(np.concatenate(ids), pa.int32())))
-                yield pa.record_batch(columns, schema=schema)
+                rows = list(encoder.block(block.column("text").to_pylist()))
+                ends = np.cumsum([0, *map(len, rows)]) // 4
+                ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(rows), "<i4"), pa.int32()))
+                yield pa.record_batch([block.column("doc_id"), ids], names=["doc_id", "ids"])
     return run
 
 
-def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256[, ids]), one row per row of `docs`.
+def encode_ids(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, ids), one row per row of `docs`.
+
+    Null text counts as empty: no ids. A null id stays null; repeated rows
+    stay repeated; other columns don't matter. The pattern must keep white
+    space apart from a character before it, as byte-level patterns do.
+    """
+    return ids_and_texts(docs, id_col, text_col).mapInArrow(_encode_blocks(ranks_path, pattern), "doc_id long, ids array<int>")
+
+
+def _joined(strings: Strings, ids: pa.Array) -> Iterator[list[tuple[int, memoryview, bool]]]:
+    """The strings of each row's ids: lots of (row, bytes, whether the row ends there); a long row comes in several."""
+    ends = ids.offsets.to_numpy().astype(np.int64)
+    flat, ends = ids.values.to_numpy(zero_copy_only=False)[ends[0]:ends[-1]], ends - ends[0]
+    row = 0
+    for start in range(0, max(len(flat), 1), LOT_IDS):
+        part = flat[start:start + LOT_IDS]
+        text, at = strings.join(part)
+        at = np.append(0, at)
+        lot = []
+        while row < len(ids):
+            a, b = max(int(ends[row]), start) - start, min(int(ends[row + 1]) - start, len(part))
+            over = int(ends[row + 1]) <= start + len(part)
+            lot.append((row, text[int(at[a]):int(at[b])], over))
+            if not over:
+                break
+            row += 1
+        yield lot
+
+
+def _digests(path: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ranks = Ranks.load(path)
+        for batch in batches:
+            ids = batch.column("ids")
+            ids = ids.combine_chunks() if isinstance(ids, pa.ChunkedArray) else ids
+            columns = []
+            for strings, behind in ((ranks.decimal, 1), (ranks.decoded, 0)):  # a decimal has a space behind it: the last one goes
+                hashes, now = [], hashlib.sha256()
+                for lot in _joined(strings, ids):
+                    for _, text, over in lot:
+                        now.update(text[:max(len(text) - behind, 0)] if over else text)
+                        if over:
+                            hashes.append(now.hexdigest())
+                            now = hashlib.sha256()
+                columns.append(pa.array(hashes, pa.string()))
+            counts = pc.list_value_length(ids).cast(pa.int64())
+            yield pa.record_batch([batch.column("doc_id"), counts, *columns, ids], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"])
+    return run
+
+
+def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256, ids): the ids of `encode_ids`, then digests made while they are decoded.
 
     ids_sha256 is of the decimal ids joined by one space, decoded_sha256 of
-    the bytes that the ids decode to. Null text counts as empty: 0 tokens, no
-    ids, the digests of nothing. A null id stays null; repeated rows stay
-    repeated; other columns don't matter. The pattern must keep white space
-    apart from a character before it, as byte-level patterns do.
+    the bytes that the ids decode to; of nothing for a null or empty text.
     """
-    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
-    return ids_and_texts(docs, id_col, text_col).mapInArrow(_encode_blocks(ranks_path, pattern, with_ids), schema)
+    return encode_ids(docs, ranks_path, pattern, id_col, text_col).mapInArrow(_digests(ranks_path), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, ids array<int>")
 
 
 def _decode_blocks(path: str, ids_col: str, keep: list[str]):
@@ -206,13 +263,18 @@ def _decode_blocks(path: str, ids_col: str, keep: list[str]):
             part = batch.slice(start, len(out))
             return pa.record_batch([part.column("doc_id"), pa.array(out, pa.binary()), *map(part.column, keep)], names=["doc_id", "decoded", *keep])
         for batch in batches:
-            start, held, out = 0, 0, []
-            for ids in batch.column(ids_col):  # row by row: a batch's ids as Python numbers would be many times its size
-                out.append(ranks.decode(ids.values.to_numpy(zero_copy_only=False).tolist()) if ids.is_valid else None)
-                held += len(out[-1] or b"")
-                if held > BLOCK_BYTES:
-                    yield done(batch, start, out)
-                    start, held, out = start + len(out), 0, []
+            start, held, out, parts = 0, 0, [], []
+            ids = batch.column(ids_col)
+            valid = ids.is_valid().to_pylist()
+            for lot in _joined(ranks.decoded, ids.fill_null([]) if ids.null_count else ids):
+                for row, text, over in lot:
+                    parts.append(text)
+                    if over:
+                        out.append(b"".join(parts) if valid[row] else None)
+                        held, parts = held + len(out[-1] or b""), []
+                        if held > BLOCK_BYTES:
+                            yield done(batch, start, out)
+                            start, held, out = start + len(out), 0, []
             if out:
                 yield done(batch, start, out)
     return run
@@ -228,15 +290,8 @@ def decode(encoded: DataFrame, ranks_path: str, ids_col: str = "ids", keep: tupl
     return slim.mapInArrow(_decode_blocks(ranks_path, ids_col, list(keep)), schema)
 
 
-def with_digests(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256, ids): the ids of `encode`, and digests of them and of what `decode` makes of them."""
-    out = decode(encode(docs, ranks_path, pattern), ranks_path, keep=("ids",))
-    return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256"),
-                      F.sha2("decoded", 256).alias("decoded_sha256"), "ids")
-
-
 def query(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     from .common import read_table
-    return with_digests(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN).drop("ids")
+    return encode(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN).drop("ids")
