@@ -30,7 +30,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from .common import ids_and_texts, no_cycles, row_slices
+from .common import ids_and_texts, lean, no_cycles, row_slices
 
 #: Unicode's White_Space, in which the tokenizer's patterns are written.
 _SPACE = "\t-\r \x85\xa0  -     　"
@@ -47,11 +47,17 @@ class Ranks:
     """A rank file: token bytes by id, and the rank of every pair of tokens whose bytes join to a token."""
 
     def __init__(self, ranks: dict[bytes, int]):
-        self.bytes = {r: t for t, r in ranks.items()}
+        self.of = ranks
         self.single = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
-        pairs = {(ranks[t[:i]] << 32) | ranks[t[i:]]: r for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks}
-        self.codes = np.array(sorted(pairs), np.int64)
-        self.ranks = np.array([pairs[c] for c in self.codes.tolist()], np.int64)
+
+    @cached_property
+    def merges(self) -> tuple[np.ndarray, np.ndarray]:
+        """Codes of the pairs that have a merge, ascending, and its rank."""
+        of = self.of
+        pairs = [((of[t[:i]] << 32) | of[t[i:]], r) for t, r in of.items() for i in range(1, len(t)) if t[:i] in of and t[i:] in of]
+        codes, ranks = np.array(pairs, np.int64).reshape(-1, 2).T
+        by = np.argsort(codes, kind="stable")
+        return codes[by], ranks[by]
 
     @classmethod
     @lru_cache(maxsize=4)
@@ -61,9 +67,10 @@ class Ranks:
 
     def of_pairs(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """The rank of each pair, -1 without a merge (or where a token is -1)."""
+        codes, ranks = self.merges
         code = (left << 32) | right
-        at = np.minimum(np.searchsorted(self.codes, code), len(self.codes) - 1)
-        return np.where((self.codes[at] == code) & (left >= 0) & (right >= 0), self.ranks[at], -1)
+        at = np.minimum(np.searchsorted(codes, code), len(codes) - 1)
+        return np.where((codes[at] == code) & (left >= 0) & (right >= 0), ranks[at], -1)
 
     def replay(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Every merge applied in rank order over all words (none empty): all their ids, and where each word's ids end."""
@@ -123,12 +130,12 @@ class Ranks:
 
     @cached_property
     def decoded(self) -> Strings:
-        return Strings(self.bytes)
+        return Strings({r: t for t, r in self.of.items()})
 
     @cached_property
     def decimal(self) -> Strings:
         """Ids as decimals with a space behind."""
-        return Strings({r: b"%d " % r for r in self.bytes})
+        return Strings({r: b"%d " % r for r in self.of.values()})
 
 
 class Strings:
@@ -202,7 +209,7 @@ def encode_ids(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "do
     stay repeated; other columns don't matter. The pattern must keep white
     space apart from a character before it, as byte-level patterns do.
     """
-    return ids_and_texts(docs, id_col, text_col).mapInArrow(_encode_blocks(ranks_path, pattern), "doc_id long, ids array<int>")
+    return ids_and_texts(docs, id_col, text_col).mapInArrow(lean(_encode_blocks(ranks_path, pattern)), "doc_id long, ids array<int>")
 
 
 def _joined(strings: Strings, ids: pa.Array) -> Iterator[list[tuple[int, memoryview, bool]]]:
@@ -247,12 +254,15 @@ def _digests(path: str):
 
 
 def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256, ids): the ids of `encode_ids`, then digests made while they are decoded.
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256, ids): the ids of `encode_ids`, and digests made while they are decoded.
 
     ids_sha256 is of the decimal ids joined by one space, decoded_sha256 of
     the bytes that the ids decode to; of nothing for a null or empty text.
+    A block's ids are decoded by the task that made them.
     """
-    return encode_ids(docs, ranks_path, pattern, id_col, text_col).mapInArrow(_digests(ranks_path), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, ids array<int>")
+    encoded, digested = _encode_blocks(ranks_path, pattern), _digests(ranks_path)
+    return ids_and_texts(docs, id_col, text_col).mapInArrow(lean(lambda batches: digested(encoded(batches))),
+                                                            "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, ids array<int>")
 
 
 def _decode_blocks(path: str, ids_col: str, keep: list[str]):
@@ -287,7 +297,7 @@ def decode(encoded: DataFrame, ranks_path: str, ids_col: str = "ids", keep: tupl
     """
     slim = encoded.select(*dict.fromkeys(["doc_id", ids_col, *keep]))
     schema = ", ".join(["doc_id long, decoded binary", *[f"`{c}` {slim.schema[c].dataType.simpleString()}" for c in keep]])
-    return slim.mapInArrow(_decode_blocks(ranks_path, ids_col, list(keep)), schema)
+    return slim.mapInArrow(lean(_decode_blocks(ranks_path, ids_col, list(keep))), schema)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
-from collections.abc import Iterable, Iterator
-from contextlib import contextmanager
+from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager, suppress
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..session import cut_lineage, read_table
 
-__all__ = ["binary_list", "checkpoint", "checkpoint_placed", "ids_and_texts", "literal_rows", "no_cycles", "read_table", "row_slices", "shuffle_partitions"]
+__all__ = ["binary_list", "checkpoint", "checkpoint_placed", "ids_and_texts", "lean", "literal_rows", "no_cycles", "read_table", "row_slices", "shuffle_partitions"]
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
@@ -75,6 +76,24 @@ def row_slices(batches: Iterator[pa.RecordBatch], text: str, most_bytes: int) ->
         yield batch.slice(start)
 
 
+def lean(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """`run`, a function over Arrow batches, that gives free memory back to the system when it ends.
+
+    Spark keeps Python workers from task to task, and the allocators of
+    Arrow and C keep what a task has freed: without this a worker stays as
+    large as its largest task.
+    """
+    def tidy(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            with suppress(OSError, AttributeError):  # glibc only
+                ctypes.CDLL(None).malloc_trim(0)
+    return tidy
+
+
 @contextmanager
 def no_cycles():
     """Without the collector of reference cycles, which walks millions of live objects again and again."""

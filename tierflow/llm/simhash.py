@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from xxhash import xxh64_digest
 
-from .common import binary_list, checkpoint, ids_and_texts, no_cycles
+from .common import binary_list, checkpoint, ids_and_texts, lean, no_cycles
 from .components import connected
 
 SHINGLE = 3
@@ -70,7 +70,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             for batch in batches:
                 found = [fingerprint(t, shingle) for t in binary_list(batch.column("text"))]
                 yield pa.record_batch([batch.column("doc_id"), pa.array(found, pa.int64())], names=["doc_id", "fp"])
-    return ids_and_texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, fp long")
+    return ids_and_texts(docs, id_col, text_col).mapInArrow(lean(run), "doc_id long, fp long")
 
 
 def _segment(fp: Column, i: int) -> Column:

@@ -45,7 +45,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
-from .common import checkpoint, checkpoint_placed, row_slices, shuffle_partitions
+from .common import checkpoint, checkpoint_placed, lean, row_slices, shuffle_partitions
 
 LENGTH, K = 50, 20
 WINDOWS = LENGTH - K + 1
@@ -439,7 +439,7 @@ def _results(shards: int, kept_as: str | None):
 def _ask(arrays: DataFrame, shards: int, wide: bool) -> DataFrame:
     """(batch, answers) of all shards, kept in the shared folder."""
     dealt = arrays.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "batch")
-    return checkpoint(dealt.mapInArrow(_answers(wide), "batch long, shard int, bits binary"))
+    return checkpoint(dealt.mapInArrow(lean(_answers(wide)), "batch long, shard int, bits binary"))
 
 
 def _with(prepared: DataFrame, answers: DataFrame, name: str) -> DataFrame:
@@ -463,17 +463,17 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     slim = docs.select(text.alias("raw"), F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("id"), F.struct(*keep).alias("rest"))
     packed_type = StructType([StructField("batch", LongType()), *slim.select(F.lit(b"").alias("payload")).schema, StructField("lengths", ArrayType(LongType())),
                               StructField("ids", ArrayType(LongType())), StructField("rest", ArrayType(slim.schema["rest"].dataType))])
-    prepared = checkpoint_placed(slim.mapInArrow(_pack, packed_type).repartition(shuffle_partitions(spark), "batch").sortWithinPartitions("batch"))
+    prepared = checkpoint_placed(slim.mapInArrow(lean(_pack), packed_type).repartition(shuffle_partitions(spark), "batch").sortWithinPartitions("batch"))
     total = prepared.agg(F.sum(F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x))).first()[0] or 0
     shards = max(shuffle_partitions(spark), -(-total // SHARD_BYTES))
 
     texts = prepared.drop("rest")
     arrays = "shard int, batch long, n long, blob binary"
-    first = _ask(texts.mapInArrow(_arrays(shards, False), arrays), shards, True)
-    second = _ask(_with(texts, first, "first").mapInArrow(_arrays(shards, True), arrays), shards, False)
+    first = _ask(texts.mapInArrow(lean(_arrays(shards, False)), arrays), shards, True)
+    second = _ask(_with(texts, first, "first").mapInArrow(lean(_arrays(shards, True)), arrays), shards, False)
     results = StructType([*slim.schema["rest"].dataType.fields, *[StructField(n, LongType()) for n in ("n_bytes", "n_removed", "n_spans")],
                           *slim.select(F.lit("").alias("kept_sha256"), F.lit(b"").cast(kept_as or "binary").alias("kept")).schema.fields[:2 if kept_as else 1]])
-    return _with(_with(prepared, first, "first"), second, "second").mapInArrow(_results(shards, kept_as), results)
+    return _with(_with(prepared, first, "first"), second, "second").mapInArrow(lean(_results(shards, kept_as)), results)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, ids_and_texts
+from .common import checkpoint, ids_and_texts, lean
 
 #: Labelled rows to learn from, at most.
 SAMPLE = 16_384
@@ -368,7 +368,7 @@ def reject(docs: DataFrame, model: Model, text_col: str = "text", threshold: flo
         reader = model.reader()
         for batch in batches:
             yield batch.filter(pa.array([reader.score(t or "") < threshold for t in batch.column(text_col).to_pylist()], pa.bool_()))
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
 
 
 def held_out(doc_id: Column) -> Column:
