@@ -54,6 +54,5 @@ def tfidf(tc: DataFrame, vocab: DataFrame, n_docs: DataFrame, id_col: str = "id"
     j = tc.join(vocab.select("term", "df"), "term", "inner")
     w = (F.lit(1.0) + F.log(F.col("c").cast("double"))) * \
         (F.log((F.lit(1.0) + n_docs.scalar()) / (F.lit(1.0) + F.col("df"))) + F.lit(1.0))
-    j = j.withColumn("w", w)
-    norms = j.groupBy(id_col).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("_norm"))
-    return j.join(norms, id_col, "inner").select(id_col, "term", (F.col("w") / F.col("_norm")).alias("weight"))
+    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(id_col)))  # over one row's terms
+    return j.withColumn("w", w).select(id_col, "term", (F.col("w") / norm).alias("weight"))

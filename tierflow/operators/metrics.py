@@ -38,7 +38,12 @@ def accuracy_f1(df: DataFrame, label: str = "label", pred: str = "prediction",
     """A1/A2: accuracy and macro F1 (zero-division -> 0) per group, both from
     the per-class counts."""
     group = group or []
-    pc = _prf(per_class(confusion(df, label, pred, group), group))
+    return accuracy_f1_of(confusion(df, label, pred, group), group)
+
+
+def accuracy_f1_of(cm: DataFrame, group: list[str]) -> DataFrame:
+    """A1/A2 from a confusion table (group.., y, p, n)."""
+    pc = _prf(per_class(cm, group))
     return pc.groupBy(*group).agg(F.sum("support").alias("n"), (F.sum("tp") / F.sum("support")).alias("accuracy"), F.avg("f1").alias("f1_macro"))
 
 

@@ -197,13 +197,11 @@ def linear_score_by_join(docs: DataFrame, weights: DataFrame, id_col: str = "id"
                          tokens_col: str = "tokens", intercept: float = 0.0) -> DataFrame:
     """sum of term weights per row -> sigmoid -> (pred, conf).
 
-    Tokens are exploded next to their row and joined to the weight table,
-    which adaptive execution broadcasts if its measured size allows. The
-    aggregation is partial per task, so only one row per (task, doc) crosses
-    the shuffle.
+    Tokens are counted per (row, token) before they meet the weight table,
+    which adaptive execution broadcasts if its measured size allows.
     """
-    ex = docs.select(id_col, F.explode(tokens_col).alias("term"), F.lit(1.0).alias("value"))
-    return score_features(docs.select(id_col), ex, weights, intercept, id_col)
+    counts = docs.select(id_col, F.explode(tokens_col).alias("term")).groupBy(id_col, "term").agg(F.count(F.lit(1)).cast("double").alias("value"))
+    return score_features(docs.select(id_col), counts, weights, intercept, id_col)
 
 
 def score_features(ids: DataFrame, features: DataFrame, weights: DataFrame, intercept: float = 0.0, id_col: str = "id") -> DataFrame:

@@ -18,7 +18,7 @@ from ..functions import arrays
 from ..functions.text import STOPWORDS, analyzer_tokens, remove_stopwords, strip_for_tokens, strip_html, word_tokens, clean_text
 from ..operators import metrics, routing, scan, telemetry
 from ..operators.scoring import tier1_scorer, tier2_scorer
-from ..session import ensure_checkpoint_dir, read_table
+from ..session import cut_lineage, ensure_checkpoint_dir, read_table, spread
 from . import pipeline as pl
 from . import sqlfrag as S
 
@@ -90,13 +90,13 @@ acc AS (SELECT {g}, sum(n) AS n, sum(CASE WHEN y = p THEN n ELSE 0 END)::DOUBLE
 
 @register("clean_text", f"SELECT doc_id, {S.clean('text')} AS clean FROM documents")
 def q_clean_text(spark, sf):
-    return read_table(spark, sf, "documents").select("doc_id", clean_text("text").alias("clean"))
+    return spread(read_table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", clean_text("text").alias("clean"))
 
 
 @register("clean_conversations", f"SELECT conv_id, turn, {S.clean('text')} AS clean, "
           f"len({S.tokens(S.clean('text'))})::BIGINT AS n_tokens FROM conversations")
 def q_clean_conversations(spark, sf):
-    c = read_table(spark, sf, "conversations").select("conv_id", "turn", clean_text("text").alias("clean"))
+    c = spread(read_table(spark, sf, "conversations").select("conv_id", "turn", "text")).select("conv_id", "turn", clean_text("text").alias("clean"))
     return c.withColumn("n_tokens", F.size(word_tokens("clean")).cast("long"))
 
 
@@ -111,13 +111,13 @@ def _strip_html_sql(x: str) -> str:
 
 @register("html_strip", f"SELECT page_id, {_strip_html_sql('html')} AS text FROM pages")
 def q_html_strip(spark, sf):
-    return read_table(spark, sf, "pages").select("page_id", strip_html("html").alias("text"))
+    return spread(read_table(spark, sf, "pages").select("page_id", "html")).select("page_id", strip_html("html").alias("text"))
 
 
 @register("html_clean_text", f"SELECT page_id, {S.clean(_strip_html_sql('html'))} AS clean FROM pages")
 def q_html_clean_text(spark, sf):
     """P1 on stripped pages: URLs and handles do occur there."""
-    return read_table(spark, sf, "pages").select("page_id", clean_text(strip_html("html")).alias("clean"))
+    return spread(read_table(spark, sf, "pages").select("page_id", "html")).select("page_id", clean_text(strip_html("html")).alias("clean"))
 
 
 MARKUP_RATIO = 0.25
@@ -645,7 +645,7 @@ SELECT signal, (CASE WHEN hi > lo THEN least(29, floor((v - lo) / (hi - lo) * 30
 FROM u JOIN m USING (signal) GROUP BY signal, bin""")
 def q_tau_histogram(spark, sf):
     """30-bin histograms of tau, Psi and H (last bin closed)."""
-    d = pl.dynamic_route(spark, sf)
+    d = cut_lineage(pl.dynamic_route(spark, sf).select("tau", "psi", "h"))  # three numbers a post: the range and the bins both read them
     u = d.select(F.explode(F.array(
         F.struct(F.lit("tau_dynamic").alias("signal"), F.col("tau").alias("v")),
         F.struct(F.lit("psi_socio").alias("signal"), F.col("psi").alias("v")),
@@ -665,21 +665,21 @@ SELECT model, printf('%.4f', accuracy) AS accuracy, printf('%.4f', f1_macro) AS
        accuracy = max(accuracy) OVER () AS best_accuracy, f1_macro = max(f1_macro) OVER () AS best_f1, rate = min(rate) OVER () AS best_rate FROM t""")
 def q_model_comparison(spark, sf):
     """One row per model (union of results), formatted
-    metrics and best-value flags."""
-    d = pl.dynamic_route(spark, sf).join(pl.labelled(spark, sf), "id", "inner")
-    # the tier-2 baseline scores every row (the routed p2 is only set where escalated)
-    p2_all, _ = tier2_scorer().columns(F.col("tokens"))
-    d = d.withColumn("p2_all", p2_all)
-    fixed = F.col("c1") < THRESHOLD
-    long = d.select(F.col("label").alias("y"), F.explode(F.array(
-        F.struct(F.lit("tier1").alias("model"), F.col("p1").alias("p"), F.lit(0.0).alias("esc")),
-        F.struct(F.lit("tier2").alias("model"), F.col("p2_all").alias("p"), F.lit(1.0).alias("esc")),
-        F.struct(F.lit("cascade_fixed").alias("model"), F.when(fixed, F.col("p2_all")).otherwise(F.col("p1")).alias("p"),
-                 fixed.cast("double").alias("esc")),
-        F.struct(F.lit("cascade_dynamic").alias("model"), F.col("prediction").alias("p"),
-                 F.col("escalate").cast("double").alias("esc")))).alias("m")).select("y", "m.*")
-    m = metrics.accuracy_f1(long, "y", "p", ["model"])
-    rr = long.groupBy("model").agg(F.avg("esc").alias("rate"))
+    metrics and best-value flags.
+
+    Text work is spent on labelled posts, once: labels are joined first, and
+    tier 2 is scored once a row, as a model of its own and for the cascades
+    alike. One aggregation by all outcomes leaves a handful of cells, which
+    are laid out as one confusion table a model."""
+    d = pl.dynamic_route(spark, sf, posts=pl.labelled_docs(spark, sf))
+    p2, _ = tier2_scorer().columns(F.col("tokens"))
+    cells = (d.select(F.col("label").alias("y"), "p1", p2.alias("p2"), (F.col("c1") < THRESHOLD).alias("fixed"), F.col("escalate").alias("dynamic"))
+             .groupBy("y", "p1", "p2", "fixed", "dynamic").agg(F.count(F.lit(1)).alias("n")))
+    model = lambda name, esc: F.struct(F.lit(name).alias("model"), F.when(esc, F.col("p2")).otherwise(F.col("p1")).alias("p"), esc.alias("esc"))
+    each = F.explode(F.array(model("tier1", F.lit(False)), model("tier2", F.lit(True)), model("cascade_fixed", F.col("fixed")), model("cascade_dynamic", F.col("dynamic"))))
+    cm = cut_lineage(cells.select("y", "n", each.alias("m")).groupBy("m.model", "y", "m.p").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("m.esc"), F.col("n")).otherwise(0)).alias("esc")))
+    m = metrics.accuracy_f1_of(cm, ["model"])
+    rr = cm.groupBy("model").agg((F.sum("esc") / F.sum("n")).alias("rate"))
     t = metrics.best_flags(m.join(rr, "model"), ["accuracy", "f1_macro"], ["rate"])
     return t.select("model", F.format_string("%.4f", "accuracy").alias("accuracy"),
                     F.format_string("%.4f", "f1_macro").alias("f1_macro"), r6("rate").alias("tier2_rate"),
@@ -1002,7 +1002,7 @@ def _tagged(spark, sf) -> DataFrame:
 
 
 def _conv_scored(spark, sf):
-    c = read_table(spark, sf, "conversations").select("conv_id", "turn", clean_text("text").alias("clean"))
+    c = spread(read_table(spark, sf, "conversations").select("conv_id", "turn", "text")).select("conv_id", "turn", clean_text("text").alias("clean"))
     c = c.withColumn("tokens", word_tokens("clean"))
     lex = so.stand_in_lexicon(c)
     return so.lexicon_polarity(c, lex, ["conv_id", "turn"])
@@ -1242,7 +1242,6 @@ import uuid as _uuid  # noqa: E402
 
 from ..operators import dedup as dd  # noqa: E402
 from ..operators.scoring import TIER1_PRESET, TIER2_PRESET, PandasBatchScorer, lr_gradient_norms, lr_predict, train_lr  # noqa: E402
-from ..session import cut_lineage, ensure_checkpoint_dir  # noqa: E402
 from ..sources import readers as rd  # noqa: E402
 from ..sources import sinks as sk  # noqa: E402
 
@@ -1626,9 +1625,22 @@ def q_stream_pid(spark, sf):
 @register("stream_route", ORACLE["route_fixed"])
 def q_stream_route(spark, sf):
     """Streaming fixed cascade; tier 2 runs inside foreachBatch on
-    the escalated subset only."""
-    s = st.posts_stream(spark, _os.path.join(sf, "documents*.parquet"))
-    out = st.drain(s, "route", [], mode="append", batch_fn=st.route_batch(THRESHOLD))
+    the escalated subset only. Posts come as files, one a micro-batch; the
+    stream is stopped behind the second, and started again from its
+    checkpoint when the others are there."""
+    src, base = _scratch(spark, "post-files"), _scratch(spark, "route")
+    posts = read_table(spark, sf, "documents")
+
+    def deliver(lots):
+        for i in lots:
+            posts.where(F.pmod(F.xxhash64("doc_id"), F.lit(4)) == i).coalesce(1).write.parquet(_os.path.join(src, str(i)))
+
+    def run():
+        return st.drain(st.posts_stream(spark, _os.path.join(src, "*"), max_files=1), "route", [], mode="append", batch_fn=st.route_batch(THRESHOLD), base=base)
+    deliver([0, 1])
+    run()
+    deliver([2, 3])
+    out = run()
     return out.select(F.col("id").alias("doc_id"), "escalate", "prediction", r6("confidence").alias("confidence"),
                       "tier_used", "tier")
 
@@ -1729,7 +1741,7 @@ def _strip_for_tokens_sql(x: str) -> str:
 @register("preprocess_tokens", f"SELECT page_id, {_strip_for_tokens_sql('html')} AS text FROM pages")
 def q_preprocess_tokens(spark, sf):
     """Strip HTML, URLs, markdown punctuation and emoji before scoring."""
-    return read_table(spark, sf, "pages").select("page_id", strip_for_tokens("html").alias("text"))
+    return spread(read_table(spark, sf, "pages").select("page_id", "html")).select("page_id", strip_for_tokens("html").alias("text"))
 
 
 INFER_BATCH = 8
@@ -1793,12 +1805,11 @@ s AS (SELECT x.id, sum(w.weight) AS s FROM x JOIN w USING (term) GROUP BY x.id),
 p AS (SELECT dt.id, 1.0 / (1.0 + exp(-coalesce(s.s, 0.0))) AS p FROM dt LEFT JOIN s USING (id))
 SELECT id AS doc_id, CASE WHEN p > 0.5 THEN 1 ELSE 0 END AS prediction, {S.r6('greatest(p, 1.0 - p)')} AS confidence FROM p""")
 def q_linear_score_join(spark, sf):
-    """M7 join form: a linear model given as a (term, weight) table - here the
-    capped vocabulary with hashed weights - scored by exploding tokens,
-    joining the table (broadcast only under its checked size bound) and
-    summing per document."""
+    """M7 join form: a linear model given as a (term, weight) table - here
+    the uni-grams of the vocabulary with hashed weights - scored by counting
+    a document's tokens, joining the table and summing per document."""
     d = pl.docs(spark, sf)
-    vocab = ft.vocabulary(ft.term_counts(d))
+    vocab = ft.vocabulary(ft.term_counts(d, ngram_max=1))
     weights = vocab.select("term", ((2.0 * token_unit(F.col("term"), "t1:") - 1.0) / 4.0).alias("weight"))
-    s = linear_score_by_join(d, weights.withColumnRenamed("term", "term"), "id", "tokens")
+    s = linear_score_by_join(d, weights, "id", "tokens")
     return s.select(F.col("id").alias("doc_id"), F.col("pred").alias("prediction"), r6("conf").alias("confidence"))

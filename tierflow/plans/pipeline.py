@@ -17,13 +17,13 @@ from ..functions.signals import clip, h_token, psi_socio, spit_components, tau_d
 from ..functions.text import clean_text, clean_tokens, word_tokens
 from ..operators import routing, telemetry
 from ..operators.scoring import tier1_scorer, tier2_scorer
-from ..session import read_table
+from ..session import read_table, spread
 
 
 def docs(spark: SparkSession, sf: str, with_text: bool = False) -> DataFrame:
     """Posts: (id, lang, source, tokens, clean); tokens from one regex split
     of the whole text, clean = tokens joined by single spaces."""
-    d = read_table(spark, sf, "documents")
+    d = spread(read_table(spark, sf, "documents").select("doc_id", "lang", "source", "text"))
     cols = [F.col("doc_id").alias("id"), "lang", "source", clean_tokens("text").alias("tokens")]
     if with_text:
         cols.insert(1, "text")
@@ -39,7 +39,7 @@ def labelled_docs(spark: SparkSession, sf: str) -> DataFrame:
     """Labelled posts: the label join runs first so text work is spent on
     labelled rows only (labels are a fraction of the documents)."""
     d = read_table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "lang", "source", "text")
-    return with_tokens(d.join(labelled(spark, sf), "id", "inner"))
+    return with_tokens(spread(d).join(labelled(spark, sf), "id", "inner"))
 
 
 def labelled(spark: SparkSession, sf: str) -> DataFrame:
@@ -100,7 +100,7 @@ def _default_phi(cfg: SpitConfig) -> float:
     return max(0.0, min(1.0, cfg.kp * e + cfg.ki * total + cfg.kd * e / dt + cfg.mem_weight * 0.4))
 
 
-def dynamic_route(spark: SparkSession, sf: str, cfg: SpitConfig = SPIT_V1, chunk_seconds: int = 3600) -> DataFrame:
+def dynamic_route(spark: SparkSession, sf: str, cfg: SpitConfig = SPIT_V1, chunk_seconds: int = 3600, posts: DataFrame | None = None) -> DataFrame:
     """As-of reading -> PID per device over its posts -> tau -> route.
 
     The latest reading strictly before the post is used (the sidecar's last
@@ -121,7 +121,7 @@ def dynamic_route(spark: SparkSession, sf: str, cfg: SpitConfig = SPIT_V1, chunk
           .withColumn("setpoint", F.coalesce("setpoint", F.lit(cfg.cpu_setpoint))))
     phi = telemetry.pid(telemetry.pid_inputs_v1(x, cfg), cfg, tie="id", chunk_seconds=chunk_seconds) \
         .select("id", "device_id", "phi")
-    return route_by_phi(docs(spark, sf).join(phi, "id", "left"), cfg)
+    return route_by_phi((docs(spark, sf) if posts is None else posts).join(phi, "id", "left"), cfg)
 
 
 def route_by_phi(posts: DataFrame, cfg: SpitConfig = SPIT_V1) -> DataFrame:

@@ -77,3 +77,14 @@ def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """The rows of a table that comes in fewer files than there are cores, dealt over all cores; any other as it is.
+
+    For text work in front of any shuffle: it costs many times what moving
+    the text does, and a file of one row group is one task. Select the
+    columns first.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
