@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from .common import binary_list, ids_and_texts, no_cycles, row_slices
 
 SPACE = b" \t\n\r\x0b\x0c"
-CHUNK, OVERLAP = 65_536, 1_024
+CHUNK, OVERLAP = 16_384, 256
 BLOCK_BYTES = 2 << 20
 #: Distinct units a task remembers (about 60 MB); beyond, those not in the block at hand are forgotten.
 MEMO_UNITS = 500_000
