@@ -22,8 +22,7 @@ REPEAT = int(os.environ.get("BENCH_REPEAT", "3"))
 
 # route_dynamic, tau_components and topk_per_product are covered by
 # dynamic_route_summary, h_token and sentiment_stats (same pipelines);
-# run them with BENCH_QUERIES=... when needed. dedup_near, exact since round 2,
-# takes about a minute at sf0.1 and is run that way too.
+# run them with BENCH_QUERIES=... when needed.
 HEADLINE = [
     "clean_text", "h_token", "psi_socio", "route_fixed", "dynamic_route_summary",
     "eval_accuracy_f1", "threshold_sweep", "split_stratified", "pid_v1", "asof_telemetry",
@@ -31,6 +30,9 @@ HEADLINE = [
     "sentiment_stats", "linear_score_join", "udf_batched_score",
 ]
 
+# The longer ones: one timed run each, behind the others, without a warm-up.
+ONCE = ["dedup_near", "model_comparison", "payload_validate", "lexicon_polarity", "config_ablation", "lr_train_predict"]
+
 
 def _sf_value(path: str) -> float | str:
     base = os.path.basename(os.path.normpath(path))
@@ -70,7 +72,7 @@ def main() -> None:
     from tierflow.streaming import stream as st
 
     names = os.environ.get("BENCH_QUERIES")
-    names = names.split(",") if names else HEADLINE
+    names = names.split(",") if names else HEADLINE + ONCE
     out: dict[str, float] = {}
     for n in names:
         q = catalog.QUERIES[n]
@@ -78,8 +80,9 @@ def main() -> None:
             def once():
                 spark.catalog.clearCache()  # no reuse of a previous run's cached tables
                 return timed(lambda: run_noop(q(spark, SF_DIR)))
-            once()  # warm-up
-            out[n] = round(statistics.median(once() for _ in range(REPEAT)), 3)
+            if n not in ONCE:
+                once()  # warm-up
+            out[n] = round(statistics.median(once() for _ in range(1 if n in ONCE else REPEAT)), 3)
         except Exception as e:  # report, keep going
             out[n] = None
             print(f"bench {n} failed: {str(e)[:200]}", file=sys.stderr)

@@ -55,7 +55,7 @@ def test_late_and_unmatched_posts_stay(spark, tmp_path):
     assert sorted(got) == [1, 2, 3, 4, 5]
     assert [got[i].device_id for i in (1, 2, 3, 4, 5)] == [1, None, 2, 1, None]  # 2 has no event, 5 came too late for its own
     assert [i for i in got if got[i].late] == [5]
-    default = pl._default_phi(pl.SPIT_V1)
+    default = pl._default_phi(pl.CASCADE_V1)
     assert got[2].phi == got[5].phi == pytest.approx(default)
     assert all(r.tau is not None and r.tier_used in (1, 2) for r in got.values())
 
@@ -93,7 +93,7 @@ def test_resumes_behind_the_last_epoch(spark, tmp_path):
 
 def test_a_device_larger_than_a_frame(spark, tmp_path):
     """Readings of one device come to the controller in many frames; what one holds is a bucket of the state store."""
-    from tierflow.config import SPIT_V1
+    from tierflow.config import CASCADE_V1
     from tierflow.streaming import controller
     from tierflow.operators import telemetry
     n = 3000
@@ -106,7 +106,7 @@ def test_a_device_larger_than_a_frame(spark, tmp_path):
     try:
         stream = controller.pid_stream(st.events_stream(spark, path), bucket_seconds=60)
         got = st.drain(stream, "pid-frames", [], mode="append")
-        want = telemetry.pid(telemetry.pid_inputs_v1(telemetry.health_v1(telemetry.telemetry_from_events(spark.read.parquet(path))), SPIT_V1), SPIT_V1)
+        want = telemetry.pid(telemetry.pid_inputs_v1(telemetry.health_v1(telemetry.telemetry_from_events(spark.read.parquet(path))), CASCADE_V1), CASCADE_V1)
         both = got.join(want.select("reading_id", F.col("phi").alias("p")), "reading_id")
         assert got.filter("late").count() == 0 and both.count() == n
         assert both.filter("abs(phi - p) > 1e-9").count() == 0

@@ -3,7 +3,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from tierflow.config import SPIT_V1, SPIT_V2
+from tierflow.config import CASCADE_V1, CASCADE_V2
 from tierflow.operators import telemetry
 
 T0 = dt.datetime(2024, 1, 1)
@@ -18,7 +18,7 @@ def test_pid_v1_golden(spark):
     seq = [(0, (0.5, 0.4)), (1, (0.6, 0.4)), (1.02, (0.9, 0.5)), (2.02, (1.0, 0.5)), (3.02, (1.0, 1.0))]
     df = _rows(spark, seq, "t_norm double, mem_norm double").withColumn("setpoint", F.lit(85.0))
     for chunk in (3600, 1):
-        out = telemetry.pid(telemetry.pid_inputs_v1(df, SPIT_V1), SPIT_V1, chunk_seconds=chunk).orderBy("reading_id")
+        out = telemetry.pid(telemetry.pid_inputs_v1(df, CASCADE_V1), CASCADE_V1, chunk_seconds=chunk).orderBy("reading_id")
         got = [(r.phi_raw, r.phi) for r in out.collect()]
         want_raw = [-170.300085, -0.266085, 5.013575, 0.015575, 0.031575]
         want_phi = [0.0, 0.0, 1.0, 0.015575, 0.031575]
@@ -31,10 +31,10 @@ def test_pid_v2_golden(spark):
     cpu = [(0, (.2, .5, 0, .1, 0, 0)), (1, (.9, .5, .8, .1, 0, 0)), (2, (1, .5, .8, .1, 0, 0))]
     cols = ", ".join(f"{c} double" for c in ["cpu_load_norm", "ram_usage_norm", "cpu_temp_norm", "swap_norm",
                                                "gpu_temp_norm", "vram_usage_norm"])
-    out = telemetry.pid(telemetry.pid_inputs_v2(_rows(spark, cpu, cols), SPIT_V2), SPIT_V2).orderBy("reading_id")
+    out = telemetry.pid(telemetry.pid_inputs_v2(_rows(spark, cpu, cols), CASCADE_V2), CASCADE_V2).orderBy("reading_id")
     assert [round(r.phi, 3) for r in out.collect()] == [0.0, 0.239, 0.095]
     gpu = [(0, (.2, .5, 0, .1, .5, .4)), (0.02, (.2, .5, 0, .1, .9, .4))]
-    out = telemetry.pid(telemetry.pid_inputs_v2(_rows(spark, gpu, cols), SPIT_V2), SPIT_V2).orderBy("reading_id")
+    out = telemetry.pid(telemetry.pid_inputs_v2(_rows(spark, gpu, cols), CASCADE_V2), CASCADE_V2).orderBy("reading_id")
     assert [round(r.phi, 3) for r in out.collect()] == [0.0, 1.0]
 
 
@@ -57,10 +57,10 @@ def test_chunked_scan_equals_sequential(spark):
         rows.append((0, T0 + dt.timedelta(seconds=t), i, rnd.random() * 0.3 + 0.7, rnd.random()))
     df = spark.createDataFrame(rows, "device_id long, ts timestamp_ntz, reading_id long, t_norm double, mem_norm double") \
               .withColumn("setpoint", F.lit(85.0))
-    inp = telemetry.pid_inputs_v1(df, SPIT_V1)
+    inp = telemetry.pid_inputs_v1(df, CASCADE_V1)
     ref = _brute_pid([(round((r[1] - T0).total_seconds() * 1e6) / 1e6, r[2], r[3] * 85 - 85, 0.1 * r[4]) for r in rows])
     for chunk, parts in ((60, 1), (3600, 7), (1, 3)):
-        got = {r.reading_id: r.phi for r in telemetry.pid(inp.repartition(parts), SPIT_V1, chunk_seconds=chunk).collect()}
+        got = {r.reading_id: r.phi for r in telemetry.pid(inp.repartition(parts), CASCADE_V1, chunk_seconds=chunk).collect()}
         for k, v in ref.items():
             assert got[k] == pytest.approx(v, abs=1e-9)
 
@@ -81,7 +81,7 @@ def test_chunked_scan_of_errors_of_any_sign(spark):
         mine = [(round((r[1] - T0).total_seconds() * 1e6) / 1e6, r[2], r[3], r[4]) for r in rows if r[0] == d]
         want |= _brute_pid(mine)
     for chunk, parts in ((60, 1), (3600, 7), (1, 3)):
-        out = telemetry.pid(df.repartition(parts), SPIT_V1, chunk_seconds=chunk)
+        out = telemetry.pid(df.repartition(parts), CASCADE_V1, chunk_seconds=chunk)
         got = out.select("reading_id", "phi", "integral").collect()
         assert len(got) == len(rows)
         for r in got:

@@ -62,10 +62,10 @@ def test_topk_two_phase_exact(spark):
 
 
 def test_pid_scan_of_a_positive_error(spark):
-    from tierflow.config import SPIT_V1
+    from tierflow.config import CASCADE_V1
     rows = [(0, T0 + dt.timedelta(seconds=s), i, e, 0.0) for i, (s, e) in enumerate([(0, -5.0), (10, 2.0), (20, -1.0), (30, 9.0)])]
     df = spark.createDataFrame(rows, "device_id long, ts timestamp_ntz, reading_id long, error double, secondary double")
-    got = {r.reading_id: r.integral for r in telemetry.pid(df, SPIT_V1).collect()}
+    got = {r.reading_id: r.integral for r in telemetry.pid(df, CASCADE_V1).collect()}
     assert got == pytest.approx({0: -0.005, 1: 19.995, 2: 9.995, 3: 50.0})
 
 

@@ -3,7 +3,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from tierflow.functions.signals import h_token, psi_socio, tau_dynamic, spit_components
+from tierflow.functions.signals import h_token, psi_socio, tau_dynamic, tau_terms
 
 
 def test_psi_golden(spark):
@@ -26,7 +26,7 @@ def test_tau_golden_and_range(spark):
     rows = [(0.0, 0.075, 0.0, 0.71), (0.1, 0.2, 0.134242, 0.732410), (0.05, 0.9625, 0.4, 0.751638),
             (0.0, 0.5, 0.469876, 0.758449), (1.0, 0.0, 1.0, 0.869935)]
     df = spark.createDataFrame(rows, "phi double, psi double, h double, want double")
-    out = df.select(tau_dynamic("phi", "psi", "h").alias("t"), "want", spit_components("phi", "psi", "h").alias("c")).collect()
+    out = df.select(tau_dynamic("phi", "psi", "h").alias("t"), "want", tau_terms("phi", "psi", "h").alias("c")).collect()
     for t, want, c in out:
         assert t == pytest.approx(want, abs=1e-6)
         assert c["tau_dynamic"] == t

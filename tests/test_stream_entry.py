@@ -4,7 +4,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from tierflow.config import SPIT_V1
+from tierflow.config import CASCADE_V1
 from tierflow.streaming import stream as st
 
 SF = "/root/testdata/sf0.001"
@@ -35,7 +35,7 @@ def test_stream_pid_of_a_busy_device_in_any_file_order(spark, tmp_path):
     rows.repartition(4, F.rand(2)).write.parquet(path)
     got = st.drain(st.pid_stream(st.events_stream(spark, path)), "pid-busy", [], mode="append")
     tel = telemetry.health_v1(telemetry.telemetry_from_events(spark.read.parquet(path)))
-    want = telemetry.pid(telemetry.pid_inputs_v1(tel, SPIT_V1), SPIT_V1)
+    want = telemetry.pid(telemetry.pid_inputs_v1(tel, CASCADE_V1), CASCADE_V1)
     both = got.join(want.select("reading_id", F.col("phi").alias("p"), F.col("integral").alias("i")), "reading_id")
     assert got.filter("late").count() == 0 and both.count() == 40_000
     assert both.filter("abs(phi - p) > 1e-9 or abs(integral - i) > 1e-6").count() == 0

@@ -12,7 +12,7 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..config import SPIT_V1, UNKNOWN_PRIOR, SpitConfig
+from ..config import CASCADE_V1, UNKNOWN_PRIOR, CascadeConfig
 
 
 def _c(x) -> Column:
@@ -30,25 +30,25 @@ def clip(x, lo: float, hi: float) -> Column:
         F.greatest(F.lit(float(lo)), F.least(F.lit(float(hi)), x.cast("double"))))
 
 
-def platform_prior(platform, cfg: SpitConfig = SPIT_V1) -> Column:
+def platform_prior(platform, cfg: CascadeConfig = CASCADE_V1) -> Column:
     m = F.create_map(*[x for k, v in cfg.platform_priors.items() for x in (F.lit(k), F.lit(float(v)))])
     return F.coalesce(F.element_at(m, F.upper(_c(platform))), F.lit(UNKNOWN_PRIOR))
 
 
-def virality(retweets, cfg: SpitConfig = SPIT_V1) -> Column:
+def virality(retweets, cfg: CascadeConfig = CASCADE_V1) -> Column:
     return clip(F.coalesce(_c(retweets).cast("double"), F.lit(0.0)) / cfg.retweet_cap, 0.0, 1.0)
 
 
-def authority(followers, cfg: SpitConfig = SPIT_V1) -> Column:
+def authority(followers, cfg: CascadeConfig = CASCADE_V1) -> Column:
     f = F.coalesce(_c(followers).cast("double"), F.lit(0.0))
     return F.when(f > 0, clip(F.log1p(f) / math.log1p(cfg.follower_cap), 0.0, 1.0)).otherwise(F.lit(0.0))
 
 
-def burst(ppm, cfg: SpitConfig = SPIT_V1) -> Column:
+def burst(ppm, cfg: CascadeConfig = CASCADE_V1) -> Column:
     return clip(F.coalesce(_c(ppm).cast("double"), F.lit(0.0)) / cfg.burst_cap, 0.0, 1.0)
 
 
-def psi_socio(retweets, followers, ppm, platform, cfg: SpitConfig = SPIT_V1) -> Column:
+def psi_socio(retweets, followers, ppm, platform, cfg: CascadeConfig = CASCADE_V1) -> Column:
     wv, wa, wb, wp = cfg.psi_weights
     s = (F.lit(wv) * virality(retweets, cfg) + F.lit(wa) * authority(followers, cfg)
          + F.lit(wb) * burst(ppm, cfg) + F.lit(wp) * platform_prior(platform, cfg))
@@ -82,7 +82,7 @@ def entropy_sum(tokens) -> Column:
     return F.aggregate(srt, init, merge, lambda acc: acc["s"] + term(acc["c"], acc["n"]))
 
 
-def h_token(tokens, cfg: SpitConfig = SPIT_V1) -> Column:
+def h_token(tokens, cfg: CascadeConfig = CASCADE_V1) -> Column:
     """Normalised token entropy in [0, 1]; empty -> 0; one distinct token -> 0."""
     t = _c(tokens)
     raw = -entropy_sum(t) / math.log(cfg.vocab_size + 1e-12)
@@ -95,7 +95,7 @@ def sigmoid(z) -> Column:
     return F.lit(1.0) / (F.lit(1.0) + F.exp(-_c(z)))
 
 
-def tau_dynamic(phi, psi, h, cfg: SpitConfig = SPIT_V1) -> Column:
+def tau_dynamic(phi, psi, h, cfg: CascadeConfig = CASCADE_V1) -> Column:
     phi, psi, h = _c(phi), _c(psi), _c(h)
     z = sigmoid_input(phi, psi, h, cfg)
     return clip(sigmoid(z) * (cfg.tau_max - cfg.tau_min) + cfg.tau_min, cfg.tau_min, cfg.tau_max)
@@ -105,14 +105,14 @@ def physical_term(phi, psi) -> Column:
     return _c(phi) * (F.lit(1.0) - _c(psi))
 
 
-def sigmoid_input(phi, psi, h, cfg: SpitConfig = SPIT_V1) -> Column:
+def sigmoid_input(phi, psi, h, cfg: CascadeConfig = CASCADE_V1) -> Column:
     if cfg.sign == "documented":
         # prose variant: social urgency and complexity push tau down
         return physical_term(phi, psi) - _c(h)
     return physical_term(phi, psi) + _c(h)
 
 
-def spit_components(phi, psi, h, cfg: SpitConfig = SPIT_V1) -> Column:
+def tau_terms(phi, psi, h, cfg: CascadeConfig = CASCADE_V1) -> Column:
     """The six-field component record of one routing decision."""
     phi, psi, h = _c(phi), _c(psi), _c(h)
     return F.struct(

@@ -6,11 +6,11 @@ import math
 
 from pyspark.sql import SparkSession
 
-from ..config import SPIT_V1, UNKNOWN_PRIOR, SpitConfig
+from ..config import CASCADE_V1, UNKNOWN_PRIOR, CascadeConfig
 from .text import HANDLE_HASH_RE, TOKEN_SPLIT_RE, URL_RE
 
 
-def _definitions(cfg: SpitConfig) -> dict[str, str]:
+def _definitions(cfg: CascadeConfig) -> dict[str, str]:
     lit = lambda s: "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
     num = lambda x: f"{float(x)!r}D"
     prior = " ".join(f"WHEN {lit(k)} THEN {num(v)}" for k, v in cfg.platform_priors.items())
@@ -41,7 +41,7 @@ def _definitions(cfg: SpitConfig) -> dict[str, str]:
     }
 
 
-def register(spark: SparkSession, cfg: SpitConfig = SPIT_V1) -> list[str]:
+def register(spark: SparkSession, cfg: CascadeConfig = CASCADE_V1) -> list[str]:
     """Creates the functions in the session, and returns their names."""
     names = []
     for head, body in _definitions(cfg).items():

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..config import CPU_SENSOR_KEYS_V1, CPU_SENSOR_KEYS_V2, HEALTH_V2_LABELS, SPIT_V1, SPIT_V2, SpitConfig
+from ..config import CPU_SENSOR_KEYS_V1, CPU_SENSOR_KEYS_V2, HEALTH_V2_LABELS, CASCADE_V1, CASCADE_V2, CascadeConfig
 from ..functions.signals import clip
 from .scan import asof_latest, epoch_seconds, pid_scan
 
@@ -54,7 +54,7 @@ def _first_sensor_v1(sensors: Column, keys) -> Column:
     return F.coalesce(*[F.try_element_at(F.try_element_at(sensors, F.lit(kk)), F.lit(1)) for kk in keys])
 
 
-def health_v1(tel: DataFrame, cfg: SpitConfig = SPIT_V1) -> DataFrame:
+def health_v1(tel: DataFrame, cfg: CascadeConfig = CASCADE_V1) -> DataFrame:
     """[T_norm, MEM_norm] and the mode's set-point per reading."""
     gpu = F.col("gpu_temp_c").isNotNull() | F.col("vram_gb").isNotNull()
     # a read is whole or it failed: with half of it missing, both take the default
@@ -82,7 +82,7 @@ def _cpu_temp_v2(sensors: Column, keys) -> Column:
     return F.coalesce(by_key, any_sensor)
 
 
-def health_v2(tel: DataFrame, cfg: SpitConfig = SPIT_V2) -> DataFrame:
+def health_v2(tel: DataFrame, cfg: CascadeConfig = CASCADE_V2) -> DataFrame:
     """The six-element vector. A block (CPU, GPU) whose read failed in
     part is all zeros; a machine without sensors or swap reads 0 there."""
     cpu = F.col("cpu_pct").isNotNull() & F.col("ram_gb").isNotNull() & (F.col("ram_total_gb") > 0) & F.col("swap_total_gb").isNotNull()
@@ -108,12 +108,12 @@ def health_labeled(h2: DataFrame) -> DataFrame:
         F.array(*[F.col(x) for x in HEALTH_V2_LABELS])).alias("health"))
 
 
-def pid_inputs_v1(h1: DataFrame, cfg: SpitConfig = SPIT_V1) -> DataFrame:
+def pid_inputs_v1(h1: DataFrame, cfg: CascadeConfig = CASCADE_V1) -> DataFrame:
     return h1.withColumn("error", F.col("t_norm") * F.col("setpoint") - F.col("setpoint")) \
              .withColumn("secondary", F.lit(cfg.mem_weight) * F.col("mem_norm"))
 
 
-def pid_inputs_v2(h2: DataFrame, cfg: SpitConfig = SPIT_V2) -> DataFrame:
+def pid_inputs_v2(h2: DataFrame, cfg: CascadeConfig = CASCADE_V2) -> DataFrame:
     gpu = F.col("gpu_temp_norm") > 0
     err = F.when(gpu, F.col("gpu_temp_norm") * cfg.gpu_setpoint - cfg.gpu_setpoint) \
         .otherwise(F.col("cpu_load_norm") * cfg.cpu_setpoint - cfg.cpu_setpoint)
@@ -123,7 +123,7 @@ def pid_inputs_v2(h2: DataFrame, cfg: SpitConfig = SPIT_V2) -> DataFrame:
              .withColumn("error", err).withColumn("secondary", sec)
 
 
-def pid(df: DataFrame, cfg: SpitConfig, key: str = "device_id", ts: str = "ts",
+def pid(df: DataFrame, cfg: CascadeConfig, key: str = "device_id", ts: str = "ts",
         tie: str = "reading_id", chunk_seconds: int = 3600) -> DataFrame:
     """T8/T9 over rows carrying ``error`` and ``secondary`` columns."""
     x = df.withColumn("_t", F.unix_micros(F.col(ts).cast("timestamp")))

@@ -13,7 +13,7 @@ from typing import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..config import SPIT_V1, SPIT_V2, SWEEP_LIBRARY, SWEEP_NOTEBOOK
+from ..config import CASCADE_V1, CASCADE_V2, SWEEP_LIBRARY, SWEEP_NOTEBOOK
 from ..functions import arrays
 from ..functions.text import STOPWORDS, analyzer_tokens, remove_stopwords, strip_for_tokens, strip_html, word_tokens, clean_text
 from ..operators import metrics, routing, scan, telemetry
@@ -519,7 +519,7 @@ V2_COLS = ["cpu_load_norm", "ram_usage_norm", "cpu_temp_norm", "swap_norm", "gpu
 
 
 def _hv2(spark, sf):
-    return telemetry.health_v2(telemetry.telemetry_from_events(read_table(spark, sf, "events")), SPIT_V2)
+    return telemetry.health_v2(telemetry.telemetry_from_events(read_table(spark, sf, "events")), CASCADE_V2)
 
 
 @register("health_v2", f"""WITH {TEL_CTE}, {HV2_CTE}
@@ -544,7 +544,7 @@ def q_health_labeled(spark, sf):
 SELECT device_id, reading_id, {S.r6('integral')} AS integral, {S.r6('phi')} AS phi FROM pid""")
 def q_pid_v1(spark, sf):
     """PID v1 per device over its readings (chunked scan, skew-safe)."""
-    x = telemetry.pid(telemetry.pid_inputs_v1(pl.readings_v1(spark, sf), SPIT_V1), SPIT_V1)
+    x = telemetry.pid(telemetry.pid_inputs_v1(pl.readings_v1(spark, sf), CASCADE_V1), CASCADE_V1)
     return x.select("device_id", "reading_id", r6("integral").alias("integral"), r6("phi").alias("phi"))
 
 
@@ -556,7 +556,7 @@ def q_pid_v1(spark, sf):
 SELECT device_id, reading_id, {S.r6('integral')} AS integral, {S.r6('phi')} AS phi FROM pid""")
 def q_pid_v2(spark, sf):
     """CPU-aware PID v2 (GPU when gpu_temp_norm > 0)."""
-    x = telemetry.pid(telemetry.pid_inputs_v2(_hv2(spark, sf), SPIT_V2), SPIT_V2)
+    x = telemetry.pid(telemetry.pid_inputs_v2(_hv2(spark, sf), CASCADE_V2), CASCADE_V2)
     return x.select("device_id", "reading_id", r6("integral").alias("integral"), r6("phi").alias("phi"))
 
 
@@ -1774,7 +1774,7 @@ def q_phi_per_batch(spark, sf):
     x = telemetry.latest_reading(b, _hv2(spark, sf), V2_COLS, post_tie="bid", strict=True)
     for c in V2_COLS:
         x = x.withColumn(c, F.coalesce(F.col(c), F.lit(0.0)))
-    phi = telemetry.pid(telemetry.pid_inputs_v2(x, SPIT_V2), SPIT_V2, tie="bid").select("device_id", "batch_id", "phi")
+    phi = telemetry.pid(telemetry.pid_inputs_v2(x, CASCADE_V2), CASCADE_V2, tie="bid").select("device_id", "batch_id", "phi")
     return pb.join(phi, ["device_id", "batch_id"]).select(F.col("id").alias("doc_id"), "device_id", "batch_id",
                                                           r6("phi").alias("phi"))
 

@@ -11,9 +11,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..config import SPIT_V1, SpitConfig
+from ..config import CASCADE_V1, CascadeConfig
 from ..functions.hashing import std_normal, unit_hash
-from ..functions.signals import clip, h_token, psi_socio, spit_components, tau_dynamic
+from ..functions.signals import clip, h_token, psi_socio, tau_terms, tau_dynamic
 from ..functions.text import clean_text, clean_tokens, word_tokens
 from ..operators import routing, telemetry
 from ..operators.scoring import tier1_scorer, tier2_scorer
@@ -59,7 +59,7 @@ def with_social(df: DataFrame, id_col: str = "id", seed: str = "") -> DataFrame:
               .withColumn("platform", F.lit("TWITTER")))
 
 
-def with_signals(df: DataFrame, cfg: SpitConfig = SPIT_V1, phi: str | None = None) -> DataFrame:
+def with_signals(df: DataFrame, cfg: CascadeConfig = CASCADE_V1, phi: str | None = None) -> DataFrame:
     """Adds psi, h and the component struct; phi column or 0 when absent."""
     phi_c = F.col(phi) if phi else F.lit(0.0)
     x = (df.withColumn("psi", psi_socio("retweet_count", "follower_count", "burst_rate_ppm", "platform", cfg))
@@ -88,19 +88,19 @@ def post_context(spark: SparkSession, sf: str) -> DataFrame:
     return docs(spark, sf).join(ev, "id", "left")
 
 
-def readings_v1(spark: SparkSession, sf: str, cfg: SpitConfig = SPIT_V1) -> DataFrame:
+def readings_v1(spark: SparkSession, sf: str, cfg: CascadeConfig = CASCADE_V1) -> DataFrame:
     tel = telemetry.telemetry_from_events(read_table(spark, sf, "events"))
     return telemetry.health_v1(tel, cfg)
 
 
-def _default_phi(cfg: SpitConfig) -> float:
+def _default_phi(cfg: CascadeConfig) -> float:
     """The controller's first step over the default vector (0.4, 0.4)."""
     e, dt = 0.4 * cfg.cpu_setpoint - cfg.cpu_setpoint, cfg.dt_floor
     total = max(-cfg.integral_limit, min(cfg.integral_limit, e * dt))
     return max(0.0, min(1.0, cfg.kp * e + cfg.ki * total + cfg.kd * e / dt + cfg.mem_weight * 0.4))
 
 
-def dynamic_route(spark: SparkSession, sf: str, cfg: SpitConfig = SPIT_V1, chunk_seconds: int = 3600, posts: DataFrame | None = None) -> DataFrame:
+def dynamic_route(spark: SparkSession, sf: str, cfg: CascadeConfig = CASCADE_V1, chunk_seconds: int = 3600, posts: DataFrame | None = None) -> DataFrame:
     """As-of reading -> PID per device over its posts -> tau -> route.
 
     The latest reading strictly before the post is used (the sidecar's last
@@ -124,17 +124,17 @@ def dynamic_route(spark: SparkSession, sf: str, cfg: SpitConfig = SPIT_V1, chunk
     return route_by_phi((docs(spark, sf) if posts is None else posts).join(phi, "id", "left"), cfg)
 
 
-def route_by_phi(posts: DataFrame, cfg: SpitConfig = SPIT_V1) -> DataFrame:
+def route_by_phi(posts: DataFrame, cfg: CascadeConfig = CASCADE_V1) -> DataFrame:
     """Posts with a phi (null: the default) -> tier 1 -> tau -> decisions."""
     return decide(routing.score_tier1(posts, tier1_scorer()), cfg)
 
 
-def decide(scored: DataFrame, cfg: SpitConfig = SPIT_V1) -> DataFrame:
+def decide(scored: DataFrame, cfg: CascadeConfig = CASCADE_V1) -> DataFrame:
     """Posts with tier-1 scores and a phi (null: the default) -> tau -> decisions."""
     x = with_social(scored).withColumn("phi", F.coalesce("phi", F.lit(_default_phi(cfg))))
     y = with_signals(x, cfg, phi="phi")
     return routing.route_expr(y.withColumn("escalate", F.col("c1") < F.col("tau")), tier2_scorer(), "escalate")
 
 
-def components(df: DataFrame, cfg: SpitConfig = SPIT_V1) -> DataFrame:
-    return df.withColumn("components", spit_components("phi", "psi", "h", cfg))
+def components(df: DataFrame, cfg: CascadeConfig = CASCADE_V1) -> DataFrame:
+    return df.withColumn("components", tau_terms("phi", "psi", "h", cfg))
