@@ -63,7 +63,7 @@ def entropy_sum(tokens) -> Column:
     accumulator so no lambda refers back to the input array.
     """
     t = _c(tokens)
-    srt = F.array_sort(t)
+    srt = F.sort_array(t)
 
     def term(cnt, n):
         p = cnt.cast("double") / n

@@ -33,7 +33,7 @@ def _definitions(cfg: CascadeConfig) -> dict[str, str]:
         "psi_socio(retweets DOUBLE, followers DOUBLE, ppm DOUBLE, platform STRING) RETURNS DOUBLE":
             f"clip_to({wv} * virality(retweets) + {wa} * authority(followers) + {wb} * burst(ppm) + {wp} * platform_prior(platform), 0D, 1D)",
         "h_token(tokens ARRAY<STRING>) RETURNS DOUBLE":
-            f"CASE WHEN size(tokens) > 0 THEN clip_to(-aggregate(array_sort(tokens), {start}, (a, x) -> CASE WHEN a.p = x THEN {more} ELSE {turn} END, a -> a.s + {term})"
+            f"CASE WHEN size(tokens) > 0 THEN clip_to(-aggregate(sort_array(tokens), {start}, (a, x) -> CASE WHEN a.p = x THEN {more} ELSE {turn} END, a -> a.s + {term})"
             f" / {num(math.log(cfg.vocab_size + 1e-12))}, 0D, 1D) ELSE 0D END",
         "sigmoid(z DOUBLE) RETURNS DOUBLE": "1D / (1D + exp(-z))",
         "tau_dynamic(phi DOUBLE, psi DOUBLE, h DOUBLE) RETURNS DOUBLE":

@@ -48,8 +48,9 @@ def dedup_near(df: DataFrame, id_col: str = "id", tokens_col: str = "tokens", k:
     those alone, in ascending order of their ids, and stops at its first
     match (``_first_matches``).
     """
-    sets = df.select(F.col(id_col).alias("_id"), F.array_sort(F.array_distinct(F.transform(shingles(F.col(tokens_col), k), lambda g: F.xxhash64(g)))).alias("_s")).where("size(_s) > 0")
-    marked = cut_lineage(sets.withColumn("_c", F.xxhash64("_s", F.size("_s"))))
+    sets = df.select(F.col(id_col).alias("_id"), F.sort_array(F.array_distinct(F.transform(shingles(F.col(tokens_col), k), lambda g: F.xxhash64(g)))).alias("_s"))
+    # no condition on _s before the cut: pushed down, it would build the sets again
+    marked = cut_lineage(sets.withColumn("_c", F.xxhash64("_s", F.size("_s")))).where("size(_s) > 0")
     classes = cut_lineage(marked.groupBy("_c").agg(F.min("_id").alias("_least"), F.any_value("_s").alias("_s")))
     best = _first_matches(classes, min_similarity)
     found = (marked.select("_id", "_c").join(classes.select("_c", "_least"), "_c").join(best, "_c", "left")
@@ -69,7 +70,7 @@ def _rare_shingles(classes: DataFrame, min_similarity: float) -> DataFrame:
     held = classes.select("_c", "_least", F.size("_s").alias("_n"), F.explode("_s").alias("_g"))
     shared = held.groupBy("_g").agg(F.count(F.lit(1)).alias("_df")).where("_df > 1")
     room = F.size("_o") - F.ceil(F.col("_n") * F.lit(min_similarity) - 1e-9).cast("int") + 1
-    return (held.join(shared, "_g").groupBy("_c", "_least", "_n").agg(F.array_sort(F.collect_list(F.struct("_df", "_g"))).alias("_o")).where(room > 0)
+    return (held.join(shared, "_g").groupBy("_c", "_least", "_n").agg(F.sort_array(F.collect_list(F.struct("_df", "_g"))).alias("_o")).where(room > 0)
             .select("_c", "_least", "_n", F.size("_o").alias("_held"), F.posexplode(F.slice("_o", 1, room)).alias("_i", "_p")).select("_c", "_least", "_n", "_held", "_i", F.col("_p._g").alias("_g")))
 
 
