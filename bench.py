@@ -31,7 +31,8 @@ HEADLINE = [
 ]
 
 # The longer ones: one timed run each, behind the others, without a warm-up.
-ONCE = ["dedup_near", "model_comparison", "payload_validate", "lexicon_polarity", "config_ablation", "lr_train_predict"]
+# lr_train_predict, whose fit did not end within 200 s at sf0.1, is run with BENCH_QUERIES=...
+ONCE = ["dedup_near", "model_comparison", "payload_validate", "lexicon_polarity", "config_ablation"]
 
 
 def _sf_value(path: str) -> float | str:
