@@ -313,8 +313,10 @@ t2 AS (SELECT id, p2 FROM sc WHERE c1 < {THRESHOLD})
 SELECT sc.id AS doc_id, coalesce(t2.p2, sc.p1) AS prediction, t2.p2 IS NOT NULL AS from_tier2 FROM sc LEFT JOIN t2 USING (id)""")
 def q_route_overlay(spark, sf):
     """Tier-2 rows (scored only on the escalated subset) overlaid by id."""
-    s1 = pl.scored(spark, sf)
-    esc = s1.filter(F.col("c1") < THRESHOLD)
+    # cut: the overlay reads it twice, and a filter on c1 would score rows again in front of the model
+    esc = F.col("c1") < THRESHOLD
+    s1 = cut_lineage(pl.scored(spark, sf).select("id", "p1", "c1", F.when(esc, F.col("tokens")).alias("tokens")))
+    esc = s1.filter(esc)
     t2 = tier2_scorer().with_scores(esc, "tokens", "p2", "c2").select("id", "p2", "c2")
     o = routing.overlay(s1.select("id", "p1", "c1"), t2)
     return o.select(F.col("id").alias("doc_id"), "prediction", (F.col("tier_used") == 2).alias("from_tier2"))
@@ -327,7 +329,7 @@ UNION ALL
 SELECT 'accepted' AS subset, count(*) AS n, {S.r6('avg(c1)')} AS avg_conf FROM sc WHERE id NOT IN (SELECT id FROM esc)""")
 def q_route_split_semi_anti(spark, sf):
     """Escalated / accepted subsets via semi and anti joins on the id set."""
-    s1 = pl.scored(spark, sf).select("id", "c1")
+    s1 = cut_lineage(pl.scored(spark, sf).select("id", "c1"))  # four branches read it
     esc_ids = s1.filter(F.col("c1") < THRESHOLD).select("id")
     a = routing.escalated_subset(s1, esc_ids, escalated=True).agg(
         F.lit("escalated").alias("subset"), F.count(F.lit(1)).alias("n"), r6(F.avg("c1")).alias("avg_conf"))
