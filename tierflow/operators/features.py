@@ -20,9 +20,9 @@ def terms(df: DataFrame, text_col: str = "clean", id_col: str = "id", ngram_max:
 
     ``cleaned``: the input is output of clean_text (only [a-z0-9' ]), where
     accent stripping and lower-casing are no-ops and word-character runs
-    are runs of [a-z0-9]; one split gives the same tokens cheaper."""
+    are runs of [a-z0-9]; matching those gives the same tokens cheaper."""
     if cleaned:
-        t = F.filter(F.split(F.col(text_col), "[^a-z0-9]+"), lambda x: x != F.lit(""))
+        t = F.regexp_extract_all(F.col(text_col), F.lit("[a-z0-9]+"), 0)
     else:
         t = analyzer_tokens(text_col)
     feats = F.concat(t, bigrams(t)) if ngram_max >= 2 else t
