@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..config import SPECTRUM, SPECTRUM_FLOOR
 from ..functions.hashing import token_unit
+from ..functions.token_sums import stand_in_valence_sum
 
 VADER_ALPHA = 15.0
 # Stand-in lexicon: a token carries a valence with probability LEX_RATE,
@@ -31,9 +32,7 @@ def with_stand_in_compound(df: DataFrame, tokens_col: str = "tokens", out: str =
     summed in the same row pass as the other text work (no corpus-wide
     lexicon table, no second pass). Same values as ``lexicon_polarity``
     with ``stand_in_lexicon``."""
-    s = F.aggregate(F.col(tokens_col), F.lit(0.0),
-                    lambda a, t: a + F.coalesce(stand_in_valence(t), F.lit(0.0)))
-    x = df.withColumn("_lex_s", s)  # read twice below: materialised once
+    x = df.withColumn("_lex_s", stand_in_valence_sum(F.col(tokens_col), LEX_RATE))  # read twice below: materialised once
     return x.withColumn(out, F.col("_lex_s") / F.sqrt(F.col("_lex_s") * F.col("_lex_s") + F.lit(VADER_ALPHA))) \
             .drop("_lex_s")
 
