@@ -1627,22 +1627,22 @@ def q_stream_pid(spark, sf):
 @register("stream_route", ORACLE["route_fixed"])
 def q_stream_route(spark, sf):
     """Streaming fixed cascade; tier 2 runs inside foreachBatch on
-    the escalated subset only. Posts come as files, one a micro-batch; the
-    stream is stopped behind the second, and started again from its
-    checkpoint when the others are there."""
+    the escalated subset only. Posts come in lots of files, as many files as
+    a lot has a micro-batch; the stream is stopped behind the second, and
+    started again from its checkpoint when the others are there."""
     src, base = _scratch(spark, "post-files"), _scratch(spark, "route")
     posts = read_table(spark, sf, "documents")
 
     def deliver(lots):
         for i in lots:
-            posts.where(F.pmod(F.xxhash64("doc_id"), F.lit(4)) == i).coalesce(1).write.parquet(_os.path.join(src, str(i)))
-
-    def run():
-        return st.drain(st.posts_stream(spark, _os.path.join(src, "*"), max_files=1), "route", [], mode="append", batch_fn=st.route_batch(THRESHOLD), base=base)
-    deliver([0, 1])
-    run()
-    deliver([2, 3])
-    out = run()
+            posts.where(F.pmod(F.xxhash64("doc_id"), F.lit(4)) == i).write.parquet(_os.path.join(src, str(i)))
+        files = spark.read.schema(st.DOCUMENTS_SCHEMA).parquet(*[_os.path.join(src, str(i)) for i in lots]).inputFiles()
+        return max(1, -(-len(files) // len(lots)))
+
+    def run(files):
+        return st.drain(st.posts_stream(spark, _os.path.join(src, "*"), max_files=files), "route", [], mode="append", batch_fn=st.route_batch(THRESHOLD), base=base)
+    run(deliver([0, 1]))
+    out = run(deliver([2, 3]))
     return out.select(F.col("id").alias("doc_id"), "escalate", "prediction", r6("confidence").alias("confidence"),
                       "tier_used", "tier")
 
