@@ -91,3 +91,11 @@ def test_stream_route_lots_are_not_written_by_one_task(spark, tmp_path, monkeypa
     assert got == n
     for lot in range(4):
         assert len([f for f in os.listdir(tmp_path / "post-files" / str(lot)) if f.endswith(".parquet")]) > 1
+
+
+def test_term_counts_move_texts_not_terms(spark):
+    rows = [(1, "a b a"), (1, "a"), (None, "b"), (None, "b c")]
+    tc = ft.term_counts(spark.createDataFrame(rows, "id int, clean string"))
+    dealt = re.findall(r"hashpartitioning\(([^)]*)\)", tc._jdf.queryExecution().executedPlan().toString())
+    assert dealt and not any("term" in x for x in dealt)
+    assert {(r.id, r.term): r.c for r in tc.collect()} == {(1, "a"): 3, (1, "b"): 1, (1, "a b"): 1, (1, "b a"): 1, (None, "b"): 2, (None, "c"): 1, (None, "b c"): 1}

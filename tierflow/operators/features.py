@@ -31,7 +31,10 @@ def terms(df: DataFrame, text_col: str = "clean", id_col: str = "id", ngram_max:
 
 def term_counts(df: DataFrame, text_col: str = "clean", id_col: str = "id", ngram_max: int = 2,
                 cleaned: bool = True) -> DataFrame:
-    return terms(df, text_col, id_col, ngram_max, cleaned).groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("c"))
+    """(id, term, c). Texts are dealt by id before they are taken apart, so that
+    counting moves each text once, not each of its terms."""
+    dealt = df.select(id_col, text_col).repartition(id_col)
+    return terms(dealt, text_col, id_col, ngram_max, cleaned).groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("c"))
 
 
 def vocabulary(tc: DataFrame, min_df: int = 2, max_features: int | None = None, id_col: str = "id") -> DataFrame:
