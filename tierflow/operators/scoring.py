@@ -19,6 +19,7 @@ import time
 from dataclasses import dataclass, field
 from typing import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -189,7 +190,7 @@ def remap_predictions(raw: DataFrame, label_map: DataFrame, override: DataFrame
 
 
 # --------------------------------------------------------------------------
-# linear scoring by join (M7) and Spark ML training (M5)
+# linear scoring by join (M7) and the baseline (M5)
 # --------------------------------------------------------------------------
 
 def linear_score_by_join(docs: DataFrame, weights: DataFrame, id_col: str = "id",
@@ -219,9 +220,16 @@ class LinearBaseline:
     n_docs: DataFrame
     weights: DataFrame
     intercept: float
-    model: object
+    coefficients: np.ndarray
     indexed: DataFrame
 
+    @property
+    def model(self):
+        """The weights as a Spark ML model, for vectors of ``sparse_rows``."""
+        from pyspark.ml.classification import LogisticRegressionModel
+        from pyspark.ml.linalg import DenseVector
+        return LogisticRegressionModel._create_from_java_class("org.apache.spark.ml.classification.LogisticRegressionModel", "tierflow_baseline", DenseVector(self.coefficients), self.intercept)
+
     def features(self, df: DataFrame, text_col: str = "clean") -> DataFrame:
         from . import features as ft
         return ft.tfidf(ft.term_counts(df, text_col), self.vocabulary, self.n_docs)
@@ -232,37 +240,39 @@ class LinearBaseline:
         return score_features(df.select("id"), x, self.weights, self.intercept)
 
 
-def sparse_rows(features: DataFrame, indexed: DataFrame, size: int, ids: DataFrame | None = None) -> DataFrame:
-    """(id, features) as Spark ML vectors, from (id, term, weight) and (term, i).
+def packed_rows(features: DataFrame, indexed: DataFrame, size: int, ids: DataFrame | None = None) -> DataFrame:
+    """(id, features), the struct a sparse vector consists of, from (id, term, weight) and (term, i).
 
-    Ids of ``ids`` without a known term get an empty vector. The cells are
-    packed in SQL into what a sparse vector consists of; the Arrow pass only
-    gives that struct its type.
+    Ids of ``ids`` without a known term get an empty vector.
     """
-    from pyspark.ml.linalg import VectorUDT
     cells = features.join(indexed, "term").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("i", "weight"))).alias("_c"))
     if ids is not None:
         cells = ids.join(cells, "id", "left").withColumn("_c", F.coalesce("_c", F.array().cast(cells.schema["_c"].dataType)))
     parts = F.struct(F.lit(0).cast("tinyint").alias("type"), F.lit(size).alias("size"), F.col("_c.i").alias("indices"), F.col("_c.weight").alias("values"))
-    packed = cells.select("id", parts.alias("features"))
+    return cells.select("id", parts.alias("features"))
+
+
+def sparse_rows(features: DataFrame, indexed: DataFrame, size: int, ids: DataFrame | None = None) -> DataFrame:
+    """``packed_rows`` as Spark ML vectors: the Arrow pass only gives the struct its type."""
+    from pyspark.ml.linalg import VectorUDT
+    packed = packed_rows(features, indexed, size, ids)
     typed = T.StructType([packed.schema["id"], T.StructField("features", VectorUDT())])
     return packed.mapInArrow(lambda batches: batches, typed)
 
 
 def train_lr(train: DataFrame, text_col: str = "clean", label_col: str = "label", C: float = 1.0,
              max_iter: int = 1000, max_features: int | None = None, min_df: int = 2, tol: float = 1e-6) -> LinearBaseline:
-    """M5: logistic regression on M4's weights, fitted with Spark ML.
+    """M5: logistic regression on M4's weights, fitted by passes of Spark jobs (``logistic.fit``).
 
     Minimises the summed log loss plus |w|^2 / (2 C), the intercept without
-    a penalty: regParam = 1/(C*n) of a mean loss, standardization off. The
-    coefficients, one a term of the vocabulary, live on the driver while
-    they are fitted; ``max_features`` is the reference's own vocabulary cap,
-    off by default.
+    a penalty. The coefficients, one a term of the vocabulary, live on the
+    driver while they are fitted; ``max_features`` is the reference's own vocabulary cap, off by default.
     """
-    from pyspark.ml.classification import LogisticRegression
+    import pyarrow as pa
 
     from ..session import cut_lineage
     from . import features as ft
+    from . import logistic
     from .scan import exact_hash_rank
     rows = cut_lineage(train.select("id", F.col(label_col).cast("double").alias("label"), F.col(text_col).alias("clean")))
     counts = ft.term_counts(rows)
@@ -271,13 +281,11 @@ def train_lr(train: DataFrame, text_col: str = "clean", label_col: str = "label"
     ranked = exact_hash_rank(vocab.withColumn("_h", F.md5("term")), [], "_h", "term", "i")
     indexed = cut_lineage(ranked.select("term", (F.col("i") - 1).cast("int").alias("i")))
     size = max(1, indexed.count())
-    x = cut_lineage(sparse_rows(ft.tfidf(counts, vocab, n), indexed, size, rows.select("id")).join(rows.select("id", "label"), "id"))
-    lr = LogisticRegression(featuresCol="features", labelCol="label", maxIter=max_iter, tol=tol,
-                            regParam=1.0 / (C * max(rows.count(), 1)), elasticNetParam=0.0, standardization=False)
-    model = lr.fit(x)
-    table = train.sparkSession.createDataFrame([(i, float(w)) for i, w in enumerate(model.coefficients.toArray())], "i int, weight double")
+    x = cut_lineage(packed_rows(ft.tfidf(counts, vocab, n), indexed, size, rows.select("id")).join(rows.select("id", "label"), "id"))
+    w, intercept = logistic.fit(x.select("label", "features.indices", "features.values"), size, C, max_iter, tol)
+    table = train.sparkSession.createDataFrame(pa.table({"i": pa.array(range(size), pa.int32()), "weight": w}))
     weights = cut_lineage(indexed.join(table, "i").select("term", "weight"))
-    return LinearBaseline(vocab, n, weights, float(model.intercept), model, indexed)
+    return LinearBaseline(vocab, n, weights, intercept, w, indexed)
 
 
 def lr_predict(model: LinearBaseline, df: DataFrame, text_col: str = "clean") -> DataFrame:
