@@ -67,6 +67,23 @@ def test_near_dup_of_chains_takes_the_lowest_match(spark):
         assert (got[i].dup_of, got[i].similarity) == min(near, default=(None, None)), i
 
 
+def test_near_dup_moves_the_sets_of_texts_that_share_enough_only(spark, monkeypatch):
+    """Texts with too few shingles in common with all others end at the first count, and a round reads its stretch of the lists."""
+    from tierflow.operators import dedup
+    rows = [(i, [f"own{i}_{j}" for j in range(60)]) for i in range(300)]
+    rows += [(300 + i, [f"pair{i // 2}_{j}" for j in range(59)] + [f"end{i}"]) for i in range(20)]
+    rows += [(400 + i, [f"half{i // 2}_{j}" for j in range(30)] + [f"h{i}_{j}" for j in range(30)]) for i in range(20)]
+    seen, plain = [], dedup._first_matches
+    monkeypatch.setattr(dedup, "_first_matches", lambda classes, *a: seen.append(sorted(r._least for r in classes.collect())) or plain(classes, *a))
+    for most in (dedup.BROADCAST_ROWS, 0):
+        monkeypatch.setattr(dedup, "BROADCAST_ROWS", most)
+        monkeypatch.setattr(dedup, "SHINGLES_A_TASK", 1000)
+        seen.clear()
+        got = {r.id: r.dup_of for r in dedup_near(spark.createDataFrame(rows, "id long, tokens array<string>")).collect() if r.is_near_duplicate}
+        assert got == {301 + 2 * i: 300 + 2 * i for i in range(10)}
+        assert seen == [list(range(300, 320))]
+
+
 def test_exact_dedup_and_contamination(spark):
     df = spark.createDataFrame([(1, "a b"), (2, "a b"), (3, "c")], "id long, clean string")
     assert sorted((r.id, r.n_copies) for r in dedup_exact(df).collect()) == [(1, 2), (3, 1)]

@@ -17,6 +17,10 @@ from pyspark.sql import functions as F
 from ..session import cut_lineage
 from .scan import bounded_buckets, exact_rank
 
+#: Shingles a task counts the holders of, and rows up to which a side of a join goes to all tasks instead of shuffling the other.
+SHINGLES_A_TASK = 1 << 22
+BROADCAST_ROWS = 1 << 19
+
 
 def dedup_exact(df: DataFrame, id_col: str = "id", text_col: str = "clean") -> DataFrame:
     """(survivor id, copies) per distinct text."""
@@ -43,7 +47,9 @@ def dedup_near(df: DataFrame, id_col: str = "id", tokens_col: str = "tokens", k:
     A row is a near duplicate if the Jaccard similarity of its distinct
     shingles to those of a lower id is at least ``min_similarity``; dup_of is
     the lowest such id. Equal shingle sets are one class, known by its lowest
-    id. Two sets that similar share a shingle among the rarest of each (all
+    id. A class that holds too many shingles alone has no match
+    (``_open_classes``); the sets of the others are all that moves from there on.
+    Two sets that similar share a shingle among the rarest of each (all
     but the share they must have in common), so a class meets others on
     those alone, in ascending order of their ids, and stops at its first
     match (``_first_matches``).
@@ -51,15 +57,36 @@ def dedup_near(df: DataFrame, id_col: str = "id", tokens_col: str = "tokens", k:
     sets = df.select(F.col(id_col).alias("_id"), F.sort_array(F.array_distinct(F.transform(shingles(F.col(tokens_col), k), lambda g: F.xxhash64(g)))).alias("_s"))
     # no condition on _s before the cut: pushed down, it would build the sets again
     marked = cut_lineage(sets.withColumn("_c", F.xxhash64("_s", F.size("_s")))).where("size(_s) > 0")
-    classes = cut_lineage(marked.groupBy("_c").agg(F.min("_id").alias("_least"), F.any_value("_s").alias("_s")))
+    open_ = marked.join(_few(cut_lineage(_open_classes(marked, min_similarity))), "_c", "left_semi")
+    classes = cut_lineage(open_.groupBy("_c").agg(F.min("_id").alias("_least"), F.any_value("_s").alias("_s")))
     best = _first_matches(classes, min_similarity)
-    found = (marked.select("_id", "_c").join(classes.select("_c", "_least"), "_c").join(best, "_c", "left")
+    ids = marked.select("_id", "_c")
+    found = (ids.join(ids.groupBy("_c").agg(F.min("_id").alias("_least")), "_c").join(best, "_c", "left")
              .withColumn("_b", F.coalesce("_b", F.struct(F.col("_least").alias("_to"), F.lit(1.0).alias("_sim"))))
              .where(F.col("_b._to") < F.col("_id")).select(F.col("_id").alias(id_col), "_b"))
     return df.select(id_col).join(found, id_col, "left").select(
         id_col, F.col("_b").isNotNull().alias("is_near_duplicate"), F.col("_b._to").alias("dup_of"), F.col("_b._sim").alias("similarity"))
 
 
+def _few(df: DataFrame) -> DataFrame:
+    """A frame whose lineage is cut, to be broadcast if it has few rows: the other side of a join stays where it is."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+def _open_classes(marked: DataFrame, min_similarity: float) -> DataFrame:
+    """(_c): classes that hold enough shingles together with any others to be that similar to one.
+
+    Only a shingle and its holder move, in the order of the rows, so that the
+    holder costs next to nothing; what comes back is a count a class and task.
+    """
+    sizes = marked.groupBy("_c").agg(F.any_value(F.size("_s")).alias("_n"))
+    tasks = -(-(marked.agg(F.sum(F.size("_s")).alias("n")).first()["n"] or 0) // SHINGLES_A_TASK)
+    tasks = max(tasks, int(marked.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    holders = marked.select("_c", F.explode("_s").alias("_g")).repartition(tasks, "_g").groupBy("_g").agg(F.min("_c").alias("_c"), F.max("_c").alias("_other"))
+    own = holders.where("_c = _other").groupBy("_c").agg(F.count(F.lit(1)).alias("_own"))
+    return sizes.join(own, "_c", "left").where(F.col("_n") - F.coalesce("_own", F.lit(0)) >= F.ceil(F.col("_n") * F.lit(min_similarity) - 1e-9)).select("_c")
+
+
 def _rare_shingles(classes: DataFrame, min_similarity: float) -> DataFrame:
     """(_c, _least, _n, _held, _i, _g): per class the shingles that a class so similar must share one of.
 
@@ -77,7 +104,9 @@ def _rare_shingles(classes: DataFrame, min_similarity: float) -> DataFrame:
 def _verified(pairs: DataFrame, sets: DataFrame, min_similarity: float) -> DataFrame:
     """The pairs (_c, _d) whose whole sets are that similar, with ``_sim``."""
     both = F.size(F.array_intersect("_s", "_s2"))
-    return (pairs.join(sets, "_c").join(sets.select(F.col("_c").alias("_d"), F.col("_s").alias("_s2")), "_d")
+    pairs = _few(cut_lineage(pairs))
+    right = sets.select(F.col("_c").alias("_d"), F.col("_s").alias("_s2")).join(pairs.select("_c", "_d"), "_d")
+    return (sets.join(pairs, "_c").join(right, ["_c", "_d"])
             .withColumn("_sim", both / (F.size("_s") + F.size("_s2") - both).cast("double")).where(F.col("_sim") >= min_similarity))
 
 
@@ -95,14 +124,16 @@ def _first_matches(classes: DataFrame, min_similarity: float, growth: int = 4) -
     """
     rare = bounded_buckets(cut_lineage(_rare_shingles(classes, min_similarity)), "_least")
     ranked = cut_lineage(exact_rank(rare, ["_g"], F.col("_bucket"), ["_least"], out="_pos"))
-    front = ranked.where("_pos > 1").select("_c", "_least", "_n", "_held", "_i", "_g", "_pos", F.lit(1).cast("long").alias("_next"))
+    front = ranked.where("_pos > 1").select("_c", "_least", "_n", "_held", "_i", "_g", "_pos")
     other = ranked.select("_g", F.col("_pos").alias("_at"), F.col("_c").alias("_d"), F.col("_least").alias("_to"), F.col("_n").alias("_m"), F.col("_held").alias("_held2"), F.col("_i").alias("_j"))
     sets = classes.select("_c", "_s")
     best = classes.select("_c", F.lit(None).cast(f"struct<_to: {classes.schema['_least'].dataType.simpleString()}, _sim: double>").alias("_b")).where("false")
-    step = 1
+    at, step, rows = 1, 1, front.count()
     while True:
-        upto = F.least(F.col("_next") + step - 1, F.col("_pos") - 1)
-        fetched = cut_lineage(front.withColumn("_at", F.explode(F.sequence("_next", upto))).join(other, ["_g", "_at"]).join(best, "_c", "left")
+        # all lists that go on have come to the same place, so a round reads a stretch of places
+        asked = front.withColumn("_at", F.explode(F.sequence(F.lit(at).cast("long"), F.least(F.lit(at + step - 1), F.col("_pos") - 1))))
+        asked = F.broadcast(asked) if rows * step <= BROADCAST_ROWS else asked
+        fetched = cut_lineage(other.where(F.col("_at").between(at, at + step - 1)).join(asked, ["_g", "_at"]).join(best, "_c", "left")
                               .where(F.col("_b").isNull() | (F.col("_to") < F.col("_b._to"))))
         need = F.ceil((F.col("_n") + F.col("_m")) * F.lit(min_similarity / (1 + min_similarity)) - 1e-9)
         most = 1 + F.least(F.col("_held") - F.col("_i"), F.col("_held2") - F.col("_j")) - 1
@@ -111,12 +142,12 @@ def _first_matches(classes: DataFrame, min_similarity: float, growth: int = 4) -
         best = cut_lineage(best.unionByName(near.select("_c", F.struct("_to", "_sim").alias("_b"))).groupBy("_c").agg(F.min("_b").alias("_b")))
         # a list goes on behind what it has reached, while that is below the class's best match and in front of the class
         reached = fetched.groupBy("_c", "_g").agg(F.max("_to").alias("_reached"))
-        front = cut_lineage(front.where(F.col("_next") + step < F.col("_pos")).join(reached, ["_c", "_g"]).join(best, "_c", "left")
-                            .where(F.col("_b").isNull() | (F.col("_reached") < F.col("_b._to")))
-                            .withColumn("_next", F.col("_next") + step).drop("_reached", "_b"))
-        if front.isEmpty():
+        front = cut_lineage(front.where(F.col("_pos") > at + step).join(reached, ["_c", "_g"]).join(best, "_c", "left")
+                            .where(F.col("_b").isNull() | (F.col("_reached") < F.col("_b._to"))).drop("_reached", "_b"))
+        rows = front.count()
+        if rows == 0:
             return best
-        step *= growth
+        at, step = at + step, step * growth
 
 
 def word_ngrams(tokens: Column, n: int) -> Column:
