@@ -8,9 +8,9 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from tierflow.functions import token_sums as ts
-from tierflow.functions.text import clean_tokens
+from tierflow.functions.text import clean_tokens, stripped_text
 from tierflow.operators import features as ft
-from tierflow.operators.scoring import tier2_scorer
+from tierflow.operators.scoring import linear_score_by_join, tier2_scorer
 from tierflow.plans import catalog
 
 SF0001 = "/root/testdata/sf0.001"
@@ -99,3 +99,36 @@ def test_term_counts_move_texts_not_terms(spark):
     dealt = re.findall(r"hashpartitioning\(([^)]*)\)", tc._jdf.queryExecution().executedPlan().toString())
     assert dealt and not any("term" in x for x in dealt)
     assert {(r.id, r.term): r.c for r in tc.collect()} == {(1, "a"): 3, (1, "b"): 1, (1, "a b"): 1, (1, "b a"): 1, (None, "b"): 2, (None, "c"): 1, (None, "b c"): 1}
+
+
+ODD = [None, "", "   ", "It's A1 --- über x@me #tag http://a.b/c?d e'f\n9", "ıİ ß don't K", "''", "www.x.y z www. httpq", "a" * 70 + " b b b", "@ # @x"]
+
+
+def test_sums_from_the_text_are_those_over_its_tokens(spark, monkeypatch):
+    df = spark.createDataFrame(list(enumerate(ODD)), "id int, text string").coalesce(1).select("id", stripped_text("text").alias("s"), clean_tokens("text").alias("t"))
+    for stretch in (ts.TEXT_STRETCH, 5):
+        monkeypatch.setattr(ts, "TEXT_STRETCH", stretch)
+        got = df.select("id", F.size("t").alias("n"), ts.hashed_weight_sum(F.col("t"), "t2:", True).alias("w"), ts.entropy_sum(F.col("t")).alias("e"), ts.stand_in_valence_sum(F.col("t"), 1.0).alias("v"),
+                        ts.text_sums(F.col("s"), "t2:", True, True, 1.0).alias("x"), "t", ts.text_counts(F.col("s")).alias("c"), ts.text_counts(F.col("s"), False).alias("u")).collect()
+        assert len(got) == len(ODD)
+        for r in got:
+            if ODD[r.id] is None:
+                assert r.x.n is r.x.w is r.x.e is r.x.v is None and not r.c
+                continue
+            assert (r.n, r.w, r.e, r.v) == (r.x.n, r.x.w, r.x.e, r.x.v), r.id
+            assert sorted(x for t, c in r.c for x in [t] * c) == sorted(r.t)
+            assert sorted(x for t, c in r.u for x in [t] * c) == sorted(re.findall("[a-z0-9]+", " ".join(r.t)))
+
+
+def test_text_bound_queries_build_no_token_arrays(spark):
+    for name in ("route_dynamic", "dynamic_route_summary", "model_comparison", "mentions", "brand_sentiment", "trend_growth", "linear_score_join"):
+        assert "regexp_extract_all" not in _plan(catalog.QUERIES[name](spark, SF0001)), name
+    assert "regexp_extract_all" not in _plan(catalog._tagged(spark, SF0001).select("product", "demographic", "spectrum_bucket", "date", "sentiment", "sarcasm"))
+
+
+def test_join_scores_from_the_text_are_those_of_its_tokens(spark):
+    rows = [(1, "a b a"), (1, "c'd a"), (2, None), (3, "b"), (None, "a a"), (None, "b")]
+    d = spark.createDataFrame(rows, "id int, s string").withColumn("tokens", clean_tokens("s"))
+    w = spark.createDataFrame([("a", 0.5), ("b", -0.25), ("c'd", 2.0)], "term string, weight double")
+    got = [sorted(map(tuple, linear_score_by_join(d, w, **x).collect()), key=str) for x in ({}, {"text_col": "s"})]
+    assert got[0] == got[1] and len(got[0]) == 6

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..config import SPECTRUM, SPECTRUM_FLOOR
 from ..functions.hashing import token_unit
-from ..functions.token_sums import stand_in_valence_sum
+from ..functions.token_sums import stand_in_valence_sum, text_sums
 
 VADER_ALPHA = 15.0
 # Stand-in lexicon: a token carries a valence with probability LEX_RATE,
@@ -27,12 +27,14 @@ def stand_in_valence(tok: Column) -> Column:
     return F.when(token_unit(tok, "lex:") < LEX_RATE, F.round(F.lit(8.0) * token_unit(tok, "val:") - F.lit(4.0), 1))
 
 
-def with_stand_in_compound(df: DataFrame, tokens_col: str = "tokens", out: str = "compound") -> DataFrame:
+def with_stand_in_compound(df: DataFrame, tokens_col: str = "tokens", out: str = "compound", text_col: str | None = None) -> DataFrame:
     """M12 for the stand-in lexicon, whose valence is a function of the token:
     summed in the same row pass as the other text work (no corpus-wide
     lexicon table, no second pass). Same values as ``lexicon_polarity``
-    with ``stand_in_lexicon``."""
-    x = df.withColumn("_lex_s", stand_in_valence_sum(F.col(tokens_col), LEX_RATE))  # read twice below: materialised once
+    with ``stand_in_lexicon``. With ``text_col``, the stripped text, no array
+    of tokens is built."""
+    summed = text_sums(F.col(text_col), valence_rate=LEX_RATE)["v"] if text_col else stand_in_valence_sum(F.col(tokens_col), LEX_RATE)
+    x = df.withColumn("_lex_s", summed)  # read twice below: materialised once
     return x.withColumn(out, F.col("_lex_s") / F.sqrt(F.col("_lex_s") * F.col("_lex_s") + F.lit(VADER_ALPHA))) \
             .drop("_lex_s")
 
