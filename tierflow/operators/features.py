@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import analyzer_tokens
+from ..functions.token_sums import text_counts
 from .scoring import bigrams
 
 
@@ -32,7 +33,11 @@ def terms(df: DataFrame, text_col: str = "clean", id_col: str = "id", ngram_max:
 def term_counts(df: DataFrame, text_col: str = "clean", id_col: str = "id", ngram_max: int = 2,
                 cleaned: bool = True) -> DataFrame:
     """(id, term, c). Texts are dealt by id before they are taken apart, so that
-    counting moves each text once, not each of its terms."""
+    counting moves each text once, not each of its terms. Uni-grams of cleaned
+    (or stripped) text are counted over all texts of an id, laid behind each other."""
+    if cleaned and ngram_max < 2:
+        whole = df.select(id_col, text_col).groupBy(id_col).agg(F.array_join(F.collect_list(text_col), " ").alias("_t"))
+        return whole.select(id_col, F.explode(text_counts(F.col("_t"), apostrophes=False)).alias("_t")).select(id_col, "_t.term", "_t.c")
     dealt = df.select(id_col, text_col).repartition(id_col)
     return terms(dealt, text_col, id_col, ngram_max, cleaned).groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("c"))
 
