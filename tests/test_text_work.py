@@ -132,3 +132,17 @@ def test_join_scores_from_the_text_are_those_of_its_tokens(spark):
     w = spark.createDataFrame([("a", 0.5), ("b", -0.25), ("c'd", 2.0)], "term string, weight double")
     got = [sorted(map(tuple, linear_score_by_join(d, w, **x).collect()), key=str) for x in ({}, {"text_col": "s"})]
     assert got[0] == got[1] and len(got[0]) == 6
+
+
+def test_words_and_pairs_are_hashed_side_by_side(monkeypatch):
+    calls = []
+    monkeypatch.setattr(ts, "LANES", 7)
+    monkeypatch.setattr(ts.hashlib, "md5", lambda x, of=hashlib.md5: calls.append(x) or of(x))
+    words = ["", "a", "don't", "é" * 9, *("x" * k for k in range(20, 70))]
+    key, pairs = b"t2:", [(i, (i * 7) % len(words)) for i in range(len(words))] + [(0, 0), (1, 0)]
+    found = ts._units(key, pa.array(words)), ts._units(key, pa.array(words), *(pa.array(x).to_numpy() for x in zip(*pairs)))
+    messages = [key + x.encode() for x in words], [key + f"{words[a]} {words[b]}".encode() for a, b in pairs]
+    assert calls == [m for each in messages for m in each if len(m) > 55]  # those that don't fit a block of MD5
+    for got, each in zip(found, messages):
+        assert got.tolist() == [_unit(m.decode()) for m in each]
+    assert len(ts._units(key, pa.array([], pa.string()))) == 0
