@@ -146,3 +146,11 @@ def test_words_and_pairs_are_hashed_side_by_side(monkeypatch):
     for got, each in zip(found, messages):
         assert got.tolist() == [_unit(m.decode()) for m in each]
     assert len(ts._units(key, pa.array([], pa.string()))) == 0
+
+
+def test_tags_join_their_events_behind_the_text_work(spark):
+    """The text isn't shuffled for the join: no column of it stands above it."""
+    plan = _plan(catalog._tagged(spark, SF0001).select("id", "prediction", "score10", "topic"))
+    above = plan[:plan.index("Join ")]
+    assert "stripped" not in above and "run(" not in above
+    assert "run(" in plan

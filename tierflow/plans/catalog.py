@@ -988,10 +988,9 @@ tagged AS (SELECT *, CASE WHEN intent = 'COMPLEX' THEN CASE WHEN p2 <> p1 THEN '
 
 def _tagged(spark, sf) -> DataFrame:
     """One tagged row per post."""
-    ctx = pl.post_context(spark, sf, stripped=True)
-    s = routing.route_fixed(ctx, tier1_scorer(), tier2_scorer(), THRESHOLD, text="stripped")
-    s = pl.with_social(s)
-    s = so.with_stand_in_compound(s, text_col="stripped")
+    s = routing.route_fixed(pl.docs(spark, sf, stripped=True), tier1_scorer(), tier2_scorer(), THRESHOLD, text="stripped")
+    s = so.with_stand_in_compound(s, text_col="stripped").drop("stripped", "tokens", "clean")
+    s = pl.with_social(pl.with_arrival(spark, sf, s))  # behind the text work, so that no text is shuffled for it
     s = s.withColumn("intent", so.intent("c1", "compound"))  # COMPLEX rows are escalated: tier 2 is there
     return (s.withColumn("product", F.col("source")).withColumn("community", F.col("lang"))
              .withColumn("date", F.to_date("ts"))

@@ -88,11 +88,11 @@ def scored_both(spark: SparkSession, sf: str, frame: DataFrame | None = None) ->
         .withColumn("tier2_cost", nfeat * routing.TIER2_SEC_PER_FEATURE)
 
 
-def post_context(spark: SparkSession, sf: str, stripped: bool = False) -> DataFrame:
-    """Posts with their arrival event: device, ts and topic (null without one)."""
+def with_arrival(spark: SparkSession, sf: str, posts: DataFrame) -> DataFrame:
+    """Adds a post's arrival event: device, ts and topic (null without one)."""
     ev = read_table(spark, sf, "events").select(
         F.col("event_id").alias("id"), "ts", F.col("user_id").alias("device_id"), F.col("event_type").alias("topic"))
-    return docs(spark, sf, stripped=stripped).join(ev, "id", "left")
+    return posts.join(ev, "id", "left")
 
 
 def readings_v1(spark: SparkSession, sf: str, cfg: CascadeConfig = CASCADE_V1) -> DataFrame:
