@@ -7,6 +7,9 @@ takes hundreds of passes. This one searches the weights themselves, each scaled
 by a bound of its curvature. A pass is one Spark job: rows lie in blocks on the
 executors, coefficients are broadcast, gradients are summed in a tree. The
 driver holds what Spark ML's would: the coefficients and ten pairs of updates.
+
+``fit_by_terms`` is for a vocabulary of any size: there the driver holds
+vectors of a number a row, never one a term.
 """
 
 from __future__ import annotations
@@ -138,3 +141,84 @@ def _direction(g: np.ndarray, pairs: list, curve: np.ndarray) -> np.ndarray:
     for (s, y, rho), a in zip(pairs, reversed(shares)):
         q += s * (a - rho * float(y @ q))
     return -q
+
+
+def fit_by_terms(matrix, C: float, max_iter: int, tol: float) -> tuple[np.ndarray, float]:
+    """The same minimum over a ``term_blocks.TermMatrix`` X: a, where the weights are X' a, and the intercept.
+
+    The gradient is X' (a / C + r), r being the rows' residuals, so that every
+    step from zero is X' of some vector of rows, and a pass gives the image X X' v of
+    a new one. A step is the lowest point over the gradient, the last ``PAIRS``
+    steps and the intercept, found on the driver from their images. Ends as ``fit`` does.
+    An id's copies count as often as ``fit`` meets them when rows are joined by id; a null id has no weight.
+    """
+    k = np.where(matrix.ids["id"].is_null().to_numpy(zero_copy_only=False), 0, matrix.ids["copies"].to_numpy())
+    count, ones = (k * k).astype(float), k * matrix.ids["label"].to_numpy()
+    a, image, b, goal = np.zeros(matrix.size), np.zeros(matrix.size), 0.0, None
+    steps, images = np.empty((0, matrix.size)), np.empty((0, matrix.size))
+    for _ in range(max_iter + 1):
+        r = count * _sigmoid(image + b) - ones
+        g = a / C + r
+        found = matrix.gram(g)
+        size = float(np.sqrt(max(float(g @ found), 0.0)))
+        norm = float(np.hypot(size, r.sum()))
+        goal = tol ** (2.0 / 3.0) * norm if goal is None else goal
+        if norm <= goal:
+            break
+        scale = 1.0 / size if size > 0.0 else 0.0
+        steps, images = np.vstack([steps[-PAIRS:], g * scale]), np.vstack([images[-PAIRS:], found * scale])
+        t, shift = _lowest(steps, images, a, image + b, count, ones, C)
+        s, of_s = t @ steps, t @ images
+        length = float(np.sqrt(max(float(s @ of_s), 0.0)))
+        if length == 0.0 and shift == 0.0:
+            break
+        a, image, b = a + s, image + of_s, b + shift
+        # the step takes the gradient's place
+        steps[-1], images[-1] = (s / length, of_s / length) if length else (0.0, 0.0)
+    return a, b
+
+
+#: Rows whose part of a curvature is worked out at once.
+_STRETCH = 1 << 16
+
+
+def _sigmoid(m: np.ndarray) -> np.ndarray:
+    return 0.5 * (1.0 + np.tanh(0.5 * m))
+
+
+def _lowest(steps: np.ndarray, images: np.ndarray, a: np.ndarray, m: np.ndarray, count: np.ndarray, ones: np.ndarray, C: float) -> tuple[np.ndarray, float]:
+    """Newton's method over shares of the steps, and a shift of the intercept."""
+    d = len(steps)
+    inner, linear = np.zeros((d + 1, d + 1)), np.zeros(d + 1)
+    inner[:d, :d], linear[:d] = steps @ images.T / C, images @ a / C
+    inner = 0.5 * (inner + inner.T)
+
+    def at(x: np.ndarray) -> tuple[float, np.ndarray]:
+        now = m + x[:d] @ images + x[d]
+        r = count * _sigmoid(now) - ones
+        loss = float((count * np.logaddexp(0.0, now) - ones * now).sum() + 0.5 * x @ inner @ x + linear @ x)
+        return loss, np.append(images @ r, r.sum()) + inner @ x + linear
+
+    x = np.zeros(d + 1)
+    loss, g = at(x)
+    first = np.linalg.norm(g)
+    for _ in range(20):
+        if np.linalg.norm(g) <= 1e-4 * first:
+            break
+        curve = inner.copy()
+        for s in range(0, len(m), _STRETCH):
+            part = np.vstack([images[:, s:s + _STRETCH], np.ones(min(_STRETCH, len(m) - s))])
+            p = _sigmoid(x @ part + m[s:s + _STRETCH])
+            curve += (part * (count[s:s + _STRETCH] * p * (1.0 - p))) @ part.T
+        step = -np.linalg.lstsq(curve, g, rcond=1e-14)[0]
+        slope, share = float(g @ step), 1.0
+        while True:
+            new_loss, new_g = at(x + share * step)
+            lower = new_loss <= loss + 1e-4 * share * slope or (new_loss <= loss + 1e-12 * abs(loss) and abs(float(new_g @ step)) <= 0.9 * abs(slope))
+            if lower or share < 1e-6:
+                break
+            share *= 0.5
+        if not lower:
+            break
+        x, loss, g = x + share * step, new_loss, new_g
+    return x[:d], float(x[d])

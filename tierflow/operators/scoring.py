@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import time
 from dataclasses import dataclass, field
+from functools import cached_property
 from typing import Callable
 
 import numpy as np
@@ -252,8 +253,22 @@ class LinearBaseline:
     n_docs: DataFrame
     weights: DataFrame
     intercept: float
-    coefficients: np.ndarray
-    indexed: DataFrame
+
+    @cached_property
+    def indexed(self) -> DataFrame:
+        """(term, i): the terms numbered in an order of their own."""
+        from ..session import cut_lineage
+        from .scan import exact_hash_rank
+        ranked = exact_hash_rank(self.vocabulary.withColumn("_h", F.md5("term")), [], "_h", "term", "i")
+        return cut_lineage(ranked.select("term", (F.col("i") - 1).cast("int").alias("i")))
+
+    @cached_property
+    def coefficients(self) -> np.ndarray:
+        """The weights by number, all on the driver."""
+        found = self.indexed.join(self.weights, "term").select("i", "weight").toArrow()
+        out = np.zeros(max(1, len(found)))
+        out[found["i"].to_numpy()] = found["weight"].to_numpy()
+        return out
 
     @property
     def model(self):
@@ -293,53 +308,68 @@ def sparse_rows(features: DataFrame, indexed: DataFrame, size: int, ids: DataFra
 
 
 def train_lr(train: DataFrame, text_col: str = "clean", label_col: str = "label", C: float = 1.0,
-             max_iter: int = 1000, max_features: int | None = None, min_df: int = 2, tol: float = 1e-6) -> LinearBaseline:
-    """M5: logistic regression on M4's weights, fitted by passes of Spark jobs (``logistic.fit``).
+             max_iter: int = 1000, max_features: int | None = None, min_df: int = 2, tol: float = 1e-6, settled: bool = False) -> LinearBaseline:
+    """M5: logistic regression on M4's weights, fitted by passes of Spark jobs (``logistic``).
 
     Minimises the summed log loss plus |w|^2 / (2 C), the intercept without
-    a penalty. The coefficients, one a term of the vocabulary, live on the
-    driver while they are fitted; ``max_features`` is the reference's own vocabulary cap, off by default.
+    a penalty. The driver holds vectors of a number a row; terms, their cells and
+    weights stay on the executors (``term_blocks.TermMatrix``). ``max_features`` is the
+    reference's own vocabulary cap, off by default; under it the coefficients
+    live on the driver. ``settled``: ``train`` is a checkpoint already.
     """
+    from ..session import settle
+    from . import logistic
+    from .term_blocks import TermMatrix
+    rows = train.select("id", F.col(label_col).cast("double").alias("label"), F.col(text_col).alias("clean"))
+    rows = rows if settled else settle(rows)
+    n = rows.agg(F.count(F.lit(1)).cast("double").alias("n"))
+    if max_features is not None:
+        return _train_capped(rows, n, C, max_iter, max_features, min_df, tol)
+    matrix = TermMatrix(rows, n.first()[0], min_df)
+    a, intercept = logistic.fit_by_terms(matrix, C, max_iter, tol)
+    table = settle(matrix.weights(a))
+    return LinearBaseline(table.select("term", "df"), n, table.select("term", "weight"), intercept)
+
+
+def _train_capped(rows: DataFrame, n: DataFrame, C: float, max_iter: int, max_features: int, min_df: int, tol: float) -> LinearBaseline:
     import pyarrow as pa
 
     from ..session import cut_lineage
     from . import features as ft
     from . import logistic
-    from .scan import exact_hash_rank
-    rows = cut_lineage(train.select("id", F.col(label_col).cast("double").alias("label"), F.col(text_col).alias("clean")))
     counts = ft.term_counts(rows)
-    vocab = cut_lineage(ft.vocabulary(counts, min_df, max_features))
-    n = rows.agg(F.count(F.lit(1)).cast("double").alias("n"))
-    ranked = exact_hash_rank(vocab.withColumn("_h", F.md5("term")), [], "_h", "term", "i")
-    indexed = cut_lineage(ranked.select("term", (F.col("i") - 1).cast("int").alias("i")))
-    size = max(1, indexed.count())
-    x = cut_lineage(packed_rows(ft.tfidf(counts, vocab, n), indexed, size, rows.select("id")).join(rows.select("id", "label"), "id"))
-    w, intercept = logistic.fit(x.select("label", "features.indices", "features.values"), size, C, max_iter, tol)
-    table = train.sparkSession.createDataFrame(pa.table({"i": pa.array(range(size), pa.int32()), "weight": w}))
-    weights = cut_lineage(indexed.join(table, "i").select("term", "weight"))
-    return LinearBaseline(vocab, n, weights, intercept, w, indexed)
+    model = LinearBaseline(cut_lineage(ft.vocabulary(counts, min_df, max_features)), n, None, 0.0)
+    size = max(1, model.indexed.count())
+    x = cut_lineage(packed_rows(ft.tfidf(counts, model.vocabulary, n), model.indexed, size, rows.select("id")).join(rows.select("id", "label"), "id"))
+    w, model.intercept = logistic.fit(x.select("label", "features.indices", "features.values"), size, C, max_iter, tol)
+    table = rows.sparkSession.createDataFrame(pa.table({"i": pa.array(range(size), pa.int32()), "weight": w}))
+    model.weights = cut_lineage(model.indexed.join(table, "i").select("term", "weight"))
+    return model
 
 
 def lr_predict(model: LinearBaseline, df: DataFrame, text_col: str = "clean") -> DataFrame:
     return model.predict(df, text_col)
 
 
-def lr_gradient_norms(model: LinearBaseline, train: DataFrame, label_col: str = "label", text_col: str = "clean", C: float = 1.0) -> DataFrame:
+def lr_gradient_norms(model: LinearBaseline, train: DataFrame, label_col: str = "label", text_col: str = "clean", C: float = 1.0, settled: bool = False) -> DataFrame:
     """(n_train, at_fit, at_zero): Euclidean norms of the gradient of M5's
     penalised loss over ``train``, at the model's weights and at zero ones.
 
     Component j is the sum over rows of x_ij (p_i - y_i), plus w_j / C but
-    for the intercept: margins by one join and aggregation over the terms of
-    a row, components by another over the rows of a term.
+    for the intercept. The terms of ``train``, counted anew, meet the (term, df, weight)
+    table in shards of terms; margins are summed over the shards, and each shard then has its
+    components. ``settled``: ``train`` is a checkpoint already.
     """
-    from ..session import cut_lineage
-    x = cut_lineage(model.features(train, text_col).withColumnRenamed("weight", "value"))
-    margin = x.join(model.weights, "term").groupBy("id").agg(F.sum(F.col("value") * F.col("weight")).alias("_m"))
-    p = sigmoid(F.coalesce("_m", F.lit(0.0)) + F.lit(model.intercept))
-    y = F.col(label_col).cast("double")
-    rows = train.select("id", label_col).join(margin, "id", "left").select("id", (p - y).alias("_r"), (F.lit(0.5) - y).alias("_z"))
-    terms = x.join(rows, "id").groupBy("term").agg(F.sum(F.col("value") * F.col("_r")).alias("_g"), F.sum(F.col("value") * F.col("_z")).alias("_z"))
-    per_term = terms.join(model.weights, "term").agg(F.sum((F.col("_g") + F.col("weight") / C) ** 2).alias("_g"), F.sum(F.col("_z") ** 2).alias("_z"))
-    intercept = rows.agg(F.count(F.lit(1)).alias("n"), (F.sum("_r") ** 2).alias("_g"), (F.sum("_z") ** 2).alias("_z"))
-    both = per_term.withColumn("n", F.lit(0)).unionByName(intercept)
-    return both.agg(F.sum("n").alias("n_train"), F.sqrt(F.sum("_g")).alias("at_fit"), F.sqrt(F.sum("_z")).alias("at_zero"))
+    from ..session import settle
+    from .logistic import _sigmoid
+    from .term_blocks import TermMatrix
+    rows = train.select("id", F.col(label_col).cast("double").alias("label"), F.col(text_col).alias("clean"))
+    rows = rows if settled else settle(rows)
+    x = TermMatrix(rows, model.n_docs.first()[0], table=model.vocabulary.join(model.weights, "term"))
+    known = x.ids["id"].is_valid().to_numpy(zero_copy_only=False)  # a null id meets no term
+    copies, y = x.ids["copies"].to_numpy(), x.ids["label"].to_numpy()
+    r = copies * _sigmoid(np.where(known, x.margins(), 0.0) + model.intercept) - y
+    z = 0.5 * copies - y
+    both = x.summed(lambda s, v: np.array([np.square(s.back(v[0]) + s.weight / C).sum(), np.square(s.back(v[1])).sum()]), (r * known, z * known), 2)
+    found = (rows.count(), float(np.sqrt(both[0] + r.sum() ** 2)), float(np.sqrt(both[1] + z.sum() ** 2)))
+    return rows.sparkSession.createDataFrame([found], "n_train long, at_fit double, at_zero double")

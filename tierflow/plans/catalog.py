@@ -18,7 +18,7 @@ from ..functions import arrays
 from ..functions.text import STOPWORDS, analyzer_tokens, remove_stopwords, strip_for_tokens, strip_html, word_tokens, clean_text
 from ..operators import metrics, routing, scan, telemetry
 from ..operators.scoring import tier1_scorer, tier2_scorer
-from ..session import cut_lineage, ensure_checkpoint_dir, read_table, spread
+from ..session import cut_lineage, ensure_checkpoint_dir, read_table, settle, spread
 from . import pipeline as pl
 from . import sqlfrag as S
 
@@ -1505,9 +1505,14 @@ def q_lr_train_predict(spark, sf):
 
 
 def _baseline(spark, sf, tol: float = 1e-6):
-    d = pl.docs(spark, sf).join(pl.labelled(spark, sf), "id")
-    s = sp.split_stratified(d, "label", 0.2, SEED, "id")
-    return train_lr(s.filter("split = 'train'"), "clean", "label", tol=tol), s
+    """The model, and the labelled posts (id, label, clean, split) as a checkpoint. The split is
+    taken over keys; copies of a key, in the order of their texts, take its places in turn."""
+    copy = lambda order: F.row_number().over(Window.partitionBy("id", "label").orderBy(order))
+    d = pl.labelled_docs(spark, sf, stripped=True).select("id", "label", F.col("stripped").alias("clean")).withColumn("_copy", copy("clean"))  # the same terms lie in it
+    keys = read_table(spark, sf, "documents").select(F.col("doc_id").alias("id")).join(pl.labelled(spark, sf), "id")
+    keys = sp.split_stratified(keys, "label", 0.2, SEED, "id").withColumn("_copy", copy("split"))
+    s = settle(d.join(keys, ["id", "label", "_copy"]).drop("_copy"))
+    return train_lr(s.filter("split = 'train'"), "clean", "label", tol=tol, settled=True), s
 
 
 @register("lr_gradient", """WITH l AS (SELECT quality AS label, count(*) AS n FROM labels JOIN documents USING (doc_id) GROUP BY quality)
@@ -1517,7 +1522,7 @@ def q_lr_gradient(spark, sf):
     the (term, weight) table, one component a term, by joins over the train
     split; optimal if its norm is below 1e-3 of the one at zero weights."""
     model, s = _baseline(spark, sf)
-    return lr_gradient_norms(model, s.filter("split = 'train'"), "label").select("n_train", (F.col("at_fit") <= 1e-3 * F.col("at_zero")).alias("optimal"))
+    return lr_gradient_norms(model, s.filter("split = 'train'"), "label", settled=True).select("n_train", (F.col("at_fit") <= 1e-3 * F.col("at_zero")).alias("optimal"))
 
 
 # Fixed parameter table of ablation variants: name, tau_min, tau_max,

@@ -74,6 +74,17 @@ def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
     return df.checkpoint(eager=eager)
 
 
+def settle(df: DataFrame) -> DataFrame:
+    """``cut_lineage`` at once; the shuffle files it took go when the checkpoint is written, not when the driver happens to collect its garbage."""
+    spark, key = df.sparkSession, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        return cut_lineage(df.select("*"))  # a plan made under the setting
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
