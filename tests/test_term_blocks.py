@@ -34,6 +34,12 @@ def test_weights_by_blocks_are_the_relational_ones(spark, posts):
         assert got.keys() == want.keys() and max(abs(got[k] - want[k]) for k in want) < 1e-12
 
 
+def test_tfidf_moves_no_row_of_a_term(spark, tmp_path):
+    """Each (id, term) row used to be dealt by term, sorted, and dealt again by id."""
+    spark.createDataFrame([(i, f"some text {i % 3} of post {i}", "en", "s", 1) for i in range(20)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    plan = catalog.QUERIES["tfidf_weights"](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" in plan and not re.search(r"(SortMergeJoin|Window|Exchange[^\n]*term#)", plan)
+
 
 def test_a_block_codes_its_texts_alike_in_any_order(monkeypatch):
     ids, text = [3, None, 1, 3, 2], ["b a b", "a c", None, "b a", "c"]

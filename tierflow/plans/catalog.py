@@ -694,6 +694,7 @@ def q_model_comparison(spark, sf):
 
 from ..operators import split as sp  # noqa: E402
 from ..operators import features as ft  # noqa: E402
+from ..operators import term_blocks as tb  # noqa: E402
 from ..operators.scoring import autodetect_label_map, remap_predictions  # noqa: E402
 
 SAMPLE_N = 500
@@ -819,11 +820,10 @@ nrm AS (SELECT id, sqrt(sum(w * w)) AS nr FROM w GROUP BY id)
 SELECT id AS doc_id, term, {S.r6('w / nr')} AS weight FROM w JOIN nrm USING (id)""")
 def q_tfidf_weights(spark, sf):
     """M4: sublinear tf x smoothed idf (+1), L2 row norm, vocabulary terms only."""
-    d = pl.docs(spark, sf)
-    tc = ft.term_counts(d)
-    v = ft.vocabulary(tc)
-    n = read_table(spark, sf, "documents").agg(F.count(F.lit(1)).cast("double").alias("n"))
-    w = ft.tfidf(tc, v, n)
+    d = pl.docs(spark, sf, stripped=True).select("id", "stripped")  # its runs of [a-z0-9] are those of the cleaned text
+    n, size = read_table(spark, sf, "documents").agg(F.count(F.lit(1)).cast("double"), F.sum(F.octet_length("text"))).first()
+    tc = tb.term_blocks(d, tb.blocks_for(size), "stripped")
+    w = tb.tfidf(tc, tb.vocabulary(tc), n)
     return w.select(F.col("id").alias("doc_id"), "term", r6("weight").alias("weight"))
 
 
