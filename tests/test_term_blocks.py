@@ -77,3 +77,22 @@ def test_gradient_vanishes_at_the_fit(posts):
     once = posts.where("id is not null").dropDuplicates(["id"]).localCheckpoint()
     got = scoring.lr_gradient_norms(scoring.train_lr(once, tol=1e-9), once).first()
     assert got.n_train == once.count() and got.at_fit < 1e-5 * got.at_zero
+
+
+def test_shuffles_of_a_settled_frame_are_gone(spark):
+    """They stayed on disk beside the checkpoint until the driver's garbage was collected."""
+    def shuffles():
+        return spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n").count("shuffle_")
+    before = shuffles()
+    df = settle(spark.range(1000).groupBy(F.col("id") % 7).count())
+    assert df.count() == 7 and shuffles() <= before
+
+
+def test_copies_of_a_key_take_its_places_in_the_split_in_turn(spark, tmp_path):
+    d = [(i % 40, f"post {i} says {i % 3}", "en", "s", 1) for i in range(60)]
+    spark.createDataFrame(d, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, i % 2, 0) for i in range(30)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    _, s = catalog._baseline(spark, str(tmp_path))
+    rows = s.collect()
+    assert len(rows) == 50 == len({r.clean for r in rows})
+    assert sum(r.split == "test" for r in rows) == sum(round(0.2 * sum(r.label == y for r in rows)) for y in (0, 1))
